@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +40,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words_of(text: Column | str) -> Column:
     """Number of runs of characters that are not ASCII white space; a null text has none."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def map_texts(docs: DataFrame, text: str, keep: Sequence[str], find: Callable[[list[str | None]], list[Sequence]], added: str) -> DataFrame:
+    """The columns ``keep`` and those of the schema ``added``, which ``find`` makes, a list each, of a batch's texts.
+
+    In Arrow batches, so that null and large integers stay as they are.
+    """
+    columns = list(dict.fromkeys(keep))
+    slim = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text"))
+    schema = T.StructType([*slim.schema.fields[:-1], *T._parse_datatype_string(added).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = find(batch.column(len(columns)).to_pylist())
+            new = [pa.array(x, arrow.field(len(columns) + i).type) for i, x in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], names=arrow.names)
+
+    return slim.mapInArrow(run, schema)
