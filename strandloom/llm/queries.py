@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import licenses, mixing, secrets, sharding
+from strandloom.llm import langid, licenses, mixing, secrets, sharding, tokencount
 from strandloom.llm.shared import cut, table
 
 
@@ -23,6 +23,20 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents under a public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", (~langid.in_training()).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digests of all documents, looked up among known licences."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -36,6 +50,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_mix": op3_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_token_counts": op5_token_counts,
+    "op8_language": op8_language,
     "op9_licenses": op9_licenses,
     "op10_secrets": op10_secrets,
 }

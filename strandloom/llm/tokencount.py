@@ -26,7 +26,9 @@ Cases.  Null text: empty, 0 tokens.  Repeated rows: each gets its row.  Extra co
 
 from __future__ import annotations
 
+import heapq
 import json
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +40,10 @@ CHUNK = 64
 GROUP_CHARS = 1 << 20
 LEXICON_ROWS = 4_000_000
 LIMIT = 512
+#: Longer pieces, in bytes, are merged one by one.
+LONG_PIECE = 256
+_TABLE_BITS = 18
+_NEVER = 1 << 30
 
 # Classes of characters.
 _LETTER, _STMD, _R, _V, _E, _L, _NUMBER, _APOSTROPHE, _SIGN, _SPACE, _BLANK, _END = range(12)
@@ -81,8 +87,8 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def _unicode_classes(path: str) -> np.ndarray:
-    """The class of each code point, as the library's own splitter groups it."""
+def unicode_classes(path: str) -> bytes:
+    """The class of each code point, as the library's own splitter groups it; compressed to a few kilobytes."""
     from tokenizers import Tokenizer
 
     split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
@@ -102,21 +108,24 @@ def _unicode_classes(path: str) -> np.ndarray:
     for chars, kind in ((" ", _SPACE), ("'", _APOSTROPHE), ("stmd", _STMD), ("r", _R), ("v", _V), ("e", _E), ("l", _L)):
         for c in chars:
             table[ord(c)] = kind
-    return table
+    return zlib.compress(table.tobytes())
 
 
 class Counter:
     """The compiled machines of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: bytes | None = None):
+        classes = classes or unicode_classes(path)
         spec = json.load(open(path, encoding="utf-8"))
         made = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(made)}
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE: bytes that stand for themselves; the others follow from 256
         other = [b for b in range(256) if b not in plain]
-        self.byte = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.classes = _unicode_classes(path)
+        symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        ids = {s: i + 1 for i, s in enumerate(dict.fromkeys([*symbol.values(), *(a + b for a, b in made)]))}
+        self.byte_ids = np.array([ids[symbol[b]] for b in range(256)], np.int32)
+        self.merged = np.array([ids[a + b] for a, b in made], np.int32)
+        self.classes = np.frombuffer(zlib.decompress(classes), np.uint8)
         self.next, self.mark = _machine()
         rng = np.random.default_rng(20_240_601)
         self.point = rng.integers(1, 2**63, 0x110000, dtype=np.uint64) | np.uint64(1)
@@ -125,6 +134,14 @@ class Counter:
         n = GROUP_CHARS + 1
         self.power, self.inverse = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, b, np.uint64)))) for b in (base, inverse))
         self.bases = base, inverse
+        self.slots, self.slot_ranks = np.zeros(1 << _TABLE_BITS, np.uint64), np.full(1 << _TABLE_BITS, _NEVER, np.int32)
+        for rank, (a, b) in enumerate(made):
+            key = ids[a] << 32 | ids[b]
+            at = (key * int(base) & 2**64 - 1) >> (64 - _TABLE_BITS)
+            while self.slots[at] not in (0, key):
+                at = at + 1 & (1 << _TABLE_BITS) - 1
+            if not self.slots[at]:
+                self.slots[at], self.slot_ranks[at] = key, rank
         self.clear()
 
     def clear(self) -> None:
@@ -134,23 +151,78 @@ class Counter:
         while len(self.power) <= n:
             self.power, self.inverse = (np.concatenate((p, p * p[-1] * b)) for p, b in zip((self.power, self.inverse), self.bases))
 
-    def piece(self, text: str) -> int:
-        """Tokens of one piece: the pair of the lowest rank is merged until none has a rank."""
-        parts, ranks = [self.byte[b] for b in text.encode("utf-8", "replace")], self.ranks
-        while len(parts) > 1:
-            best = min(((ranks.get(p, 1 << 30), p) for p in zip(parts, parts[1:])), key=lambda x: x[0])
-            if best[0] == 1 << 30:
-                break
-            (a, b), out, i = best[1], [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return len(parts)
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of symbols, or _NEVER: a look into an open-addressed table."""
+        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        at = ((key * self.bases[0]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        out = np.where(self.slots[at] == key, self.slot_ranks[at], _NEVER)
+        left = np.flatnonzero((out == _NEVER) & (self.slots[at] != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << _TABLE_BITS) - 1)
+            hit = self.slots[at[left]] == key[left]
+            out[left[hit]] = self.slot_ranks[at[left[hit]]]
+            left = left[~hit & (self.slots[at[left]] != 0)]
+        return out
+
+    def pieces(self, texts: list[bytes]) -> np.ndarray:
+        """Tokens of each piece: the leftmost pair of the lowest rank is merged until none has a rank.  Pieces of one length go in step."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = sizes.copy()
+        for i in np.flatnonzero(sizes > LONG_PIECE).tolist():
+            out[i] = self._long(texts[i])
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= LONG_PIECE)]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            for part in np.array_split(rows, -(-len(rows) * size // (1 << 20))):
+                self._merge(np.frombuffer(b"".join([texts[i] for i in part]), np.uint8).reshape(-1, size), part, out)
+        return out
+
+    def _long(self, text: bytes) -> int:
+        """Tokens of one long piece: the same merges off a heap of pairs, over a linked list of symbols."""
+        ids = self.byte_ids[np.frombuffer(text, np.uint8)].tolist()
+        n, after, before = len(ids), list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        first = self._rank(np.array(ids[:-1]), np.array(ids[1:])).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != _NEVER]
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= len(ids) or ids[j] != b:
+                continue  # one of the two has been merged since
+            ids[i], ids[j], after[i] = int(self.merged[rank]), 0, after[j]
+            if after[j] < len(ids):
+                before[after[j]] = i
+            n -= 1
+            for k in (before[i], i):
+                if k >= 0 and after[k] < len(ids):
+                    pair = ids[k], ids[after[k]]
+                    if pair not in known:
+                        known[pair] = int(self._rank(np.array(pair[:1]), np.array(pair[1:]))[0])
+                    if known[pair] != _NEVER:
+                        heapq.heappush(heap, (known[pair], k, *pair))
+        return n
+
+    def _merge(self, raw: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+        ids = self.byte_ids.take(raw)
+        ranks = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), -1)
+        while ranks.shape[1]:
+            best = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(rows)), best]
+            if not (go := low != _NEVER).all():
+                out[rows[~go]] = ids.shape[1]
+                ids, ranks, best, low, rows = ids[go], ranks[go], best[go], low[go], rows[go]
+            if not len(rows):
+                return
+            line, n = np.arange(len(rows)), ids.shape[1]
+            columns = np.arange(n - 1)
+            ids = np.take_along_axis(ids, columns + (columns > best[:, None]), axis=1)  # without the right symbol of the pair
+            ids[line, best] = self.merged[low]
+            columns = columns[:-1]
+            ranks = np.take_along_axis(ranks, columns + (columns >= best[:, None]), axis=1)
+            for near in (best - 1, best):  # the pairs that the new symbol is in
+                has = (near >= 0) & (near < n - 2)
+                ranks[line[has], near[has]] = self._rank(ids[line[has], near[has]], ids[line[has], near[has] + 1])
+        out[rows] = ids.shape[1]
 
     def _scan(self, maps: np.ndarray) -> np.ndarray:
         """The state before each chunk, by a prefix scan over the chunks' state maps (states x chunks)."""
@@ -190,7 +262,7 @@ class Counter:
             counts[known] = self.counts[where[known]]
         if not known.all():
             new = np.flatnonzero(~known)
-            counts[new] = [self.piece(points[a:b].tobytes().decode("utf-32-le")) for a, b in zip(first[at[new]].tolist(), end[at[new]].tolist())]
+            counts[new] = self.pieces([points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") for a, b in zip(first[at[new]].tolist(), end[at[new]].tolist())])
             if len(self.keys) + len(new) > LEXICON_ROWS:
                 self.clear()
             keys, counted = np.concatenate((self.keys, unique[new])), np.concatenate((self.counts, counts[new]))
@@ -240,15 +312,16 @@ class Counter:
 
 
 @lru_cache(maxsize=1)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(path: str, classes: bytes) -> Counter:
+    return Counter(path, classes)
 
 
 def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document; ``path``: the vocabulary file, at the same place on every machine."""
+    classes = unicode_classes(path)
 
     def find(texts: list[str | None]) -> list:
-        counts = counter(path).count(texts)
+        counts = counter(path, classes).count(texts)
         return [[len(t.encode("utf-8")) if t else 0 for t in texts], counts, [n > limit for n in counts]]
 
     return map_texts(docs, text, (doc_id,), find, "n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed(doc_id, "doc_id")
