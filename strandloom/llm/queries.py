@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import langid, licenses, mixing, secrets, sharding, tokencount
+from strandloom.llm import decontamination, langid, licenses, mixing, secrets, sharding, tokencount, warc
 from strandloom.llm.shared import cut, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.transform("hits", lambda h: h["item_id"])
+    best = F.round(F.array_max(F.transform("hits", lambda h: h["score"])), 6)
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), ids.alias("item_ids"), best.alias("best_score"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing all documents to target weights."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -30,6 +38,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to WARC archives and read back."""
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
@@ -48,9 +62,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_mix": op3_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_token_counts": op5_token_counts,
+    "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_licenses": op9_licenses,
     "op10_secrets": op10_secrets,
