@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, langid, licenses, mixing, secrets, sharding, tokencount, warc
+from strandloom.llm import decontamination, langid, licenses, mixing, neardup, secrets, sharding, tokencount, warc
 from strandloom.llm.shared import cut, table
 
 
@@ -38,6 +38,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to WARC archives and read back."""
     records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_token_counts": op5_token_counts,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_licenses": op9_licenses,

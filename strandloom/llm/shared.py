@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +59,42 @@ def map_texts(docs: DataFrame, text: str, keep: Sequence[str], find: Callable[[l
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], names=arrow.names)
 
     return slim.mapInArrow(run, schema)
+
+
+def by_key(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal first ``n_keys`` columns; the rows come sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys))))
+        start = 0
+        for i in range(batch.num_rows + 1):
+            if i < batch.num_rows and keys[i] == last:
+                continue
+            if i > start:
+                held.append(batch.slice(start, i - start))
+            if i < batch.num_rows:
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, last, start = [], keys[i], i
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Sets:
+    """Disjoint sets of 0 .. n-1; a set's root is its smallest member."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
