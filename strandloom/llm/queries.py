@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, langid, licenses, mixing, neardup, secrets, sharding, tokencount, warc
+from strandloom.llm import decontamination, embedding, langid, licenses, mixing, neardup, secrets, sharding, tokencount, warc
 from strandloom.llm.shared import cut, table
 
 
@@ -17,6 +17,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), ids.alias("item_ids"), best.alias("best_score"))
 
 
+def op2_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing all documents to target weights."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_embedding_near_duplicates": op2_embedding_near_duplicates,
     "op3_mix": op3_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_token_counts": op5_token_counts,
