@@ -1,4 +1,493 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries, each over whole tables, and their DuckDB SQL.
+
+All are over scaffolds derived from ``documents``.  Integers are 64-bit on both sides and fractions are rounded.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandloom.functions import codes, zcurve
+from strandloom.functions import sequence as S
+from strandloom.operators import gcbins, genes, metrics, models, orfs, overlap, tis
+from strandloom.plans import predict
+from strandloom.plans.oracle import query
+from strandloom.sources.documents import load
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+KEY = ("scaffold_id", "strand", "phase", "t_start", "end")
+KEY_SQL = 'scaffold_id, strand, phase, t_start, "end"'
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Integers as 64-bit."""
+    return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "tinyint", "smallint") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def registered(sql: str | None = None):
+    def add(function):
+        name = function.__name__
+        QUERIES[name] = lambda spark, sf_dir: longs(function(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return add
+
+
+def linear(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return orfs.find_orfs(load(spark, sf_dir), **options)
+
+
+def sequenced(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return orfs.with_sequence(linear(spark, sf_dir, **options), load(spark, sf_dir))
+
+
+def gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of at least 300 bases with a score made of their length."""
+    found = linear(spark, sf_dir).where("len >= 300").withColumn("score", F.col("len") / (F.col("len") + 300.0))
+    return genes.with_coordinates(found).withColumn("name", F.concat(F.lit("doc_"), "scaffold_id"))
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genes.with_ordinals(gene_table(spark, sf_dir))
+
+
+@registered(query("SELECT scaffold_id, length(sequence) AS length, substr(sequence, 1, 60) AS prefix FROM scaffolds", "scaffolds"))
+def q01_scaffold_scan(spark, sf_dir):
+    return load(spark, sf_dir).select("scaffold_id", "length", F.substring("sequence", 1, 60).alias("prefix"))
+
+
+@registered(query("SELECT scaffold_id, n AS gc_count, round(CASE WHEN l > 0 THEN n / l END, 6) AS gc FROM (SELECT scaffold_id, length(sequence) AS l, length(sequence) - length(translate(sequence, 'GC', '')) AS n FROM scaffolds)", "scaffolds"))
+def q02_gc_fraction(spark, sf_dir):
+    seq = F.col("sequence")
+    return load(spark, sf_dir).select("scaffold_id", S.gc_count(seq).alias("gc_count"), F.round(S.gc_fraction(seq), 6).alias("gc"))
+
+
+@registered(query("SELECT count(*) AS scaffolds, sum(length(sequence))::BIGINT AS size, round(sum(length(sequence) - length(translate(sequence, 'GC', ''))) / sum(length(sequence)), 6) AS gc FROM scaffolds", "scaffolds"))
+def q03_genome_summary(spark, sf_dir):
+    return predict.summary(load(spark, sf_dir))
+
+
+@registered(query("SELECT scaffold_id, md5(seq) AS digest FROM strands WHERE strand = '-'", "strands"))
+def q04_reverse_complement(spark, sf_dir):
+    return load(spark, sf_dir).select("scaffold_id", F.md5(S.reverse_complement(F.col("sequence"))).alias("digest"))
+
+
+@registered(query("SELECT phase, codon, count(*) AS n FROM codons WHERE strand = '+' GROUP BY ALL", "codons"))
+def q05_codon_usage(spark, sf_dir):
+    phased = load(spark, sf_dir).select("sequence", F.explode(F.array(*map(F.lit, range(3)))).alias("phase"))
+    return phased.select("phase", F.explode(S.codons(F.col("sequence"), F.col("phase"))).alias("codon")).groupBy("phase", "codon").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(query("SELECT scaffold_id, strand, phase, pos, CASE WHEN is_start THEN 'start' ELSE 'stop' END AS kind FROM events", "events"))
+def q06_codon_events(spark, sf_dir):
+    found = orfs.codon_events(orfs.strands(load(spark, sf_dir)))
+    return found.select("scaffold_id", "strand", "phase", "pos", F.when(F.col("is_start"), "start").otherwise("stop").alias("kind"))
+
+
+@registered(query(f"SELECT {KEY_SQL}, len, partial3, partial5 FROM orfs", "orfs"))
+def q07_orfs_linear(spark, sf_dir):
+    return linear(spark, sf_dir).select(*KEY, "len", "partial3", "partial5")
+
+
+@registered(query("""SELECT scaffold_id, strand, CASE WHEN strand = '+' THEN t_start + 1 ELSE host_len - "end" + 1 END AS start, CASE WHEN strand = '+' THEN "end" ELSE host_len - t_start END AS stop FROM orfs""", "orfs"))
+def q08_orf_coordinates(spark, sf_dir):
+    return genes.with_coordinates(linear(spark, sf_dir)).select("scaffold_id", "strand", "start", "stop")
+
+
+@registered(query(f"SELECT {KEY_SQL}, len(coalesce(starts, [])) AS n_starts, array_to_string(coalesce(starts, []), ',') AS starts FROM orfs", "orfs"))
+def q09_orf_starts(spark, sf_dir):
+    return linear(spark, sf_dir, with_starts=True).select(*KEY, F.size("starts").alias("n_starts"), F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"))
+
+
+def _z_sql(order: int) -> str:
+    axes = ", ".join(f"sum(CASE WHEN b IN ({', '.join(repr(x) for x in names)}) THEN 1 ELSE -1 END)::BIGINT AS z{axis}" for axis, names in codes.Z_AXES.items())
+    context = f"substr(seq, i + 1, {order})"
+    return query(
+        f"SELECT {KEY_SQL}, len, frame, context, {axes} FROM (SELECT *, i % 3 AS frame, {context} AS context, substr(seq, i + {order + 1}, 1) AS b FROM (SELECT *, unnest(range(0, length(seq) - {order})) AS i FROM orfseqs)) GROUP BY {KEY_SQL}, len, frame, context", "orfseqs"
+    )
+
+
+MONO_SQL = query(
+    f"SELECT {KEY_SQL}, " + ", ".join(f"round(sum(CASE WHEN i % 3 = {p} THEN CASE WHEN b IN ({', '.join(repr(x) for x in names)}) THEN 1 ELSE -1 END ELSE 0 END) * 3.0 / length(any_value(seq)), 6) AS z{axis}{p}" for p in range(3) for axis, names in codes.Z_AXES.items())
+    + f" FROM (SELECT *, substr(seq, i + 1, 1) AS b FROM (SELECT *, unnest(range(0, length(seq))) AS i FROM orfseqs)) GROUP BY {KEY_SQL}", "orfseqs",
+)
+
+
+@registered(MONO_SQL)
+def q10_zcurve_mono(spark, sf_dir):
+    found = sequenced(spark, sf_dir)
+    vector = zcurve.zcurve(1)(F.col("seq"))
+    return found.withColumn("z", vector).select(*KEY, *[F.round(F.col("z")[3 * p + k], 6).alias(f"z{axis}{p}") for p in range(3) for k, axis in enumerate("xyz")])
+
+
+def _context_rows(found: DataFrame, order: int) -> DataFrame:
+    """The vector's integer sums in long form."""
+    contexts = [""]
+    for _ in range(order):
+        contexts = [c + b for c in contexts for b in "AGCT"]
+    first, cells = sum(zcurve.SIZES[:order]), 4**order
+    vector = zcurve.zcurve(order + 1)(F.col("seq"))
+    rows = found.withColumn("z", vector).select(*KEY, "len", F.length("seq").alias("__n"), "z", F.explode(F.array(*map(F.lit, range(3)))).alias("frame"))
+    rows = rows.select(*KEY, "len", "__n", "z", "frame", F.posexplode(F.array(*map(F.lit, contexts))).alias("k", "context"))
+    at = lambda axis: F.round(F.element_at("z", (first + 1 + (F.col("frame") * cells + F.col("k")) * 3 + axis).cast("int")) * F.col("__n") / 3).cast("long")
+    return rows.select(*KEY, "len", "frame", "context", *[at(i).alias(f"z{axis}") for i, axis in enumerate("xyz")])
+
+
+@registered(_z_sql(1))
+def q11_zcurve_di(spark, sf_dir):
+    return zcurve.context_sums(sequenced(spark, sf_dir), [*KEY], 1).select(*KEY, "len", "frame", "context", "zx", "zy", "zz")
+
+
+@registered(query("SELECT frame, context, sum(zx)::BIGINT AS zx, sum(zy)::BIGINT AS zy, sum(zz)::BIGINT AS zz FROM zrows GROUP BY ALL", "orfseqs", more={"zrows": "SELECT i % 3 AS frame, substr(seq, i + 1, 2) AS context, " + ", ".join(f"CASE WHEN substr(seq, i + 3, 1) IN ({', '.join(repr(x) for x in names)}) THEN 1 ELSE -1 END AS z{axis}" for axis, names in codes.Z_AXES.items()) + " FROM (SELECT seq, unnest(range(0, length(seq) - 2)) AS i FROM orfseqs)"}))
+def q12_zcurve_tri(spark, sf_dir):
+    rows = _context_rows(sequenced(spark, sf_dir), 2)
+    return rows.groupBy("frame", "context").agg(*[F.sum(f"z{axis}").alias(f"z{axis}") for axis in "xyz"])
+
+
+PROTEIN_SQL = """SELECT o.*, (SELECT string_agg(CASE WHEN i = 0 AND NOT o.partial5 THEN 'M' ELSE aa END, '' ORDER BY i) FROM (SELECT i, substr(o.seq, (3 * i + 1)::BIGINT, 3) AS codon FROM unnest(range(0, length(o.seq) // 3)) r(i)) c JOIN amino USING (codon)) AS protein FROM orfseqs o"""
+
+
+@registered(query(f"SELECT {KEY_SQL}, protein FROM proteins", "orfseqs", "amino", more={"proteins": PROTEIN_SQL}))
+def q13_translate_orfs(spark, sf_dir):
+    return sequenced(spark, sf_dir).select(*KEY, S.translate_gene(F.col("seq"), 11, F.col("partial5")).alias("protein"))
+
+
+@registered(query("SELECT aa, count(*) AS n FROM (SELECT unnest(string_split(protein, '')) AS aa FROM proteins) GROUP BY aa", "orfseqs", "amino", more={"proteins": PROTEIN_SQL}))
+def q14_aa_composition(spark, sf_dir):
+    protein = S.translate_gene(F.col("seq"), 11, F.col("partial5"))
+    return sequenced(spark, sf_dir).select(F.explode(F.split(protein, "")).alias("aa")).groupBy("aa").agg(F.count(F.lit(1)).alias("n"))
+
+
+TABLES = tuple(codes.REASSIGNED)
+
+
+@registered(" UNION ALL ".join(f"SELECT * FROM ({query(f'SELECT {t}::BIGINT AS code, count(*) AS n, sum(len)::BIGINT AS bases FROM orfs', 'orfs', table=t)})" for t in TABLES))
+def q15_translation_tables(spark, sf_dir):
+    out = None
+    for t in TABLES:
+        one = linear(spark, sf_dir, table=t).agg(F.lit(t).alias("code"), F.count(F.lit(1)).alias("n"), F.sum("len").alias("bases"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@registered(query("SELECT strand, count(*) AS n_90, count(*) FILTER (len >= 300) AS n_300, max(len) AS longest FROM orfs GROUP BY strand", "orfs"))
+def q16_orf_length_filter(spark, sf_dir):
+    return linear(spark, sf_dir).groupBy("strand").agg(F.count(F.lit(1)).alias("n_90"), F.count_if(F.col("len") >= 300).alias("n_300"), F.max("len").alias("longest"))
+
+
+def _gc_sql() -> str:
+    below = " + ".join(f"(g::FLOAT::DOUBLE > {t!r})::INT" for t in gcbins.thresholds())
+    return query(
+        "SELECT bin::BIGINT AS bin, count(*) AS n FROM (SELECT i + least(1, min(b - i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)) AS bin FROM ranked) GROUP BY ALL", "orfseqs",
+        more={"gcs": "SELECT scaffold_id, strand, \"end\", t_start, (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) AS g FROM orfseqs", "ranked": f"SELECT row_number() OVER (ORDER BY g, scaffold_id, strand, \"end\", t_start) - 1 AS i, {below} AS b FROM gcs"},
+    )
+
+
+@registered(_gc_sql())
+def q17_gc_bins(spark, sf_dir):
+    rows = sequenced(spark, sf_dir).withColumn("gc", S.gc_fraction(F.col("seq")))
+    return gcbins.assign_bins(rows, "gc", ("scaffold_id", "strand", "end", "t_start")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(query(f"SELECT {KEY_SQL}, len FROM (SELECT *, row_number() OVER (PARTITION BY strand ORDER BY len DESC, scaffold_id, t_start) AS r FROM orfs) WHERE r <= 10", "orfs"))
+def q18_top_orfs(spark, sf_dir):
+    best = Window.partitionBy("strand").orderBy(F.desc("len"), "scaffold_id", "t_start")
+    return linear(spark, sf_dir).withColumn("r", F.row_number().over(best)).where("r <= 10").select(*KEY, "len")
+
+
+@registered(query(f"SELECT {KEY_SQL}, (SELECT s FROM unnest(starts[1:5]) u(s) ORDER BY (s * 7919) % 101 DESC, s LIMIT 1) AS start FROM orfs WHERE NOT partial5", "orfs"))
+def q19_best_start(spark, sf_dir):
+    found = linear(spark, sf_dir, with_starts=True).where("not partial5").select(*KEY, F.explode(F.slice("starts", 1, 5)).alias("start"))
+    return tis.best_starts(found.withColumn("score", (F.col("start").cast("long") * 7919) % 101), [*KEY])
+
+
+PAIRS_SQL = {
+    "pairs": """SELECT *, CASE WHEN olen = a_len OR olen = b_len THEN 'INCLUDE' WHEN olen / least(a_len, b_len) >= 0.6 THEN 'INTERSECT' END AS type FROM (
+ SELECT a.scaffold_id, a.strand, a.t_start AS a_start, a."end" AS a_end, b.t_start AS b_start, b."end" AS b_end, a.len AS a_len, b.len AS b_len, least(a."end", b."end") - greatest(a.t_start, b.t_start) AS olen
+ FROM orfs a JOIN orfs b ON a.scaffold_id = b.scaffold_id AND a.strand = b.strand AND (a.t_start, a."end") < (b.t_start, b."end") AND a."end" > b.t_start AND b."end" > a.t_start) WHERE olen >= 60""",
+    "overprints": "SELECT * FROM pairs WHERE type IS NOT NULL",
+}
+
+
+def _overprints(spark, sf_dir):
+    return overlap.overlaps(linear(spark, sf_dir), min_overlap=60)
+
+
+@registered(query("SELECT scaffold_id, strand, a_start, a_end, b_start, b_end, olen, type FROM overprints", "orfs", more=PAIRS_SQL))
+def q20_overprint_pairs(spark, sf_dir):
+    return _overprints(spark, sf_dir)
+
+
+@registered(query("SELECT type, count(*) AS n, sum(olen)::BIGINT AS bases FROM overprints GROUP BY type", "orfs", more=PAIRS_SQL))
+def q21_overprint_summary(spark, sf_dir):
+    return _overprints(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("olen").alias("bases"))
+
+
+@registered(query("SELECT DISTINCT * FROM (SELECT scaffold_id, strand, a_start AS t_start, a_end AS \"end\" FROM overprints UNION ALL SELECT scaffold_id, strand, b_start, b_end FROM overprints)", "orfs", more=PAIRS_SQL))
+def q22_overprint_genes(spark, sf_dir):
+    pairs = _overprints(spark, sf_dir)
+    both = F.explode(F.array(F.struct(F.col("a_start").alias("t_start"), F.col("a_end").alias("end")), F.struct(F.col("b_start").alias("t_start"), F.col("b_end").alias("end"))))
+    return pairs.select("scaffold_id", "strand", both.alias("g")).select("scaffold_id", "strand", "g.t_start", "g.end").distinct()
+
+
+HEAD = "concat('# ', name, chr(9), host_len, ' bp', chr(9), 'linear', chr(9), 'UNA', chr(9), '01-JAN-2024')"
+DATE = "01-JAN-2024"
+SCORE = "printf('%.3f', score)"
+HEADED = "CASE WHEN scaffold_id IS DISTINCT FROM lag(scaffold_id) OVER (ORDER BY ordinal) THEN concat({head}, chr(10), {line}) ELSE {line} END"
+
+
+def _headed(head: str, line: str) -> str:
+    return query(f"SELECT ordinal, {HEADED.format(head=head, line=line)} AS line FROM numbered", "numbered")
+
+
+GFF = f"concat_ws(chr(9), name, '{genes.PROGRAM}', 'CDS', start, stop, {SCORE}, strand, '0', concat('ID=orf', printf('%06d', ordinal), CASE WHEN partial3 THEN ';partial3=true' WHEN partial5 THEN ';partial5=true' ELSE '' END))"
+
+
+@registered(_headed(HEAD, GFF))
+def q23_gff_rows(spark, sf_dir):
+    return genes.with_heads(numbered(spark, sf_dir), genes.host_line(DATE), genes.gff_line())
+
+
+@registered(_headed(HEAD, "concat(start, ' ', stop, chr(9), strand)"))
+def q24_med_rows(spark, sf_dir):
+    return genes.with_heads(numbered(spark, sf_dir), genes.host_line(DATE), genes.med_line())
+
+
+LOCUS = f"concat('LOCUS       ', name, ' ', lpad(host_len::VARCHAR, greatest(27 - length(name), length(host_len::VARCHAR))::INT, ' '), ' bp    DNA', '       linear', ' UNA {DATE}', chr(10), 'DEFINITION  ', name, chr(10), 'FEATURES             Location/Qualifiers')"
+LOCATION = "concat(CASE WHEN strand = '-' THEN 'complement(' ELSE '' END, CASE WHEN (partial5 AND strand = '+') OR (partial3 AND strand = '-') THEN '<' ELSE '' END, start, '..', CASE WHEN (partial3 AND strand = '+') OR (partial5 AND strand = '-') THEN '>' ELSE '' END, stop, CASE WHEN strand = '-' THEN ')' ELSE '' END)"
+FEATURE = f"concat('     CDS             ', {LOCATION}, chr(10), repeat(' ', 21), '/transl_table=11', chr(10), repeat(' ', 21), '/note=\"version={genes.PROGRAM};ID=orf', printf('%06d', ordinal), ';score=', {SCORE}, '\"')"
+
+
+@registered(_headed(LOCUS, FEATURE))
+def q25_gbk_rows(spark, sf_dir):
+    return genes.with_heads(numbered(spark, sf_dir), genes.locus_lines(DATE), genes.genbank_feature())
+
+
+FASTA = f"concat('>', name, ':', start, '..', stop, '(', strand, ') score=', {SCORE}, chr(10), "
+GENE_PROTEINS = {"proteins": PROTEIN_SQL, "records": "SELECT g.*, p.protein, p.seq FROM genes g JOIN proteins p USING (scaffold_id, strand, phase, t_start, \"end\")"}
+
+
+def _gene_records(spark, sf_dir, record):
+    found = orfs.with_sequence(gene_table(spark, sf_dir), load(spark, sf_dir))
+    return found.select("name", "start", "stop", "strand", record.alias("record"))
+
+
+@registered(query(f"SELECT name, start, stop, strand, {FASTA} regexp_replace(protein, '(.{{1,80}})', '\\1' || chr(10), 'g')) AS record FROM records", "orfseqs", "amino", "genes", more=GENE_PROTEINS))
+def q26_faa_records(spark, sf_dir):
+    return _gene_records(spark, sf_dir, genes.protein_record())
+
+
+@registered(query(f"SELECT name, start, stop, strand, {FASTA} regexp_replace(seq, '(.{{1,80}})', '\\1' || chr(10), 'g')) AS record FROM records", "orfseqs", "amino", "genes", more=GENE_PROTEINS))
+def q27_fna_records(spark, sf_dir):
+    return _gene_records(spark, sf_dir, genes.nucleotide_record())
+
+
+START_NAMES = codes.starts(11)
+UPSTREAM = ", ".join(f"'{c}'" for c in (*START_NAMES, "CTG"))
+WINDOW_SQL = {
+    "hosts": "SELECT o.*, s.seq AS host FROM orfs o JOIN strands s USING (scaffold_id, strand) WHERE o.len > 300",
+    "own": "SELECT scaffold_id, strand, CASE WHEN st = t_start THEN 'T' ELSE 'D' END AS profile, substr(host, st - 49, 65) AS win FROM (SELECT *, unnest(starts) AS st FROM hosts) WHERE st >= t_start AND st + 15 <= host_len AND st >= 50",
+    "upper": f"SELECT scaffold_id, strand, 'U' AS profile, substr(host, st - 49, 65) AS win FROM (SELECT *, unnest(range(greatest(50, t_start - 150), least(t_start - 3, host_len - 15))) AS st FROM hosts) WHERE substr(host, st + 1, 3) IN ({UPSTREAM})",
+    "wins": "SELECT * FROM own UNION ALL SELECT * FROM upper",
+}
+
+
+def _profile_sql(order: int) -> dict[str, str]:
+    bases = "(VALUES ('A'), ('C'), ('G'), ('T'))"
+    grid = f"SELECT p AS profile, j AS row, concat({', '.join(f'b{i}' for i in range(order + 1))}) AS kmer FROM (VALUES ('T'), ('D'), ('U')) x(p), range(0, {65 - order}) r(j), " + ", ".join(f"{bases} y{i}(b{i})" for i in range(order + 1))
+    return WINDOW_SQL | {
+        "hits": f"SELECT profile, j AS row, substr(win, (j + 1)::BIGINT, {order + 1}) AS kmer, count(*) AS n FROM wins, range(0, {65 - order}) r(j) GROUP BY ALL",
+        "grid": grid,
+        "counts": "SELECT profile, row, kmer, (coalesce(n, 0) + 1)::BIGINT AS cnt FROM grid LEFT JOIN hits USING (profile, row, kmer)",
+        "logs": f"SELECT *, ln(cnt / sum(cnt) OVER (PARTITION BY profile, row, substr(kmer, 1, {order}))) AS logp, ln(sum(cnt) OVER (PARTITION BY profile, row, substr(kmer, 1, {order})) / sum(cnt) OVER (PARTITION BY profile, row)) AS prior FROM counts",
+    }
+
+
+def hosted(spark, sf_dir):
+    """Frames with their starts and the bases around these."""
+    return orfs.with_context(linear(spark, sf_dir, with_starts=True), load(spark, sf_dir))
+
+
+def _windows(spark, sf_dir):
+    return tis.windows(hosted(spark, sf_dir), START_NAMES, [*KEY])
+
+
+@registered(query("SELECT profile, row, kmer, cnt FROM counts", "orfs", more=_profile_sql(1)))
+def q28_kmer_profile(spark, sf_dir):
+    return tis.profile_counts(_windows(spark, sf_dir), 1)
+
+
+@registered(query("SELECT profile, row, kmer, round(logp, 6) AS logp, round(prior, 6) AS prior FROM logs", "orfs", more=_profile_sql(2)))
+def q29_profile_logprob(spark, sf_dir):
+    return tis.profile_logs(tis.profile_counts(_windows(spark, sf_dir), 2), 2).select("profile", "row", "kmer", F.round("logp", 6).alias("logp"), F.round("prior", 6).alias("prior"))
+
+
+BASES_SQL = {**WINDOW_SQL, "bases": "SELECT base, count(*) AS cnt FROM (SELECT unnest(string_split(win, '')) AS base FROM upper) GROUP BY base"}
+
+
+@registered(query("SELECT base, cnt FROM bases", "orfs", more=BASES_SQL))
+def q30_upstream_false(spark, sf_dir):
+    return tis.background(_windows(spark, sf_dir))
+
+
+def _odds(names) -> str:
+    return " + ".join("*".join(f"p{b}" for b in c) for c in names)
+
+
+@registered(
+    query(
+        "SELECT (n + 1)::BIGINT AS max_alter, round(up, 6) AS false_up, round(n - up, 6) AS false_down FROM (SELECT n, sum(n * q * p ** n) OVER (ORDER BY n) - n * q * p ** n AS up, sum(q * p ** n) OVER (ORDER BY n) AS covered, q, p FROM rates, range(0, 2000) r(n)) WHERE covered > 0.99 ORDER BY n LIMIT 1", "orfs",
+        more=BASES_SQL | {
+            "shares": "SELECT " + ", ".join(f"sum(cnt) FILTER (base = '{b}') / sum(cnt) AS p{b}" for b in "ACGT") + " FROM bases",
+            "rates": f"SELECT s / (s + e) AS p, e / (s + e) AS q FROM (SELECT {_odds(codes.starts(11))} AS s, {_odds(codes.stops(11))} AS e FROM shares)",
+        },
+    )
+)
+def q31_alter_params(spark, sf_dir):
+    found = tis.alter_params({r["base"]: r["cnt"] for r in tis.background(_windows(spark, sf_dir)).collect()})
+    return spark.createDataFrame([(found.max_alter, round(found.false_up, 6), round(found.false_down, 6))], "max_alter long, false_up double, false_down double")
+
+
+TOY = tis.AlterParams(7, 0.8, 5.2)
+SCORE_SQL = _profile_sql(1) | {
+    "wide": "SELECT row, kmer, " + ", ".join(f"max(v) FILTER (profile = '{p}') AS {p.lower()}" for p in tis.PROFILES) + " FROM (SELECT *, logp + CASE WHEN row = 0 THEN prior ELSE 0 END AS v FROM logs) GROUP BY row, kmer",
+    "cand": 'SELECT o.scaffold_id, o.strand, o.phase, o.t_start, o."end", o.host_len, s.seq AS host, unnest(o.starts[1:7]) AS st FROM orfs o JOIN strands s USING (scaffold_id, strand)',
+    "cwin": f'SELECT {KEY_SQL}, st, substr(host, st - 49, 65) AS win FROM cand WHERE st + 15 <= host_len AND st >= 50 AND "end" - st >= 90',
+    "summed": f"SELECT {KEY_SQL}, st, sum(t) AS t, sum(d) AS d, sum(u) AS u FROM (SELECT *, substr(win, (row + 1)::BIGINT, 2) AS kmer FROM (SELECT *, unnest(range(0, 64)) AS row FROM cwin)) JOIN wide USING (row, kmer) GROUP BY {KEY_SQL}, st",
+}
+
+
+@registered(query(f"SELECT {KEY_SQL}, st AS start, round(1 / (1 + exp(d - t) * {TOY.false_down} + exp(u - t) * {TOY.false_up}), 6) AS score FROM summed", "orfs", "strands", more=SCORE_SQL))
+def q32_tis_score(spark, sf_dir):
+    rows = hosted(spark, sf_dir)
+    logs = tis.profile_logs(tis.profile_counts(tis.windows(rows, START_NAMES, [*KEY]), 1), 1)
+    found = tis.candidates(rows, [*KEY], TOY.max_alter, orfs.MIN_LENGTH)
+    return tis.scores(found, tis.pivoted(logs, 1), [*KEY], 1, TOY).select(*KEY, "start", F.round("score", 6).alias("score"))
+
+
+LABEL_SQL = 'CASE WHEN s > 0.6 THEN 1 WHEN s < 0.05 AND s > 1e-6 THEN -1 END'
+TOY_SQL = "SELECT *, ((len * 7 + t_start) % 1000) / 1000.0 AS s FROM orfs"
+
+
+def _toy_labels(spark, sf_dir):
+    rows = linear(spark, sf_dir).withColumn("s", ((F.col("len") * 7 + F.col("t_start")) % 1000) / 1000.0)
+    return predict.train_labels(rows, "s")
+
+
+@registered(query("SELECT label::BIGINT AS label, count(*) AS n, min(len) AS low, max(len) AS high FROM (SELECT *, " + LABEL_SQL + " AS label FROM toy) WHERE label IS NOT NULL GROUP BY label", "orfs", more={"toy": TOY_SQL}))
+def q33_train_labels(spark, sf_dir):
+    return _toy_labels(spark, sf_dir).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("len").alias("low"), F.max("len").alias("high"))
+
+
+VECTOR_SQL = {"cells": "SELECT vec_id, i::BIGINT AS feature, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"}
+
+
+def _cells(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    return rows.select("vec_id", (F.col("i") + 1).alias("feature"), F.col("x").cast("double").alias("x"))
+
+
+@registered(query("SELECT vec_id, feature, round(CASE WHEN h - l < 1e-12 THEN 0 ELSE (x - l) / (h - l) END, 6) AS scaled FROM cells JOIN (SELECT feature, min(x) AS l, max(x) AS h FROM cells GROUP BY feature) USING (feature)", more=VECTOR_SQL))
+def q34_minmax_scale(spark, sf_dir):
+    return metrics.minmax_scaled(_cells(spark, sf_dir)).select("vec_id", "feature", F.round("scaled", 6).alias("scaled"))
+
+
+@registered(query("SELECT vec_id, feature, round((x - m) / CASE WHEN d < 1e-12 THEN 1 ELSE d END, 6) AS scaled FROM cells JOIN (SELECT feature, avg(x) AS m, stddev_pop(x) AS d FROM cells GROUP BY feature) USING (feature)", more=VECTOR_SQL))
+def q35_std_scale(spark, sf_dir):
+    return metrics.std_scaled(_cells(spark, sf_dir)).select("vec_id", "feature", F.round("scaled", 6).alias("scaled"))
+
+
+AUTO_STOPS = predict.AUTO_STOPS
+
+
+@registered(" UNION ALL ".join(f"SELECT * FROM ({query(f'SELECT {t}::BIGINT AS code, round(sum(CASE WHEN len >= 150 THEN len ELSE 0 END) / sum(len), 6) AS score FROM orfs', 'orfs', min_length=75, starts=('ATG',), stops=s)})" for t, s in AUTO_STOPS.items()))
+def q36_code_table_score(spark, sf_dir):
+    scored = predict.code_scores(load(spark, sf_dir), lambda found, _: found.withColumn("s", (F.col("len") >= 150).cast("double")))
+    return scored.select("code", F.round("score", 6).alias("score"))
+
+
+@registered()
+def q37_mlp_score(spark, sf_dir):
+    rows = predict.with_vectors(sequenced(spark, sf_dir))
+    return rows.withColumn("score", models.applied(predict.default_scorer().score, F.col("z"))).select(*KEY, F.round("score", 6).alias("score"))
+
+
+RBF = models.SVM(predict.toy_centres(4, 64), predict.toy_weights(4), 0.1, 0.5)
+
+
+def _rbf_sql() -> str:
+    cell = lambda row: "[" + ", ".join(repr(float(v)) for v in row) + "]"
+    terms = " + ".join(f"{float(w)!r} * exp(-{RBF.gamma} * list_sum(list_transform(list_zip(e, {cell(v)}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))" for w, v in zip(RBF.weights, RBF.vectors))
+    return f"SELECT vec_id, round(1 / (1 + exp(-({terms} - {RBF.offset}))), 6) AS score FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
+
+
+@registered(_rbf_sql())
+def q38_rbf_score(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return rows.select("vec_id", F.round(models.applied(RBF.probability, F.col("e")), 6).alias("score"))
+
+
+BLEND_SQL = {"toy": TOY_SQL, "counts": f"SELECT count(*) FILTER (l = 1) AS p, count(*) FILTER (l = -1) AS n FROM (SELECT {LABEL_SQL} AS l FROM toy)"}
+
+
+@registered(query(f"SELECT {KEY_SQL}, round(score, 6) AS score FROM (SELECT *, least(greatest(s * (SELECT CASE WHEN p > 0 AND n / p >= 10 THEN 1.25 - 0.108 * ln(n / p) ELSE 1.0 END FROM counts), len / (len + 300.0)), 1) AS score FROM toy) WHERE score > 0.499", "orfs", more=BLEND_SQL))
+def q39_score_blend(spark, sf_dir):
+    rows = _toy_labels(spark, sf_dir)
+    n = {r.label: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}
+    weight = models.class_weight(n.get(1, 0), n.get(-1, 0))
+    out = rows.withColumn("score", S.blend(F.col("s"), F.lit(weight), F.col("len") / (F.col("len") + 300.0)))
+    return out.where(F.col("score") > predict.THRESHOLD).select(*KEY, F.round("score", 6).alias("score"))
+
+
+@registered()
+def q40_kmeans_label(spark, sf_dir):
+    labelled = predict.kmeans_labels(predict.with_vectors(sequenced(spark, sf_dir).where("len >= 300")))
+    return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("len"), 3).alias("mean_len"), F.max("positive").alias("positive"))
+
+
+METRIC_SQL = """WITH p AS (SELECT quality = 1 AS truth, length(text) >= 1000 AS said FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT count(*) FILTER (truth AND said) AS tp, count(*) FILTER (NOT truth AND said) AS fp, count(*) FILTER (truth AND NOT said) AS fn, count(*) FILTER (truth = said) AS good, count(*) AS n FROM p)
+SELECT tp, fp, fn, round(good / n, 6) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM c"""
+
+
+@registered(METRIC_SQL)
+def q41_classifier_metrics(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("truth"))
+    said = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.length("text") >= 1000).alias("said"))
+    return metrics.classifier_metrics(labels.join(said, "doc_id"))
+
+
+@registered()
+def q42_meta_predict(spark, sf_dir):
+    found = predict.predict(load(spark, sf_dir), predict.Options(mode="meta"))
+    return found.select("name", "start", "stop", "strand", F.round("score", 6).alias("score"))
+
+
+@registered()
+def q43_single_predict(spark, sf_dir):
+    found = predict.predict(load(spark, sf_dir), predict.Options())
+    return found.select("name", "start", "stop", "strand", F.round("score", 6).alias("score"))
+
+
+CIRCULAR_SQL = {
+    "tails": "SELECT *, (phase + (3 - host_len % 3) % 3) % 3 AS onward FROM shaped WHERE stop IS NULL AND longest IS NOT NULL",
+    "heads": "SELECT scaffold_id, strand, phase AS onward, stop + 3 AS ahead FROM shaped WHERE grp = 0 AND stop IS NOT NULL",
+    "met": "SELECT t.*, h.ahead, CASE WHEN host_len - refined + ahead >= 90 THEN refined WHEN host_len - longest + ahead >= 90 THEN longest END AS chosen FROM tails t LEFT JOIN heads h USING (scaffold_id, strand, onward)",
+    "wrapped": "SELECT * FROM met WHERE ahead IS NOT NULL AND chosen IS NOT NULL",
+    "kept": 'SELECT o.* FROM orfs o WHERE NOT o.partial3 AND NOT (NOT o.partial5 AND EXISTS (SELECT 1 FROM wrapped w WHERE w.scaffold_id = o.scaffold_id AND w.strand = o.strand AND w.onward = o.phase AND w.ahead = o."end")) AND NOT (o.partial5 AND EXISTS (SELECT 1 FROM met m WHERE m.scaffold_id = o.scaffold_id AND m.strand = o.strand AND m.onward = o.phase AND m.ahead = o."end"))',
+    "every": """SELECT scaffold_id, strand, phase, t_start, "end", len, partial3, partial5 FROM kept
+ UNION ALL SELECT scaffold_id, strand, phase, chosen, ahead, host_len - chosen + ahead, false, false FROM wrapped
+ UNION ALL SELECT scaffold_id, strand, phase, ts, host_len, (host_len - ts) - (host_len - ts) % 3, true, false FROM (SELECT *, CASE WHEN host_len - refined >= 90 THEN refined ELSE longest END AS ts FROM met WHERE ahead IS NULL)""",
+}
+
+
+@registered(query(f"SELECT {KEY_SQL}, len, partial3, partial5 FROM every", "orfs", "shaped", more=CIRCULAR_SQL))
+def q44_circular_orfs(spark, sf_dir):
+    return linear(spark, sf_dir, circular=True).select(*KEY, "len", "partial3", "partial5")
 
-QUERIES = {}
-ORACLE_SQL = {}
