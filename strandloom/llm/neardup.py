@@ -253,7 +253,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sizes = sizes.select("component", F.greatest(by_docs, F.ceil(F.col("w") / BLOCK_WORDS)).cast("long").alias("blocks"))
     candidates = grouped.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), "blocks")
     texts = slim.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(seen) else slim
-    links = _verified(candidates.join(texts, "doc_id"))
+    # By shuffle at every size: how many texts are candidates grows with the corpus, and so would a broadcast.
+    links = _verified(candidates.join(texts.hint("merge"), "doc_id"))
     classes = connected(links).select(F.col("id").alias("rep"), "component")
 
     reps = copies.select("digest", "rep").join(classes, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
