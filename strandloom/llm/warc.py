@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 from strandloom.llm.shared import cut, new_path
 
 MAGIC = b"\x1f\x8b\x08"
+VERSION = b"WARC/1."
 RANGE_BYTES = 16 << 20
+BLOCK_BYTES, FEED_BYTES = 1 << 20, 8 << 10
 FILE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:page:"
@@ -111,42 +113,58 @@ def list_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
-def members(data: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of the WARC members that start in [start, end)."""
-    data.seek(start)
-    held, at = data.read(end - start), start  # held begins at offset at
-    while True:
-        skip = held.find(MAGIC)
-        if skip < 0:
-            if at + len(held) >= end + len(MAGIC) - 1:
-                return
-            more = data.read(len(MAGIC) - 1)  # the magic may lie across the end
-            if not more:
-                return
-            held, at = held[-2:] + more, at + max(0, len(held) - 2)
-            continue
-        held, at = held[skip:], at + skip
-        if at >= end:
-            return
-        unpack, parts = zlib.decompressobj(31), []
+class _Window:
+    """A file's bytes from an offset on, of which only those between the reader's place and the last block read are held."""
+
+    def __init__(self, data: pa.NativeFile, start: int):
+        self.data, self.held, self.base, self.at = data, b"", start, start
+        data.seek(start)
+
+    def more(self) -> bool:
+        """Reads a block behind those held, and forgets what lies before the place."""
+        block = self.data.read(BLOCK_BYTES)
+        self.held, self.base = self.held[self.at - self.base :] + block, self.at
+        return bool(block)
+
+    def find_magic(self, end: int) -> bool:
+        """Moves to the next magic that starts before ``end``."""
+        while True:
+            found = self.held.find(MAGIC, self.at - self.base)
+            if found >= 0:
+                self.at = self.base + found
+                return self.at < end
+            self.at = max(self.at, self.base + len(self.held) - len(MAGIC) + 1)
+            if self.at >= end or not self.more():
+                return False
+
+    def member(self) -> tuple[bytes, int] | None:
+        """Content of the gzip member here and the offset after it; None if it is no whole WARC record.  The place stays."""
+        unpack, parts, head, fed = zlib.decompressobj(31), [], b"", self.at
         try:
-            parts.append(unpack.decompress(held, 64))
-            good = parts[0].startswith(b"WARC/1.") or len(parts[0]) < 7
-            if good:
-                parts.append(unpack.decompress(unpack.unconsumed_tail))
-                while not unpack.eof and (more := data.read(1 << 20)):
-                    parts.append(unpack.decompress(more))
+            while not unpack.eof:
+                if fed == self.base + len(self.held) and not self.more():
+                    return None
+                piece = self.held[fed - self.base : fed - self.base + FEED_BYTES]
+                parts.append(unpack.decompress(piece))
+                fed += len(piece)
+                head = head or parts[-1]
+                if not (head.startswith(VERSION) or VERSION.startswith(head)):
+                    return None
         except zlib.error:
-            good = False
-        if good and unpack.eof and (content := b"".join(parts)).startswith(b"WARC/1."):
-            yield at, content
-            at, held = data.tell() - len(unpack.unused_data), unpack.unused_data
-            if at >= end:
-                return
+            return None
+        return (content, fed - len(unpack.unused_data)) if (content := b"".join(parts)).startswith(VERSION) else None
+
+
+def members(data: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of the WARC members that start in [start, end)."""
+    window = _Window(data, start)
+    while window.find_magic(end):
+        at = window.at
+        if found := window.member():
+            yield at, found[0]
+            window.at = found[1]
         else:
-            here = at + 1
-            data.seek(here)
-            held, at = data.read(max(len(MAGIC), end - here)), here
+            window.at = at + 1
 
 
 _HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r?$", re.M)
@@ -175,7 +193,8 @@ def read_archives(files: DataFrame, *, with_payload: bool = False, range_bytes:
     """The records (``RECORDS``) of archives, given as path and length; with_payload adds ``payload`` (binary, null for revisits)."""
     ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "length").alias("end"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    n = files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(int(n))  # a task a range; the rows are few and small, so no size would ask for more tasks
     names = [x.split()[0] for x in RECORDS.split(", ")] + ["payload"] * with_payload
     kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
     full = RECORDS + ", payload binary" * with_payload
