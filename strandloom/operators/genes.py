@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.operators import overlap as O
 
 PROGRAM = "strandloom"
 ORDER = ("name", "stop", "start", "strand")
@@ -30,7 +31,7 @@ def with_ordinals(genes: DataFrame) -> DataFrame:
 
 
 def _score() -> Column:
-    return F.format_string("%.3f", F.col("score"))
+    return F.format_string("%.3f", F.col("score").cast("double"))
 
 
 def _orf_id() -> Column:
@@ -97,11 +98,24 @@ def with_heads(genes: DataFrame, head: Column, line: Column) -> DataFrame:
     return genes.select("ordinal", F.when(first, F.concat(head, F.lit("\n"), line)).otherwise(line).alias("line"))
 
 
+def overprint_pairs(genes: DataFrame, min_overlap: int = O.MIN_OVERLAP, min_ratio: float = O.MIN_RATIO) -> DataFrame:
+    """``overlaps`` of genes with name, score and forward coordinates (left, right) of both."""
+    named = genes.withColumn("left", F.col("start")).withColumn("right", F.col("stop"))
+    return O.overlaps(named, min_overlap, min_ratio, carry=("name", "score", "left", "right"))
+
+
+def genes_of_pairs(pairs: DataFrame, genes: DataFrame) -> DataFrame:
+    """The genes of the pairs, each as often as it stands in pairs."""
+    key = lambda s: F.struct(F.col(f"{s}_start").alias("t_start"), F.col(f"{s}_end").alias("end"))
+    keys = pairs.select("scaffold_id", "strand", F.explode(F.array(key("a"), key("b"))).alias("k")).select("scaffold_id", "strand", "k.*")
+    return genes.join(keys, ["scaffold_id", "strand", "t_start", "end"])
+
+
 def overprint_lines(pairs: DataFrame) -> DataFrame:
-    """ordinal, line: an index line and two GFF3 rows for each pair of ``overlaps`` with carried name, start, stop and score."""
+    """ordinal, line: an index line and two GFF3 rows for each pair of ``overprint_pairs``."""
     keys = ("a_name", "strand", "a_start", "a_end", "b_start", "b_end")
     counts = pairs.groupBy("a_name").agg(F.count(F.lit(1)).alias("n"))
     ahead = counts.select("a_name", F.coalesce(F.sum("n").over(Window.orderBy("a_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
     placed = pairs.join(ahead, "a_name").withColumn("ordinal", F.col("__ahead") + F.row_number().over(Window.partitionBy("a_name").orderBy(*keys)))
-    row = lambda s: F.concat_ws("\t", f"{s}_name", F.lit(PROGRAM), F.lit("CDS"), F.col(f"{s}_left").cast("string"), F.col(f"{s}_right").cast("string"), F.format_string("%.3f", F.col(f"{s}_score")), "strand", F.lit("0"), F.lit("."))
+    row = lambda s: F.concat_ws("\t", f"{s}_name", F.lit(PROGRAM), F.lit("CDS"), F.col(f"{s}_left").cast("string"), F.col(f"{s}_right").cast("string"), F.format_string("%.3f", F.col(f"{s}_score").cast("double")), "strand", F.lit("0"), F.lit("."))
     return placed.select("ordinal", F.concat(F.lit("# index="), F.format_string("%04d", F.col("ordinal")), F.lit(";type="), "type", F.lit("\n"), row("a"), F.lit("\n"), row("b")).alias("line"))
