@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, embedding, langid, licenses, mixing, neardup, secrets, sharding, tokencount, warc
+from strandloom.llm import decontamination, embedding, langid, licenses, mixing, neardup, oracle, secrets, sharding, tokencount, warc
 from strandloom.llm.shared import cut, table
 
 
@@ -84,4 +84,10 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_duplicates": oracle.embedding_sql(),
+    "op3_mix": oracle.mix_sql(),
+    "op7_warc": oracle.warc_sql(),
+    "op9_licenses": oracle.licenses_sql(),
+    "op10_secrets": oracle.secrets_sql(),
+}

@@ -37,9 +37,11 @@ KINDS = (*(b[0] for b in BASE), "random")
 RUN = r"[A-Za-z0-9+/_-]{16,}"
 MIN_RUN = 16
 #: A run is random from this sum and this mean of its pairs on, in thousandths of a natural logarithm.
-MIN_SUM, MIN_MEAN = 9_000, 450
+MIN_SUM, MIN_MEAN = 10_000, 600
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 N_RANDOM = 2_000
+#: Weight, in pairs, of a character's share of all pairs against its share after the one before.
+BACK_OFF = 4.0
 #: Labelled as ordinary: identifiers and long words of several languages.
 ORDINARY = """
 getUserAccountById setDefaultConfiguration maxConnectionPoolSize number_of_retries_before_failure isAuthenticationRequired updateCustomerAddress
@@ -85,8 +87,10 @@ def fit(labelled: DataFrame) -> list[int]:
     pairs = chars.select("is_random", F.explode(F.arrays_zip(F.expr("slice(c, 1, size(c) - 1)").alias("a"), F.expr("slice(c, 2, size(c) - 1)").alias("b"))).alias("p"))
     pairs = pairs.select("is_random", F.expr(f"locate(p.a, '{ALPHABET}')").alias("a"), F.expr(f"locate(p.b, '{ALPHABET}')").alias("b"))
     counts = {(r.is_random, r.a - 1, r.b - 1): r.n for r in pairs.where("a > 0 and b > 0").groupBy("is_random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = {k: sum(v for (x, _, _), v in counts.items() if x == k) for k in (True, False)}
+    after = {(k, b): (sum(counts.get((k, a, b), 0) for a in range(n)) + 0.5) / (total[k] + 0.5 * n) for k in (True, False) for b in range(n)}
     rows = {(k, a): sum(counts.get((k, a, b), 0) for b in range(n)) for k in (True, False) for a in range(n)}
-    prob = lambda k, a, b: (counts.get((k, a, b), 0) + 0.5) / (rows[k, a] + 0.5 * n)
+    prob = lambda k, a, b: (counts.get((k, a, b), 0) + BACK_OFF * after[k, b]) / (rows[k, a] + BACK_OFF)
     return [round(1000 * math.log(prob(True, a, b) / prob(False, a, b))) for a in range(n) for b in range(n)]
 
 
