@@ -26,7 +26,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(pair)
     for _ in range(MAX_ROUNDS):
         both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join below has two plain exchanges and a hub's rows can be split among tasks.
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(root, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
