@@ -89,7 +89,7 @@ def _compressors(model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstand
 
 def classify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[str, float]:
     """Language and margin of one text."""
-    body = plain(text) if text else b""
+    body = plain(text) if text and any(map(str.isalpha, text)) else b""
     if not body or not model:
         return UNDETERMINED, 0.0
     blocks = [body[i : i + BLOCK] for i in range(0, len(body), BLOCK)]
