@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import embedding, licenses, mixing, secrets
+from strandloom.llm import embedding, licenses, mixing, secrets, sharding
 
 
 def quoted(x: str) -> str:
@@ -86,3 +86,41 @@ def warc_sql() -> str:
     return f"""WITH pages_ AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 hashed AS (SELECT *, {bits} AS bits, min(page_id) OVER (PARTITION BY payload) AS first_id FROM pages_)
 SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {five} + 1, 1)), '') AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS digest_ok FROM hashed"""
+
+
+def shards_sql() -> str:
+    """Quantiles, the curve step by step (one subquery a bit and dimension), ranks; CRC by its table."""
+    bits, dims = sharding.BITS, ("lang", "source", "size")
+    parts = "[" + ", ".join(str(i / 2**bits) for i in range(1, 2**bits)) + "]"
+    number = {c: f"('0x' || rpad(substr(hex(encode({c})), 1, 14), 14, '0'))::BIGINT::DOUBLE" for c in ("lang", "source")} | {"size": "size::DOUBLE"}
+    step = "c"
+    for _ in range(8):
+        step = f"list_transform({step}, lambda v: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END)"
+    table = step.replace("(c, lambda", "(range(0, 256), lambda", 1)
+    # bytes of the text as numbers, folded over the table
+    octets = "list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)"
+    crc = f"xor(4294967295, list_reduce({octets}, lambda acc, v: xor(acc >> 8, tab[xor(acc & 255, v) + 1]), 4294967295::BIGINT))"
+    n = len(dims)
+    curve = "SELECT *, c0 AS x0, c1 AS x1, c2 AS x2 FROM cells"
+    for b in range(bits - 1, 0, -1):
+        q = 2**b
+        for i in range(n):
+            swap = f"CASE WHEN x{i} & {q} <> 0 THEN 0 ELSE xor(x0, x{i}) & {q - 1} END" if i else "0"
+            first = f"xor(xor(x0, CASE WHEN x{i} & {q} <> 0 THEN {q - 1} ELSE 0 END), {swap})"
+            curve = f"SELECT * REPLACE ({first} AS x0{f', xor(x{i}, {swap}) AS x{i}' if i else ''}) FROM ({curve})"
+    for i in range(1, n):
+        curve = f"SELECT * REPLACE (xor(x{i}, x{i - 1}) AS x{i}) FROM ({curve})"
+    curve = f"SELECT *, 0 AS tw FROM ({curve})"
+    for b in range(bits - 1, 0, -1):
+        curve = f"SELECT * REPLACE (CASE WHEN x{n - 1} & {2**b} <> 0 THEN xor(tw, {2**b - 1}) ELSE tw END AS tw) FROM ({curve})"
+    digits = " + ".join(f"((xor(x{i}, tw) >> {b}) & 1) * {2 ** (b * n + n - 1 - i)}" for b in range(bits) for i in range(n))
+    cut = lambda i, c: f"len(list_filter(q{i}, lambda q: coalesce({number[c]} > q, false)))"
+    return f"""WITH crc_table AS (SELECT {table} AS tab),
+meta AS (SELECT doc_id, lang, source, t, h, octet_length(encode(t)) + 1 AS size FROM (SELECT *, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+sums AS (SELECT *, CASE WHEN t = '' THEN 0 ELSE {crc} END AS text_crc32 FROM meta CROSS JOIN crc_table),
+cuts AS (SELECT {', '.join(f'list_distinct(quantile_disc({number[c]}, {parts})) AS q{i}' for i, c in enumerate(dims))} FROM meta),
+cells AS (SELECT doc_id, size, text_crc32, {", ".join(f"{cut(i, c)} AS c{i}" for i, c in enumerate(dims))} FROM sums CROSS JOIN cuts),
+placed AS (SELECT doc_id, size, text_crc32, {digits} AS hilbert, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS d FROM ({curve})),
+ranked AS (SELECT *, row_number() OVER (ORDER BY hilbert, d, doc_id, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM placed),
+dealt AS (SELECT *, (r * {sharding.N_SHARDS}) // n AS shard FROM ranked)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (r - (shard * n + {sharding.N_SHARDS - 1}) // {sharding.N_SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, hilbert::BIGINT AS hilbert FROM dealt"""

@@ -99,7 +99,8 @@ def hilbert_shards(docs: DataFrame, *, dimensions: Sequence[str] = DIMENSIONS, b
     low = max(0, total - _TOP_BITS)
     columns = [c for c in docs.columns if c not in ("hilbert", "shard", "slot")]
     keyed = quantised(docs, dimensions, bits, text).withColumn("hilbert", hilbert_index([f"__c{i}" for i in range(len(dimensions))], bits))
-    keyed = keyed.withColumn("__h", F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    keyed = keyed.withColumn("__h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))  # 60 bits
     keyed = keyed.withColumn("__a", F.expr(f"cast(shiftright(hilbert, {low}) as int)"))
     keyed = keyed.withColumn("__b", F.expr(f"cast(shiftleft(hilbert & {2**low - 1}, {_HASH_BITS}) | shiftrightunsigned(__h, {64 - _HASH_BITS}) as int)"))
     counts = keyed.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -108,7 +109,7 @@ def hilbert_shards(docs: DataFrame, *, dimensions: Sequence[str] = DIMENSIONS, b
     tops = tops.select("__a", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__top"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
     inner = Window.partitionBy("__a").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0))).join(tops, "__a").select("__a", "__b", (F.col("__top") + F.col("__in")).alias("__off"), "__all")
-    cell = Window.partitionBy("__a", "__b").orderBy("hilbert", F.shiftleft("__h", _HASH_BITS), doc_id, *ties, *([text_size(text), text_crc32(text)] if text else []))
+    cell = Window.partitionBy("__a", "__b").orderBy("hilbert", "__h", doc_id, *ties, *([text_size(text), text_crc32(text)] if text else []))
     ranked = keyed.join(offsets, ["__a", "__b"]).withColumn("__r", F.col("__off") + F.row_number().over(cell) - 1)
     ranked = ranked.withColumn("shard", F.expr(f"cast((__r * {n_shards}) div __all as int)"))
     ranked = ranked.withColumn("slot", F.expr(f"cast(__r - (cast(shard as bigint) * __all + {n_shards - 1}) div {n_shards} as bigint)"))
