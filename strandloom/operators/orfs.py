@@ -1,8 +1,9 @@
 """Open reading frames on both strands and three phases, linear or circular.
 
-Codons are split off by one regular expression a phase, and only start and stop codons, about one in ten, go on.  A
-running count of stops groups each frame's starts up to their stop; all rules are then aggregates of a group.  The
-window and the aggregate share one shuffle by (scaffold, strand, phase).
+One regular expression a phase finds the start and stop codons, about one codon in ten, and nothing else becomes a row.
+Running sums give their positions and count the stops before, which groups each frame's starts up to their stop; all
+rules are then aggregates of a group.  The windows and the aggregate share one shuffle by (scaffold, strand, phase), and
+the windows one sort.
 
 Long scaffolds are cut into tiles first, at a multiple of three, with the two bases that a codon may need of the next
 tile, so that no task walks a whole chromosome; groups are joined across tiles by position.
@@ -39,22 +40,32 @@ def tiles(stranded: DataFrame, tile: int = TILE) -> DataFrame:
     return short.unionByName(long)
 
 
-def codon_events(stranded: DataFrame, table: int = 11, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, tile: int = TILE) -> DataFrame:
-    """scaffold_id, strand, phase, pos, codon, is_start, is_stop, start_type, host_len of start and stop codons."""
+def _events(stranded: DataFrame, table: int = 11, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, tile: int = TILE) -> DataFrame:
+    """``codon_events`` with tile and ``i``, which order a frame's events like pos.
+
+    A match is a run of other codons up to and with the next start or stop codon (possessive, so it never backtracks), so
+    that rows are made of these alone; the running sum of the runs' lengths is the position.
+    """
     starts, stops = starts or codes.starts(table), stops or codes.stops(table)
+    pattern = rf"\G(?:(?!{'|'.join((*starts, *stops))})...)*+..."
     phased = tiles(stranded, tile).select("scaffold_id", "strand", "host_len", "tile", "piece", F.explode(F.array(*map(F.lit, range(3)))).alias("phase"))
-    found = phased.select("scaffold_id", "strand", "host_len", "tile", "phase", F.posexplode(S.codons(F.col("piece"), F.col("phase"))).alias("i", "codon"))
-    found = found.where(F.col("codon").isin(*starts, *stops))
+    runs = F.regexp_extract_all(F.substring(F.col("piece"), F.col("phase") + 1, F.length("piece")), F.lit(pattern), 0)
+    found = phased.select("scaffold_id", "strand", "host_len", "tile", "phase", F.posexplode(runs).alias("i", "run"))
+    found = found.select("scaffold_id", "strand", "host_len", "tile", "phase", "i", F.length("run").alias("n"), F.right("run", F.lit(3)).alias("codon"))
+    upto = Window.partitionBy(*KEYS, "tile").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = found.repartition(*KEYS).withColumn("pos", (F.col("tile") * tile + F.col("phase") + F.sum("n").over(upto) - 3).cast("int"))
     is_start = F.col("codon").isin(*starts)
-    return found.select(
-        "scaffold_id", "strand", "phase", (F.col("tile") * tile + F.col("i") * 3 + F.col("phase")).cast("int").alias("pos"), "codon",
-        is_start.alias("is_start"), (~is_start).alias("is_stop"), S.match_codon(F.col("codon"), starts).alias("start_type"), "host_len",
-    )
+    return placed.select(*KEYS, "pos", "codon", is_start.alias("is_start"), (~is_start).alias("is_stop"), S.match_codon(F.col("codon"), starts).alias("start_type"), "host_len", "tile", "i")
+
+
+def codon_events(stranded: DataFrame, table: int = 11, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, tile: int = TILE) -> DataFrame:
+    """scaffold_id, strand, phase, pos, codon, is_start, is_stop, start_type, host_len of start and stop codons."""
+    return _events(stranded, table, starts, stops, tile).drop("tile", "i")
 
 
 def frame_groups(events: DataFrame, with_starts: bool = False) -> DataFrame:
     """One row for each run of events up to a stop: longest and first ATG start, stop, length, and the refined start."""
-    before = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*KEYS).orderBy(*(("tile", "i") if "i" in events.columns else ("pos",))).rowsBetween(Window.unboundedPreceding, -1)
     run = events.withColumn("grp", F.coalesce(F.sum(F.col("is_stop").cast("int")).over(before), F.lit(0)))
     pos = F.col("pos")
     extra = []
@@ -115,7 +126,7 @@ def find_orfs(scaffolds: DataFrame, table: int = 11, min_length: int = MIN_LENGT
 
     Positions are 0-based on the strand itself; ``end`` is exclusive, holds the stop codon, and is below ``t_start`` around a circular origin.
     """
-    groups = frame_groups(codon_events(strands(scaffolds), table, starts, stops), with_starts)
+    groups = frame_groups(_events(strands(scaffolds), table, starts, stops), with_starts)
     return circular_orfs(groups, min_length) if circular else linear_orfs(groups, min_length)
 
 
