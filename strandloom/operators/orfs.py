@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import codes
 from strandloom.functions import sequence as S
+from strandloom.session import cut
 
 MIN_LENGTH = 90
 PATIENCE = 75
@@ -127,7 +128,8 @@ def find_orfs(scaffolds: DataFrame, table: int = 11, min_length: int = MIN_LENGT
     Positions are 0-based on the strand itself; ``end`` is exclusive, holds the stop codon, and is below ``t_start`` around a circular origin.
     """
     groups = frame_groups(_events(strands(scaffolds), table, starts, stops), with_starts)
-    return circular_orfs(groups, min_length) if circular else linear_orfs(groups, min_length)
+    # The circular rules read the groups several times; they are written once, as the sequences behind them are far larger.
+    return circular_orfs(cut(groups, "groups"), min_length) if circular else linear_orfs(groups, min_length)
 
 
 def attach(rows: DataFrame, scaffolds: DataFrame, spans: Column, name: str, tile: int = TILE) -> DataFrame:
@@ -140,13 +142,13 @@ def attach(rows: DataFrame, scaffolds: DataFrame, spans: Column, name: str, tile
     pieces = F.transform("__spans", lambda s: F.substring(F.col("__seq"), s["a"] + 1, s["b"] - s["a"]))
     side = stranded.where(F.col("host_len") <= tile).select("scaffold_id", "strand", F.col("seq").alias("__seq"))
     short = spanned.where(F.col("host_len") <= tile).join(side, ["scaffold_id", "strand"]).withColumn(name, F.array_join(pieces, ""))
-    cut = spanned.where(F.col("host_len") > tile).select(*rows.columns, F.posexplode("__spans").alias("__part", "__s"))
-    cut = cut.where(F.col("__s")["b"] > F.col("__s")["a"]).select("*", F.explode(F.sequence((F.col("__s")["a"] / tile).cast("int"), ((F.col("__s")["b"] - 1) / tile).cast("int"))).alias("tile"))
+    parts = spanned.where(F.col("host_len") > tile).select(*rows.columns, F.posexplode("__spans").alias("__part", "__s"))
+    parts = parts.where(F.col("__s")["b"] > F.col("__s")["a"]).select("*", F.explode(F.sequence((F.col("__s")["a"] / tile).cast("int"), ((F.col("__s")["b"] - 1) / tile).cast("int"))).alias("tile"))
     first = F.greatest(F.col("__s")["a"] - F.col("tile") * tile, F.lit(0))
     last = F.least(F.col("__s")["b"] - F.col("tile") * tile, F.lit(tile))
     tiled = tiles(stranded.where(F.col("host_len") > tile), tile).select("scaffold_id", "strand", "tile", "piece")
-    cut = cut.join(tiled, ["scaffold_id", "strand", "tile"]).withColumn("__x", F.struct("__part", "tile", S.slice_bytes(F.col("piece"), first, last - first).alias("s")))
-    long = cut.groupBy(*rows.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list("__x")), lambda x: x["s"]), "").alias(name))
+    parts = parts.join(tiled, ["scaffold_id", "strand", "tile"]).withColumn("__x", F.struct("__part", "tile", S.slice_bytes(F.col("piece"), first, last - first).alias("s")))
+    long = parts.groupBy(*rows.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list("__x")), lambda x: x["s"]), "").alias(name))
     return short.select(*rows.columns, name).unionByName(long.select(*rows.columns, name))
 
 

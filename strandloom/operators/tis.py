@@ -41,16 +41,15 @@ def _bases(begin: Column, n: int) -> Column:
 
 def windows(orfs: DataFrame, starts: tuple[str, ...], keys: list[str]) -> DataFrame:
     """keys, profile, start, window: the 65 bases around sampled starts of long frames; ``orfs`` has ctx and ctx_off (see ``with_context``), starts, t_start, len, host_len."""
-    long = orfs.where(F.col("len") > SAMPLE_LENGTH)
-    fits = (F.col("start") + DOWN <= F.col("host_len")) & (F.col("start") >= UP)
-    window = _bases(F.col("start") - UP, UP + DOWN).alias("window")
-    own = long.select(*keys, "host_len", "ctx", "ctx_off", "t_start", F.explode("starts").alias("start")).where(fits & (F.col("start") >= F.col("t_start")))
-    own = own.select(*keys, F.when(F.col("start") == F.col("t_start"), "T").otherwise("D").alias("profile"), "start", window)
     low, high = F.greatest(F.lit(UP), F.col("t_start") - FALSE_REACH), F.least(F.col("t_start") - 3, F.col("host_len") - DOWN)
-    up = long.where(low < high).select(*keys, "host_len", "ctx", "ctx_off", F.explode(F.sequence(low, high - 1)).alias("start"))
-    false = tuple(dict.fromkeys([*starts, "CTG"]))
-    up = up.where(_bases(F.col("start"), 3).isin(*false)).select(*keys, F.lit("U").alias("profile"), "start", window)
-    return own.unionByName(up)
+    own = F.transform("starts", lambda s: F.struct(s.alias("start"), F.lit(False).alias("up")))
+    up = F.transform(F.sequence(low, high - 1), lambda s: F.struct(s.cast("int").alias("start"), F.lit(True).alias("up")))
+    both = F.concat(own, F.when(low < high, up).otherwise(F.slice(own, 1, 0)))
+    rows = orfs.where(F.col("len") > SAMPLE_LENGTH).select(*keys, "host_len", "ctx", "ctx_off", "t_start", F.explode(both).alias("c"))
+    rows = rows.select(*keys, "host_len", "ctx", "ctx_off", "t_start", "c.start", "c.up").where((F.col("start") + DOWN <= F.col("host_len")) & (F.col("start") >= UP))
+    false = _bases(F.col("start"), 3).isin(*dict.fromkeys([*starts, "CTG"]))
+    profile = F.when(F.col("up"), F.when(false, "U")).when(F.col("start") == F.col("t_start"), "T").when(F.col("start") > F.col("t_start"), "D")
+    return rows.select(*keys, profile.alias("profile"), "start", _bases(F.col("start") - UP, UP + DOWN).alias("window")).where("profile is not null")
 
 
 def kmers(found: DataFrame, order: int) -> DataFrame:
@@ -86,6 +85,11 @@ def background(found: DataFrame) -> DataFrame:
     return rows.where(F.col("base").isin(*"ACGT")).groupBy("base").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def background_of(counts: DataFrame) -> DataFrame:
+    """base, cnt from a profile's counts: the first bases of the upstream-false k-mers."""
+    return counts.where("profile = 'U'").groupBy(F.substring("kmer", 1, 1).alias("base")).agg(F.sum(F.col("cnt") - 1).alias("cnt"))
+
+
 def alter_params(bases: dict[str, int], table: int = 11) -> AlterParams:
     """From background counts: candidates as trials that end at a stop, geometric, until 99 % are covered."""
     total = sum(bases.values())
@@ -150,9 +154,8 @@ def train(seeds: DataFrame, keys: list[str], starts: tuple[str, ...], table: int
     logs, params = None, AlterParams(DEFAULT_ALTER, DEFAULT_FU, DEFAULT_FD)
     for order in range(3):
         for _ in range(max_iter):
-            found = windows(seeds, starts, keys)
-            logs = cut(profile_logs(profile_counts(found, order), order))
-            params = alter_params({r["base"]: r["cnt"] for r in background(found).collect()}, table)
+            logs = cut(profile_logs(profile_counts(windows(seeds, starts, keys), order), order))
+            params = alter_params({r["base"]: r["cnt"] for r in background_of(logs).collect()}, table)
             revised = cut(revise(seeds.withColumn("__old", F.col("t_start")), keys, logs, order, params, min_length))
             stay = revised.agg(F.avg((F.col("__old") == F.col("t_start")).cast("double"))).first()[0]
             seeds = revised.drop("__old")

@@ -15,6 +15,7 @@ from strandloom.functions import sequence as S
 from strandloom.operators import gcbins, genes, metrics, models, orfs, overlap, tis
 from strandloom.plans import predict
 from strandloom.plans.oracle import query
+from strandloom.session import cut
 from strandloom.sources.documents import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,7 +192,8 @@ def _gc_sql() -> str:
 
 @registered(_gc_sql())
 def q17_gc_bins(spark, sf_dir):
-    rows = sequenced(spark, sf_dir).withColumn("gc", S.gc_fraction(F.col("seq")))
+    rows = sequenced(spark, sf_dir).select("scaffold_id", "strand", "end", "t_start", S.gc_fraction(F.col("seq")).alias("gc"))
+    rows = cut(rows, "gc")  # read three times, while the sequences behind it are far larger
     return gcbins.assign_bins(rows, "gc", ("scaffold_id", "strand", "end", "t_start")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import spread
+
 # The letters and the bases that they stand for.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 AS_BASES = "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC"
@@ -18,4 +20,4 @@ def scaffolds_of(texts: DataFrame, key: str = "doc_id", text: str = "text", pref
 
 
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaffolds_of(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return scaffolds_of(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
