@@ -34,11 +34,10 @@ def strands(scaffolds: DataFrame, compat: bool = False) -> DataFrame:
 
 def tiles(stranded: DataFrame, tile: int = TILE) -> DataFrame:
     """scaffold_id, strand, host_len, tile, piece: pieces of ``tile`` bases, each with the two that follow."""
-    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{tile}}}"), 0)
+    parts = F.when(F.col("host_len") <= tile, F.array("seq")).otherwise(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{tile}}}"), 0))
     padded = F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.substring(F.get("parts", i + 1), 1, 2), F.lit(""))))
-    short = stranded.where(F.col("host_len") <= tile).select("scaffold_id", "strand", "host_len", F.lit(0).alias("tile"), F.col("seq").alias("piece"))
-    long = stranded.where(F.col("host_len") > tile).select("scaffold_id", "strand", "host_len", parts.alias("parts")).select("scaffold_id", "strand", "host_len", F.posexplode(padded).alias("tile", "piece"))
-    return short.unionByName(long)
+    rows = stranded.select("scaffold_id", "strand", "host_len", parts.alias("parts"))
+    return rows.select("scaffold_id", "strand", "host_len", F.posexplode(padded).alias("tile", "piece"))
 
 
 def _events(stranded: DataFrame, table: int = 11, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, tile: int = TILE) -> DataFrame:
