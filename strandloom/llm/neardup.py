@@ -45,6 +45,8 @@ SHINGLE, MIN_SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 12, 2
 BLOCK_DOCS, MAX_DOC_BLOCKS, BLOCK_WORDS = 64, 32, 300_000
 BATCH_WORDS = 1 << 18
+#: Words whose digests a worker keeps at hand, about 30 MB.
+WORD_CODES = 200_000
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -54,7 +56,7 @@ _SEEDS = np.random.default_rng(7).integers(0, 2**63, (SKETCHES, 2), dtype=np.uin
 
 class _WordCodes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > WORD_CODES:
             self.clear()
         self[word] = code = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return code

@@ -14,6 +14,9 @@ from strandloom.session import cut, new_path, shared_dir
 
 __all__ = ["Sets", "by_key", "cut", "map_texts", "new_path", "shared_dir", "table", "words_of"]
 
+#: Texts that are Python objects at a time; Spark bounds the batch around them by bytes.
+SLICE_ROWS = 1_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,13 +33,18 @@ def map_texts(docs: DataFrame, text: str, keep: Sequence[str], find: Callable[[l
     In Arrow batches, so that null and large integers stay as they are.
     """
     columns = list(dict.fromkeys(keep))
-    slim = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = T.StructType([*slim.schema.fields[:-1], *T._parse_datatype_string(added).fields])
+    slim = docs.select(*[F.col(f"`{c}`") for c in columns])
+    fields = slim.schema.fields
+    if text in columns and slim.schema[text].dataType == T.StringType():
+        at = columns.index(text)  # no second copy for the worker
+    else:
+        at, slim = len(columns), docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text"))
+    schema = T.StructType([*fields, *T._parse_datatype_string(added).fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = find(batch.column(len(columns)).to_pylist())
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
+            made = find(batch.column(at).to_pylist())
             new = [pa.array(x, arrow.field(len(columns) + i).type) for i, x in enumerate(made)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], names=arrow.names)
 
