@@ -88,7 +88,12 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` as often as ``mixed`` says; documents that are not taken go.  ``doc_id`` must be unique in ``docs``; a null one goes."""
-    times = mixed.select(F.col("doc_id").alias("__id"), (F.col("whole") + F.col("extra")).cast("int").alias("__times")).where("__times > 0")
-    out = docs.join(times, F.col(doc_id) == F.col("__id"))
-    return out.withColumn("__no", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` as often as ``mixed`` says; documents that are not taken go.
+
+    Rows of equal ids are all repeated as often as the one that is taken most; rows without an id stay once.
+    """
+    times = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("whole") + F.col("extra")).cast("int").alias("__times"))
+    out = docs.join(times, F.col(f"`{doc_id}`") == F.col("__id"), "left")
+    often = F.when(F.col(f"`{doc_id}`").isNull(), 1).otherwise(F.coalesce("__times", F.lit(0)))
+    out = out.withColumn("__times", often).where("__times > 0").withColumn("__no", F.explode(F.sequence(F.lit(1), "__times")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -61,6 +61,12 @@ def test_repeated_rows(docs_of):
     check(rows, ["a b c"] * 40, ["a"] * 20 + ["b"] * 20)
 
 
+def test_rows_without_or_with_equal_ids(docs_of):
+    docs = docs_of(["a b", "c d", "e f", "g"], ids=[None, None, 5, 5], sources=["x"] * 4)
+    out = [r.doc_id for r in mixing.repeated(docs, mixing.mix(docs)).collect()]
+    assert out.count(None) == 2 and out.count(5) in (2, 4)
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
