@@ -18,7 +18,9 @@ changes no class.
 Scale.  Copies (equal word sequences) are merged first, by a digest.  Candidate groups come from a hub for each sketch
 value (a combined minimum) and ``components``; no pairs are listed.  A group above ``BLOCK_DOCS`` texts or ``BLOCK_WORDS``
 words is dealt to blocks, and each pair of blocks is a task; a task returns a spanning forest of its links, not the
-links.  So no task gets a whole group, at the price that a text of a group of n blocks is sent n times.
+links.  So no task gets a whole group, at the price that a text of a group of n blocks is sent n times.  Above
+``MAX_DOC_BLOCKS`` blocks only words make more of them, so a block of short texts may hold many; a task therefore counts
+pairs by tiles of ``TILE`` texts, each pair of tiles in the same memory, and passes over tiles that already are one class.
 
 Cases.  Null text or white space: no words, its own class.  Text of signs only: copies are classes, nothing else links.
 Null doc_id: its own class (class_id null, kept).  Repeated rows: one class; all rows of its smallest id are marked
@@ -44,6 +46,8 @@ from strandloom.llm.shared import Sets, by_key, cut, map_texts
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 12, 2
 BLOCK_DOCS, MAX_DOC_BLOCKS, BLOCK_WORDS = 64, 32, 300_000
+#: Texts a side and shingles of a matrix product in ``forest``; pairs between two looks at which classes have met.
+TILE, TILE_COLUMNS, PAIRS = 1_024, 4_096, 4_096
 BATCH_WORDS = 1 << 18
 #: Words whose digests a worker keeps at hand, about 30 MB.
 WORD_CODES = 200_000
@@ -182,40 +186,82 @@ def similarity(x: _Text, y: _Text, least: float = MIN_SIMILARITY) -> float:
     return chain / (n + m - chain)
 
 
-def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest of the links between texts; with two sides, of those across."""
+def _shared(p: tuple[np.ndarray, ...], q: tuple[np.ndarray, ...], shape: tuple[int, int]) -> np.ndarray:
+    """How many labelled shingles each text of one tile shares with each of another; a tile: rows and columns of its shingles, sorted by column, and the distinct columns."""
+    columns = p[2] if p is q else np.intersect1d(p[2], q[2], assume_unique=True)
+    out = np.zeros(shape, np.float32)
+    for first in range(0, len(columns), TILE_COLUMNS):
+        some = columns[first : first + TILE_COLUMNS]
+        sides = []
+        for (rows, held, _), n in zip((p,) if p is q else (p, q), shape):
+            lo, hi = np.searchsorted(held, (some[0], some[-1] + 1))
+            at = np.searchsorted(some, held[lo:hi])
+            has = some[at] == held[lo:hi]
+            part = np.zeros((n, len(some)), np.float32)
+            part[rows[lo:hi][has], at[has]] = 1
+            sides.append(part)
+        out += sides[0] @ sides[-1].T
+    return out
+
+
+def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARITY, tile: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between texts; with two sides, of those across.
+
+    Pairs are counted by tiles of ``tile`` x ``tile`` texts, so that memory grows with the texts and not with their square.
+    """
+    tile = tile or TILE
     shingles, n = labelled(texts)
     ends = np.cumsum(n)
     owner = np.repeat(np.arange(len(n)), n)
     _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
     shared = times[column] > 1
     owner, column = owner[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common, width = np.zeros((len(n), len(n)), np.float32), 4_096
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, (first, first + width))
-        part = np.zeros((len(n), width), np.float32)
-        part[owner[lo:hi], column[lo:hi] - first] = 1
-        common += part @ part.T
-    bound = common / (n[:, None] + n[None, :] - common)
+    firsts = np.searchsorted(owner, np.arange(len(n) + 1))
+
+    def tiles(members: np.ndarray) -> list[tuple]:
+        made = []
+        for part in (members[i : i + tile] for i in range(0, len(members), tile)):
+            sizes = firsts[part + 1] - firsts[part]
+            at = np.arange(sizes.sum()) + np.repeat(firsts[part] - np.cumsum(sizes) + sizes, sizes)
+            order = np.argsort(column[at], kind="stable")
+            held = column[at][order]
+            made.append((part, (np.repeat(np.arange(len(part)), sizes)[order], held, np.unique(held))))
+        return made
+
     sides = np.array(side)
-    wanted = np.triu(bound >= least - 1e-6, 1)
-    if len(set(side)) > 1:
-        wanted &= sides[:, None] != sides[None, :]
-    x, y = np.nonzero(wanted)
-    best = np.argsort(-bound[x, y], kind="stable")
+    groups = [tiles(np.flatnonzero(sides == s)) for s in sorted(set(side))]
+    if len(groups) > 1:
+        pairs = [(p, q) for p in groups[0] for q in groups[1]]
+    else:
+        pairs = [(p, q) for i, q in enumerate(groups[0]) for p in groups[0][: i + 1]]
     sets, made, out = Sets(len(n)), {}, []
-    for a, b in zip(x[best].tolist(), y[best].tolist()):
-        if sets.find(a) == sets.find(b):
+
+    def roots(members: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(sets.find, members.tolist()), np.int64, len(members))
+
+    for (p, left), (q, right) in pairs:
+        p_root, q_root = roots(p), roots(q)
+        if (p_root == p_root[0]).all() and (q_root == p_root[0]).all():
             continue
-        for k in (a, b):
-            if k not in made:
-                made[k] = _Text(shingles[ends[k] - n[k] : ends[k]])
-        if similarity(made[a], made[b], least) >= least:
-            sets.join(a, b)
-            out.append((a, b))
+        common = _shared(left, right, (len(p), len(q)))
+        bound = common / (n[p][:, None] + n[q][None, :] - common)
+        wanted = bound >= least - 1e-6
+        x, y = np.nonzero(np.triu(wanted, 1) if p is q else wanted)
+        best = np.argsort(-bound[x, y], kind="stable")
+        x, y = x[best], y[best]
+        while len(x):
+            apart = roots(p)[x] != roots(q)[y]
+            x, y = x[apart], y[apart]
+            for a, b in zip(p[x[:PAIRS]].tolist(), q[y[:PAIRS]].tolist()):
+                if sets.find(a) == sets.find(b):
+                    continue
+                for k in (a, b):
+                    if k not in made:
+                        made[k] = _Text(shingles[ends[k] - n[k] : ends[k]])
+                if similarity(made[a], made[b], least) >= least:
+                    sets.join(a, b)
+                    out.append((a, b))
+            x, y = x[PAIRS:], y[PAIRS:]
     return out
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -78,6 +79,54 @@ def test_large_group_is_dealt_to_blocks(docs_of, monkeypatch):
     assert {r.doc_id: r.class_id for r in out} == plain_classes(list(range(80)), texts)
 
 
+def forest_classes(n, links):
+    sets = Sets(n)
+    assert all(sets.join(a, b) for a, b in links)
+    return {i: sets.find(i) for i in range(n)}
+
+
+def test_tiles_find_the_links_of_all_pairs():
+    rng = random.Random(9)
+    firsts = [text_of(rng, rng.choice([6, 12, 13, 40])) for _ in range(6)]
+    texts = [edited(rng, rng.choice(firsts), rng.choice([0, 1, 1, 2])) for _ in range(150)] + ["a b", "a b c d e f"]
+    held, ids = [neardup.words(t) for t in texts], list(range(len(texts)))
+    for tile in (1, 7, 64, 1000):
+        assert forest_classes(len(texts), neardup.forest(held, [0] * len(texts), tile=tile)) == plain_classes(ids, texts)
+    side = [i % 3 // 2 for i in ids]
+    across = Sets(len(texts))
+    for a in ids:
+        for b in ids[:a]:
+            if side[a] != side[b] and plain_classes([0, 1], [texts[a], texts[b]])[1] == 0:
+                across.join(a, b)
+    for tile in (7, 1000):
+        links = neardup.forest(held, side, tile=tile)
+        assert all(side[a] != side[b] for a, b in links)
+        assert forest_classes(len(texts), links) == {i: across.find(i) for i in ids}
+
+
+def test_memory_of_a_block_of_short_texts():
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen".split()
+    texts = [[*words[:-1], f"x{i}"] for i in range(7_000)]
+    tracemalloc.start()
+    try:
+        links = neardup.forest(texts, [i % 2 for i in range(len(texts))])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(links) == len(texts) - 1  # 8 shingles of 10
+    assert peak < 150e6  # one matrix of 7,000 x 7,000 has 196 MB in single precision
+
+
+def test_short_texts_above_the_cap_of_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(neardup, "MAX_DOC_BLOCKS", 2)
+    rng = random.Random(11)
+    first = text_of(rng, 14)
+    texts = [edited(rng, first, 1) for _ in range(60)]
+    out = neardup.near_duplicates(docs_of(texts)).collect()
+    assert {r.doc_id: r.class_id for r in out} == plain_classes(list(range(60)), texts)
+
+
 def test_near_duplicate_cases(docs_of):
     texts = [None, "", "  ", "!!!", "!!!", "???", "one two", "One, two.", "a b c d e f", "a b c d e f", None]
     rows = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(texts)).collect()}
