@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 BITS = 5
 DIMENSIONS = ("lang", "source", "text")
 N_SHARDS = 8
-_HASH_BITS = 6
+_DIGEST_BITS, _HASH_BITS = 60, 6
 _TOP_BITS = 10
 
 
@@ -90,6 +90,17 @@ def quantised(docs: DataFrame, dimensions: Sequence[str], bits: int, text: str |
     return docs
 
 
+def id_digest(doc_id: str) -> Column:
+    """The first ``_DIGEST_BITS`` bits of the id's digest."""
+    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    return F.conv(F.substring(digest, 1, _DIGEST_BITS // 4), 16, 10).cast("long")
+
+
+def salt(digest: str) -> str:
+    """The digest's first ``_HASH_BITS`` bits, as SQL."""
+    return f"shiftrightunsigned({digest}, {_DIGEST_BITS - _HASH_BITS})"
+
+
 def hilbert_shards(docs: DataFrame, *, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS, n_shards: int = N_SHARDS, doc_id: str = "doc_id", text: str | None = "text", ties: Sequence[str] = ()) -> DataFrame:
     """``docs`` with ``hilbert`` (long), ``shard`` (int, 0 to n_shards - 1) and ``slot`` (long, gapless from 0 in each shard); shards' row counts are at most one apart.
 
@@ -99,10 +110,9 @@ def hilbert_shards(docs: DataFrame, *, dimensions: Sequence[str] = DIMENSIONS, b
     low = max(0, total - _TOP_BITS)
     columns = [c for c in docs.columns if c not in ("hilbert", "shard", "slot")]
     keyed = quantised(docs, dimensions, bits, text).withColumn("hilbert", hilbert_index([f"__c{i}" for i in range(len(dimensions))], bits))
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
-    keyed = keyed.withColumn("__h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))  # 60 bits
+    keyed = keyed.withColumn("__h", id_digest(doc_id))
     keyed = keyed.withColumn("__a", F.expr(f"cast(shiftright(hilbert, {low}) as int)"))
-    keyed = keyed.withColumn("__b", F.expr(f"cast(shiftleft(hilbert & {2**low - 1}, {_HASH_BITS}) | shiftrightunsigned(__h, {64 - _HASH_BITS}) as int)"))
+    keyed = keyed.withColumn("__b", F.expr(f"cast(shiftleft(hilbert & {2**low - 1}, {_HASH_BITS}) | {salt('__h')} as int)"))
     counts = keyed.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
     tops = counts.groupBy("__a").agg(F.sum("__n").alias("__n"))
     before = Window.orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)

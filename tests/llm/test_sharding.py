@@ -45,6 +45,12 @@ def test_equal_and_few_rows(docs_of, n):
     check(rows, n)
 
 
+def test_equal_metadata_is_dealt_to_64_cells(spark):
+    digests = spark.range(6400).select(sharding.id_digest("id").alias("h"))
+    counts = [r["count"] for r in digests.groupBy(F.expr(sharding.salt("h"))).count().collect()]
+    assert len(counts) == 64 and max(counts) < 200
+
+
 def test_null_ids(docs_of):
     check(sharding.hilbert_shards(docs_of(["a", "b", None], ids=[None, 1, None])).collect(), 3)
 
