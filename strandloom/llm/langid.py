@@ -4,7 +4,8 @@ For each language there is a raw-content zstandard dictionary: lower-case text o
 documents.  A whole text is brought to the same form (lower case, runs of other than letters as one space), cut into
 blocks of ``BLOCK`` bytes, and every block is compressed on its own with each dictionary; the language with the fewest
 bytes in total wins.  Blocks keep the dictionary decisive in long texts, which would else soon be compressed by
-themselves.  ``margin`` is 1 - best/second; below ``MIN_MARGIN`` the prediction counts as rejected.
+themselves.  A text below ``SHORT`` bytes is repeated up to them, as a tiny block is stored as it is, with one size for all
+dictionaries.  ``margin`` is 1 - best/second; below ``MIN_MARGIN`` the prediction counts as rejected.
 
 Bound of the sample: at most ``SAMPLE_DOCS`` documents a language are looked at, of at most ``SAMPLE_CHARS`` characters
 (where a language has only longer ones, its shortest), and ``DICT_BYTES`` are kept.  Prediction covers every document.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.shared import map_texts
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 8_192, 110_000
-BLOCK, LEVEL = 1_024, 6
+BLOCK, LEVEL, SHORT = 1_024, 6, 256
 MIN_MARGIN = 0.005
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -92,6 +93,8 @@ def classify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[st
     body = plain(text) if text and any(map(str.isalpha, text)) else b""
     if not body or not model:
         return UNDETERMINED, 0.0
+    if len(body) < SHORT:
+        body = b" ".join([body] * -(-SHORT // (len(body) + 1)))
     blocks = [body[i : i + BLOCK] for i in range(0, len(body), BLOCK)]
     sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in _compressors(model))
     return sizes[0][1], 1.0 if len(sizes) == 1 else 1.0 - sizes[0][0] / sizes[1][0]

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 
 from strandloom.llm import decontamination as D
@@ -36,6 +37,21 @@ def test_language_cases(docs_of):
     assert {r.doc_id for r in kept} == {2**60 + 1, None}
 
 
+def test_short_texts_are_told_apart():
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    learned = {}
+    for r in rows:
+        if r["text"] and len(r["text"]) <= langid.SAMPLE_CHARS and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            learned.setdefault(r["lang"], []).append(r["text"])
+    model = tuple(sorted((k, langid._joined(v[:400])) for k, v in learned.items()))
+    for text, lang in (("Avec.", "fr"), ("die katze und der hund", "de")):
+        found, margin = langid.classify(text, model)
+        assert found == lang and margin >= langid.MIN_MARGIN
+    few = [r for r in rows if r["text"] and 2 <= len(r["text"].split()) <= 10]
+    found = [langid.classify(r["text"], model) for r in few]
+    assert sum(p >= langid.MIN_MARGIN and k == r["lang"] for (k, p), r in zip(found, few)) > 0.95 * len(few)
+
+
 def test_labels_of_held_out_documents_are_not_read(docs_of):
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert langid.fit(docs_of(["le chat et le chien"] * len(ids), ids=ids, langs=["fr"] * len(ids))) == {}
