@@ -24,7 +24,7 @@ pairs by tiles of ``TILE`` texts, each pair of tiles in the same memory, and pas
 
 Cases.  Null text or white space: no words, its own class.  Text of signs only: copies are classes, nothing else links.
 Null doc_id: its own class (class_id null, kept).  Repeated rows: one class; all rows of its smallest id are marked
-kept, see ``drop_duplicates``.  Extra columns are ignored.  Empty table: no rows.  Very long texts: linear but for their
+kept, see ``drop_duplicates``.  One id with several texts: each text is verified and has its class.  Extra columns are ignored.  Empty table: no rows.  Very long texts: linear but for their
 alignment, n log n.
 """
 
@@ -129,6 +129,17 @@ def sketches(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(text: str | None, found: list[str]) -> bytes | None:
+    """What copies have in common: the words, or all of a text of signs only; none for a text of nothing."""
+    if found:
+        return xxhash.xxh3_128_digest(" ".join(found).encode("utf-8", "replace"))
+    return xxhash.xxh3_128_digest(b"\0" + text.encode("utf-8", "replace")) if text and text.strip() else None
+
+
+def _digests(texts: list[str | None]) -> list:
+    return [[_digest(t, words(t)) for t in texts]]
+
+
 def _sketched(texts: list[str | None]) -> list:
     digests, counts = [None] * len(texts), [0] * len(texts)
     columns = [[None] * len(texts) for _ in range(SKETCHES)]
@@ -145,16 +156,16 @@ def _sketched(texts: list[str | None]) -> list:
 
     size = 0
     for i, text in enumerate(texts):
-        if found := words(text):
-            digests[i], counts[i] = xxhash.xxh3_128_digest(" ".join(found).encode("utf-8", "replace")), len(found)
+        found = words(text)
+        digests[i] = _digest(text, found)
+        if found:
+            counts[i] = len(found)
             held.append(found)
             owner.append(i)
             size += len(found)
             if size >= BATCH_WORDS:
                 flush()
                 size = 0
-        elif text and text.strip():
-            digests[i] = xxhash.xxh3_128_digest(b"\0" + text.encode("utf-8", "replace"))
     flush()
     return [digests, counts, *columns]
 
@@ -266,49 +277,69 @@ def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARIT
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
-    """a, b: links within the candidate groups; ``candidates``: doc_id, grp, blocks, text."""
-    block = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
+    """a, b: links within the candidate groups; ``candidates``: node, grp, blocks, text."""
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     tasks = candidates.withColumn("block", block).withColumn("other", other)
-    tasks = tasks.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "text")
+    tasks = tasks.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "node", "text")
     tasks = tasks.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches, 3):
             if rows.num_rows > 1:
-                ids = rows["doc_id"].to_pylist()
+                ids = rows["node"].to_pylist()
                 found = forest([words(t) for t in rows["text"].to_pylist()], rows["side"].to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["a", "b"])
 
     return tasks.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and kept (doc_id = class_id) of every document."""
+def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
+    """doc_id, digest, class_id and stays (its text is the one that stands for the class) of every document; whether some id stands in several rows.
+
+    A node is a text, whatever rows have it: named by its smallest id, or by a number where ids are not of one row.
+    """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     names = [f"s{j}" for j in range(SKETCHES)]
     added = "digest binary, n_words bigint, " + ", ".join(f"{s} bigint" for s in names)
     seen = cut(map_texts(slim, "text", ("doc_id",), _sketched, added), "near-sketches")
+    repeats = _repeats(seen)
     copies = seen.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_words").alias("n_words"), *[F.min(s).alias(s) for s in names])
-    copies = cut(copies, "near-copies")
+    # The table is written, and so the numbers stay.
+    copies = cut(copies.withColumn("node", F.monotonically_increasing_id() if repeats else F.col("rep")), "near-copies")
 
-    values = copies.where("n_words > 0").select("rep", F.explode(F.array(*names)).alias("s"))
-    hubs = values.groupBy("s").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "hub")
-    grouped = connected(values.join(hubs, "s").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    grouped = cut(grouped.join(copies.select(F.col("rep").alias("id"), "n_words"), "id"), "near-groups")
+    values = copies.where("n_words > 0").select("node", F.explode(F.array(*names)).alias("s"))
+    hubs = values.groupBy("s").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "hub")
+    grouped = connected(values.join(hubs, "s").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    grouped = cut(grouped.join(copies.select(F.col("node").alias("id"), "n_words"), "id"), "near-groups")
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
     by_docs = F.least(F.lit(MAX_DOC_BLOCKS), F.ceil(F.col("n") / BLOCK_DOCS))
     sizes = sizes.select("component", F.greatest(by_docs, F.ceil(F.col("w") / BLOCK_WORDS)).cast("long").alias("blocks"))
-    candidates = grouped.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), "blocks")
-    texts = slim.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(seen) else slim
+    candidates = grouped.join(sizes, "component").select(F.col("id").alias("node"), F.col("component").alias("grp"), "blocks")
     # By shuffle at every size: how many texts are candidates grows with the corpus, and so would a broadcast.
-    links = _verified(candidates.join(texts.hint("merge"), "doc_id"))
-    classes = connected(links).select(F.col("id").alias("rep"), "component")
+    if repeats:
+        texts = map_texts(slim.where("doc_id is not null"), "text", ("doc_id", "text"), _digests, "digest binary").dropDuplicates(["doc_id", "digest"])
+        candidates = candidates.join(copies.select("node", F.col("rep").alias("doc_id"), "digest"), "node").join(texts.hint("merge"), ["doc_id", "digest"])
+    else:
+        candidates = candidates.join(slim.withColumnRenamed("doc_id", "node").hint("merge"), "node")
+    classes = connected(_verified(candidates)).select(F.col("id").alias("node"), "component")
 
-    reps = copies.select("digest", "rep").join(classes, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
+    reps = copies.select("digest", "rep", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if repeats:
+        least = reps.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("least"))
+        reps = reps.join(least, "component").select("digest", F.col("least.rep").alias("class_id"), F.col("least.digest").alias("stands"))
+    else:
+        reps = reps.select("digest", F.col("component").alias("class_id"), F.when(F.col("component") == F.col("rep"), F.col("digest")).alias("stands"))
     out = seen.select("doc_id", "digest").join(reps, "digest", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    stays = class_id.eqNullSafe(F.col("doc_id")) & F.col("digest").eqNullSafe(F.col("stands"))
+    return out.select("doc_id", "digest", class_id.alias("class_id"), stays.alias("stays")), repeats
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class) and kept (doc_id = class_id) of every document."""
+    found, _ = _classes(docs, doc_id, text)
+    return found.select("doc_id", "class_id", F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def _repeats(seen: DataFrame) -> bool:
@@ -317,12 +348,20 @@ def _repeats(seen: DataFrame) -> bool:
 
 
 def drop_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one for each class stays, that with the smallest id; rows without an id stay."""
-    found = cut(near_duplicates(docs, doc_id=doc_id, text=text), "near-classes")
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, F.col(f"`{doc_id}`").cast("long") == F.col("__kept"), "left_semi")
-    if _repeats(found):
-        out = out.dropDuplicates([doc_id])
+    """The rows of ``docs`` of which one for each class stays, that with the smallest id; rows without an id stay.
+
+    One row an id: of an id with several texts, one that stands for its class stays, that with the least digest.
+    """
+    found, repeats = _classes(docs, doc_id, text)
+    found = cut(found, "near-classes")
+    kept = found.where("stays and doc_id is not null").groupBy(F.col("doc_id").alias("__kept")).agg(F.min("digest").alias("__as"))
+    same = F.col(f"`{doc_id}`").cast("long") == F.col("__kept")
+    if repeats:  # a row is known by its id and its text
+        told = map_texts(docs, text, docs.columns, _digests, "__digest binary")
+        out = told.join(kept, same & F.col("__digest").eqNullSafe(F.col("__as")), "left_semi")
+        out = out.dropDuplicates([doc_id]).drop("__digest")
+    else:
+        out = docs.join(kept.select("__kept"), same, "left_semi")
     if found.where("doc_id is null").take(1):
         out = out.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
     return out

@@ -137,6 +137,17 @@ def test_near_duplicate_cases(docs_of):
     assert neardup.near_duplicates(docs_of([])).count() == 0 and neardup.drop_duplicates(docs_of([])).count() == 0
 
 
+def test_one_id_with_several_texts(docs_of):
+    rng = random.Random(12)
+    a, b, c = (text_of(rng, 60) for _ in range(3))
+    rows = [(7, a), (7, b), (7, a), (3, edited(rng, b, 1)), (9, edited(rng, a, 1)), (7, c), (7, edited(rng, c, 1)), (7, None), (5, "??"), (5, "one two")]
+    docs = docs_of([t for _, t in rows], ids=[k for k, _ in rows])
+    got = sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(3, 3), (5, 5), (5, 5), (7, 3), (7, 7), (7, 7), (7, 7), (7, 7), (7, 7), (9, 7)]
+    kept = {r.doc_id: r.text for r in neardup.drop_duplicates(docs).collect()}
+    assert set(kept) == {3, 5, 7} and kept[3] == rows[3][1] and kept[7] in (a, c, rows[6][1])  # b of 7 is a near copy of 3
+
+
 def test_long_texts_and_repeated_shingles(docs_of):
     rng = random.Random(6)
     long = text_of(rng, 30_000)
