@@ -1,12 +1,11 @@
-"""Token counts by finite-state transducers, without running a tokenizer over the texts.
+"""Token counts by a splitter transducer and memoised merging, without running a tokenizer over the texts.
 
-The vocabulary is a byte-level BPE (a ``tokenizers`` JSON file).  Two machines are compiled from it:
+The vocabulary is a byte-level BPE (a ``tokenizers`` JSON file).  Two things are made from it:
 
 *  The splitter, a deterministic transducer over 12 character classes and 13 states.  A transition tells whether a
    piece of text ends before the character read, or before the one ahead of it (``_machine``).
-*  The lexicon, a transducer over whole pieces: its arc for a piece is annotated with the number of tokens emitted, the
-   length of the piece's merge sequence.  It is compiled as pieces appear and kept for the worker's life, within
-   ``LEXICON_ROWS``.
+*  The lexicon, a table of the number of tokens by piece digest.  Counts of new pieces are computed by BPE merging
+   (``pieces``), not emitted by transitions, and kept for the worker's life, within ``LEXICON_ROWS``.
 
 A batch of texts is one string of classes, with an end mark after each text, and is cut into chunks of ``CHUNK``
 characters.  Each chunk is run from *every* state at once, which gives its state map; the maps compose associatively
