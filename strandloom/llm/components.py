@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating stars (large-star, small-star), all in DataFrames.
 
 Each round replaces the links by stars around smaller ids; the rounds needed grow with the logarithm of the largest
-component, and with links that already are stars two suffice.  Minima are combined before the shuffle, and the joins
-that a hub makes uneven are plain sort-merge joins, which are split at run time.  Every round ends in a written table.
+component, and with links that already are stars two suffice.  Minima are combined before the shuffle and written, so that
+the joins that a hub makes uneven have two plain exchanges and are split at run time.  Every round ends in a written table.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.shared import cut
 
-MAX_ROUNDS = 60
-
 
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -23,18 +21,13 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (the smallest id reachable) of every id that has a link to another one."""
     pair = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     pair = cut(pair, "links")
-    state = _state(pair)
-    for _ in range(MAX_ROUNDS):
+    state, before = _state(pair), None
+    while state != before and state[0]:
         both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written, so that the join below has two plain exchanges and a hub's rows can be split among tasks.
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        root = cut(large.groupBy("u").agg(F.min("v").alias("m")), "root")
         moved = large.join(root, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pair = cut(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
         before, state = state, _state(pair)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components have not settled in {MAX_ROUNDS} rounds")
     return pair.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(pair.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -5,50 +5,54 @@ occurred in the text before.  (A text of fewer words is one shingle.)
 
 Sketches.  For each of ``SKETCHES`` hash functions, the ``PICKED`` labelled shingles of least hash are taken and put in
 the order that they have in the text (Marcais et al. 2019), so that a sketch agrees with a probability that falls with
-moved as well as with changed text.  Two texts of similarity s agree in one sketch with odds of about s**2; at 0.8 they
-miss all twelve with odds of 5e-6.
+moved as well as with changed text.  Two texts that share a part s of their labelled shingles agree in one sketch with odds
+of about s**2; at s = 0.4, which is what a tenth of the words changed leaves, they miss all of them with odds of 1.5 %, at 0.5 of 0.1 %.
 
-Verification.  Texts that sketches connect are a candidate group.  Within it, pairs are first bounded by
-the number of labelled shingles they share, counted by matrix products, and then aligned: as labelled shingles are unique
-in a text, the longest chain of shared shingles in the order of both texts is an alignment, and at similarity s no
-shingle of it may lie further off the diagonal than (n + m)(1 - s)/(1 + s), the band.  With L chained shingles of n and m
-the similarity is L / (n + m - L); from ``MIN_SIMILARITY`` on the two are linked.  Pairs already in one class are skipped, which
-changes no class.
+Verification.  Texts that sketches connect are a candidate group.  Within it, a pair that shares at least ``MIN_SHARED``
+of its labelled shingles, counted by matrix products, is aligned word by word: the longest chain of equal words in the order
+of both texts.  At similarity s no word of it lies further off the diagonal than the longer text has words beyond the
+chain, the band, and only the band is computed, a row of it at a time as the bits of an integer.  With L chained words of
+n and m the similarity is L / (n + m - L); from ``MIN_SIMILARITY`` on the two are linked.  Pairs already in one class are
+skipped, which changes no class.
 
 Scale.  Copies (equal word sequences) are merged first, by a digest.  Candidate groups come from a hub for each sketch
 value (a combined minimum) and ``components``; no pairs are listed.  A group above ``BLOCK_DOCS`` texts or ``BLOCK_WORDS``
-words is dealt to blocks, and each pair of blocks is a task; a task returns a spanning forest of its links, not the
-links.  So no task gets a whole group, at the price that a text of a group of n blocks is sent n times.  Above
-``MAX_DOC_BLOCKS`` blocks only words make more of them, so a block of short texts may hold many; a task therefore counts
-pairs by tiles of ``TILE`` texts, each pair of tiles in the same memory, and passes over tiles that already are one class.
+words is dealt to blocks.  First each block is searched by itself and against the group's block 0, so a text is sent
+twice; this joins a group of near copies to one class.  Only what it leaves apart is compared on: texts outside the largest
+class of a group, by pairs of blocks, with each other and with that class.  A task returns a spanning forest of
+its links, not the links, and counts pairs by tiles of ``TILE`` texts, so its memory is bounded by two blocks.
 
 Cases.  Null text or white space: no words, its own class.  Text of signs only: copies are classes, nothing else links.
 Null doc_id: its own class (class_id null, kept).  Repeated rows: one class; all rows of its smallest id are marked
 kept, see ``drop_duplicates``.  One id with several texts: each text is verified and has its class.  Extra columns are ignored.  Empty table: no rows.  Very long texts: linear but for their
-alignment, n log n.
+alignment, n times the band's bits.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected
 from strandloom.llm.shared import Sets, by_key, cut, map_texts
 
-SHINGLE, MIN_SIMILARITY = 5, 0.8
-SKETCHES, PICKED = 12, 2
-BLOCK_DOCS, MAX_DOC_BLOCKS, BLOCK_WORDS = 64, 32, 300_000
+SHINGLE, MIN_SIMILARITY, MIN_SHARED = 5, 0.8, 0.3
+SKETCHES, PICKED = 24, 2
+BLOCK_DOCS, BLOCK_WORDS = 512, 200_000
+#: Sizes of groups of several blocks are broadcast up to this many rows, about 3 MB.
+BROADCAST_ROWS = 100_000
 #: Texts a side and shingles of a matrix product in ``forest``; pairs between two looks at which classes have met.
 TILE, TILE_COLUMNS, PAIRS = 1_024, 4_096, 4_096
 BATCH_WORDS = 1 << 18
+#: Places of a text whose bits are one integer, for texts of more words than ``WHOLE``.
+SEGMENT, WHOLE = 1_024, 1 << 15
 #: Words whose digests a worker keeps at hand, about 30 MB.
 WORD_CODES = 200_000
 _WORD = re.compile(r"\w+")
@@ -170,30 +174,51 @@ def _sketched(texts: list[str | None]) -> list:
     return [digests, counts, *columns]
 
 
-class _Text:
-    """A text's labelled shingles, sorted, and their places."""
+def alignment(x: list[str], y: list[str], least: float = MIN_SIMILARITY) -> float:
+    """Chained words over all, by banded alignment; right for values of at least ``least``, lower ones may come out lower still.
 
-    def __init__(self, shingles: np.ndarray):
-        self.places = np.argsort(shingles, kind="stable")
-        self.sorted = shingles[self.places]
-
-
-def similarity(x: _Text, y: _Text, least: float = MIN_SIMILARITY) -> float:
-    """Chained shingles over all, by banded alignment; right for values of at least ``least``, lower ones may come out lower still."""
-    _, i, j = np.intersect1d(x.sorted, y.sorted, assume_unique=True, return_indices=True)
-    n, m = len(x.sorted), len(y.sorted)
-    p, q = x.places[i], y.places[j]
-    near = np.abs(p - q) <= (n + m) * (1 - least) / (1 + least)
-    p, q = p[near], q[near]
-    q = q[np.argsort(p)]
-    if len(q) < 2 or (q[1:] > q[:-1]).all():
-        chain = len(q)
-    else:
-        tails: list[int] = []
-        for v in q.tolist():
-            k = bisect_left(tails, v)
-            tails[k : k + 1] = [v]
-        chain = len(tails)
+    A row of the alignment's table is an integer with a bit for each word of ``y`` in the band, 0 where the chain grows
+    (Hyyro 2004): bits left of the band have settled, those right of it are still 1.
+    """
+    n, m = len(x), len(y)
+    band = max(n, m) - math.ceil(least * (n + m) / (1 + least) - 1e-9)
+    if band < abs(n - m):
+        return 0.0
+    first, stop = 0, min(n, m)
+    while first < stop and x[first] == y[first]:
+        first += 1
+    last = 0
+    while last < stop - first and x[n - 1 - last] == y[m - 1 - last]:
+        last += 1
+    x, y, chain = x[first : n - last], y[first : m - last], first + last
+    if x and y:
+        size = SEGMENT if len(y) > WHOLE else len(y)
+        wanted, places = set(x), {}
+        for j, w in enumerate(y):
+            if w in wanted:
+                k = w, j // size
+                places[k] = places.get(k, 0) | 1 << j % size
+        row, low, high = 0, 0, 0
+        for i, w in enumerate(x):
+            if (end := min(len(y), i + band + 1)) > high:
+                row |= (1 << end - low) - (1 << high - low)
+                high = end
+            if (begin := min(i - band, high)) > low:
+                chain += (begin - low) - (row & (1 << begin - low) - 1).bit_count()
+                row >>= begin - low
+                low = begin
+            if low == high:
+                break
+            if size == len(y):
+                hit = places.get((w, 0), 0) >> low
+            else:
+                hit = 0
+                for k in range(low // size, (high - 1) // size + 1):
+                    if bits := places.get((w, k)):
+                        hit |= bits << k * size - low if k * size >= low else bits >> low - k * size
+            if hit := hit & row:
+                row = (row + hit | row - hit) & (1 << high - low) - 1
+        chain += (high - low) - row.bit_count()
     return chain / (n + m - chain)
 
 
@@ -215,14 +240,14 @@ def _shared(p: tuple[np.ndarray, ...], q: tuple[np.ndarray, ...], shape: tuple[i
     return out
 
 
-def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARITY, tile: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between texts; with two sides, of those across.
+def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARITY, tile: int | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between texts; with two sides, of those across.  ``known``: classes they are already in.
 
     Pairs are counted by tiles of ``tile`` x ``tile`` texts, so that memory grows with the texts and not with their square.
     """
     tile = tile or TILE
     shingles, n = labelled(texts)
-    ends = np.cumsum(n)
+    length = np.array([len(t) for t in texts])
     owner = np.repeat(np.arange(len(n)), n)
     _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
     shared = times[column] > 1
@@ -245,7 +270,11 @@ def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARIT
         pairs = [(p, q) for p in groups[0] for q in groups[1]]
     else:
         pairs = [(p, q) for i, q in enumerate(groups[0]) for p in groups[0][: i + 1]]
-    sets, made, out = Sets(len(n)), {}, []
+    sets, out = Sets(len(n)), []
+    if known is not None:
+        member: dict[int, int] = {}
+        for i, k in enumerate(known):
+            sets.join(i, member.setdefault(k, i))
 
     def roots(members: np.ndarray) -> np.ndarray:
         return np.fromiter(map(sets.find, members.tolist()), np.int64, len(members))
@@ -256,7 +285,8 @@ def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARIT
             continue
         common = _shared(left, right, (len(p), len(q)))
         bound = common / (n[p][:, None] + n[q][None, :] - common)
-        wanted = bound >= least - 1e-6
+        a, b = length[p][:, None], length[q][None, :]
+        wanted = (bound >= MIN_SHARED - 1e-6) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6)
         x, y = np.nonzero(np.triu(wanted, 1) if p is q else wanted)
         best = np.argsort(-bound[x, y], kind="stable")
         x, y = x[best], y[best]
@@ -264,36 +294,76 @@ def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARIT
             apart = roots(p)[x] != roots(q)[y]
             x, y = x[apart], y[apart]
             for a, b in zip(p[x[:PAIRS]].tolist(), q[y[:PAIRS]].tolist()):
-                if sets.find(a) == sets.find(b):
-                    continue
-                for k in (a, b):
-                    if k not in made:
-                        made[k] = _Text(shingles[ends[k] - n[k] : ends[k]])
-                if similarity(made[a], made[b], least) >= least:
+                if sets.find(a) != sets.find(b) and alignment(texts[a], texts[b], least) >= least:
                     sets.join(a, b)
                     out.append((a, b))
             x, y = x[PAIRS:], y[PAIRS:]
     return out
 
 
-def _verified(candidates: DataFrame) -> DataFrame:
-    """a, b: links within the candidate groups; ``candidates``: node, grp, blocks, text."""
-    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    tasks = candidates.withColumn("block", block).withColumn("other", other)
-    tasks = tasks.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "node", "text")
-    tasks = tasks.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+def _verified(tasks: DataFrame) -> DataFrame:
+    """a, b: links found by the tasks; ``tasks``: grp, low, high (blocks), side (0: of block low), node, known (class), text."""
+    tasks = tasks.select("grp", "low", "high", "side", "node", "known", "text").repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches, 3):
             if rows.num_rows > 1:
                 ids = rows["node"].to_pylist()
-                found = forest([words(t) for t in rows["text"].to_pylist()], rows["side"].to_pylist())
+                found = forest([words(t) for t in rows["text"].to_pylist()], rows["side"].to_pylist(), known=rows["known"].to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["a", "b"])
 
     return tasks.mapInArrow(run, "a bigint, b bigint")
 
 
+def _blocks(n: str, w: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / BLOCK_DOCS), F.ceil(F.col(w) / BLOCK_WORDS)).cast("int")
+
+
+def _task(low: Column, high: Column, side: int | Column) -> Column:
+    return F.struct(low.alias("low"), high.alias("high"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
+
+
+def _small(sizes: DataFrame) -> DataFrame:
+    """Written, and broadcast if it is no larger than ``BROADCAST_ROWS``; else a plain join, whose hot keys can be split."""
+    sizes = cut(sizes, "near-sizes")
+    return F.broadcast(sizes) if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sizes
+
+
+def _linked(grouped: DataFrame, with_text: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of the texts that have links.  ``grouped``: id, component, n_words of candidates; ``with_text`` adds ``text`` to nodes."""
+    members = grouped.select(F.col("id").alias("node"), F.col("component").alias("grp"), "n_words")
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w")).select("grp", _blocks("n", "w").alias("blocks")).where("blocks > 1")
+    sizes = _small(sizes)
+    members = members.join(sizes, "grp", "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
+    zero, block = F.lit(0), F.col("block")
+    own = F.array(_task(block, block, 0))
+    others = F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda o: _task(zero, o, 0))
+    tasks = F.when(F.col("blocks").isNull(), own).when(block > 0, F.concat(own, F.array(_task(zero, block, 1)))).otherwise(F.concat(own, others))
+    dealt = with_text(members).withColumn("t", F.explode(tasks)).select("grp", "t.*", "node", F.col("node").alias("known"), "text")
+    links = cut(_verified(dealt), "near-links")
+    classes = connected(links)
+
+    members = members.where("blocks > 1").drop("blocks", "block").join(classes.withColumnRenamed("component", "class"), F.col("node") == F.col("id"), "left").drop("id")
+    members = members.withColumn("class", F.coalesce("class", "node"))
+    parts = members.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
+    most = F.max(F.struct("n", "class", "w")).alias("most")
+    plan = parts.groupBy("grp").agg(most, F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > most.n")
+    plan = plan.select("grp", F.col("most.class").alias("main"), F.col("most.n").alias("mn"), F.col("most.w").alias("mw"), (F.col("n") - F.col("most.n")).alias("rn"), (F.col("w") - F.col("most.w")).alias("rw"))
+    plan = _small(plan.select("grp", "main", _blocks("rn", "rw").alias("rest"), (_blocks("rn", "rw") + _blocks("mn", "mw")).alias("all")))
+    if not plan.take(1):
+        return classes.withColumnRenamed("id", "node")
+    members = members.join(plan, "grp")
+    is_rest = F.col("class") != F.col("main")
+    hashed = F.xxhash64("node")
+    block = F.when(is_rest, F.pmod(hashed, F.col("rest"))).otherwise(F.col("rest") + F.pmod(hashed, F.col("all") - F.col("rest"))).cast("int")
+    members = members.withColumn("block", block)
+    block = F.col("block")
+    against = F.transform(F.sequence(zero, F.when(is_rest, F.col("all")).otherwise(F.col("rest")) - 1), lambda o: _task(F.least(block, o), F.greatest(block, o), F.when(block > o, 1).otherwise(0)))
+    dealt = with_text(members).withColumn("t", F.explode(against)).select("grp", "t.*", "node", F.col("class").alias("known"), "text")
+    links = links.unionByName(cut(_verified(dealt), "near-links"))
+    return connected(links).withColumnRenamed("id", "node")
+
+
 def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
     """doc_id, digest, class_id and stays (its text is the one that stands for the class) of every document; whether some id stands in several rows.
 
@@ -312,17 +382,13 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
     hubs = values.groupBy("s").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "hub")
     grouped = connected(values.join(hubs, "s").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     grouped = cut(grouped.join(copies.select(F.col("node").alias("id"), "n_words"), "id"), "near-groups")
-    sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
-    by_docs = F.least(F.lit(MAX_DOC_BLOCKS), F.ceil(F.col("n") / BLOCK_DOCS))
-    sizes = sizes.select("component", F.greatest(by_docs, F.ceil(F.col("w") / BLOCK_WORDS)).cast("long").alias("blocks"))
-    candidates = grouped.join(sizes, "component").select(F.col("id").alias("node"), F.col("component").alias("grp"), "blocks")
     # By shuffle at every size: how many texts are candidates grows with the corpus, and so would a broadcast.
     if repeats:
         texts = map_texts(slim.where("doc_id is not null"), "text", ("doc_id", "text"), _digests, "digest binary").dropDuplicates(["doc_id", "digest"])
-        candidates = candidates.join(copies.select("node", F.col("rep").alias("doc_id"), "digest"), "node").join(texts.hint("merge"), ["doc_id", "digest"])
+        named = copies.select("node", F.col("rep").alias("doc_id"), "digest")
+        classes = _linked(grouped, lambda nodes: nodes.join(named, "node").join(texts.hint("merge"), ["doc_id", "digest"]))
     else:
-        candidates = candidates.join(slim.withColumnRenamed("doc_id", "node").hint("merge"), "node")
-    classes = connected(_verified(candidates)).select(F.col("id").alias("node"), "component")
+        classes = _linked(grouped, lambda nodes: nodes.join(slim.withColumnRenamed("doc_id", "node").hint("merge"), "node"))
 
     reps = copies.select("digest", "rep", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if repeats:
@@ -350,16 +416,17 @@ def _repeats(seen: DataFrame) -> bool:
 def drop_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one for each class stays, that with the smallest id; rows without an id stay.
 
-    One row an id: of an id with several texts, one that stands for its class stays, that with the least digest.
+    A row is known by its id and its text: of equal rows one stays, and an id with several texts stays with each of them that
+    stands for a class.
     """
     found, repeats = _classes(docs, doc_id, text)
     found = cut(found, "near-classes")
-    kept = found.where("stays and doc_id is not null").groupBy(F.col("doc_id").alias("__kept")).agg(F.min("digest").alias("__as"))
+    kept = found.where("stays and doc_id is not null").select(F.col("doc_id").alias("__kept"), F.col("digest").alias("__as"))
     same = F.col(f"`{doc_id}`").cast("long") == F.col("__kept")
-    if repeats:  # a row is known by its id and its text
+    if repeats:
         told = map_texts(docs, text, docs.columns, _digests, "__digest binary")
         out = told.join(kept, same & F.col("__digest").eqNullSafe(F.col("__as")), "left_semi")
-        out = out.dropDuplicates([doc_id]).drop("__digest")
+        out = out.dropDuplicates([doc_id, "__digest"]).drop("__digest")
     else:
         out = docs.join(kept.select("__kept"), same, "left_semi")
     if found.where("doc_id is null").take(1):
