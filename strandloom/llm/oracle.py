@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import embedding, licenses, mixing, secrets, sharding
+from strandloom.llm import decontamination, embedding, licenses, mixing, secrets, sharding
 
 
 def quoted(x: str) -> str:
@@ -29,6 +29,30 @@ rest AS (SELECT *, (before + size / 2 <= need - coalesce(spent, 0) AND size > 0)
 SELECT doc_id, size, source_size, target::DOUBLE AS target, (size * (whole + extra))::BIGINT AS taken FROM (SELECT doc_id, size, source_size, target, whole, extra FROM large UNION ALL SELECT doc_id, size, source_size, target, whole, extra FROM rest)"""
 
 
+def decontamination_sql() -> str:
+    """BM25 against every passage, without an index; then the triples that question and answer share with it."""
+    d = decontamination
+    listed = lambda x: f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+')"
+    grams = lambda words, n: f"list_distinct(list_transform(range(1, len({words}) - {n} + 2), lambda i: array_to_string({words}[i:i + {n} - 1], ' ')))"
+    size = "CASE " + " ".join(f"WHEN n <= {d.MIN_SEGMENT << k} THEN {d.MIN_SEGMENT << k}" for k in range(20)) + " END"
+    part = lambda p: f"n_{p}, CASE WHEN n_{p} > 0 THEN {grams(p, f'n_{p}')} ELSE [] END AS g_{p}"
+    share = lambda p: f"CASE WHEN n_{p} = 0 THEN 1.0 ELSE len(list_intersect(g_{p}, {grams('words', f'n_{p}')})) / len(g_{p}) END AS {p}_overlap"
+    return f"""WITH sentences AS (SELECT item_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?\n]+\\s*'), lambda x: {listed('x')}), lambda w: len(w) > 0) AS s FROM benchmark),
+split AS (SELECT item_id, CASE WHEN len(s) > 1 THEN flatten(s[1:len(s) - 1]) ELSE s[1][1:len(s[1]) - greatest(1, len(s[1]) // 4)] END AS q, CASE WHEN len(s) > 1 THEN s[len(s)] ELSE s[1][len(s[1]) - greatest(1, len(s[1]) // 4) + 1:] END AS a FROM sentences WHERE len(s) > 0),
+items AS (SELECT *, {size} AS size, {part('q')}, {part('a')} FROM (SELECT row_number() OVER () AS k, item_id, q, a, list_concat(q, a) AS w, len(q) + len(a) AS n, least(len(q), {d.NGRAM}) AS n_q, least(len(a), {d.NGRAM}) AS n_a FROM split)),
+terms AS (SELECT k, n, t, count(*) AS f FROM (SELECT k, n, unnest(w) AS t FROM items) GROUP BY ALL),
+known AS (SELECT t, count(*) AS df FROM terms GROUP BY t),
+total AS (SELECT count(*) AS items, avg(n) AS mean FROM items),
+raw AS (SELECT k, t, ln(1 + (items - df + 0.5) / (df + 0.5)) * f * {d.K1 + 1} / (f + {d.K1} * ({1 - d.B} + {d.B} * n / mean)) AS x FROM terms JOIN known USING (t) CROSS JOIN total),
+impacts AS (SELECT k, size, t, x / sum(x) OVER (PARTITION BY k) AS x FROM raw JOIN items USING (k)),
+docs AS (SELECT row_number() OVER () AS d, doc_id, {listed('text')} AS w FROM documents WHERE text IS NOT NULL),
+passages AS (SELECT d, doc_id, size, place, w[place + 1:place + 2 * size] AS words FROM (SELECT d, doc_id, w, size, unnest(range(0, len(w), size)) AS place FROM docs CROSS JOIN (SELECT DISTINCT size FROM items))),
+scored AS (SELECT d, place, size, k, sum(x) AS score FROM (SELECT d, place, size, unnest(list_distinct(words)) AS t FROM passages) JOIN impacts USING (size, t) GROUP BY ALL HAVING sum(x) >= {d.MIN_SCORE}),
+shares AS (SELECT d, doc_id, k, item_id, score, {share('q')}, {share('a')} FROM scored JOIN passages USING (d, place, size) JOIN items USING (k, size)),
+hits AS (SELECT *, row_number() OVER (PARTITION BY d, k ORDER BY score DESC, q_overlap DESC, a_overlap DESC) AS r FROM shares WHERE q_overlap >= {d.MIN_OVERLAP} AND a_overlap >= {d.MIN_OVERLAP})
+SELECT doc_id, item_id, round(score, 6) AS score, round(q_overlap, 6) AS question_overlap, round(a_overlap, 6) AS answer_overlap FROM hits WHERE r = 1"""
+
+
 def licenses_sql() -> str:
     known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.KNOWN.items()))
     return f"""WITH known AS (SELECT sha256({licenses.canonical_sql('body')}) AS digest, min(license_id) AS license_id FROM (VALUES {known}) t(license_id, body) GROUP BY 1),

@@ -84,6 +84,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracle.decontamination_sql(),
     "op2_embedding_near_duplicates": oracle.embedding_sql(),
     "op3_mix": oracle.mix_sql(),
     "op4_hilbert_shards": oracle.shards_sql(),

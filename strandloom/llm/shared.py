@@ -30,16 +30,19 @@ def words_of(text: Column | str) -> Column:
 def map_texts(docs: DataFrame, text: str, keep: Sequence[str], find: Callable[[list[str | None]], list[Sequence]], added: str) -> DataFrame:
     """The columns ``keep`` and those of the schema ``added``, which ``find`` makes, a list each, of a batch's texts.
 
-    In Arrow batches, so that null and large integers stay as they are.
+    A kept column whose name, in any case, is that of a made one is left out: the made one replaces it.  In Arrow batches,
+    so that null and large integers stay as they are.
     """
-    columns = list(dict.fromkeys(keep))
+    kinds = T._parse_datatype_string(added).fields
+    made_names = {f.name.lower() for f in kinds}
+    columns = [c for c in dict.fromkeys(keep) if c.lower() not in made_names]
     slim = docs.select(*[F.col(f"`{c}`") for c in columns])
     fields = slim.schema.fields
     if text in columns and slim.schema[text].dataType == T.StringType():
         at = columns.index(text)  # no second copy for the worker
     else:
         at, slim = len(columns), docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = T.StructType([*fields, *T._parse_datatype_string(added).fields])
+    schema = T.StructType([*fields, *kinds])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

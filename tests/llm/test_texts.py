@@ -1,8 +1,12 @@
 """Language, tokens and decontamination: operators that read each text by itself."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 
@@ -108,18 +112,47 @@ def test_token_query(spark, docs_of):
     assert {(r.doc_id, r.n_tokens) for r in odd} == {(2**61, 0), (None, 0), (1, 1)}
 
 
-def plain_hits(text, items):
-    """Every item against every passage, without an index."""
-    full = [(i, q, a) for i, q, a in items if q or a]
-    df, n, mean = D._statistics([(i, q, a) for i, q, a in full])
-    index = D.Index(full, df, n, mean)
-    ids = [index.vocabulary.get(w, -1) for w in D.words(text)]
-    found = {}
-    for at in range(0, len(ids), index.segment):
-        end = min(len(ids), at + 2 * index.segment)
-        for block in range(index.blocks):
-            index._exact(ids[at:end], block, found)
-    return {index.ids[i] for i in found}
+def plain_words(text):
+    return re.findall(r"\w+", (text or "").lower())
+
+
+def plain_hits(texts, items):
+    """Every item against every passage, without an index: its own BM25, passages and overlaps."""
+    split = []
+    for k, text in items:
+        parts = [w for s in re.split(r"[.!?\n]+\s*", text or "") if (w := plain_words(s))]
+        if len(parts) > 1:
+            split.append((k, sum(parts[:-1], []), parts[-1]))
+        elif parts:
+            n = max(1, len(parts[0]) // 4)
+            split.append((k, parts[0][:-n], parts[0][-n:]))
+    n_items = len(split)
+    df = Counter(t for _, q, a in split for t in set(q + a))
+    mean = sum(len(q + a) for _, q, a in split) / max(1, n_items)
+    out = []
+    for text in texts:
+        words, found = plain_words(text), {}
+        for k, q, a in split:
+            bag = Counter(q + a)
+            n = len(q + a)
+            raw = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) for t, f in bag.items()}
+            size = 32
+            while size < n:
+                size *= 2
+            for at in range(0, len(words), size):
+                passage = words[at : at + 2 * size]
+                have = set(passage)
+                score = sum(x for t, x in raw.items() if t in have) / sum(raw.values())
+                shares = []
+                for part in (q, a):
+                    g = min(3, len(part))
+                    wanted = {tuple(part[i : i + g]) for i in range(len(part) - g + 1)} if g else set()
+                    there = {tuple(passage[i : i + g]) for i in range(len(passage) - g + 1)} if g else set()
+                    shares.append(len(wanted & there) / len(wanted) if wanted else 1.0)
+                if score >= 0.5 and min(shares) >= 0.5:
+                    found[k] = max(found.get(k, 0.0), round(score, 9))
+        out.append(found)
+    return out
 
 
 def test_decontamination_equals_plain_search(spark, docs_of):
@@ -136,10 +169,42 @@ def test_decontamination_equals_plain_search(spark, docs_of):
         texts.append(" ".join(parts))
     texts += [None, "", "!!", items[0][1], items[1][1] + " " + items[2][1], "single words only here now"]
     benchmark = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as hits")
-    rows = {r.doc_id: {h.item_id for h in r.hits} for r in D.decontaminate(docs_of(texts, extra=True), benchmark).collect()}
-    split = [(i, *D.split_item(t)) for i, t in items]
-    assert {i: plain_hits(t, split) for i, t in enumerate(texts)} == rows
-    assert rows[203] == {0} and rows[204] == {1, 2} and rows[205] == {62} and not rows[200]
+    rows = {r.doc_id: {h.item_id: round(h.score, 9) for h in r.hits} for r in D.decontaminate(docs_of(texts, extra=True), benchmark).collect()}
+    assert dict(enumerate(plain_hits(texts, items))) == rows
+    assert set(rows[203]) == {0} and set(rows[204]) == {1, 2} and set(rows[205]) == {62} and not rows[200]
+
+
+@pytest.mark.parametrize("index_bytes", [1 << 30, 4_000])
+def test_items_of_any_length_whole_and_by_parts(spark, docs_of, monkeypatch, index_bytes):
+    monkeypatch.setattr(D, "INDEX_BYTES", index_bytes)
+    monkeypatch.setattr(D, "BLOCK", 2)
+    monkeypatch.setattr(D, "CELLS", 300)
+    rng = random.Random(5)
+    word = lambda: f"t{min(rng.randint(0, 500), rng.randint(0, 500))}"
+    body = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, f"{body(n)}. {body(max(1, n // 5))}") for i, n in enumerate([5, 5, 9, 20, 31, 32, 40, 64, 90, 150, 300, 700, 2000] * 2)]
+    items.append((99, items[7][1]))
+    texts = [f"{body(rng.randint(0, 200))} {t} {body(rng.randint(0, 200))}" for _, t in items]
+    texts += [" ".join(w for w in t.split() if rng.random() > 0.2) for _, t in items] + [body(3000), "", None]
+    rows = {r.doc_id: {h.item_id: round(h.score, 9) for h in r.hits} for r in D.decontaminate(docs_of(texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert rows == dict(enumerate(plain_hits(texts, items)))
+    assert all(items[i][0] in rows[i] for i in range(len(items)))
+
+
+def test_items_without_an_id_are_reported(spark, docs_of):
+    items = spark.createDataFrame([(None, "alpha beta gamma delta. epsilon"), (3, "one two three four five. six")], "item_id long, text string")
+    rows = D.decontaminate(docs_of(["alpha beta gamma delta. epsilon", "one two three four five. six", "x"]), items).collect()
+    assert [[h.item_id for h in r.hits] for r in sorted(rows)] == [[None], [3], []]
+
+
+def test_decontamination_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op1_decontaminate"]).fetchall()
+    got = queries.op1_decontaminate(spark, sf).select("doc_id", "item_id", "score", "question_overlap", "answer_overlap").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
 
 
 def test_large_benchmarks_are_dealt_to_parts(spark, docs_of, monkeypatch):
