@@ -15,15 +15,17 @@ Scale.  Prefix sums within a source are made of digest buckets (4096 for each so
 window over those sums, and a window within each bucket, so that no task gets a whole source.
 
 Cases.  Null or blank text: size 0, taken 0.  Null source: a source of its own, last.  No words at all: every target 0.
-Repeated rows and equal doc_ids: each row is a document; equal rows tie, and which of them is taken is immaterial.
-Empty table: no rows.  Columns of the input that are not used are ignored, whatever their names.
+A row's digest is of its id, source and whole text, so rows without an id or with equal ids are told apart by their texts;
+rows equal in all three tie, and which of them is taken is immaterial.  Empty table: no rows.  Very long texts: linear;
+one that is longer than the target of its source is not taken more often than the target's rounding asks.  Columns of the
+input that are not used are ignored, whatever their names.  Sources are ranked in one task, a row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.shared import cut, words_of
@@ -60,12 +62,17 @@ def _prefix(docs: DataFrame) -> DataFrame:
     return docs.join(sums, ["skey", "bucket"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("offset")
 
 
+def _digest(doc_id: str, source: str, text: str, seed: str) -> Column:
+    parts = [F.coalesce(x, F.lit("null")) for x in (F.col(doc_id).cast("string"), F.col(source).cast("string"), F.md5(F.col(text)))]
+    return F.md5(F.concat_ws("|", F.lit(seed), *parts))
+
+
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row for each document: doc_id, size, source, source_size, target, whole, extra, taken.
+    """One row for each document: doc_id, size, source, source_size, target, whole, extra, taken, digest.
 
-    ``whole + extra`` is how often the mix repeats the document.  See the module's text for the cases.
+    ``whole + extra`` is how often the mix repeats the document; ``digest`` names it.  See the module's text for the cases.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+    digest = _digest(doc_id, source, text, seed)
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words_of(text).alias("size"), digest.alias("digest"))
     sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("bucket", F.substring("digest", 1, 3))
     sized = cut(sized, "mix-sizes")  # read three times below; the texts are read once
@@ -83,17 +90,17 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
     spent = first.groupBy("skey").agg(F.sum(F.col("size") * F.col("extra")).alias("spent"))
     rest = _prefix(docs.where(~large).join(spent, "skey", "left").withColumn("goal", F.col("need") - F.coalesce("spent", F.lit(0))))
     rest = rest.withColumn("extra", (taken & (F.col("size") > 0)).cast("int"))
-    columns = ["doc_id", "size", "source", "source_size", "target", "whole", "extra"]
+    columns = ["doc_id", "size", "source", "source_size", "target", "whole", "extra", "digest"]
     return first.select(columns).unionByName(rest.select(columns)).withColumn("taken", (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` as often as ``mixed`` says; documents that are not taken go.
+def repeated(docs: DataFrame, mixed: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as ``mixed``, made of them with the same seed, says; documents that are not taken go.
 
-    Rows of equal ids are all repeated as often as the one that is taken most; rows without an id stay once.
+    Of rows that are equal in id, source and text, as many get an extra repetition as the mix gives to all of them.
     """
-    times = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("whole") + F.col("extra")).cast("int").alias("__times"))
-    out = docs.join(times, F.col(f"`{doc_id}`") == F.col("__id"), "left")
-    often = F.when(F.col(f"`{doc_id}`").isNull(), 1).otherwise(F.coalesce("__times", F.lit(0)))
-    out = out.withColumn("__times", often).where("__times > 0").withColumn("__no", F.explode(F.sequence(F.lit(1), "__times")))
+    times = mixed.groupBy(F.col("digest").alias("__digest")).agg(F.max("whole").cast("int").alias("__whole"), F.sum("extra").cast("int").alias("__extra"))
+    out = docs.withColumn("__digest", _digest(doc_id, source, text, seed)).join(times.where("__whole + __extra > 0"), "__digest")
+    one = F.row_number().over(Window.partitionBy("__digest").orderBy("__digest")) <= F.col("__extra")  # dealt as the join has left them
+    out = out.withColumn("__times", F.col("__whole") + one.cast("int")).where("__times > 0").withColumn("__no", F.explode(F.sequence(F.lit(1), "__times")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ def mix_sql() -> str:
     n = len(mixing.WEIGHTS)
     prefix = "coalesce(sum(size) OVER (PARTITION BY skey ORDER BY digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     return f"""WITH sized AS (
- SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(concat('{mixing.SEED}|', coalesce(doc_id::VARCHAR, 'null'))) AS digest, coalesce('s' || source, 'n') AS skey FROM documents),
+ SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), coalesce(md5(text), 'null'))) AS digest, coalesce('s' || source, 'n') AS skey FROM documents),
 totals AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM sized GROUP BY skey),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM totals),
 weighted AS (SELECT *, CASE no % {n} {weight} END AS weight, source_size * {mixing.MAX_EPOCHS} AS cap, sum(source_size) OVER () * {mixing.SHARE} AS goal FROM ranked),
@@ -115,8 +115,8 @@ SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, array_to
 def shards_sql() -> str:
     """Quantiles, the curve step by step (one subquery a bit and dimension), ranks; CRC by its table."""
     bits, dims = sharding.BITS, ("lang", "source", "size")
-    parts = "[" + ", ".join(str(i / 2**bits) for i in range(1, 2**bits)) + "]"
-    number = {c: f"('0x' || rpad(substr(hex(encode({c})), 1, 14), 14, '0'))::BIGINT::DOUBLE" for c in ("lang", "source")} | {"size": "size::DOUBLE"}
+    passed = lambda upto: f"least(({upto}) * {2**bits} // all_, {2**bits - 1})"
+    points = lambda c: f"SELECT coalesce(list(v), []) FROM (SELECT v, n, sum(n) OVER (ORDER BY v)::BIGINT AS upto, sum(n) OVER ()::BIGINT AS all_ FROM (SELECT {c} AS v, count(*) AS n FROM meta WHERE {c} IS NOT NULL GROUP BY 1)) WHERE {passed('upto')} > {passed('upto - n')}"
     step = "c"
     for _ in range(8):
         step = f"list_transform({step}, lambda v: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END)"
@@ -138,11 +138,11 @@ def shards_sql() -> str:
     for b in range(bits - 1, 0, -1):
         curve = f"SELECT * REPLACE (CASE WHEN x{n - 1} & {2**b} <> 0 THEN xor(tw, {2**b - 1}) ELSE tw END AS tw) FROM ({curve})"
     digits = " + ".join(f"((xor(x{i}, tw) >> {b}) & 1) * {2 ** (b * n + n - 1 - i)}" for b in range(bits) for i in range(n))
-    cut = lambda i, c: f"len(list_filter(q{i}, lambda q: coalesce({number[c]} > q, false)))"
+    cut = lambda i, c: f"len(list_filter(q{i}, lambda q: coalesce({c} > q, false)))"
     return f"""WITH crc_table AS (SELECT {table} AS tab),
 meta AS (SELECT doc_id, lang, source, t, h, octet_length(encode(t)) + 1 AS size FROM (SELECT *, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents)),
 sums AS (SELECT *, CASE WHEN t = '' THEN 0 ELSE {crc} END AS text_crc32 FROM meta CROSS JOIN crc_table),
-cuts AS (SELECT {', '.join(f'list_distinct(quantile_disc({number[c]}, {parts})) AS q{i}' for i, c in enumerate(dims))} FROM meta),
+cuts AS (SELECT {', '.join(f'({points(c)}) AS q{i}' for i, c in enumerate(dims))}),
 cells AS (SELECT doc_id, size, text_crc32, {", ".join(f"{cut(i, c)} AS c{i}" for i, c in enumerate(dims))} FROM sums CROSS JOIN cuts),
 placed AS (SELECT doc_id, size, text_crc32, {digits} AS hilbert, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS d FROM ({curve})),
 ranked AS (SELECT *, row_number() OVER (ORDER BY hilbert, d, doc_id, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM placed),

@@ -4,17 +4,17 @@ Several metadata columns are quantised to ``bits`` bits each, the quantised poin
 the rows, and the order is cut into runs of equal row counts.  A run then covers a compact region of the metadata
 space, so that the files' min/max statistics prune on any of the columns.
 
-Quantising.  A column becomes a number in its own order (strings: their first bytes), and the cells are cut at its
-approximate quantiles, at most 2**bits - 1 numbers a column; those are all that the driver sees.
+Quantising.  A column's values, numbers or whole strings, are cut to cells at its exact quantiles: its distinct values are
+counted, sorted in range partitions and summed up, and at most 2**bits - 1 of them a column come to the driver.
 
 Order without a global sort.  The sort key is (curve index, digest of the id).  Counts of the key's leading bits
-(1024 cells, each split again by further bits of the curve and 6 bits of the digest) give every cell's offset by two
+(1024 cells, each split again by further bits of the curve and bits of the digest) give every cell's offset by two
 small windows; a row's rank is its cell's offset plus its number within the cell.  A hot point of the metadata space is
-split by the digest's bits, so no task gets all its rows.
+split by the digest's bits, 6 of them or as many as leave ``CELL_ROWS`` rows a cell even if all rows are one point.
 
-Cases.  Null metadata: the lowest cell.  Null text: no bytes, CRC 0.  Ties: rows with equal key order by id, size and
+Cases.  Null metadata: the lowest cell.  Null text: no bytes, CRC 0.  Very long texts: only their bytes are counted.  Ties: rows with equal key order by id, size and
 CRC; rows equal in all of these are interchangeable.  Empty table: no rows.  Fewer rows than shards: some shards are
-empty.  Extra columns are kept; one named like an output column is replaced.
+empty.  Extra columns are kept; one named like an output column, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +24,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.shared import cut
+
 BITS = 5
 DIMENSIONS = ("lang", "source", "text")
 N_SHARDS = 8
 _DIGEST_BITS, _HASH_BITS = 60, 6
 _TOP_BITS = 10
+CELL_ROWS = 1 << 20
 
 
 def text_size(text: str = "text") -> Column:
@@ -69,23 +72,30 @@ def hilbert_index(cells: Sequence[str], bits: int) -> Column:
     return F.expr(f"transform(array({final}), p -> {digits})[0]")
 
 
-def _ordered(docs: DataFrame, column: str, size_of: str | None) -> Column:
-    """The column as a number in the same order: UTF-8 bytes of the text column, the first 7 bytes of other strings, or the number itself."""
-    if column == size_of:
-        return F.octet_length(F.col(column)).cast("double")
-    if dict(docs.dtypes)[column] == "string":
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("double")
-    return F.col(column).cast("double")
+def _value(column: str, text: str | None) -> Column:
+    """The column, or the bytes of the text column."""
+    return F.octet_length(F.col(column)) if column == text else F.col(f"`{column}`")
+
+
+def cut_points(docs: DataFrame, value: Column, bits: int) -> list:
+    """The distinct values at the exact 1/2**bits, 2/2**bits, ... quantiles: the least that have so much of the rows at or below them."""
+    counts = docs.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts.orderBy("v").withColumn("part", F.spark_partition_id()), "shard-values")
+    sums = counts.groupBy("part").agg(F.sum("n").alias("rows"))  # a row for each range partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"), F.sum("rows").over(Window.partitionBy()).alias("all"))
+    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.join(F.broadcast(sums), "part").withColumn("upto", F.col("offset") + F.sum("n").over(within))
+    passed = lambda upto: F.expr(f"least(({upto}) * {2**bits} div all, {2**bits - 1})")
+    return sorted(r.v for r in placed.where(passed("upto") > passed("upto - n")).select("v").collect())
 
 
 def quantised(docs: DataFrame, dimensions: Sequence[str], bits: int, text: str | None) -> DataFrame:
-    """Adds ``__c0``, ``__c1``, ...: the cells of the dimensions.  Two runs over the metadata columns; the driver gets their cut points."""
-    numbers = [_ordered(docs, c, text) for c in dimensions]
-    parts = [i / 2**bits for i in range(1, 2**bits)]
-    found = docs.agg(*[F.percentile_approx(x, F.array(*map(F.lit, parts)), 10_000).alias(f"q{i}") for i, x in enumerate(numbers)]).first()
-    for i, x in enumerate(numbers):
-        cuts = sorted(set(found[i] or ()))
-        cell = sum(((x > c).cast("int") for c in cuts), F.lit(0)) if cuts else F.lit(0)
+    """Adds ``__c0``, ``__c1``, ...: the cells of the dimensions.  A run over each metadata column; the driver gets its cut points."""
+    for i, c in enumerate(dimensions):
+        value = _value(c, text)
+        cuts = cut_points(docs, value, bits)
+        cell = sum(((value > F.lit(x)).cast("int") for x in cuts), F.lit(0))
         docs = docs.withColumn(f"__c{i}", F.coalesce(cell, F.lit(0)).cast("int"))
     return docs
 
@@ -96,9 +106,9 @@ def id_digest(doc_id: str) -> Column:
     return F.conv(F.substring(digest, 1, _DIGEST_BITS // 4), 16, 10).cast("long")
 
 
-def salt(digest: str) -> str:
-    """The digest's first ``_HASH_BITS`` bits, as SQL."""
-    return f"shiftrightunsigned({digest}, {_DIGEST_BITS - _HASH_BITS})"
+def salt(digest: str, bits: int = _HASH_BITS) -> str:
+    """The digest's first bits, as SQL."""
+    return f"shiftrightunsigned({digest}, {_DIGEST_BITS - bits})"
 
 
 def hilbert_shards(docs: DataFrame, *, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS, n_shards: int = N_SHARDS, doc_id: str = "doc_id", text: str | None = "text", ties: Sequence[str] = ()) -> DataFrame:
@@ -108,11 +118,13 @@ def hilbert_shards(docs: DataFrame, *, dimensions: Sequence[str] = DIMENSIONS, b
     """
     total = bits * len(dimensions)
     low = max(0, total - _TOP_BITS)
-    columns = [c for c in docs.columns if c not in ("hilbert", "shard", "slot")]
+    columns = [c for c in docs.columns if c.lower() not in ("hilbert", "shard", "slot")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
+    hashed = max(_HASH_BITS, (docs.count() // CELL_ROWS).bit_length())
     keyed = quantised(docs, dimensions, bits, text).withColumn("hilbert", hilbert_index([f"__c{i}" for i in range(len(dimensions))], bits))
     keyed = keyed.withColumn("__h", id_digest(doc_id))
     keyed = keyed.withColumn("__a", F.expr(f"cast(shiftright(hilbert, {low}) as int)"))
-    keyed = keyed.withColumn("__b", F.expr(f"cast(shiftleft(hilbert & {2**low - 1}, {_HASH_BITS}) | {salt('__h')} as int)"))
+    keyed = keyed.withColumn("__b", F.expr(f"shiftleft(hilbert & {2**low - 1}, {hashed}) | {salt('__h', hashed)}"))
     counts = keyed.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n"))
     tops = counts.groupBy("__a").agg(F.sum("__n").alias("__n"))
     before = Window.orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)

@@ -63,8 +63,18 @@ def test_repeated_rows(docs_of):
 
 def test_rows_without_or_with_equal_ids(docs_of):
     docs = docs_of(["a b", "c d", "e f", "g"], ids=[None, None, 5, 5], sources=["x"] * 4)
-    out = [r.doc_id for r in mixing.repeated(docs, mixing.mix(docs)).collect()]
-    assert out.count(None) == 2 and out.count(5) in (2, 4)
+    mixed = mixing.mix(docs).collect()
+    out = [(r.doc_id, len(r.text)) for r in mixing.repeated(docs, mixing.mix(docs)).collect()]
+    assert sorted(out, key=repr) == sorted(((r.doc_id, 2 * r.size - 1) for r in mixed for _ in range(r.whole + r.extra)), key=repr)
+
+
+def test_equal_rows_share_their_extra_repetitions(docs_of):
+    docs = docs_of(["a b c"] * 60 + ["x " * 30] * 7, ids=[None] * 60 + [3] * 7, sources=["a"] * 60 + ["b"] * 7)
+    mixed = mixing.mix(docs).collect()
+    out = [r.source for r in mixing.repeated(docs, mixing.mix(docs)).collect()]
+    for s in "ab":
+        assert out.count(s) == sum(r.whole + r.extra for r in mixed if r.source == s)
+    assert mixing.repeated(docs.limit(0), mixing.mix(docs.limit(0))).count() == 0
 
 
 def test_query_equals_sql(spark):

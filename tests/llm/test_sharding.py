@@ -1,5 +1,6 @@
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,38 @@ def test_null_ids(docs_of):
     check(sharding.hilbert_shards(docs_of(["a", "b", None], ids=[None, 1, None])).collect(), 3)
 
 
+def test_cut_points_are_exact_at_any_number_of_values(spark):
+    values = [(i * 7919) % 30_011 for i in range(30_011)] + [5] * 9_000
+    for kind, made in (("long", values), ("string", [f"https://host/{v:06d}" for v in values])):
+        table = spark.createDataFrame([(v,) for v in made] + [(None,)] * 50, f"v {kind}").repartition(9)
+        ordered = sorted(made)
+        want = sorted({ordered[-(-i * len(ordered) // 32) - 1] for i in range(1, 32)})
+        assert sharding.cut_points(table, F.col("v"), 5) == want
+
+
+def test_strings_count_by_their_whole_value(docs_of):
+    docs = docs_of(["t"] * 640, sources=[f"https://example.org/{i % 32:02d}" for i in range(640)])
+    rows = sharding.quantised(docs, ("source",), 5, None).collect()
+    assert len({r["__c0"] for r in rows}) == 32 and all((a.source < b.source) <= (a["__c0"] < b["__c0"]) for a in rows[:40] for b in rows)
+
+
+def test_hot_points_are_split_further_in_large_tables(docs_of, monkeypatch):
+    docs = docs_of(["same"] * 400, extra=True).selectExpr("*").withColumnRenamed("shard", "Shard")
+    monkeypatch.setattr(sharding, "CELL_ROWS", 1)
+    out = sharding.hilbert_shards(docs)
+    assert [c for c in out.columns if c.lower() == "shard"] == ["shard"]
+    check(out.collect(), 400)
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op4_hilbert_shards"])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(tuple, queries.op4_hilbert_shards(spark, sf).select(columns).collect())) == sorted(want.fetchall())
+
+
 def test_query_and_pruning(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op4_hilbert_shards(spark, sf).collect()
