@@ -1,22 +1,36 @@
 """A corpus pipeline of five stages: language ID, near-duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs.  All but the last return the columns of ``documents``.
+one's docs.  All but the last return the columns of their input, extra ones too, whatever their names; the last replaces
+columns named like its own.
+
+Cases.  Null text, or one without a letter: its language can't be told, and ``language`` drops it; a later stage by itself
+keeps it as a text of its own, but ``mix`` takes no document without words.  Null doc_id: kept by all stages.  Repeated
+rows: ``near_duplicates`` keeps one.  One id with several texts: each text is judged by itself.  Null lang: not learned
+from.  Null source: a source of its own.  Ties: see the operators.  Empty table: no rows.  Very long texts: whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontamination, langid, mixing, neardup, sharding
 from strandloom.llm.shared import cut, table
 
 
+def _kept(docs: DataFrame, judge: Callable[[DataFrame, dict[str, str]], DataFrame], good: Column) -> DataFrame:
+    """Rows that ``judge`` finds good; it works on columns of other names, given by their old ones, as it may add columns of any name."""
+    names = {c: f"__in{i}" for i, c in enumerate(docs.columns)}
+    return judge(docs.toDF(*names.values()), names).where(good).select(*[F.col(v).alias(k) for k, v in names.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart by a margin stay; the model is fitted on the stage's own input."""
-    found = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return found.where(~F.col("rejected")).select(docs.columns)
+    model = langid.fit(docs)
+    return _kept(docs, lambda d, names: langid.predict(d, model, keep=tuple(d.columns), text=names["text"]), ~F.col("rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of ``benchmark`` stay."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("hits") == 0).select(docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return _kept(docs, lambda d, names: decontamination.decontaminate(d, items, keep=tuple(d.columns), text=names["text"]), F.size("hits") == 0)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +56,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
-#: Compression, sketches and transducers are not SQL; the pipeline is tested against brute force.
+#: Compression and sketches are not SQL; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 

@@ -8,8 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from strandloom.llm import components, embedding, neardup, warc
+from strandloom.llm import components, embedding, mixing, neardup, warc
 from strandloom.llm.shared import Sets
 
 
@@ -300,3 +301,46 @@ def test_pipeline(spark):
     assert got == times
     shards = [sum(r.shard == k for r in out) for k in range(8)]
     assert max(shards) - min(shards) <= 1 and {tuple(r)[:5] for r in out} <= {tuple(r) for r in kept.collect()}
+
+
+@pytest.fixture
+def odd(docs_of):
+    """Documents of every odd kind, with extra columns whose names clash with those that stages make."""
+    rng = random.Random(31)
+    en = lambda n: " ".join(rng.choice("the of and to in that was with for house water light over under again people".split()) for _ in range(n))
+    de = lambda n: " ".join(rng.choice("der die das und nicht auch haus wasser licht wieder leute durch werden".split()) for _ in range(n))
+    plain = [(i, (en if i % 2 else de)(60), "en" if i % 2 else "de", f"s{i % 3}") for i in range(40)]
+    item = "the river crossed seven bridges before noon. nobody counted twelve lanterns"
+    more = [(None, en(50), "en", None), (None, de(50), None, "s1"), (7, en(45), "en", "s0"), (7, plain[7][1], "en", "s0"), (50, None, "en", "s0"), (51, "", "de", None), (52, "12 !!", None, "s2"), (53, en(40_000), "en", "s2"), (54, f"{en(30)} {item} {en(30)}", "en", "s1"), (55, plain[3][1], "en", "s1")]
+    rows = [(k, t, a, s, len(t or "")) for k, t, a, s in plain + more]
+
+    def make(spark):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        for c in ("rejected", "score", "hits", "__digest", "digest", "size", "taken", "Hilbert", "lang_pred", "whole", "extra"):
+            df = df.withColumn(c, F.lit("x"))
+        return df
+
+    return make, rows, item
+
+
+def test_stages_keep_columns_and_odd_rows(spark, odd, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    make, rows, item = odd
+    spark.createDataFrame([(1, item), (None, "entirely other words stand here. none match")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make(spark)
+    of = lambda df: sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect()))
+    everything = sorted((k is None, k or 0, t or "") for k, t, *_ in rows)
+    out = {name: stage(spark, docs, str(tmp_path)) for name, stage in pipeline.STAGES}
+    for name in ("language", "near_duplicates", "decontaminate", "mix"):
+        assert out[name].columns == docs.columns and out[name].where("rejected <> 'x' or hits <> 'x' or size <> 'x'").count() == 0
+    assert of(out["language"]) == [x for x in everything if x[1] not in (50, 51, 52)]
+    assert of(out["near_duplicates"]) == sorted(set(everything) - {(False, 55, rows[3][1])})
+    assert of(out["decontaminate"]) == [x for x in everything if x[1] != 54]
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id, r.size] = taken.get((r.doc_id, r.size), 0) + r.whole + r.extra
+    got = Counter((r.doc_id, len((r.text or "").split())) for r in out["mix"].collect())
+    assert got == {k: n for k, n in taken.items() if n}
+    assert out["shard"].count() == len(rows) and [c for c in out["shard"].columns if c.lower() == "hilbert"] == ["hilbert"]
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
