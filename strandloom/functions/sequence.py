@@ -56,12 +56,12 @@ def forward_stop(strand: Column, t_start: Column, end: Column, host_len: Column)
 
 def translate_gene(seq: Column, table: int = 11, partial5: Column | None = None) -> Column:
     """The protein of a gene: the first codon is M unless the gene is partial there; null if a codon is ambiguous."""
-    pairs = [F.lit(x) for pair in sorted(codes.amino_acids(table).items()) for x in pair]
-    aa = F.transform(codons(F.upper(seq)), lambda c: F.create_map(*pairs)[c])
-    body = F.array_join(aa, "")
-    whole = F.when(~F.exists(aa, lambda a: a.isNull()), body)
-    first_m = F.when(F.length(body) > 0, F.concat(F.lit("M"), F.substring(whole, F.lit(2), F.length(whole)))).otherwise(whole)
-    return first_m if partial5 is None else F.when(partial5, whole).otherwise(first_m)
+    pairs = F.create_map(*[F.lit(x) for pair in sorted(codes.amino_acids(table).items()) for x in pair])
+    aa = F.transform(codons(F.upper(seq)), lambda c: F.coalesce(pairs[c], F.lit("?")))
+    begun = lambda b: F.when(F.length(b) > 0, F.concat(F.lit("M"), F.substring(b, F.lit(2), F.length(b)))).otherwise(b)
+    shown = lambda b: begun(b) if partial5 is None else F.when(partial5, b).otherwise(begun(b))
+    # a list of one, so that the protein is made once and not wherever it is named
+    return F.transform(F.array(F.array_join(aa, "")), lambda b: F.when(~F.contains(b, F.lit("?")), shown(b)))[0]
 
 
 def wrap(text: Column, width: int = 80) -> Column:

@@ -18,6 +18,8 @@ from strandloom.functions import codes
 
 SIZES = (9, 36, 144, 576)
 DIM = sum(SIZES[:3])
+#: Bases that are counted in one numpy pass.
+PASS_BASES = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -50,8 +52,49 @@ def encode(seq: str, orders: int = 3, compat: bool = False) -> np.ndarray:
     return np.concatenate(out) * (3.0 / n if n else 0.0)
 
 
+@lru_cache(maxsize=1)
+def _codes() -> np.ndarray:
+    """Place in A, G, C, T of each byte, 4 for other symbols."""
+    out = np.full(256, 4, np.uint8)
+    for i, letters in enumerate(("Aa", "Gg", "Cc", "TtUu")):
+        for c in letters:
+            out[ord(c)] = i
+    return out
+
+
+def _counted(raw: np.ndarray, sizes: np.ndarray, orders: int) -> np.ndarray:
+    """Vectors of sequences without ambiguous symbols, given as places in A, G, C, T one after the other: all k-mers are counted at once."""
+    n, ends = len(sizes), np.cumsum(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    place = np.arange(len(raw)) - np.repeat(ends - sizes, sizes)
+    step = np.array([[1 if b in axis else -1 for axis in codes.Z_AXES.values()] for b in "AGCT"], float)
+    key, out = owner * 3 + place % 3, []
+    for order in range(orders):
+        key = key[: len(raw) - order] if order else key
+        key = key * 4 + raw[order:]
+        whole = place[: len(key)] + order < sizes[owner[: len(key)]]
+        cells = np.bincount(key[whole], minlength=n * 3 * 4 ** (order + 1)).reshape(n, -1, 4)
+        out.append((cells @ step).reshape(n, -1))
+    return np.concatenate(out, axis=1) * (3.0 / np.maximum(sizes, 1))[:, None]
+
+
 def encode_many(seqs: list[str], orders: int = 3, compat: bool = False) -> np.ndarray:
-    return np.stack([encode(s or "", orders, compat) for s in seqs]) if seqs else np.zeros((0, sum(SIZES[:orders])))
+    """The vectors of sequences; those with ambiguous symbols are taken one by one."""
+    out = np.zeros((len(seqs), sum(SIZES[:orders])))
+    table, held, rows, size = _codes(), [], [], 0
+    for i, s in enumerate([*seqs, None]):
+        if size and (s is None and i == len(seqs) or size > PASS_BASES):
+            out[rows] = _counted(np.concatenate(held).astype(np.int64), np.fromiter(map(len, held), np.int64, len(held)), orders)
+            held, rows, size = [], [], 0
+        if s:
+            raw = table[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
+            if raw.max() < 4:
+                held.append(raw)
+                rows.append(i)
+                size += len(raw)
+            else:
+                out[i] = encode(s, orders, compat)
+    return out
 
 
 def zcurve(orders: int = 3, compat: bool = False):
@@ -68,6 +111,22 @@ def _axis_sign(base: Column, axis: str) -> Column:
     return F.when(base.isin(*codes.Z_AXES[axis]), 1).when(base.isin("A", "C", "G", "T"), -1).otherwise(0)
 
 
+def with_mono(rows: DataFrame, seq: str = "seq", compat: bool = False) -> DataFrame:
+    """Adds ``z``, an array of the nine mononucleotide values (phase, axis), by built-in expressions only."""
+    thirds = [F.regexp_replace(F.substring(F.col(seq), F.lit(p + 1), F.length(seq)), "(?s)(.).{0,2}", "$1").alias(f"__t{p}") for p in range(3)]
+    rows = rows.select("*", *thirds, (~F.col(seq).rlike("[^ACGTUacgtu]")).alias("__clean"))
+    values = []
+    for p in range(3):
+        own = F.col(f"__t{p}")
+        for a, axis in enumerate(codes.Z_AXES):
+            minus = "".join(b + b.lower() + ("Uu" if b == "T" else "") for b in "ACGT" if b not in codes.Z_AXES[axis])
+            fast = 2 * F.length(F.translate(own, minus, "")) - F.length(own)
+            steps = F.create_map(*[F.lit(x) for s in codes.MEANS for x in (s, float(codes.z_coordinates(s, compat)[a]))])
+            slow = F.aggregate(F.split(F.upper(own), ""), F.lit(0.0), lambda t, b: t + F.coalesce(steps[b], F.lit(0.0)))  # noqa: B023
+            values.append(F.when(F.col("__clean"), fast.cast("double")).otherwise(slow) * 3.0 / F.greatest(F.length(seq), F.lit(1)))
+    return rows.withColumn("z", F.array(*values)).drop("__t0", "__t1", "__t2", "__clean")
+
+
 def mono_sums(seqs: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """keys, len and the nine integer sums zx0, zy0, zz0, zx1, ... of A, C, G, T sequences, by built-in expressions only."""
     out = seqs.select(*keys, F.length(seq).alias("len"), F.posexplode(F.split(F.col(seq), "")).alias("i", "b"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.operators import overlap as O
+from strandloom.operators import ranks
 
 PROGRAM = "strandloom"
 ORDER = ("name", "stop", "start", "strand")
@@ -19,15 +20,9 @@ def with_coordinates(orfs: DataFrame) -> DataFrame:
 
 
 def with_ordinals(genes: DataFrame) -> DataFrame:
-    """Adds ``ordinal`` in the order of scaffold name and right end, counted through all scaffolds.
-
-    A number is the count of genes of the scaffold names ahead plus the place within the name, so the only window that
-    sees all scaffolds has one row for each name.
-    """
-    counts = genes.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    ahead = counts.select("name", F.coalesce(F.sum("n").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    """Adds ``ordinal`` in the order of scaffold name and right end, counted through all scaffolds: the genes of the names ahead plus the place within the name."""
     place = F.row_number().over(Window.partitionBy("name").orderBy(*ORDER))
-    return genes.join(ahead, "name").withColumn("ordinal", F.col("__ahead") + place).drop("__ahead")
+    return genes.join(ranks.ahead(genes, "name"), "name").withColumn("ordinal", F.col("ahead") + place).drop("ahead")
 
 
 def _score() -> Column:
@@ -114,8 +109,7 @@ def genes_of_pairs(pairs: DataFrame, genes: DataFrame) -> DataFrame:
 def overprint_lines(pairs: DataFrame) -> DataFrame:
     """ordinal, line: an index line and two GFF3 rows for each pair of ``overprint_pairs``."""
     keys = ("a_name", "strand", "a_start", "a_end", "b_start", "b_end")
-    counts = pairs.groupBy("a_name").agg(F.count(F.lit(1)).alias("n"))
-    ahead = counts.select("a_name", F.coalesce(F.sum("n").over(Window.orderBy("a_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    placed = pairs.join(ahead, "a_name").withColumn("ordinal", F.col("__ahead") + F.row_number().over(Window.partitionBy("a_name").orderBy(*keys)))
+    place = F.row_number().over(Window.partitionBy("a_name").orderBy(*keys))
+    placed = pairs.join(ranks.ahead(pairs, "a_name"), "a_name").withColumn("ordinal", F.col("ahead") + place)
     row = lambda s: F.concat_ws("\t", f"{s}_name", F.lit(PROGRAM), F.lit("CDS"), F.col(f"{s}_left").cast("string"), F.col(f"{s}_right").cast("string"), F.format_string("%.3f", F.col(f"{s}_score").cast("double")), "strand", F.lit("0"), F.lit("."))
     return placed.select("ordinal", F.concat(F.lit("# index="), F.format_string("%04d", F.col("ordinal")), F.lit(";type="), "type", F.lit("\n"), row("a"), F.lit("\n"), row("b")).alias("line"))

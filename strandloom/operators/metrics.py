@@ -33,3 +33,9 @@ def classifier_metrics(pairs: DataFrame, truth: str = "truth", said: str = "said
     c = pairs.agg(F.count_if(t & s).alias("tp"), F.count_if(~t & s).alias("fp"), F.count_if(t & ~s).alias("fn"), F.count_if(t == s).alias("good"), F.count(F.lit(1)).alias("n"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select("tp", "fp", "fn", _part(F.col("good"), F.col("n")).alias("accuracy"), _part(tp, tp + fp).alias("precision"), _part(tp, tp + fn).alias("recall"), _part(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def kernel_gamma(cells: DataFrame) -> DataFrame:
+    """One row: half of one over features times the variance of all scaled values, the kernel's default width."""
+    found = minmax_scaled(cells).agg(F.var_pop("scaled").alias("v"), F.max("feature").alias("n"))
+    return found.select((0.5 / (F.col("n") * F.greatest(F.col("v"), F.lit(1e-9)))).alias("gamma"))

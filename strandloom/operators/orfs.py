@@ -26,10 +26,11 @@ KEYS = ("scaffold_id", "strand", "phase")
 
 
 def strands(scaffolds: DataFrame, compat: bool = False) -> DataFrame:
-    """scaffold_id, strand, seq, host_len: each scaffold and its reverse complement, upper case.  Null sequences go."""
+    """scaffold_id, strand, seq, host_len: each scaffold and its reverse complement, upper case.  Null sequences go; a column ``length`` is taken for theirs."""
     seq = F.upper("sequence")
     both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), seq.alias("seq")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(seq, compat).alias("seq"))))
-    return scaffolds.where(F.col("sequence").isNotNull()).select("scaffold_id", both.alias("s")).select("scaffold_id", "s.strand", "s.seq", F.length("s.seq").alias("host_len"))
+    size = F.col("length").cast("int") if "length" in scaffolds.columns else F.length("sequence")  # a stored length lets scans skip by it
+    return scaffolds.where(F.col("sequence").isNotNull()).select("scaffold_id", size.alias("host_len"), both.alias("s")).select("scaffold_id", "s.strand", "s.seq", "host_len")
 
 
 def tiles(stranded: DataFrame, tile: int = TILE) -> DataFrame:
@@ -63,7 +64,7 @@ def codon_events(stranded: DataFrame, table: int = 11, starts: tuple[str, ...] |
     return _events(stranded, table, starts, stops, tile).drop("tile", "i")
 
 
-def frame_groups(events: DataFrame, with_starts: bool = False) -> DataFrame:
+def frame_groups(events: DataFrame, with_starts: bool = False, patience: int = PATIENCE) -> DataFrame:
     """One row for each run of events up to a stop: longest and first ATG start, stop, length, and the refined start."""
     before = Window.partitionBy(*KEYS).orderBy(*(("tile", "i") if "i" in events.columns else ("pos",))).rowsBetween(Window.unboundedPreceding, -1)
     run = events.withColumn("grp", F.coalesce(F.sum(F.col("is_stop").cast("int")).over(before), F.lit(0)))
@@ -76,7 +77,7 @@ def frame_groups(events: DataFrame, with_starts: bool = False) -> DataFrame:
         F.min(F.when(F.col("is_start"), pos)).alias("longest"), F.min(F.when(F.col("is_start") & (F.col("start_type") == 0), pos)).alias("atg"),
         F.max(F.when(F.col("is_stop"), pos)).alias("stop"), F.first("host_len").alias("host_len"), *extra,
     )
-    refined = F.when(F.col("atg") - F.col("longest") <= PATIENCE, F.col("atg")).otherwise(F.col("longest"))
+    refined = F.when(F.col("atg") - F.col("longest") <= patience, F.col("atg")).otherwise(F.col("longest"))
     return out.withColumn("refined", refined)
 
 
@@ -121,12 +122,12 @@ def circular_orfs(groups: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     return rest.unionByName(wrapped.select(_columns(groups))).unionByName(open_end.select(_columns(groups)))
 
 
-def find_orfs(scaffolds: DataFrame, table: int = 11, min_length: int = MIN_LENGTH, circular: bool = False, with_starts: bool = False, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None) -> DataFrame:
+def find_orfs(scaffolds: DataFrame, table: int = 11, min_length: int = MIN_LENGTH, circular: bool = False, with_starts: bool = False, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, patience: int = PATIENCE) -> DataFrame:
     """scaffold_id, strand, phase, host_len, t_start, end, len, partial5, partial3 (and starts, types) of all open reading frames.
 
-    Positions are 0-based on the strand itself; ``end`` is exclusive, holds the stop codon, and is below ``t_start`` around a circular origin.
+    ``patience``: an ATG up to so many bases behind the first start is preferred.  Positions are 0-based on the strand itself; ``end`` is exclusive, holds the stop codon, and is below ``t_start`` around a circular origin.
     """
-    groups = frame_groups(_events(strands(scaffolds), table, starts, stops), with_starts)
+    groups = frame_groups(_events(strands(scaffolds), table, starts, stops), with_starts, patience)
     # The circular rules read the groups several times; they are written once, as the sequences behind them are far larger.
     return circular_orfs(cut(groups, "groups"), min_length) if circular else linear_orfs(groups, min_length)
 
@@ -138,16 +139,19 @@ def attach(rows: DataFrame, scaffolds: DataFrame, spans: Column, name: str, tile
     """
     stranded = strands(scaffolds)
     spanned = rows.withColumn("__spans", spans)
-    pieces = F.transform("__spans", lambda s: F.substring(F.col("__seq"), s["a"] + 1, s["b"] - s["a"]))
+    pieces = F.transform("__spans", lambda s: S.slice_bytes(F.col("__seq"), s["a"], F.greatest(s["b"] - s["a"], F.lit(0))))
+    empty = ~F.exists("__spans", lambda s: s["b"] > s["a"])
     side = stranded.where(F.col("host_len") <= tile).select("scaffold_id", "strand", F.col("seq").alias("__seq"))
-    short = spanned.where(F.col("host_len") <= tile).join(side, ["scaffold_id", "strand"]).withColumn(name, F.array_join(pieces, ""))
-    parts = spanned.where(F.col("host_len") > tile).select(*rows.columns, F.posexplode("__spans").alias("__part", "__s"))
+    short = spanned.where((F.col("host_len") <= tile) | empty).join(side, ["scaffold_id", "strand"], "left").withColumn(name, F.when(empty, "").otherwise(F.array_join(pieces, "")))
+    parts = spanned.where((F.col("host_len") > tile) & ~empty).select(*rows.columns, F.posexplode("__spans").alias("__part", "__s"))
     parts = parts.where(F.col("__s")["b"] > F.col("__s")["a"]).select("*", F.explode(F.sequence((F.col("__s")["a"] / tile).cast("int"), ((F.col("__s")["b"] - 1) / tile).cast("int"))).alias("tile"))
     first = F.greatest(F.col("__s")["a"] - F.col("tile") * tile, F.lit(0))
     last = F.least(F.col("__s")["b"] - F.col("tile") * tile, F.lit(tile))
     tiled = tiles(stranded.where(F.col("host_len") > tile), tile).select("scaffold_id", "strand", "tile", "piece")
     parts = parts.join(tiled, ["scaffold_id", "strand", "tile"]).withColumn("__x", F.struct("__part", "tile", S.slice_bytes(F.col("piece"), first, last - first).alias("s")))
-    long = parts.groupBy(*rows.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list("__x")), lambda x: x["s"]), "").alias(name))
+    # equal rows are one group, which has each piece as often as there are rows
+    long = parts.groupBy(*rows.columns).agg(F.array_sort(F.collect_set("__x")).alias("__x"), F.count(F.lit(1)).alias("__n"))
+    long = long.withColumn(name, F.array_join(F.transform("__x", lambda x: x["s"]), "")).withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("__n") / F.size("__x")).cast("int"))))
     return short.select(*rows.columns, name).unionByName(long.select(*rows.columns, name))
 
 

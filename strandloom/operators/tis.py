@@ -1,17 +1,22 @@
 """Translation start sites: position-specific Markov profiles of true, downstream-false and upstream-false starts.
 
 A profile has, for each of 65 places around a start (50 upstream, 15 on), the conditional log-probability of a base after
-``order`` bases.  Training is a grouped count over exploded windows; scoring looks k-mers up in the pivoted profile table
-(at most 65 x 64 rows, broadcast) and sums by candidate; the best candidate is an arg-max.
+``order`` bases.  Training is a grouped count over exploded windows; scoring is a narrow pass over frames: a candidate's window is
+summed up in the profiles (at most 65 x 65 numbers each, sent with the function), and the best candidate is an arg-max of the frame's list.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.functions import codes
 from strandloom.functions import sequence as S
@@ -21,6 +26,9 @@ SAMPLE_LENGTH = 300
 SEED_SCORE, SEED_LENGTH = 0.6, 300
 FALSE_REACH = 150
 PROFILES = ("T", "D", "U")
+LOGS = "profile string, row int, kmer string, cnt long, logp double, prior double"
+#: Windows that are scored in one numpy pass.
+PASS_WINDOWS = 20_000
 #: Where a model can't be trained: expected numbers of false starts and candidates (fixed values).
 DEFAULT_FU, DEFAULT_FD, DEFAULT_ALTER = 0.83118, 5.16882, 7
 
@@ -42,21 +50,25 @@ def _bases(begin: Column, n: int) -> Column:
 def windows(orfs: DataFrame, starts: tuple[str, ...], keys: list[str]) -> DataFrame:
     """keys, profile, start, window: the 65 bases around sampled starts of long frames; ``orfs`` has ctx and ctx_off (see ``with_context``), starts, t_start, len, host_len."""
     low, high = F.greatest(F.lit(UP), F.col("t_start") - FALSE_REACH), F.least(F.col("t_start") - 3, F.col("host_len") - DOWN)
-    own = F.transform("starts", lambda s: F.struct(s.alias("start"), F.lit(False).alias("up")))
-    up = F.transform(F.sequence(low, high - 1), lambda s: F.struct(s.cast("int").alias("start"), F.lit(True).alias("up")))
-    both = F.concat(own, F.when(low < high, up).otherwise(F.slice(own, 1, 0)))
-    rows = orfs.where(F.col("len") > SAMPLE_LENGTH).select(*keys, "host_len", "ctx", "ctx_off", "t_start", F.explode(both).alias("c"))
-    rows = rows.select(*keys, "host_len", "ctx", "ctx_off", "t_start", "c.start", "c.up").where((F.col("start") + DOWN <= F.col("host_len")) & (F.col("start") >= UP))
-    false = _bases(F.col("start"), 3).isin(*dict.fromkeys([*starts, "CTG"]))
-    profile = F.when(F.col("up"), F.when(false, "U")).when(F.col("start") == F.col("t_start"), "T").when(F.col("start") > F.col("t_start"), "D")
-    return rows.select(*keys, profile.alias("profile"), "start", _bases(F.col("start") - UP, UP + DOWN).alias("window")).where("profile is not null")
+    rows = orfs.where(F.col("len") > SAMPLE_LENGTH).select(*keys, "host_len", "ctx", "ctx_off", "t_start", "starts", low.alias("low"), high.alias("high"))
+    # the windows are cut before they become rows, so that no row carries its whole context
+    near = F.when(F.col("low") < F.col("high"), _bases(F.col("low") - UP, F.col("high") - F.col("low") - 1 + UP + DOWN))
+    rows = rows.withColumn("near", near)
+    own = F.filter("starts", lambda s: (s >= F.col("t_start")) & (s + DOWN <= F.col("host_len")) & (s >= UP))
+    own = F.transform(own, lambda s: F.struct(F.when(s == F.col("t_start"), "T").otherwise("D").alias("profile"), s.cast("int").alias("start"), S.slice_bytes(F.col("ctx"), s - UP - F.col("ctx_off"), F.lit(UP + DOWN)).alias("window")))
+    false = list(dict.fromkeys([*starts, "CTG"]))
+    up = F.filter(F.sequence(F.lit(0), F.col("high") - F.col("low") - 1), lambda k: F.substring(F.col("near"), k + UP + 1, F.lit(3)).isin(false))
+    up = F.transform(up, lambda k: F.struct(F.lit("U").alias("profile"), (F.col("low") + k).cast("int").alias("start"), F.substring(F.col("near"), k + 1, F.lit(UP + DOWN)).alias("window")))
+    found = F.when(F.col("near").isNotNull(), F.concat(own, up)).otherwise(own)
+    return rows.select(*keys, F.explode(found).alias("w")).select(*keys, "w.profile", "w.start", "w.window")
 
 
 def kmers(found: DataFrame, order: int) -> DataFrame:
     """The windows' k-mers of unambiguous bases, with their row (place)."""
-    rows = found.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(UP + DOWN - order - 1))))
-    rows = rows.withColumn("kmer", F.substring("window", F.col("row") + 1, F.lit(order + 1))).drop("window")
-    return rows.where(F.col("kmer").rlike("^[ACGT]+$"))
+    listed = F.transform(F.sequence(F.lit(0), F.lit(UP + DOWN - order - 1)), lambda r: F.struct(r.alias("row"), F.substring(F.col("window"), r + 1, F.lit(order + 1)).alias("kmer")))
+    mixed = F.col("window").rlike("[^ACGT]")
+    rows = found.withColumn("__mixed", mixed).withColumn("__k", F.explode(listed)).select("*", "__k.row", "__k.kmer")
+    return rows.where(~F.col("__mixed") | F.col("kmer").rlike("^[ACGT]+$")).drop("window", "__k", "__mixed")
 
 
 def profile_counts(found: DataFrame, order: int) -> DataFrame:
@@ -79,17 +91,38 @@ def profile_logs(counts: DataFrame, order: int) -> DataFrame:
     return counts.withColumn("logp", F.log(F.col("cnt") / total)).withColumn("prior", F.log(total / F.sum("cnt").over(row)))
 
 
+def default_logs(order: int = 2) -> list[dict]:
+    """A profile by rule, as ``profile_logs`` has them, for genomes without enough seeds: a ribosome binding site (A and G, most of all
+    5 to 12 bases ahead) and ATG for true starts, a third-base bias around starts within a gene, and even bases upstream."""
+
+    def share(profile: str, at: int) -> list[float]:
+        if UP <= at < UP + 3:
+            first = {"T": (0.8, 0.02, 0.13, 0.05), "D": (0.4, 0.02, 0.38, 0.2), "U": (0.34, 0.2, 0.23, 0.23)}[profile]
+            return list((first, (0.01, 0.01, 0.01, 0.97), (0.01, 0.01, 0.97, 0.01))[at - UP])
+        if profile == "T" and UP - 12 <= at < UP - 4:
+            return [0.4, 0.1, 0.4, 0.1]
+        if profile == "T" and at < UP:
+            return [0.32, 0.18, 0.2, 0.3]
+        if profile == "D" or profile == "T":
+            return [[0.27, 0.23, 0.33, 0.17], [0.3, 0.23, 0.18, 0.29], [0.22, 0.29, 0.25, 0.24]][(at - UP) % 3]
+        return [0.25] * 4
+
+    rows = []
+    for profile in PROFILES:
+        places = [dict(zip("ACGT", share(profile, at))) for at in range(UP + DOWN)]
+        for row in range(UP + DOWN - order):
+            for kmer in map("".join, product("ACGT", repeat=order + 1)):
+                prior = math.fsum(math.log(places[row + i][b]) for i, b in enumerate(kmer[:-1]))
+                rows.append({"profile": profile, "row": row, "kmer": kmer, "logp": math.log(places[row + order][kmer[-1]]), "prior": prior})
+    return rows
+
+
 def background(found: DataFrame) -> DataFrame:
     """base, cnt over upstream-false windows."""
     rows = found.where("profile = 'U'").select(F.explode(F.split("window", "")).alias("base"))
     return rows.where(F.col("base").isin(*"ACGT")).groupBy("base").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def background_of(counts: DataFrame) -> DataFrame:
-    """base, cnt from a profile's counts: the first bases of the upstream-false k-mers."""
-    return counts.where("profile = 'U'").groupBy(F.substring("kmer", 1, 1).alias("base")).agg(F.sum(F.col("cnt") - 1).alias("cnt"))
-
-
 def alter_params(bases: dict[str, int], table: int = 11) -> AlterParams:
     """From background counts: candidates as trials that end at a stop, geometric, until 99 % are covered."""
     total = sum(bases.values())
@@ -109,57 +142,93 @@ def alter_params(bases: dict[str, int], table: int = 11) -> AlterParams:
         n += 1
 
 
-def candidates(orfs: DataFrame, keys: list[str], max_alter: int, min_length: int) -> DataFrame:
-    """keys, start, window of the first ``max_alter`` starts whose window fits and whose gene stays long enough."""
-    fits = (F.col("start") + DOWN <= F.col("host_len")) & (F.col("start") >= UP) & (F.col("end") - F.col("start") >= min_length)
-    rows = orfs.select(*keys, "end", "host_len", "ctx", "ctx_off", F.explode(F.slice("starts", 1, max_alter)).alias("start"))
-    return rows.where(fits).select(*keys, "start", _bases(F.col("start") - UP, UP + DOWN).alias("window"))
-
-
-def pivoted(logs: DataFrame, order: int) -> DataFrame:
-    """row, kmer, t, d, u: log-probabilities of the three profiles, with the prior of the prefix added in row 0."""
-    value = F.col("logp") + (F.when(F.col("row") == 0, F.col("prior")).otherwise(0.0) if order else F.lit(0.0))
-    return logs.groupBy("row", "kmer").agg(*[F.max(F.when(F.col("profile") == p, value)).alias(p.lower()) for p in PROFILES])
-
-
-def scores(found: DataFrame, table: DataFrame, keys: list[str], order: int, params: AlterParams) -> DataFrame:
-    """keys, start, score of candidates: the probability that a candidate is the true start."""
-    summed = kmers(found, order).join(F.broadcast(table), ["row", "kmer"]).groupBy(*keys, "start").agg(F.sum("t").alias("t"), F.sum("d").alias("d"), F.sum("u").alias("u"))
-    value = 1.0 / (1.0 + F.exp(F.col("d") - F.col("t")) * params.false_down + F.exp(F.col("u") - F.col("t")) * params.false_up)
-    return summed.select(*keys, "start", value.alias("score"))
-
-
-def best_starts(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start: the best-scored start, the first of equals."""
-    return scored.groupBy(*keys).agg(F.max_by("start", F.struct(F.col("score"), -F.col("start"))).alias("start"))
-
-
-def apply_starts(orfs: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
-    """Moves t_start and len of frames that have a best start."""
-    out = orfs.join(best.withColumnRenamed("start", "__start"), keys, "left")
-    moved = F.coalesce("__start", "t_start")
-    return out.withColumn("len", (F.col("len") - (moved - F.col("t_start"))).cast("int")).withColumn("t_start", moved.cast("int")).drop("__start")
-
-
-def revise(orfs: DataFrame, keys: list[str], logs: DataFrame, order: int, params: AlterParams, min_length: int) -> DataFrame:
-    found = candidates(orfs, keys, params.max_alter, min_length)
-    return apply_starts(orfs, best_starts(scores(found, pivoted(logs, order), keys, order, params), keys), keys)
-
-
-def train(seeds: DataFrame, keys: list[str], starts: tuple[str, ...], table: int, min_length: int, max_iter: int, cut) -> tuple[DataFrame, AlterParams]:
-    """Profiles of order 2 and the parameters, by alternating training and revision for orders 0, 1, 2 until 99 % of the starts stay.
-
-    ``cut`` ends the lineage of a DataFrame (a checkpoint).  The driver sees four base counts and two totals a round.
+@dataclass(frozen=True)
+class Profiles:
+    """Log-probabilities of the profiles by place and k-mer, that of the first prefix in place 0; the last column, of zeros, is for ambiguous k-mers."""
+
+    order: int
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, logs: list, order: int) -> Profiles:
+        """From the rows of ``profile_logs``, a table of fixed size."""
+        out = np.zeros((len(PROFILES), UP + DOWN - order, 4 ** (order + 1) + 1))
+        for r in logs:
+            code = 0
+            for b in r["kmer"]:
+                code = code * 4 + "ACGT".index(b)
+            out[PROFILES.index(r["profile"]), r["row"], code] = r["logp"] + (r["prior"] if order and r["row"] == 0 else 0.0)
+        return cls(order, out)
+
+    def scores(self, windows: list[str], params: AlterParams) -> np.ndarray:
+        """The probability that each window's start is the true one."""
+        raw = np.frombuffer("".join(windows).encode("latin-1", "replace"), np.uint8).reshape(-1, UP + DOWN)
+        base = np.full(256, 4, np.int64)
+        base[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+        digit, places = base[raw], UP + DOWN - self.order
+        code, mixed = np.zeros((len(raw), places), np.int64), np.zeros((len(raw), places), bool)
+        for i in range(self.order + 1):
+            part = digit[:, i : i + places]
+            code, mixed = code * 4 + part, mixed | (part > 3)
+        code[mixed] = self.table.shape[2] - 1
+        t, d, u = (part[np.arange(places), code].sum(axis=1) for part in self.table)
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(d - t) * params.false_down + np.exp(u - t) * params.false_up)
+
+
+def scored(orfs: DataFrame, profiles: Profiles, params: AlterParams, min_length: int) -> DataFrame:
+    """Adds ``cands``, start and score of the first ``max_alter`` starts whose window fits and whose gene stays long enough: a narrow pass, no row for a candidate."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(windows: pd.Series) -> pd.Series:
+        sizes = [len(w) for w in windows]
+        flat = [x for w in windows for x in w]
+        found = np.concatenate([profiles.scores(flat[i : i + PASS_WINDOWS], params) for i in range(0, len(flat), PASS_WINDOWS)]) if flat else np.empty(0)
+        return pd.Series(np.split(found, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+
+    fits = lambda s: (s + DOWN <= F.col("host_len")) & (s >= UP) & (F.col("end") - s >= min_length)
+    listed = F.coalesce(F.filter(F.slice("starts", 1, params.max_alter), fits), F.slice(F.array(F.lit(0)), 1, 0))
+    rows = orfs.withColumn("__s", listed)
+    rows = rows.withColumn("__p", score(F.transform("__s", lambda s: S.slice_bytes(F.col("ctx"), s - UP - F.col("ctx_off"), F.lit(UP + DOWN)))))
+    return rows.withColumn("cands", F.arrays_zip(F.col("__s").alias("start"), F.col("__p").alias("score"))).drop("__s", "__p")
+
+
+def best_start(cands: Column) -> Column:
+    """The start of the best-scored candidate, the first of equals; null where there are none."""
+    return -F.array_max(F.transform(cands, lambda c: F.struct(c["score"].alias("score"), (-c["start"]).alias("back"))))["back"]
+
+
+def best_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start: the best of candidates that are rows (start, score), the first of equals."""
+    return rows.groupBy(*keys).agg(best_start(F.collect_list(F.struct("start", "score"))).alias("start"))
+
+
+def revise(orfs: DataFrame, profiles: Profiles, params: AlterParams, min_length: int) -> DataFrame:
+    """Moves t_start and len of frames that have candidates to the best of them."""
+    out = scored(orfs, profiles, params, min_length)
+    out = out.withColumn("__to", F.coalesce(best_start(F.col("cands")), F.col("t_start"))).drop("cands")
+    return out.withColumn("len", (F.col("len") - (F.col("__to") - F.col("t_start"))).cast("int")).withColumn("t_start", F.col("__to").cast("int")).drop("__to")
+
+
+def train(seeds: DataFrame, keys: list[str], starts: tuple[str, ...], table: int, min_length: int, max_iter: int) -> tuple[list, AlterParams]:
+    """Rows of ``profile_logs`` of order 2 and the parameters, by alternating training and revision for orders 0, 1, 2 until 99 % of the starts stay.
+
+    Revised starts follow from the seeds, a written table, and the profiles, so no round writes any.  The driver sees a profile of fixed size
+    and one ratio a round.
     """
-    logs, params = None, AlterParams(DEFAULT_ALTER, DEFAULT_FU, DEFAULT_FD)
+    current, logs, params = seeds, [], AlterParams(DEFAULT_ALTER, DEFAULT_FU, DEFAULT_FD)
     for order in range(3):
         for _ in range(max_iter):
-            logs = cut(profile_logs(profile_counts(windows(seeds, starts, keys), order), order))
-            params = alter_params({r["base"]: r["cnt"] for r in background_of(logs).collect()}, table)
-            revised = cut(revise(seeds.withColumn("__old", F.col("t_start")), keys, logs, order, params, min_length))
-            stay = revised.agg(F.avg((F.col("__old") == F.col("t_start")).cast("double"))).first()[0]
-            seeds = revised.drop("__old")
+            logs = profile_logs(profile_counts(windows(current, starts, keys), order), order).collect()
+            bases = Counter()
+            for r in logs:
+                if r["profile"] == "U":
+                    bases[r["kmer"][0]] += r["cnt"] - 1
+            params = alter_params(bases, table)
+            profiles = Profiles.of(logs, order)
+            moved = revise(current.withColumn("__first", F.col("t_start")), profiles, params, min_length)
+            stay = moved.agg(F.avg((F.col("__first") == F.col("t_start")).cast("double"))).first()[0]
+            current = revise(seeds, profiles, params, min_length)
             if stay is None or stay > 0.99:
                 break
     return logs, params
-

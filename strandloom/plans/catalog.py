@@ -6,16 +6,20 @@ All are over scaffolds derived from ``documents``.  Integers are 64-bit on both
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import codes, zcurve
 from strandloom.functions import sequence as S
 from strandloom.operators import gcbins, genes, metrics, models, orfs, overlap, tis
-from strandloom.plans import predict
+from strandloom.plans import develop, predict
+from strandloom.plans.bank import default_bank, save_bank
 from strandloom.plans.oracle import query
-from strandloom.session import cut
+from strandloom.session import cut, new_path
+from strandloom.sources import readers, writers
 from strandloom.sources.documents import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,8 +48,14 @@ def linear(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return orfs.find_orfs(load(spark, sf_dir), **options)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scaffolds written once, for queries that read them several times, as readers of files do."""
+    return cut(load(spark, sf_dir), "scaffolds")
+
+
 def sequenced(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return orfs.with_sequence(linear(spark, sf_dir, **options), load(spark, sf_dir))
+    scaffolds = stored(spark, sf_dir)
+    return orfs.with_sequence(cut(orfs.find_orfs(scaffolds, **options), "frames"), scaffolds)
 
 
 def gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +65,7 @@ def gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return genes.with_ordinals(gene_table(spark, sf_dir))
+    return genes.with_ordinals(cut(gene_table(spark, sf_dir), "genes"))
 
 
 @registered(query("SELECT scaffold_id, length(sequence) AS length, substr(sequence, 1, 60) AS prefix FROM scaffolds", "scaffolds"))
@@ -122,9 +132,7 @@ MONO_SQL = query(
 
 @registered(MONO_SQL)
 def q10_zcurve_mono(spark, sf_dir):
-    found = sequenced(spark, sf_dir)
-    vector = zcurve.zcurve(1)(F.col("seq"))
-    return found.withColumn("z", vector).select(*KEY, *[F.round(F.col("z")[3 * p + k], 6).alias(f"z{axis}{p}") for p in range(3) for k, axis in enumerate("xyz")])
+    return zcurve.with_mono(sequenced(spark, sf_dir)).select(*KEY, *[F.round(F.col("z")[3 * p + k], 6).alias(f"z{axis}{p}") for p in range(3) for k, axis in enumerate("xyz")])
 
 
 def _context_rows(found: DataFrame, order: int) -> DataFrame:
@@ -151,7 +159,10 @@ def q12_zcurve_tri(spark, sf_dir):
     return rows.groupBy("frame", "context").agg(*[F.sum(f"z{axis}").alias(f"z{axis}") for axis in "xyz"])
 
 
-PROTEIN_SQL = """SELECT o.*, (SELECT string_agg(CASE WHEN i = 0 AND NOT o.partial5 THEN 'M' ELSE aa END, '' ORDER BY i) FROM (SELECT i, substr(o.seq, (3 * i + 1)::BIGINT, 3) AS codon FROM unnest(range(0, length(o.seq) // 3)) r(i)) c JOIN amino USING (codon)) AS protein FROM orfseqs o"""
+PROTEIN_SQL = f"""SELECT o.*, t.protein FROM orfseqs o JOIN (
+ SELECT {KEY_SQL}, string_agg(CASE WHEN i = 1 AND NOT partial5 THEN 'M' ELSE aa END, '' ORDER BY i) AS protein FROM (
+  SELECT {KEY_SQL}, partial5, unnest(listed) AS codon, generate_subscripts(listed, 1) AS i FROM (SELECT *, regexp_extract_all(seq, '...') AS listed FROM orfseqs)) JOIN amino USING (codon) GROUP BY {KEY_SQL}
+ ) t USING ({KEY_SQL})"""
 
 
 @registered(query(f"SELECT {KEY_SQL}, protein FROM proteins", "orfseqs", "amino", more={"proteins": PROTEIN_SQL}))
@@ -210,15 +221,16 @@ def q19_best_start(spark, sf_dir):
 
 
 PAIRS_SQL = {
+    "binned": 'SELECT *, unnest(range(t_start // 512, ("end" - 1) // 512 + 1)) AS bin FROM orfs',
     "pairs": """SELECT *, CASE WHEN olen = a_len OR olen = b_len THEN 'INCLUDE' WHEN olen / least(a_len, b_len) >= 0.6 THEN 'INTERSECT' END AS type FROM (
  SELECT a.scaffold_id, a.strand, a.t_start AS a_start, a."end" AS a_end, b.t_start AS b_start, b."end" AS b_end, a.len AS a_len, b.len AS b_len, least(a."end", b."end") - greatest(a.t_start, b.t_start) AS olen
- FROM orfs a JOIN orfs b ON a.scaffold_id = b.scaffold_id AND a.strand = b.strand AND (a.t_start, a."end") < (b.t_start, b."end") AND a."end" > b.t_start AND b."end" > a.t_start) WHERE olen >= 60""",
+ FROM binned a JOIN binned b ON a.scaffold_id = b.scaffold_id AND a.strand = b.strand AND a.bin = b.bin AND a.bin = greatest(a.t_start, b.t_start) // 512 AND (a.t_start, a."end") < (b.t_start, b."end") AND a."end" > b.t_start AND b."end" > a.t_start) WHERE olen >= 60""",
     "overprints": "SELECT * FROM pairs WHERE type IS NOT NULL",
 }
 
 
 def _overprints(spark, sf_dir):
-    return overlap.overlaps(linear(spark, sf_dir), min_overlap=60)
+    return overlap.overlaps(cut(linear(spark, sf_dir), "frames"), min_overlap=60)
 
 
 @registered(query("SELECT scaffold_id, strand, a_start, a_end, b_start, b_end, olen, type FROM overprints", "orfs", more=PAIRS_SQL))
@@ -276,7 +288,7 @@ GENE_PROTEINS = {"proteins": PROTEIN_SQL, "records": "SELECT g.*, p.protein, p.s
 
 
 def _gene_records(spark, sf_dir, record):
-    found = orfs.with_sequence(gene_table(spark, sf_dir), load(spark, sf_dir))
+    found = orfs.with_sequence(cut(gene_table(spark, sf_dir), "frames"), load(spark, sf_dir))
     return found.select("name", "start", "stop", "strand", record.alias("record"))
 
 
@@ -313,7 +325,8 @@ def _profile_sql(order: int) -> dict[str, str]:
 
 def hosted(spark, sf_dir):
     """Frames with their starts and the bases around these."""
-    return orfs.with_context(linear(spark, sf_dir, with_starts=True), load(spark, sf_dir))
+    scaffolds = stored(spark, sf_dir)
+    return orfs.with_context(cut(orfs.find_orfs(scaffolds, with_starts=True), "frames"), scaffolds)
 
 
 def _windows(spark, sf_dir):
@@ -368,9 +381,9 @@ SCORE_SQL = _profile_sql(1) | {
 @registered(query(f"SELECT {KEY_SQL}, st AS start, round(1 / (1 + exp(d - t) * {TOY.false_down} + exp(u - t) * {TOY.false_up}), 6) AS score FROM summed", "orfs", "strands", more=SCORE_SQL))
 def q32_tis_score(spark, sf_dir):
     rows = hosted(spark, sf_dir)
-    logs = tis.profile_logs(tis.profile_counts(tis.windows(rows, START_NAMES, [*KEY]), 1), 1)
-    found = tis.candidates(rows, [*KEY], TOY.max_alter, orfs.MIN_LENGTH)
-    return tis.scores(found, tis.pivoted(logs, 1), [*KEY], 1, TOY).select(*KEY, "start", F.round("score", 6).alias("score"))
+    logs = tis.profile_logs(tis.profile_counts(tis.windows(rows, START_NAMES, [*KEY]), 1), 1).collect()
+    found = tis.scored(rows, tis.Profiles.of(logs, 1), TOY, orfs.MIN_LENGTH).select(*KEY, F.inline("cands"))
+    return found.select(*KEY, "start", F.round("score", 6).alias("score"))
 
 
 LABEL_SQL = 'CASE WHEN s > 0.6 THEN 1 WHEN s < 0.05 AND s > 1e-6 THEN -1 END'
@@ -417,7 +430,7 @@ def q36_code_table_score(spark, sf_dir):
 @registered()
 def q37_mlp_score(spark, sf_dir):
     rows = predict.with_vectors(sequenced(spark, sf_dir))
-    return rows.withColumn("score", models.applied(predict.default_scorer().score, F.col("z"))).select(*KEY, F.round("score", 6).alias("score"))
+    return rows.withColumn("score", models.applied(default_bank(spark)[25].score, F.col("z"))).select(*KEY, F.round("score", 6).alias("score"))
 
 
 RBF = models.SVM(predict.toy_centres(4, 64), predict.toy_weights(4), 0.1, 0.5)
@@ -467,13 +480,13 @@ def q41_classifier_metrics(spark, sf_dir):
 
 @registered()
 def q42_meta_predict(spark, sf_dir):
-    found = predict.predict(load(spark, sf_dir), predict.Options(mode="meta"))
+    found = predict.predict(stored(spark, sf_dir), predict.Options(mode="meta"))
     return found.select("name", "start", "stop", "strand", F.round("score", 6).alias("score"))
 
 
 @registered()
 def q43_single_predict(spark, sf_dir):
-    found = predict.predict(load(spark, sf_dir), predict.Options())
+    found = predict.predict(stored(spark, sf_dir), predict.Options())
     return found.select("name", "start", "stop", "strand", F.round("score", 6).alias("score"))
 
 
@@ -493,3 +506,198 @@ CIRCULAR_SQL = {
 def q44_circular_orfs(spark, sf_dir):
     return linear(spark, sf_dir, circular=True).select(*KEY, "len", "partial3", "partial5")
 
+
+
+def _toy_net(k: int) -> models.Perceptron:
+    """A perceptron of two hidden units with weights made of waves; output weights and offset go with ``k``."""
+    w1 = np.round(12 * predict.toy_centres(2, zcurve.DIM), 6)
+    return models.Perceptron(models.Standard(np.zeros(zcurve.DIM), np.ones(zcurve.DIM)), w1, np.array([0.2, -0.1]), np.array([2.0 + 0.1 * (k % 3), -1.6]), 0.1 * (k % 5 - 2))
+
+
+def _wave_sql() -> dict[str, str]:
+    """Hidden values of ``_toy_net``: a weight for each k-mer of one to three bases, by place in the codon."""
+    w1, rows, at = _toy_net(0).w1, [], 0
+    for order in range(3):
+        for phase in range(3):
+            for context in map("".join, product("AGCT", repeat=order)):
+                for b in "ACGT":
+                    v = [sum((1 if b in axis else -1) * w1[h, at + a] for a, axis in enumerate(codes.Z_AXES.values())) for h in range(2)]
+                    rows.append(f"({order + 1}, {phase}, '{context}{b}', {float(v[0])!r}, {float(v[1])!r})")
+                at += 3
+    return {
+        "waves": f"SELECT * FROM (VALUES {', '.join(rows)}) t(k, phase_in, kmer, v0, v1)",
+        "grams": "SELECT scaffold_id, strand, phase, t_start, \"end\", k, (i % 3)::INT AS phase_in, substr(seq, i + 1, k) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - k + 1)) AS i FROM orfseqs, (VALUES (1), (2), (3)) t(k))",
+        "hidden": f"SELECT {KEY_SQL}, greatest(0, h0 * 3.0 / length(seq) + 0.2) AS r0, greatest(0, h1 * 3.0 / length(seq) - 0.1) AS r1 FROM (SELECT {KEY_SQL}, sum(v0) AS h0, sum(v1) AS h1 FROM grams JOIN waves USING (k, phase_in, kmer) GROUP BY {KEY_SQL}) JOIN orfseqs USING ({KEY_SQL})",
+    }
+
+
+@registered(query(f"SELECT {KEY_SQL}, round(1 / (1 + exp(-(2.0 * r0 - 1.6 * r1 - 0.2) / 2)), 6) AS score FROM hidden", "orfseqs", more=_wave_sql()))
+def q45_perceptron(spark, sf_dir):
+    rows = predict.with_vectors(sequenced(spark, sf_dir))
+    return rows.select(*KEY, F.round(models.applied(_toy_net(0).score, F.col("z")), 6).alias("score"))
+
+
+def _bank_sql() -> str:
+    below = " + ".join(f"(g::FLOAT::DOUBLE > {t!r})::INT" for t in gcbins.thresholds())
+    parts = _wave_sql() | {
+        "gcs": "SELECT *, (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) AS g FROM orfseqs",
+        "wanted": f'SELECT *, row_number() OVER (ORDER BY g, scaffold_id, strand, phase, "end") - 1 AS i, {below} AS b FROM gcs',
+        "binned": "SELECT *, i + least(1, min(b - i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)) AS bin FROM wanted",
+        "scored": f"SELECT *, CASE WHEN bin > 60 THEN 0 ELSE 1 / (1 + exp(-((2.0 + 0.1 * (bin % 3)) * r0 - 1.6 * r1 + 0.1 * (bin % 5 - 2)) / 2)) END AS s FROM binned JOIN hidden USING ({KEY_SQL})",
+    }
+    return query("SELECT concat('doc_', scaffold_id) AS name, CASE WHEN strand = '+' THEN t_start + 1 ELSE host_len - \"end\" + 1 END AS start, CASE WHEN strand = '+' THEN \"end\" ELSE host_len - t_start END AS stop, strand, round(least(1.5 * s, 1), 6) AS score FROM scored WHERE least(1.5 * s, 1) > 0.499", "orfseqs", more=parts)
+
+
+@registered(_bank_sql())
+def q46_bank_predict(spark, sf_dir):
+    """Metagenome mode without start revision, by a bank that is saved and loaded."""
+    path = new_path(spark, "bank")
+    save_bank(spark, {k: _toy_net(k) for k in range(gcbins.N_BINS - 1)}, path)
+    found = predict.predict(stored(spark, sf_dir), predict.Options(mode="meta", revise_tis=False, models=path))
+    return found.select("name", "start", "stop", "strand", F.round("score", 6).alias("score"))
+
+
+REVISED_SQL = _profile_sql(2) | {
+    "wide": SCORE_SQL["wide"], "cand": SCORE_SQL["cand"], "cwin": SCORE_SQL["cwin"],
+    "summed": SCORE_SQL["summed"].replace("::BIGINT, 2)", "::BIGINT, 3)").replace("range(0, 64)", "range(0, 63)"),
+    "best": f'SELECT scaffold_id, strand, phase, t_start, "end", st FROM (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY round(1 / (1 + exp(d - t) * {TOY.false_down} + exp(u - t) * {TOY.false_up}), 12) DESC, st) AS r FROM summed) WHERE r = 1',
+}
+
+
+@registered(query(f'SELECT scaffold_id, strand, phase, coalesce(st, t_start) AS t_start, "end", len - (coalesce(st, t_start) - t_start) AS len FROM orfs LEFT JOIN best USING ({KEY_SQL})', "orfs", "strands", more=REVISED_SQL))
+def q47_revised_starts(spark, sf_dir):
+    """Starts revised by a profile that is saved and loaded."""
+    path = new_path(spark, "starts")
+    predict.save_starts(tis.profile_logs(tis.profile_counts(_windows(spark, sf_dir), 2), 2), TOY, path)
+    scaffolds = stored(spark, sf_dir)
+    rows = cut(orfs.find_orfs(scaffolds, with_starts=True).withColumn("i_score", F.lit(0.0)), "frames")
+    return predict.revise_starts(rows, scaffolds, 11, predict.Options(tis_model=path)).select(*KEY, "len")
+
+
+@registered(query(f"SELECT {KEY_SQL} FROM toy WHERE s >= 0.6 AND len >= 300", "orfs", more={"toy": TOY_SQL}))
+def q48_start_seeds(spark, sf_dir):
+    return predict.seeds_of(_toy_labels(spark, sf_dir).withColumnRenamed("s", "i_score")).select(*KEY)
+
+
+@registered(query(f'SELECT {KEY_SQL}, md5(CASE WHEN "end" < t_start THEN concat(substr(seq, t_start + 1), substr(seq, 1, "end")) ELSE substr(seq, t_start + 1, len) END) AS digest FROM every JOIN strands USING (scaffold_id, strand)', "orfs", "shaped", "strands", more=CIRCULAR_SQL))
+def q49_circular_bases(spark, sf_dir):
+    return sequenced(spark, sf_dir, circular=True).select(*KEY, F.md5("seq").alias("digest"))
+
+
+PAIR_LINES_SQL = PAIRS_SQL | {
+    "placed_genes": "SELECT *, len / (len + 300.0) AS score, CASE WHEN strand = '+' THEN t_start + 1 ELSE host_len - \"end\" + 1 END AS l, CASE WHEN strand = '+' THEN \"end\" ELSE host_len - t_start END AS r FROM orfs",
+    "lined": 'SELECT o.type, o.strand, concat(\'doc_\', o.scaffold_id) AS name, a_start, a_end, b_start, b_end, a.l AS al, a.r AS ar, a.score AS "as", b.l AS bl, b.r AS br, b.score AS bs FROM overprints o JOIN placed_genes a ON a.scaffold_id = o.scaffold_id AND a.strand = o.strand AND a.t_start = a_start AND a."end" = a_end JOIN placed_genes b ON b.scaffold_id = o.scaffold_id AND b.strand = o.strand AND b.t_start = b_start AND b."end" = b_end',
+}
+
+
+def _pair_row(s: str) -> str:
+    return f"concat_ws(chr(9), name, '{genes.PROGRAM}', 'CDS', {s}l, {s}r, printf('%.3f', \"{s}s\"), strand, '0', '.')"
+
+
+@registered(query(f"SELECT n AS ordinal, concat('# index=', printf('%04d', n), ';type=', type, chr(10), {_pair_row('a')}, chr(10), {_pair_row('b')}) AS line FROM (SELECT *, row_number() OVER (ORDER BY name, strand, a_start, a_end, b_start, b_end) AS n FROM lined)", "orfs", more=PAIR_LINES_SQL))
+def q50_overprint_lines(spark, sf_dir):
+    found = linear(spark, sf_dir).withColumn("score", F.col("len") / (F.col("len") + 300.0)).withColumn("name", F.concat(F.lit("doc_"), "scaffold_id"))
+    return genes.overprint_lines(cut(genes.overprint_pairs(genes.with_coordinates(found), min_overlap=60), "pairs"))
+
+
+@registered(f"SELECT code FROM ({ORACLE_SQL['q36_code_table_score']}) ORDER BY score DESC, CASE code {' '.join(f'WHEN {t} THEN {i}' for i, t in enumerate(AUTO_STOPS))} END LIMIT 1")
+def q51_auto_table(spark, sf_dir):
+    code = predict.choose_table(load(spark, sf_dir), lambda found, _: found.withColumn("s", (F.col("len") >= 150).cast("double")))
+    return spark.createDataFrame([(code,)], "code long")
+
+
+@registered(query("SELECT strand, start_type::BIGINT AS start_type, count(*) AS n FROM events GROUP BY ALL", "events"))
+def q52_start_types(spark, sf_dir):
+    return orfs.codon_events(orfs.strands(load(spark, sf_dir))).groupBy("strand", "start_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(query("SELECT (16 * (instr('TCAG', codon[1:1]) - 1) + 4 * (instr('TCAG', codon[2:2]) - 1) + instr('TCAG', codon[3:3]) - 1)::BIGINT AS code, count(*) AS n FROM codons WHERE strand = '+' AND phase = 0 GROUP BY ALL", "codons"))
+def q53_kmer_codes(spark, sf_dir):
+    rows = load(spark, sf_dir).select(F.explode(S.codons(F.col("sequence"))).alias("codon"))
+    return rows.groupBy(S.kmer_code(F.col("codon")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(f"SELECT * FROM ({ORACLE_SQL['q12_zcurve_tri']}) WHERE zx <> 0 OR zy <> 0 OR zz <> 0".replace("substr(seq, i + 1, 2)", "substr(seq, i + 1, 3)").replace("substr(seq, i + 3, 1)", "substr(seq, i + 4, 1)").replace("length(seq) - 2", "length(seq) - 3"))
+def q54_zcurve_quart(spark, sf_dir):
+    rows = _context_rows(sequenced(spark, sf_dir), 3).where("zx <> 0 or zy <> 0 or zz <> 0")
+    return rows.groupBy("frame", "context").agg(*[F.sum(f"z{axis}").alias(f"z{axis}") for axis in "xyz"]).where("zx <> 0 or zy <> 0 or zz <> 0")
+
+
+def _as_fasta(rows: DataFrame) -> DataFrame:
+    return rows.select(F.concat(F.lit(">"), "name", F.lit(" made of text\n"), F.regexp_replace(S.wrap(F.col("sequence")), "\n$", "")).alias("value"))
+
+
+@registered(query("SELECT name, length(sequence) AS length, md5(sequence) AS digest FROM scaffolds", "scaffolds"))
+def q55_fasta_files(spark, sf_dir):
+    """All scaffolds written as FASTA files and read back."""
+    path = new_path(spark, "fasta")
+    _as_fasta(load(spark, sf_dir)).write.text(path)
+    return readers.read_fasta(spark, path).select("name", F.length("sequence").alias("length"), F.md5("sequence").alias("digest"))
+
+
+@registered(query("SELECT concat(kind, name) AS name, md5(sequence) AS digest FROM scaffolds, (VALUES ('fa_'), ('gb_'), ('em_')) t(kind) WHERE sequence <> ''", "scaffolds"))
+def q56_sequence_files(spark, sf_dir):
+    """All scaffolds written as compressed FASTA, GenBank and EMBL files, which are told apart and read back."""
+    path = new_path(spark, "files")
+    rows = load(spark, sf_dir).where("length > 0")
+    named = lambda kind: rows.withColumn("name", F.concat(F.lit(kind), "name"))
+    _as_fasta(named("fa_")).write.option("compression", "gzip").text(f"{path}/fa")
+    blocks = F.regexp_replace(F.lower("sequence"), "(.{1,60})", "        1 $1\n")
+    named("gb_").select(F.concat(F.lit("LOCUS       "), "name", F.lit(" bp DNA\nORIGIN\n"), blocks, F.lit("//")).alias("value")).write.text(f"{path}/gb")
+    named("em_").select(F.concat(F.lit("ID   "), "name", F.lit(" ; linear\nSQ   Sequence\n"), blocks, F.lit("//")).alias("value")).write.text(f"{path}/em")
+    return readers.read_sequences(spark, f"{path}/*/part-*").select("name", F.md5("sequence").alias("digest"))
+
+
+@registered(query(f"SELECT (label = 1)::BIGINT AS label, count(*) AS n, sum(len)::BIGINT AS bases FROM (SELECT *, {LABEL_SQL} AS label FROM toy) WHERE label IS NOT NULL GROUP BY label", "orfs", more={"toy": TOY_SQL}))
+def q57_labelled_files(spark, sf_dir):
+    """Labelled frames written as GFF and FASTA and read back as training data."""
+    path = new_path(spark, "labels")
+    scaffolds = stored(spark, sf_dir)
+    frames = cut(_toy_labels(spark, sf_dir).withColumn("score", F.col("s")), "frames")
+    develop.write_labelled(orfs.with_sequence(frames, scaffolds), scaffolds, path)
+    rows = readers.read_labelled(spark, f"{path}/positive.fna", f"{path}/negative.fna")
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sequence")).alias("bases"))
+
+
+@registered(f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split(line, chr(10))) AS line FROM ({ORACLE_SQL['q23_gff_rows']})) GROUP BY line")
+def q58_gff_files(spark, sf_dir):
+    """Genes written as a folder of GFF3 parts, and their lines."""
+    path = new_path(spark, "gff")
+    writers.write_text(writers.gene_lines(cut(gene_table(spark, sf_dir), "genes"), "gff", date=DATE), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(_rbf_sql().replace("lambda x: x::DOUBLE", "lambda x: (x::DOUBLE + 1) / 2"))
+def q59_saved_classifier(spark, sf_dir):
+    """A scaler and a classifier that are saved and loaded."""
+    path = new_path(spark, "classifier")
+    predict.save_classifier(spark, path, models.MinMax(-np.ones(64), np.ones(64)), RBF)
+    scale, svm = predict.load_classifier(spark, path)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return rows.select("vec_id", F.round(models.applied(lambda x: svm.probability(scale.apply(x)), F.col("e")), 6).alias("score"))
+
+
+@registered(query("SELECT count(*) AS n, sum(length(sequence))::BIGINT AS bases FROM scaffolds WHERE length(sequence) >= 300", "scaffolds"))
+def q60_usable_scaffolds(spark, sf_dir):
+    return predict.usable(load(spark, sf_dir), 300).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bases"))
+
+
+@registered(query(f"SELECT {KEY_SQL}, len FROM orfs WHERE NOT partial5 AND NOT partial3 AND len >= 300", "orfs").replace("atg - longest <= 75", "atg - longest <= 72"))
+def q61_long_frames(spark, sf_dir):
+    """The frames that label development begins with."""
+    return develop.whole_frames(load(spark, sf_dir)).where(F.col("len") >= develop.LONG).select(*KEY, "len")
+
+
+@registered(query("SELECT round(0.5 / (max(feature) * var_pop(scaled)), 6) AS gamma FROM (SELECT feature, CASE WHEN h - l < 1e-12 THEN 0 ELSE (x - l) / (h - l) END AS scaled FROM cells JOIN (SELECT feature, min(x) AS l, max(x) AS h FROM cells GROUP BY feature) USING (feature))", more=VECTOR_SQL))
+def q62_kernel_gamma(spark, sf_dir):
+    return metrics.kernel_gamma(_cells(spark, sf_dir)).select(F.round("gamma", 6).alias("gamma"))
+
+
+@registered(query(f"SELECT held, count(*) AS n FROM (SELECT ('0x' || substr(md5(concat(name, ' ', sequence)), 1, 2))::INT < {develop.HELD_OUT} AS held FROM scaffolds) GROUP BY held", "scaffolds"))
+def q63_held_out(spark, sf_dir):
+    return load(spark, sf_dir).groupBy(develop.held_out().alias("held")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(query(f"SELECT s.*, frames FROM ({ORACLE_SQL['q03_genome_summary']}) s, (SELECT count(*) AS frames FROM orfs)", "orfs"))
+def q64_report(spark, sf_dir):
+    return predict.report(load(spark, sf_dir), predict.Options())

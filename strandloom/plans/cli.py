@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-p", "--proc", default="single", help="single or meta")
     p.add_argument("-s", "--thres", type=float, default=predict.THRESHOLD, help="score above which a frame is a gene")
     p.add_argument("-t", "--train", help="classifier to load, or to save where there is none")
+    p.add_argument("-m", "--models", help="bank of scorers, as strandloom.plans.develop train writes it; by default, one trained on synthetic sequences")
     p.add_argument("-n", "--bypass", action="store_true", help="leave start sites as they are")
     p.add_argument("-M", "--maxiter", type=int, default=20, help="most rounds of start-site training for an order")
     p.add_argument("-I", "--tis", help="start-site model to load, or to save where there is none")
@@ -41,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 def options_of(args: argparse.Namespace) -> predict.Options:
     found = predict.Options(
         table=args.table if args.table == "auto" else int(args.table), min_length=args.minlen, circular=args.circ, mode=args.proc, threshold=args.thres, revise_tis=not args.bypass,
-        max_iter=args.maxiter, min_overlap=args.minolen, min_ratio=args.ratio, tis_model=args.tis, cds_model=args.train,
+        max_iter=args.maxiter, min_overlap=args.minolen, min_ratio=args.ratio, tis_model=args.tis, cds_model=args.train, models=args.models,
     )
     found.check()
     return found
@@ -62,13 +63,14 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(f"local[{args.threads}]" if args.threads else None)
     say = (lambda *x: None) if args.quiet else (lambda *x: print(*x, file=sys.stderr))
     scaffolds = readers.read_sequences(spark, args.input)
-    total = predict.summary(scaffolds).first()
-    say(f"Scaffolds: {total.scaffolds}\nBases: {total['size']}\nG+C: {100 * (total.gc or 0):.2f} %")
     if options.table == "auto":
-        options.table = predict.choose_table(scaffolds)
+        options.table = predict.choose_table(predict.usable(scaffolds, options.min_length))
         say(f"Genetic code: {options.table}")
-    found = predict.cut(predict.predict(scaffolds, options), "genes")
     table = int(options.table)
+    if not args.quiet:
+        total = predict.report(scaffolds, options).first()
+        say(f"Scaffolds: {total.scaffolds}\nBases: {total['size']}\nG+C: {100 * (total.gc or 0):.2f} %\nReading frames: {total.frames}")
+    found = predict.cut(predict.predict(scaffolds, options), "genes")
     say(f"Genes: {writers.write_file(writers.gene_lines(found, args.format, table, args.circ), args.output, writers.heads(args.format, table), args.format)}")
     for path, protein in ((args.faa, True), (args.fna, False)):
         if path:

@@ -10,20 +10,28 @@ import argparse
 import sys
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.functions import zcurve
-from strandloom.operators import genes, models, orfs
+from strandloom.operators import gcbins, genes, models, orfs
 from strandloom.plans import predict
+from strandloom.plans.bank import save_bank
 from strandloom.session import cut, session
 from strandloom.sources import readers, writers
 
 LONG = 300
+PATIENCE = 72
 #: At most so many frames, the first by digest, are held by the driver for self-training.
 SAMPLE_ROWS = 4_000
-HELD_OUT = 0.1
+#: The share of sequences held out, in 256ths of a digest's first byte.
+HELD_OUT = 26
+
+
+def whole_frames(scaffolds: DataFrame, table: int = 11, min_length: int = orfs.MIN_LENGTH) -> DataFrame:
+    """Frames with start and stop; an ATG less than 75 bases behind the first start is preferred."""
+    return orfs.find_orfs(scaffolds, table, min_length, patience=PATIENCE).where("not partial5 and not partial3")
 
 
 def label_frames(scaffolds: DataFrame, table: int = 11, min_length: int = orfs.MIN_LENGTH, long: int = LONG, clusters: int = 3) -> DataFrame:
@@ -32,7 +40,7 @@ def label_frames(scaffolds: DataFrame, table: int = 11, min_length: int = orfs.M
     Long frames are clustered by their vectors, the cluster of the longest mean is positive, and a classifier is trained
     again and again on its own labels of a bounded sample; it then labels all frames.
     """
-    found = cut(predict.with_vectors(orfs.with_sequence(orfs.find_orfs(scaffolds, table, min_length), scaffolds)), "frames")
+    found = cut(predict.with_vectors(orfs.with_sequence(whole_frames(scaffolds, table, min_length), scaffolds)), "frames")
     labelled = cut(predict.kmeans_labels(found.where(F.col("len") >= long), clusters), "clusters")
     sample = labelled.orderBy(F.xxhash64(*predict.ID)).limit(SAMPLE_ROWS).select("z", "positive").toPandas()
     if not len(sample) or sample["positive"].nunique() < 2:
@@ -50,35 +58,28 @@ def label_frames(scaffolds: DataFrame, table: int = 11, min_length: int = orfs.M
 
 def write_labelled(frames: DataFrame, scaffolds: DataFrame, folder: str) -> None:
     """positive and negative frames as GFF rows and nucleotide FASTA under a folder."""
-    named = genes.with_coordinates(frames.join(scaffolds.select("scaffold_id", "name"), "scaffold_id"))
+    named = frames.where("label is not null").select(*predict.ID, "host_len", "t_start", "len", "partial5", "partial3", "score", "seq", "label")
+    named = cut(genes.with_coordinates(named.join(scaffolds.select("scaffold_id", "name"), "scaffold_id")), "labelled")  # read for each of four files
     for label, kind in ((1, "positive"), (-1, "negative")):
         part = genes.with_ordinals(named.where(F.col("label") == label))
         writers.write_text(part.select("ordinal", genes.gff_line().alias("line")), f"{folder}/{kind}.gff")
         writers.write_text(part.select("ordinal", F.regexp_replace(genes.nucleotide_record(), "\n$", "").alias("line")), f"{folder}/{kind}.fna")
 
 
+def held_out():
+    """Whether a labelled sequence is held out of training: a digest of name and sequence decides."""
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", "name", "sequence")), 1, 2), 16, 10).cast("int") < HELD_OUT
+
+
 def train_scorer(labelled: DataFrame, rows: int = SAMPLE_ROWS, **options) -> tuple[models.Perceptron, dict[str, float]]:
     """A perceptron from (name, sequence, label), and its metrics on the held-out tenth, which a digest picks."""
-    held = F.pmod(F.xxhash64("name", "sequence"), F.lit(1000)) < int(1000 * HELD_OUT)
-    sample = labelled.select("sequence", "label", held.alias("held"), F.xxhash64("sequence").alias("h")).orderBy("h").limit(rows).toPandas()
+    sample = labelled.select("sequence", "label", held_out().alias("held"), F.xxhash64("sequence").alias("h")).orderBy("h").limit(rows).toPandas()
     x, y = zcurve.encode_many([s.upper() for s in sample["sequence"]]), sample["label"].to_numpy()
     out = sample["held"].to_numpy()
     net = models.train_perceptron(x[~out], y[~out], **options)
     return net, models.scores_of(y[out] > 0, net.logits(x[out]) > 0)
 
 
-def save_bank(spark: SparkSession, bank: dict[int, models.Perceptron], path: str) -> None:
-    """A table of scorers by GC bin."""
-    rows = [(k, m.scale.mean.tolist(), m.scale.deviation.tolist(), m.w1.tolist(), m.b1.tolist(), m.w2.tolist(), float(m.b2)) for k, m in sorted(bank.items())]
-    spark.createDataFrame(rows, "bin int, mean array<double>, std array<double>, w1 array<array<double>>, b1 array<double>, w2 array<double>, b2 double").write.mode("overwrite").parquet(path)
-
-
-def load_bank(spark: SparkSession, path: str) -> dict[int, models.Perceptron]:
-    """Scorers by GC bin; the table has one row for each bin."""
-    arrays = lambda r: models.Perceptron(models.Standard(np.array(r.mean), np.array(r.std)), np.array(r.w1), np.array(r.b1), np.array(r.w2), r.b2)
-    return {r.bin: arrays(r) for r in spark.read.parquet(path).collect()}
-
-
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser("strandloom.plans.develop")
     sub = p.add_subparsers(dest="what", required=True)
@@ -89,6 +90,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("-m", "--minlen", type=int, default=orfs.MIN_LENGTH)
     a.add_argument("-l", "--longorf", type=int, default=LONG)
     a.add_argument("-c", "--cluster", type=int, default=3)
+    a.add_argument("--pca", action="store_true", help="also write the long frames' first two principal components")
     b = sub.add_parser("train", help="train a scorer from two FASTA files")
     b.add_argument("-p", "--positive", required=True)
     b.add_argument("-n", "--negative", required=True)
@@ -99,10 +101,14 @@ def main(argv: list[str] | None = None) -> int:
         scaffolds = readers.read_sequences(spark, args.input)
         gc = scaffolds.agg(F.sum(S.gc_count(F.col("sequence"))) / F.sum(F.length("sequence"))).first()[0]
         print(f"G+C: {gc or 0:.4f}", file=sys.stderr)
-        write_labelled(label_frames(scaffolds, args.table, args.minlen, args.longorf, args.cluster), scaffolds, args.output)
+        labelled = cut(label_frames(scaffolds, args.table, args.minlen, args.longorf, args.cluster), "labelled")
+        write_labelled(labelled, scaffolds, args.output)
+        if args.pca:
+            flat = predict.principal_components(labelled.where(F.col("cluster").isNotNull()))
+            flat.select(*predict.ID, "cluster", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2")).write.mode("overwrite").parquet(f"{args.output}/pca")
     else:
         net, found = train_scorer(readers.read_labelled(spark, args.positive, args.negative))
-        save_bank(spark, dict.fromkeys(predict.bank(), net), args.output)
+        save_bank(spark, dict.fromkeys(range(len(gcbins.thresholds())), net), args.output)
         print(found)
     return 0
 

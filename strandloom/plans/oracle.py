@@ -19,7 +19,7 @@ def ctes(table: int = 11, min_length: int = 90, starts: tuple[str, ...] | None =
     return {
         "scaffolds": f"SELECT doc_id AS scaffold_id, concat('doc_', doc_id) AS name, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{FROM}', '{TO}') AS sequence FROM documents WHERE text IS NOT NULL",
         "strands": "SELECT scaffold_id, '+' AS strand, sequence AS seq, length(sequence) AS host_len FROM scaffolds UNION ALL SELECT scaffold_id, '-', translate(reverse(sequence), 'ACGT', 'TGCA'), length(sequence) FROM scaffolds",
-        "codons": "SELECT scaffold_id, strand, host_len, pos % 3 AS phase, pos, substr(seq, pos + 1, 3) AS codon FROM (SELECT *, unnest(range(0, host_len - 2)) AS pos FROM strands)",
+        "codons": "SELECT scaffold_id, strand, host_len, phase, phase + 3 * (i - 1) AS pos, codon FROM (SELECT scaffold_id, strand, host_len, phase, unnest(listed) AS codon, generate_subscripts(listed, 1) AS i FROM (SELECT *, regexp_extract_all(substr(seq, phase + 1), '...') AS listed FROM strands, (VALUES (0::BIGINT), (1), (2)) p(phase)))",
         "events": f"SELECT *, codon IN ({quoted(starts)}) AS is_start, codon NOT IN ({quoted(starts)}) AS is_stop, CASE codon {rank} ELSE -1 END AS start_type FROM codons WHERE codon IN ({quoted((*starts, *stops))})",
         "runs": "SELECT *, coalesce(sum(is_stop::INT) OVER (PARTITION BY scaffold_id, strand, phase ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM events",
         "groups": "SELECT scaffold_id, strand, phase, grp, any_value(host_len) AS host_len, min(pos) FILTER (is_start) AS longest, min(pos) FILTER (start_type = 0) AS atg, max(pos) FILTER (is_stop) AS stop, list(pos ORDER BY pos) FILTER (is_start) AS starts FROM runs GROUP BY ALL",

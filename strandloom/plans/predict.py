@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,8 @@ from pyspark.sql import types as T
 from strandloom.functions import codes, zcurve
 from strandloom.functions import sequence as S
 from strandloom.operators import gcbins, genes, models, orfs, overlap, tis
-from strandloom.session import cut
+from strandloom.plans.bank import default_bank, load_bank
+from strandloom.session import cut, exists
 
 THRESHOLD = 0.499
 UP_SCORE, LOW_SCORE, LEAST_SCORE = 0.6, 0.05, 1e-6
@@ -47,6 +47,7 @@ class Options:
     min_ratio: float = overlap.MIN_RATIO
     tis_model: str | None = None
     cds_model: str | None = None
+    models: str | None = None
 
     def check(self) -> None:
         if self.min_length < 30:
@@ -63,55 +64,17 @@ def summary(scaffolds: DataFrame) -> DataFrame:
     return scaffolds.agg(F.count(F.lit(1)).alias("scaffolds"), F.sum(F.length(seq)).alias("size"), F.round(F.sum(S.gc_count(seq)) / F.sum(F.length(seq)), 6).alias("gc"))
 
 
+def report(scaffolds: DataFrame, options: Options) -> DataFrame:
+    """``summary`` and the number of reading frames; the code must be settled."""
+    frames = orfs.find_orfs(usable(scaffolds, options.min_length), int(options.table), options.min_length, options.circular)
+    return summary(scaffolds).crossJoin(frames.agg(F.count(F.lit(1)).alias("frames")))  # one row each
+
+
 def with_vectors(rows: DataFrame, orders: int = 3) -> DataFrame:
     """Adds ``z``, the Z-curve vector of ``seq``."""
     return rows.withColumn("z", zcurve.zcurve(orders)(F.col("seq")))
 
 
-def _synthetic(rng: np.random.Generator, gc: float, n: int) -> tuple[list[str], np.ndarray]:
-    """Coding sequences with a codon bias, and others without one, of a GC content."""
-    letters = np.array(list("ACGT"))
-    base = np.array([1 - gc, gc, gc, 1 - gc]) / 2
-    place = [np.array([1.3, 0.8, 1.4, 0.5]), np.array([1.25, 0.9, 0.7, 1.15]), np.ones(4)]
-    third = np.clip(gc + 1.2 * (gc - 0.5), 0.05, 0.95)
-    probs = [base * place[0], base * place[1], np.array([1 - third, third, third, 1 - third]) / 2]
-    stops = set(codes.stops(11))
-    seqs, truth = [], []
-    for k in range(n):
-        m = int(rng.integers(30, 400))
-        coding = k % 2 == 0
-        columns = [letters[rng.choice(4, m, p=p / p.sum())] for p in (probs if coding else [base] * 3)]
-        triplets = [t for t in map("".join, zip(*columns)) if t not in stops]
-        seq = "".join(["ATG", *triplets, "TAA"])
-        if not coding and k % 4 == 1:  # a coding sequence out of frame is no gene
-            body = "".join("".join(t) for t in zip(*[letters[rng.choice(4, m, p=p / p.sum())] for p in probs]))
-            seq = "ATG" + body[1 + k % 2 :][: len(body) // 3 * 3 - 3] + "TAA"
-        seqs.append(seq)
-        truth.append(float(coding))
-    return seqs, np.array(truth)
-
-
-@lru_cache(maxsize=8)
-def _band(gc: float) -> models.Perceptron:
-    seqs, truth = _synthetic(np.random.default_rng(round(gc * 100)), gc, 900)
-    return models.train_perceptron(zcurve.encode_many(seqs), truth, epochs=8)
-
-
-#: Middle of the GC bands that have a model of their own.
-BANDS = (0.28, 0.36, 0.44, 0.52, 0.60, 0.68)
-
-
-def default_scorer() -> models.Perceptron:
-    """The model for medium GC content, trained on synthetic sequences."""
-    return _band(0.44)
-
-
-def bank(bands: tuple[float, ...] = BANDS) -> dict[int, models.Perceptron]:
-    """A model for each GC bin but the last, which has none: that of the nearest band."""
-    middle = [t - 0.005 for t in gcbins.thresholds()]
-    return {i: _band(min(bands, key=lambda b: abs(b - m))) for i, m in enumerate(middle)}
-
-
 def heuristic_scores(rows: DataFrame, scorers: dict[int, models.Perceptron]) -> DataFrame:
     """Adds ``i_score``: each frame's vector ``z`` scored by the model of its ``bin``, 0 where the bin has none."""
     held = rows.sparkSession.sparkContext.broadcast(scorers)  # fixed size
@@ -130,13 +93,14 @@ def heuristic_scores(rows: DataFrame, scorers: dict[int, models.Perceptron]) ->
 
 def scored_orfs(scaffolds: DataFrame, table: int, min_length: int, circular: bool, scorers=None, **options) -> DataFrame:
     """Frames with starts, gc, bin and i_score."""
-    found = orfs.with_sequence(orfs.find_orfs(scaffolds, table, min_length, circular, with_starts=True, **options), scaffolds)
+    found = cut(orfs.find_orfs(scaffolds, table, min_length, circular, with_starts=True, **options), "frames")  # read for short and for long scaffolds
+    found = orfs.with_sequence(found, scaffolds)
     found = with_vectors(found).withColumn("gc", F.coalesce(S.gc_fraction(F.col("seq")), F.lit(0.0))).drop("seq")
     binned = gcbins.assign_bins(cut(found, "orfs"), "gc", tuple(ID))
-    return heuristic_scores(binned, scorers or bank()).drop("z")
+    return heuristic_scores(binned, scorers or default_bank(scaffolds.sparkSession)).drop("z")
 
 
-def code_scores(scaffolds: DataFrame, score: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def code_scores(scaffolds: DataFrame, score: Callable[[DataFrame, int], DataFrame] | None = None, scorers=None) -> DataFrame:
     """code, score: the share of the bases of ATG frames that lie in frames scored above 0.6, for the codes that "auto" compares.
 
     ``score`` adds ``s`` to frames; by default, the heuristic score.
@@ -144,7 +108,7 @@ def code_scores(scaffolds: DataFrame, score: Callable[[DataFrame, int], DataFram
     out = None
     for code, stops in AUTO_STOPS.items():
         if score is None:
-            found = scored_orfs(scaffolds, code, AUTO_MIN_LENGTH, False, starts=("ATG",), stops=stops).withColumnRenamed("i_score", "s")
+            found = scored_orfs(scaffolds, code, AUTO_MIN_LENGTH, False, scorers, starts=("ATG",), stops=stops).withColumnRenamed("i_score", "s")
         else:
             found = score(orfs.find_orfs(scaffolds, code, AUTO_MIN_LENGTH, starts=("ATG",), stops=stops), code)
         one = found.agg(F.lit(code).alias("code"), (F.sum(F.when(F.col("s") > UP_SCORE, F.col("len")).otherwise(0)) / F.sum("len")).alias("score"))
@@ -152,10 +116,10 @@ def code_scores(scaffolds: DataFrame, score: Callable[[DataFrame, int], DataFram
     return out
 
 
-def choose_table(scaffolds: DataFrame) -> int:
-    """The code of the best score; the first of equals, and 11 if none has frames."""
+def choose_table(scaffolds: DataFrame, score: Callable[[DataFrame, int], DataFrame] | None = None, scorers=None) -> int:
+    """The code of the best score (see ``code_scores``); the first of equals, and 11 if none has frames."""
     best = 11, 0.0
-    for r in sorted(code_scores(scaffolds).collect(), key=lambda r: list(AUTO_STOPS).index(r.code)):
+    for r in sorted(code_scores(scaffolds, score, scorers).collect(), key=lambda r: list(AUTO_STOPS).index(r.code)):
         if r.score is not None and r.score > best[1]:
             best = r.code, r.score
     return best[0]
@@ -195,60 +159,66 @@ def load_classifier(spark, path: str) -> tuple[models.MinMax, models.SVM]:
 
 
 def save_starts(logs: DataFrame, params: tis.AlterParams, path: str) -> None:
+    """``logs``: of order 2, as ``tis.profile_logs`` has them."""
     extra = [F.lit(params.max_alter).alias("max_alter"), F.lit(params.false_up).alias("false_up"), F.lit(params.false_down).alias("false_down")]
     logs.select("profile", "row", "kmer", "logp", "prior", *extra).write.mode("overwrite").parquet(path)
 
 
-def load_starts(spark, path: str) -> tuple[DataFrame, tis.AlterParams]:
-    logs = spark.read.parquet(path)
-    r = logs.first()
-    return logs.drop("max_alter", "false_up", "false_down"), tis.AlterParams(r.max_alter, r.false_up, r.false_down)
+def load_starts(spark, path: str) -> tuple[list, tis.AlterParams]:
+    logs = spark.read.parquet(path).collect()  # a table of fixed size
+    return logs, tis.AlterParams(logs[0].max_alter, logs[0].false_up, logs[0].false_down)
 
 
-def _exists(spark, path: str | None) -> bool:
-    if not path:
-        return False
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+def seeds_of(found: DataFrame) -> DataFrame:
+    """The frames that start-site training begins with."""
+    return found.where((F.col("i_score") >= tis.SEED_SCORE) & (F.col("len") >= tis.SEED_LENGTH))
 
 
 def revise_starts(found: DataFrame, scaffolds: DataFrame, table: int, options: Options) -> DataFrame:
-    """Frames with revised starts; unchanged where there are too few seeds and no model is given."""
+    """Frames with revised starts; by the model that is given, one trained on the seeds, or, where these are too few, the default one."""
     spark = found.sparkSession
-    seeds = found.where((F.col("i_score") >= tis.SEED_SCORE) & (F.col("len") >= tis.SEED_LENGTH))
-    if _exists(spark, options.tis_model):
+    seeds = seeds_of(found)
+    if exists(spark, options.tis_model):
         logs, params = load_starts(spark, options.tis_model)
     elif seeds.limit(MIN_SEEDS).count() < MIN_SEEDS:
-        return found
+        logs, params = tis.default_logs(), tis.AlterParams(tis.DEFAULT_ALTER, tis.DEFAULT_FU, tis.DEFAULT_FD)
     else:
         context = cut(orfs.with_context(seeds.select(*ID, "host_len", "t_start", "len", "starts"), scaffolds), "seeds")
-        logs, params = tis.train(context, ID, codes.starts(table), table, options.min_length, options.max_iter, cut)
+        logs, params = tis.train(context, ID, codes.starts(table), table, options.min_length, options.max_iter)
         if options.tis_model:
-            save_starts(logs, params, options.tis_model)
+            save_starts(spark.createDataFrame(logs, tis.LOGS), params, options.tis_model)
     context = orfs.with_context(found, scaffolds)
-    return tis.revise(context, ID, logs, 2, params, options.min_length).drop("ctx", "ctx_off")
+    return tis.revise(context, tis.Profiles.of(logs, 2), params, options.min_length).drop("ctx", "ctx_off")
+
+
+def usable(scaffolds: DataFrame, min_length: int) -> DataFrame:
+    """Scaffolds that can hold a frame."""
+    return scaffolds.where((F.col("length") if "length" in scaffolds.columns else F.length("sequence")) >= min_length)
 
 
-def predict(scaffolds: DataFrame, options: Options | None = None) -> DataFrame:
+def predict(scaffolds: DataFrame, options: Options | None = None, scorers: dict[int, models.Perceptron] | None = None) -> DataFrame:
     """Genes: scaffold_id, name, host_len, strand, t_start, end, len, partial5, partial3, i_score, d_score, score, start, stop.
 
-    ``scaffolds``: scaffold_id, name, sequence; those below the least length yield none.
+    ``scaffolds``: scaffold_id, name, sequence; those below the least length yield none.  They are read several times, so their ids must
+    be values of a table and not made by the plan; ``read_sequences`` returns such.  ``scorers``: by default, those of ``options.models``
+    or the default bank.
     """
     options = options or Options()
     options.check()
     spark = scaffolds.sparkSession
-    usable = scaffolds.where(F.length("sequence") >= options.min_length)
-    table = choose_table(usable) if options.table == "auto" else int(options.table)
-    found = cut(scored_orfs(usable, table, options.min_length, options.circular), "scored")
+    hosts = usable(scaffolds, options.min_length)
+    scorers = scorers or (load_bank(spark, options.models) if options.models else default_bank(spark))
+    table = choose_table(hosts, scorers=scorers) if options.table == "auto" else int(options.table)
+    found = cut(scored_orfs(hosts, table, options.min_length, options.circular, scorers), "scored")
     if options.revise_tis:
-        found = cut(revise_starts(found, usable, table, options), "revised")
+        found = cut(revise_starts(found, hosts, table, options), "revised")
     if options.mode == "meta":
         found = found.withColumn("d_score", F.lit(0.0))
         weight = models.class_weight(0, 0, meta=True)
     else:
-        vectors = cut(with_vectors(orfs.with_sequence(found, usable)).drop("seq"), "vectors")
+        vectors = cut(with_vectors(orfs.with_sequence(found, hosts)).drop("seq"), "vectors")
         trained, weight = None, 1.0
-        if _exists(spark, options.cds_model):
+        if exists(spark, options.cds_model):
             trained = load_classifier(spark, options.cds_model)
         elif fitted := train_classifier(vectors):
             *trained, weight = fitted

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def session(master: str | None = None, name: str = "strandloom", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
@@ -18,10 +22,13 @@ def session(master: str | None = None, name: str = "strandloom", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a new folder where that is unset (tests, one machine)."""
+    """``spark.checkpoint.dir``; where that is unset, a new local folder if all tasks run in this process, else one in the warehouse, as machines share no local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            found = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/strandloom-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -34,7 +41,29 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write the table to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def _at(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str | None) -> bool:
+    if not path:
+        return False
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``cut`` has written for tables that nothing reads any more."""
+    for t in tables:
+        if path := _written.pop(t, None):
+            fs, at = _at(t.sparkSession, path)
+            fs.delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 
 from strandloom.functions import zcurve
-from strandloom.plans import develop, predict
+from strandloom.plans import bank, develop
 from strandloom.sources import readers
 from tests.test_predict import planted
 
@@ -14,13 +14,13 @@ def test_label_train_and_banks(spark, tmp_path):
     develop.write_labelled(frames, table, f"file://{tmp_path}/labels")
     both = readers.read_labelled(spark, f"file://{tmp_path}/labels/positive.fna", f"file://{tmp_path}/labels/negative.fna")
     assert both.count() == frames.where("label is not null").count()
-    seqs, truth = predict._synthetic(np.random.default_rng(5), 0.45, 800)
+    seqs, truth = bank.synthetic(np.random.default_rng(5), 0.45, 800)
     for kind in (1, 0):
         (tmp_path / f"{kind}.fa").write_text("".join(f">s{i}\n{s}\n" for i, (s, t) in enumerate(zip(seqs, truth)) if t == kind))
     net, found = develop.train_scorer(readers.read_labelled(spark, f"file://{tmp_path}/1.fa", f"file://{tmp_path}/0.fa"), epochs=15)
     assert found["accuracy"] > 0.85
-    develop.save_bank(spark, {3: net, 4: net}, f"file://{tmp_path}/bank")
-    back = develop.load_bank(spark, f"file://{tmp_path}/bank")
+    bank.save_bank(spark, {3: net, 4: net}, f"file://{tmp_path}/bank")
+    back = bank.load_bank(spark, f"file://{tmp_path}/bank")
     x = zcurve.encode_many(["ATGGCCTAA" * 20])
     assert set(back) == {3, 4} and np.allclose(back[3].score(x), net.score(x))
-    assert set(predict.bank()) == set(range(61))
+    assert set(bank.default_bank(spark)) == set(range(61))

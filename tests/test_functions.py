@@ -84,5 +84,16 @@ def test_zcurve_in_expressions(spark):
                 assert np.allclose(two.get((p, a + b), (0, 0, 0)), block[p]["AGCT".index(a)]["AGCT".index(b)])
 
 
+def test_vectors_of_many_sequences(spark):
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice(letters) for _ in range(n)) for n in (0, 1, 2, 3, 4, 7, 50, 300) for letters in ("ACGT", "acgtU", "ACGTN")] + [None]
+    for orders in (1, 2, 3, 4):
+        assert np.allclose(zcurve.encode_many(seqs, orders), [zcurve.encode(s or "", orders) for s in seqs])
+    for compat in (False, True):
+        rows = zcurve.with_mono(spark.createDataFrame([(i, s) for i, s in enumerate([*seqs[:-1], "ACYYRNS"])], "i int, seq string"), compat=compat)
+        for r in rows.collect():
+            assert np.allclose(r.z, zcurve.encode(r.seq, 1, compat))
+
+
 def test_compat_z_of_y():
     assert codes.z_coordinates("Y") == (-1.0, 0.0, 0.0) and codes.z_coordinates("Y", compat=True) == (1.0, 0.0, 0.0)

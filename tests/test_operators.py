@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -59,6 +60,19 @@ def test_start_profiles(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in logs.groupBy("profile", "row", F.substring("kmer", 1, 1)).agg(F.sum(F.exp("logp")).alias("s")).collect())
 
 
+def test_default_profile():
+    logs = tis.default_logs()
+    assert len(logs) == 3 * 63 * 64
+    for r in (0, 30, 48, 49, 50, 62):
+        for p in tis.PROFILES:
+            assert abs(math.fsum(math.exp(x["logp"]) for x in logs if x["row"] == r and x["profile"] == p and x["kmer"][:2] == "AC") - 1) < 1e-9
+    profiles = tis.Profiles.of(logs, 2)
+    good = "ACTTCA" * 6 + "ATAGGAGGATTACA"[:14] + "ATG" + "GCTAAAGATGAA"
+    plain = "".join("ACGT"[(7 * i * i + i) % 4] for i in range(50)) + "GTG" + "CCCCCCCCCCCC"
+    a, b, c = profiles.scores([good, plain, "N" * 65], tis.AlterParams(7, 0.8, 5.2))
+    assert a > b and abs(c - 1 / 7) < 1e-9
+
+
 def test_alter_params():
     p = tis.alter_params({"A": 25, "C": 25, "G": 25, "T": 25})
     assert p.max_alter == 7 and abs(p.false_up + p.false_down - (p.max_alter - 1)) < 1e-9

@@ -73,3 +73,12 @@ def test_genetic_codes(spark, table):
 def test_long_scaffold_is_split_for_the_codons(spark):
     plan = orfs.codon_events(orfs.strands(scaffolds(spark, ["ACGT" * 100])))._jdf.queryExecution().toString()
     assert "Python" not in plan and F is not None
+
+
+def test_equal_rows_and_empty_spans_keep_their_number(spark):
+    rng = random.Random(21)
+    table = scaffolds(spark, [dna(rng, 900), dna(rng, 100)])
+    rows = spark.createDataFrame([(0, "+", 10, 300, 290, 900)] * 2 + [(0, "+", 40, 40, 0, 900), (1, "-", 0, 60, 60, 100)] * 2, "scaffold_id long, strand string, t_start int, end int, len int, host_len int")
+    for tile in (30, 300, 30_000):
+        got = [(r.t_start, r.len, len(r.seq)) for r in orfs.with_sequence(rows, table, tile).collect()]
+        assert sorted(got) == sorted([(10, 290, 290)] * 2 + [(40, 0, 0)] * 2 + [(0, 60, 60)] * 2)

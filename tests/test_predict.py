@@ -5,7 +5,7 @@ import pytest
 
 from strandloom.functions import codes
 from strandloom.operators import models
-from strandloom.plans import cli, predict
+from strandloom.plans import bank, cli, predict
 from tests.simulate import revcomp
 
 
@@ -51,6 +51,23 @@ def test_models_are_saved_and_loaded(spark, genome, tmp_path):
     assert len(set(first) & set(second)) > 0.8 * len(first)
 
 
+def test_few_seeds_take_the_default_profile(spark):
+    seq, truth = planted(6, 1)
+    table = spark.createDataFrame([(0, "s", seq)], "scaffold_id long, name string, sequence string")
+    found = predict.predict(table, predict.Options(mode="meta", threshold=0.0)).collect()
+    plain = predict.predict(table, predict.Options(mode="meta", threshold=0.0, revise_tis=False)).collect()
+    assert {(r.strand, r.phase, r.end) for r in found} == {(r.strand, r.phase, r.end) for r in plain}
+    assert all(r.len >= 90 for r in found)
+
+
+def test_a_bank_of_ones_own(spark, genome, tmp_path):
+    table, _ = genome
+    path = f"file://{tmp_path}/bank"
+    bank.save_bank(spark, {k: m for k, m in bank.default_bank(spark).items() if k < 20}, path)
+    found = predict.predict(table, predict.Options(mode="meta", revise_tis=False, threshold=-1.0, models=path))
+    assert found.where("i_score = 0").count() > 0 and found.where("i_score > 0").count() > 0
+
+
 def test_codes_are_told_apart(spark):
     rng = random.Random(5)
     gene = lambda: "ATG" + "".join(rng.choices(["GCA", "GAA", "AAA", "GGT", "TGA", "ATC"], k=200)) + "TAA"

@@ -1,7 +1,9 @@
 import gzip
+import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.operators import genes, orfs
 from strandloom.plans import predict
@@ -95,3 +97,55 @@ def test_stream_equals_batch(spark, tmp_path):
     table = spark.createDataFrame([(i, f"r{i}", s) for i, s in enumerate(seqs)], "scaffold_id long, name string, sequence string")
     frames = genes.with_coordinates(orfs.find_orfs(table).withColumnRenamed("scaffold_id", "i")).selectExpr("concat('r', i) as name", "strand", "start", "stop").collect()
     assert set(map(tuple, got)) <= set(map(tuple, frames)) and len(got) > 0.9 * len(frames)
+
+
+def test_ids_are_of_the_data(spark, tmp_path):
+    """Many files in many partitions: the ids are the same whatever columns a plan reads, and every gene keeps its scaffold's name."""
+    rng, want = random.Random(8), {}
+    for i in range(12):
+        names = [f"f{i}r{k}" for k in range(5)]
+        want |= {n: dna(rng, 4000) for n in names}
+        text = "".join(f">{n}\n{want[n]}\n" for n in names)
+        if i % 3 == 0:
+            (tmp_path / f"{i}.fa.gz").write_bytes(gzip.compress(text.encode()))
+        elif i % 3 == 1:
+            (tmp_path / f"{i}.packed").write_bytes(gzip.compress(text.encode()))
+        else:
+            (tmp_path / f"{i}.fa").write_text(text)
+    (tmp_path / "empty.fa").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        table = readers.read_sequences(spark, f"file://{tmp_path}/*")
+        whole = {r.scaffold_id: (r.name, r.sequence) for r in table.collect()}
+        assert {n: s for n, s in whole.values()} == want and len(whole) == len(want)
+        assert {r.scaffold_id: r.name for r in table.select("scaffold_id", "name").collect()} == {k: v[0] for k, v in whole.items()}
+        plain = readers.read_fasta(spark, f"file://{tmp_path}/*.fa")
+        assert plain.join(plain.select("scaffold_id", F.col("name").alias("n")), "scaffold_id").where("name = n").count() == plain.count() == 20
+        found = predict.predict(table, predict.Options(mode="meta", revise_tis=False, threshold=0.0)).select("name", "strand", "start", "stop").collect()
+        assert {r.name for r in found} == set(want)
+        for r in found[:50]:
+            piece = want[r.name][r.start - 1 : r.stop]
+            assert len(piece) % 3 == 0 or r.stop == 4000 or r.start == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_standard_input(spark, monkeypatch):
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(FASTA.encode())))
+    assert [(r.name, r.sequence) for r in readers.read_sequences(spark, "-").orderBy("scaffold_id").collect()] == WANT["fasta"]
+
+
+def test_no_content(spark, tmp_path):
+    (tmp_path / "x.fa").write_text("")
+    with pytest.raises(ValueError):
+        readers.read_sequences(spark, f"file://{tmp_path}/x.fa")
+
+
+def test_streams_are_cut_at_marks():
+    for size in (1, 3, 7, 1 << 20):
+        readers_block, readers.BLOCK = readers.BLOCK, size
+        try:
+            for kind, text in (("fasta", FASTA), ("genbank", GENBANK), ("embl", EMBL)):
+                assert list(readers.records(io.BytesIO(text.encode()), kind)) == WANT[kind]
+        finally:
+            readers.BLOCK = readers_block
