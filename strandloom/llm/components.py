@@ -2,7 +2,8 @@
 
 Each round replaces the links by stars around smaller ids; the rounds needed grow with the logarithm of the largest
 component, and with links that already are stars two suffice.  Minima are combined before the shuffle and written, so that
-the joins that a hub makes uneven have two plain exchanges and are split at run time.  Every round ends in a written table.
+the joins that a hub makes uneven have two plain exchanges and are split at run time.  Every round ends in a written table, and
+the tables of the round before are deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import cut
+from strandloom.llm.shared import cut, discard
 
 
 def _state(links: DataFrame) -> tuple:
@@ -28,6 +29,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = cut(both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         root = cut(large.groupBy("u").agg(F.min("v").alias("m")), "root")
         moved = large.join(root, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pair = cut(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, pair = pair, cut(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
         before, state = state, _state(pair)
+        discard(old, least, large, root)
     return pair.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(pair.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

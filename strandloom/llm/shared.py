@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandloom.session import cut, new_path, shared_dir
+from strandloom.session import cut, discard, new_path, shared_dir
 
-__all__ = ["Sets", "by_key", "cut", "map_texts", "new_path", "shared_dir", "table", "words_of"]
+__all__ = ["Sets", "by_key", "cut", "discard", "map_texts", "new_path", "shared_dir", "table", "words_of"]
 
 #: Texts that are Python objects at a time; Spark bounds the batch around them by bytes.
 SLICE_ROWS = 1_000
