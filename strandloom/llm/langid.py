@@ -37,10 +37,14 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def in_training(doc_id: str = "doc_id") -> Column:
-    """Documents that may be learned from; the others are held out."""
+    """Documents that may be learned from; those without an id are not, nor are they held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 != 2, F.lit(False))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
 def plain(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 

@@ -57,7 +57,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs))
-    return found.select("doc_id", (~langid.in_training()).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import pyarrow.parquet as pq
 import pytest
+import zstandard
 
 from strandloom.llm import decontamination as D
 from strandloom.llm import langid, queries, tokencount
@@ -56,6 +57,37 @@ def test_short_texts_are_told_apart():
     assert sum(p >= langid.MIN_MARGIN and k == r["lang"] for (k, p), r in zip(found, few)) > 0.95 * len(few)
 
 
+def test_language_equals_brute_force(spark):
+    """Every document of the query, classified anew: letters only, blocks of 1,024 bytes, one dictionary after the other."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in queries.op8_language(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        letters = " ".join("".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split()).encode()
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not letters:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        while len(letters) < 256:
+            letters = letters + b" " + letters
+        sizes = {}
+        for lang, raw in model.items():
+            packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(packer.compress(letters[i : i + 1024])) for i in range(0, len(letters), 1024))
+        first, second = sorted(sizes.values())[:2]
+        if first < 0.99 * second:
+            assert got[r.doc_id].lang_pred == min(sizes, key=sizes.get)
+            if len(letters) > 600:
+                assert abs(got[r.doc_id].score - (1 - first / second)) < 1e-9
+
+
+def test_documents_without_an_id_are_neither_learned_from_nor_held_out(docs_of):
+    assert docs_of(["x"], ids=[None]).select(langid.in_training(), langid.held_out()).first() == (False, False)
+
+
 def test_labels_of_held_out_documents_are_not_read(docs_of):
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert langid.fit(docs_of(["le chat et le chien"] * len(ids), ids=ids, langs=["fr"] * len(ids))) == {}
