@@ -9,11 +9,11 @@ licence texts.  Two texts match iff they differ only in what the form leaves out
 3. punctuation, comment marks, white space and line breaks;
 4. spellings that count as equivalent (``SPELLINGS``, after the usual matching guidelines for licences).
 
-The known texts are a fixed list (``known_licenses.py``), so the joined side has a proven bound: one row for each
+The known texts and digests are a fixed list (``known_licenses.py``), so the joined side has a proven bound: one row for each
 entry of that list, whatever the corpus; only such a list is broadcast, and a larger one is joined by a shuffle.
 
 Cases.  Null text: null digest, no licence.  Text without letters or digits: canonical form empty, digest of the empty
-string, no licence.  Extra columns are ignored.  Repeated rows: each gets its row.  Empty table: no rows.
+string, no licence.  Very long text: linear.  Ties, names of one canonical form: the first name.  Extra columns are ignored.  Repeated rows: each gets its row.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.known_licenses import KNOWN
+from strandloom.llm.known_licenses import DIGESTS, KNOWN
 
 #: Matching is on substrings of the canonical text, in this order.
 SPELLINGS = (
@@ -64,16 +64,16 @@ def canonical_sql(text: str) -> str:
     return out
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
-    """license_id, digest: one row for each distinct canonical form, under the first name."""
-    rows = spark.createDataFrame(sorted(known.items()), "license_id string, body string")
-    return rows.select("license_id", F.sha2(canonical(F.col("body")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN, digests: dict[str, str] = DIGESTS) -> DataFrame:
+    """license_id, digest: one row for each distinct canonical form, under the first name; ``known``: texts, ``digests``: digests of canonical forms."""
+    rows = spark.createDataFrame(sorted(known.items()), "license_id string, body string").select("license_id", F.sha2(canonical(F.col("body")), 256).alias("digest"))
+    return rows.unionByName(spark.createDataFrame(sorted(digests.items()), "license_id string, digest string")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] = KNOWN) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] = KNOWN, digests: dict[str, str] = DIGESTS) -> DataFrame:
     """One row for each document: doc_id, canonical_chars, digest, license_id (null: no known licence), is_license."""
     form = docs.select(F.col(doc_id).alias("doc_id"), canonical(F.col(text)).alias("form"))
     form = form.select("doc_id", F.length("form").cast("long").alias("canonical_chars"), F.sha2("form", 256).alias("digest"))
-    digests = known_digests(docs.sparkSession, known)
-    found = form.join(F.broadcast(digests) if len(known) <= BROADCAST_ROWS else digests, "digest", "left")
+    listed = known_digests(docs.sparkSession, known, digests)
+    found = form.join(F.broadcast(listed) if len(known) + len(digests) <= BROADCAST_ROWS else listed, "digest", "left")
     return found.select("doc_id", "canonical_chars", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))

@@ -55,7 +55,8 @@ SELECT doc_id, item_id, round(score, 6) AS score, round(q_overlap, 6) AS questio
 
 def licenses_sql() -> str:
     known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.KNOWN.items()))
-    return f"""WITH known AS (SELECT sha256({licenses.canonical_sql('body')}) AS digest, min(license_id) AS license_id FROM (VALUES {known}) t(license_id, body) GROUP BY 1),
+    fixed = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(licenses.DIGESTS.items()))
+    return f"""WITH known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT sha256({licenses.canonical_sql('body')}) AS digest, license_id FROM (VALUES {known}) t(license_id, body) UNION ALL SELECT digest, license_id FROM (VALUES {fixed}) u(license_id, digest)) GROUP BY 1),
 forms AS (SELECT doc_id, {licenses.canonical_sql('text')} AS form FROM documents)
 SELECT doc_id, length(form) AS canonical_chars, sha256(form) AS digest, license_id, license_id IS NOT NULL AS is_license FROM (SELECT *, sha256(form) AS d FROM forms) f LEFT JOIN known k ON f.d = k.digest"""
 
@@ -109,7 +110,7 @@ def warc_sql() -> str:
     five = "list_sum(list_transform([1, 2, 3, 4, 5], lambda k: CASE WHEN substr(bits, 5 * i + k, 1) = '1' THEN 2 ** (5 - k) ELSE 0 END))::INT"
     return f"""WITH pages_ AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 hashed AS (SELECT *, {bits} AS bits, min(page_id) OVER (PARTITION BY payload) AS first_id FROM pages_)
-SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {five} + 1, 1)), '') AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS digest_ok FROM hashed"""
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {five} + 1, 1)), '') AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, CASE WHEN page_id = first_id THEN true END AS digest_ok FROM hashed"""
 
 
 def shards_sql() -> str:

@@ -12,13 +12,14 @@ Bytes that decode to no record are skipped to the next valid member.
 
 Paths are URIs that ``pyarrow.fs`` opens (file, hdfs, s3, gs); archives go to the shared folder by default.
 
-Scale.  Payloads are shuffled once, by digest, to meet their group's smallest id; the groups' side of that join has one row for
-each payload, and a group that holds much of the table is split at run time (skew join).  A task holds one range and one
-record.
+Scale.  Groups of equal payloads are found by digest alone, with combined minima, and written, those of several pages only.  Where Spark
+finds that table small enough, payloads aren't shuffled; else they are once, by digest, and as both sides of the join are plain exchanges, a group
+that holds much of the table is split at run time (skew join).  A task holds one range and one record.
 
 Cases.  Null html: empty payload.  Null url: no target header; control characters in urls are percent-encoded.  Null
 page_id: kept, as null, and never the response of a group that has ids.  Repeated rows: those with the smallest id are
-all responses.  Empty table: no files, no rows.  Extra columns are ignored.
+all responses.  Ties in the smallest id: see there.  Very long payloads: a record is
+packed and unpacked whole in one task, one at a time.  Empty table: no files, no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,9 +59,10 @@ def with_responses(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
     """page_id, url, html, refers_to: null for responses."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     hashed = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    first = hashed.groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    again = (F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return hashed.join(first, "sha").select("page_id", "url", "html", F.when(again, F.col("first_id")).alias("refers_to"))
+    groups = hashed.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = cut(groups.select("sha", "first_id"), "warc-groups")
+    again = F.col("first_id").isNotNull() & (F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return hashed.join(first, "sha", "left").select("page_id", "url", "html", F.when(again, F.col("first_id")).alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, html: str, refers_to: int | None) -> bytes:
@@ -175,7 +177,7 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 
 def parse(content: bytes) -> tuple[dict, bytes | None]:
-    """The fields of a record, and its payload (null: none is stored)."""
+    """The fields of a record, and its payload (null: none is stored, and there is nothing to hold its digest against)."""
     head, _, rest = content.partition(b"\r\n\r\n")
     fields = _headers(head)
     block = rest[: int(fields.get("content-length", 0))]
@@ -184,7 +186,7 @@ def parse(content: bytes) -> tuple[dict, bytes | None]:
     kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest", "").rpartition(":")[2]
     out = {"page_id": urn(fields.get("warc-record-id", "")), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": urn(fields.get("warc-refers-to", ""))}
     if kind == "revisit":
-        return out | {"payload_bytes": int(_headers(http).get("content-length", 0)), "payload_digest": stated, "digest_ok": True}, None
+        return out | {"payload_bytes": int(_headers(http).get("content-length", 0)), "payload_digest": stated, "digest_ok": None}, None
     found = digest(payload)
     return out | {"payload_bytes": len(payload), "payload_digest": found, "digest_ok": found == stated}, payload
 

@@ -1,10 +1,12 @@
 import hashlib
+import os
 import re
 
 import duckdb
+import pytest
 
 from strandloom.llm import licenses, queries
-from strandloom.llm.known_licenses import KNOWN
+from strandloom.llm.known_licenses import DIGESTS, KNOWN
 
 
 def brute(text):
@@ -32,6 +34,30 @@ def test_known_texts_in_other_clothes(docs_of):
         assert rows[i].is_license == (want[i] is not None)
 
 
+FULL = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.exists(f"{FULL}/GPL-3"), reason="no licence texts on this machine")
+def test_full_texts(docs_of):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    texts = [open(f"{FULL}/{f}", encoding="utf-8").read() for f in files]
+    texts += ["\n".join(f"# {x.strip()}" for x in t.upper().split("\n")) for t in texts] + [t[:-200] for t in texts]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs_of(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [*files.values()] * 2 + [None] * len(files) and set(files.values()) <= set(DIGESTS)
+
+
+def test_matches_equal_sql(spark, docs_of):
+    """The query's SQL on documents that do hold licences."""
+    texts = [*KNOWN.values(), *(b.replace(",", ";\n") for b in KNOWN.values()), "no licence", None]
+    docs = docs_of(texts)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(queries.ORACLE_SQL["op9_licenses"])
+    columns = [d[0] for d in want.description]
+    got = licenses.scan_licenses(docs).select(columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr) and got.where("is_license").count() == 2 * len(KNOWN)
+
+
 def test_empty_and_repeated(docs_of):
     assert licenses.scan_licenses(docs_of([])).count() == 0
     assert licenses.scan_licenses(docs_of([KNOWN["MIT"]] * 3, ids=[1] * 3)).where("license_id = 'MIT'").count() == 3
