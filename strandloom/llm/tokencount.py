@@ -1,31 +1,31 @@
-"""Token counts by a splitter transducer and memoised merging, without running a tokenizer over the texts.
+"""Token counts by compiled transducers, without running a tokenizer over the texts.
 
-The vocabulary is a byte-level BPE (a ``tokenizers`` JSON file).  Two things are made from it:
+The vocabulary is a byte-level BPE (a ``tokenizers`` JSON file).  Two deterministic transducers are compiled from it:
 
-*  The splitter, a deterministic transducer over 12 character classes and 13 states.  A transition tells whether a
-   piece of text ends before the character read, or before the one ahead of it (``_machine``).
-*  The lexicon, a table of the number of tokens by piece digest.  Counts of new pieces are computed by BPE merging
-   (``pieces``), not emitted by transitions, and kept for the worker's life, within ``LEXICON_ROWS``.
+*  The splitter, over 12 character classes and 13 states.  A transition tells whether a piece of text ends before the
+   character read, or before the one ahead of it (``_machine``).
+*  The lexicon, over the bytes of a piece.  A transition emits the change of the number of tokens (``countmachine``).
 
 A batch of texts is one string of classes, with an end mark after each text, and is cut into chunks of ``CHUNK``
 characters.  Each chunk is run from *every* state at once, which gives its state map; the maps compose associatively
 and a parallel prefix scan (``_scan``) gives each chunk's true first state; a second run marks the piece ends.  Both
-runs go through all chunks in step, a column of characters at a time.  Piece digests then select lexicon arcs, and the
-arcs' counts add up by document.
+runs go through all chunks in step, a column of characters at a time.  Every piece starts in the lexicon's first state, so pieces
+then go through the lexicon in step, and what it emits adds up by document.
 
-Exactness.  Character classes are taken from the library itself, for every code point.  Digests of pieces are 64-bit sums
-with random weights, paired with the length; a false match among 10 million distinct pieces has odds of about 1e-5.
-The text of a special token counts as one token and splits the text, as the library does by default.
+Exactness.  Character classes are taken from the library itself, for every code point.  Counts are those of merging, without
+digests.  The text of a special token counts as one token and splits the text, as the library does by default.  A vocabulary
+whose merges use symbols before they are made is refused.
 
-Scale.  One narrow pass, no shuffle.  A worker holds one group of texts (``GROUP_CHARS``, or one longer text) and its
-lexicon.  The compiled vocabulary (about 3 MB) is fixed by the file.
+Scale.  One narrow pass, no shuffle.  A worker holds one group of texts (``GROUP_CHARS``, or one longer text, at about 40 bytes
+a character) and the transitions compiled so far, within about 200 MB (``countmachine.STATES``).  The compiled vocabulary
+is fixed by the file.
 
 Cases.  Null text: empty, 0 tokens.  Repeated rows: each gets its row.  Extra columns are ignored.  Empty table: no rows.
+Very long texts and pieces: linear in their length.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import zlib
 from functools import lru_cache
@@ -33,16 +33,12 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
+from strandloom.llm.countmachine import Transducer
 from strandloom.llm.shared import map_texts
 
 CHUNK = 64
 GROUP_CHARS = 1 << 20
-LEXICON_ROWS = 4_000_000
 LIMIT = 512
-#: Longer pieces, in bytes, are merged one by one.
-LONG_PIECE = 256
-_TABLE_BITS = 18
-_NEVER = 1 << 30
 
 # Classes of characters.
 _LETTER, _STMD, _R, _V, _E, _L, _NUMBER, _APOSTROPHE, _SIGN, _SPACE, _BLANK, _END = range(12)
@@ -116,112 +112,14 @@ class Counter:
     def __init__(self, path: str, classes: bytes | None = None):
         classes = classes or unicode_classes(path)
         spec = json.load(open(path, encoding="utf-8"))
-        made = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE: bytes that stand for themselves; the others follow from 256
         other = [b for b in range(256) if b not in plain]
         symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-        ids = {s: i + 1 for i, s in enumerate(dict.fromkeys([*symbol.values(), *(a + b for a, b in made)]))}
-        self.byte_ids = np.array([ids[symbol[b]] for b in range(256)], np.int32)
-        self.merged = np.array([ids[a + b] for a, b in made], np.int32)
+        self.lexicon = Transducer([symbol[b] for b in range(256)], merges)
         self.classes = np.frombuffer(zlib.decompress(classes), np.uint8)
         self.next, self.mark = _machine()
-        rng = np.random.default_rng(20_240_601)
-        self.point = rng.integers(1, 2**63, 0x110000, dtype=np.uint64) | np.uint64(1)
-        base = np.uint64(0x9E3779B97F4A7C15)
-        inverse = np.uint64(pow(int(base), -1, 2**64))
-        n = GROUP_CHARS + 1
-        self.power, self.inverse = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, b, np.uint64)))) for b in (base, inverse))
-        self.bases = base, inverse
-        self.slots, self.slot_ranks = np.zeros(1 << _TABLE_BITS, np.uint64), np.full(1 << _TABLE_BITS, _NEVER, np.int32)
-        for rank, (a, b) in enumerate(made):
-            key = ids[a] << 32 | ids[b]
-            at = (key * int(base) & 2**64 - 1) >> (64 - _TABLE_BITS)
-            while self.slots[at] not in (0, key):
-                at = at + 1 & (1 << _TABLE_BITS) - 1
-            if not self.slots[at]:
-                self.slots[at], self.slot_ranks[at] = key, rank
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int32)
-
-    def _powers(self, n: int) -> None:
-        while len(self.power) <= n:
-            self.power, self.inverse = (np.concatenate((p, p * p[-1] * b)) for p, b in zip((self.power, self.inverse), self.bases))
-
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The merge rank of each pair of symbols, or _NEVER: a look into an open-addressed table."""
-        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-        at = ((key * self.bases[0]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-        out = np.where(self.slots[at] == key, self.slot_ranks[at], _NEVER)
-        left = np.flatnonzero((out == _NEVER) & (self.slots[at] != 0))
-        while len(left):
-            at[left] = (at[left] + 1) & ((1 << _TABLE_BITS) - 1)
-            hit = self.slots[at[left]] == key[left]
-            out[left[hit]] = self.slot_ranks[at[left[hit]]]
-            left = left[~hit & (self.slots[at[left]] != 0)]
-        return out
-
-    def pieces(self, texts: list[bytes]) -> np.ndarray:
-        """Tokens of each piece: the leftmost pair of the lowest rank is merged until none has a rank.  Pieces of one length go in step."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        out = sizes.copy()
-        for i in np.flatnonzero(sizes > LONG_PIECE).tolist():
-            out[i] = self._long(texts[i])
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= LONG_PIECE)]).tolist():
-            rows = np.flatnonzero(sizes == size)
-            for part in np.array_split(rows, -(-len(rows) * size // (1 << 20))):
-                self._merge(np.frombuffer(b"".join([texts[i] for i in part]), np.uint8).reshape(-1, size), part, out)
-        return out
-
-    def _long(self, text: bytes) -> int:
-        """Tokens of one long piece: the same merges off a heap of pairs, over a linked list of symbols."""
-        ids = self.byte_ids[np.frombuffer(text, np.uint8)].tolist()
-        n, after, before = len(ids), list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        first = self._rank(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != _NEVER]
-        heapq.heapify(heap)
-        known: dict[tuple[int, int], int] = {}
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue  # one of the two has been merged since
-            ids[i], ids[j], after[i] = int(self.merged[rank]), 0, after[j]
-            if after[j] < len(ids):
-                before[after[j]] = i
-            n -= 1
-            for k in (before[i], i):
-                if k >= 0 and after[k] < len(ids):
-                    pair = ids[k], ids[after[k]]
-                    if pair not in known:
-                        known[pair] = int(self._rank(np.array(pair[:1]), np.array(pair[1:]))[0])
-                    if known[pair] != _NEVER:
-                        heapq.heappush(heap, (known[pair], k, *pair))
-        return n
-
-    def _merge(self, raw: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
-        ids = self.byte_ids.take(raw)
-        ranks = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), -1)
-        while ranks.shape[1]:
-            best = ranks.argmin(axis=1)
-            low = ranks[np.arange(len(rows)), best]
-            if not (go := low != _NEVER).all():
-                out[rows[~go]] = ids.shape[1]
-                ids, ranks, best, low, rows = ids[go], ranks[go], best[go], low[go], rows[go]
-            if not len(rows):
-                return
-            line, n = np.arange(len(rows)), ids.shape[1]
-            columns = np.arange(n - 1)
-            ids = np.take_along_axis(ids, columns + (columns > best[:, None]), axis=1)  # without the right symbol of the pair
-            ids[line, best] = self.merged[low]
-            columns = columns[:-1]
-            ranks = np.take_along_axis(ranks, columns + (columns >= best[:, None]), axis=1)
-            for near in (best - 1, best):  # the pairs that the new symbol is in
-                has = (near >= 0) & (near < n - 2)
-                ranks[line[has], near[has]] = self._rank(ids[line[has], near[has]], ids[line[has], near[has] + 1])
-        out[rows] = ids.shape[1]
 
     def _scan(self, maps: np.ndarray) -> np.ndarray:
         """The state before each chunk, by a prefix scan over the chunks' state maps (states x chunks)."""
@@ -251,24 +149,6 @@ class Counter:
         begins[:-1] |= (flat[1:] & _BACK) > 0
         return begins
 
-    def _arcs(self, keys: np.ndarray, points: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The lexicon's counts for pieces, with arcs made for new ones."""
-        unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        where = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
-        known = self.keys[where] == unique if len(self.keys) else np.zeros(len(unique), bool)
-        counts = np.empty(len(unique), np.int32)
-        if len(self.keys):
-            counts[known] = self.counts[where[known]]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            counts[new] = self.pieces([points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") for a, b in zip(first[at[new]].tolist(), end[at[new]].tolist())])
-            if len(self.keys) + len(new) > LEXICON_ROWS:
-                self.clear()
-            keys, counted = np.concatenate((self.keys, unique[new])), np.concatenate((self.counts, counts[new]))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.counts = keys[order], counted[order]
-        return counts[back]
-
     def _group(self, texts: list[str]) -> np.ndarray:
         """Token counts of texts without special tokens."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -284,10 +164,11 @@ class Counter:
         first, end = first[real], end[real]
         if not len(first):
             return np.zeros(len(texts), np.int64)
-        self._powers(len(points))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.point.take(points) * self.power[: len(points)])))
-        keys = (sums[end] - sums[first]) * self.inverse[first] + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        counts = self._arcs(keys, points, first, end)
+        lone = points >> 11 == 0x1B  # a lone surrogate reads as a question mark
+        width = 1 + ((points > 0x7F) & ~lone).astype(np.int64) + ((points > 0x7FF) & ~lone) + (points > 0xFFFF)
+        at = np.concatenate((np.zeros(1, np.int64), np.cumsum(width)))
+        data = np.frombuffer("\0".join(texts).encode("utf-8", "replace"), np.uint8)
+        counts = self.lexicon.counts(data, at[first], at[end] - at[first])
         return np.bincount(np.searchsorted(ends, first), counts, len(texts)).astype(np.int64)
 
     def count(self, texts: list[str | None]) -> list[int]:

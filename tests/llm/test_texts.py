@@ -261,3 +261,51 @@ def test_long_document_is_searched_whole(spark, docs_of):
     item = "alpha beta gamma delta epsilon zeta eta theta iota. kappa lambda mu"
     text = "filler " * 60_000 + item + " filler" * 50
     assert D.decontaminate(docs_of([text]), spark.createDataFrame([(5, item)], "item_id long, text string")).first().hits[0].item_id == 5
+
+
+def merged(text, ranks):
+    """Number of tokens by merging the leftmost pair of the lowest rank until none has one."""
+    symbols = list(text)
+    while True:
+        pairs = [(ranks[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
+        if not pairs:
+            return len(symbols)
+        _, i = min(pairs)
+        symbols[i : i + 2] = ["".join(symbols[i : i + 2])]
+
+
+def test_transducer_equals_merging(monkeypatch):
+    """Small vocabularies with many overlaps, and tables emptied after few states."""
+    import numpy as np
+
+    from strandloom.llm import countmachine
+
+    monkeypatch.setattr(countmachine, "STATES", 40)
+    monkeypatch.setattr(countmachine, "PART_BYTES", 64)
+    monkeypatch.setattr(countmachine, "LONG_PIECE", 30)
+    rng = random.Random(12)
+    alphabet = [chr(b) if chr(b) in "abc" else f"<{b}>" for b in range(256)]
+    for _ in range(60):
+        symbols, merges = ["a", "b", "c"], []
+        while len(merges) < rng.randint(3, 40):
+            pair = rng.choice(symbols), rng.choice(symbols)
+            if pair not in merges and "".join(pair) not in symbols and len("".join(pair)) < 9:
+                merges.append(pair)
+                symbols.append("".join(pair))
+        machine, ranks = countmachine.Transducer(alphabet, merges), {p: r for r, p in enumerate(merges)}
+        texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 50))) for _ in range(60)]
+        size = np.array([len(t) for t in texts])
+        first = np.cumsum(size) - size
+        got = machine.counts(np.frombuffer("".join(texts).encode(), np.uint8), first, size)
+        assert got.tolist() == [merged(t, ranks) for t in texts]
+
+
+def test_transducer_refuses_merges_out_of_order():
+    from strandloom.llm import countmachine
+
+    with pytest.raises(ValueError):
+        countmachine.Transducer([chr(b) for b in range(256)], [("ab", "c"), ("a", "b")])
+
+
+def test_no_texts_no_tokens(docs_of):
+    assert tokencount.count_tokens(docs_of([]), PATH).count() == 0
