@@ -16,7 +16,7 @@ Scale.  One narrow pass over whole texts, no shuffle, no Python.  The model is a
 whatever the corpus.
 
 Cases.  Null text: as empty, no spans.  Repeated rows: each gets its row.  Extra columns are ignored.  Empty table: no
-rows.  Very long texts: linear in their length, but for lists of spans, which grow by copying.
+rows.  Very long texts: linear in their length and, up to a million matches, nearly so in their matches (``_scan``).
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 N_RANDOM = 2_000
 #: Weight, in pairs, of a character's share of all pairs against its share after the one before.
 BACK_OFF = 4.0
+_SPAN = "struct<start:bigint,rank:int,end:bigint>"
+_BLOCK = 128
 #: Labelled as ordinary: identifiers and long words of several languages.
 ORDINARY = """
 getUserAccountById setDefaultConfiguration maxConnectionPoolSize number_of_retries_before_failure isAuthenticationRequired updateCustomerAddress
@@ -94,21 +96,60 @@ def fit(labelled: DataFrame) -> list[int]:
     return [round(1000 * math.log(prob(True, a, b) / prob(False, a, b))) for a in range(n) for b in range(n)]
 
 
+def _scan(rows: Column, zero: Column, step, made: str) -> Column:
+    """What ``step(carry, row)``, a pair of the next carry and a value of type ``made``, gives for each row in turn.
+
+    A fold that appends copies its list at each row; here it does so within blocks of ``_BLOCK`` rows, and the blocks' lists are appended.
+    """
+
+    def cut(rows: Column) -> Column:
+        last = F.greatest(F.floor((F.size(rows) - 1) / _BLOCK).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * _BLOCK + 1, F.lit(_BLOCK)))
+
+    blocks = F.transform(F.array(rows), cut)[0]  # a variable, or rows would be made again for each block
+
+    def block(done: Column, part: Column) -> Column:
+        def row(state: Column, x: Column) -> Column:
+            carry, value = step(state["at"], x)
+            return F.struct(carry.cast("bigint").alias("at"), F.concat(state["out"], F.array(value.cast(made))).cast(f"array<{made}>").alias("out"))
+
+        begin = F.struct(done["at"].alias("at"), F.array().cast(f"array<{made}>").alias("out"))
+        return F.aggregate(part, begin, row, lambda s: F.struct(s["at"].alias("at"), F.concat(done["out"], F.array(s["out"])).cast(f"array<array<{made}>>").alias("out")))
+
+    begin = F.struct(zero.cast("bigint").alias("at"), F.array().cast(f"array<array<{made}>>").alias("out"))
+    return F.aggregate(blocks, begin, block, lambda s: F.flatten(s["out"]))
+
+
 def _found(text: Column, pattern: str, group: int, least: int, rank: int) -> Column:
     """Spans (start, rank, end) of the pattern's matches whose group has the least length."""
     gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    kind = "array<struct<start:bigint,rank:int,end:bigint>>"
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
     rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("g"), whole.alias("m"), part.alias("p"))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["g"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["g"])
         end = start + F.length(x["m"])
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.cast("bigint").alias("at"), F.when(F.length(x["p"]) >= least, F.concat(done["out"], span)).otherwise(done["out"]).cast(kind).alias("out"))
+        return end, F.when(F.length(x["p"]) >= least, F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
+
+    spans = F.filter(_scan(rows, F.lit(0), step, _SPAN), lambda x: x.isNotNull())
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def _apart(base: Column, more: Column) -> Column:
+    """Base spans and those further ones that overlap none of them, sorted.  ``more`` are disjoint, and none is empty."""
+    fields = lambda s: [s[x].alias(x) for x in ("start", "rank", "end")]
+    is_base = lambda s: s["rank"] < len(BASE)
+
+    def forward(reached: Column, s: Column) -> tuple[Column, Column]:  # how far base spans reach that start no later
+        return F.when(is_base(s), F.greatest(reached, s["end"])).otherwise(reached), F.when(is_base(s) | (s["start"] >= reached), F.struct(*fields(s)))
+
+    def backward(begins: Column, s: Column) -> tuple[Column, Column]:  # where the next base span starts
+        return F.when(is_base(s), s["start"]).otherwise(begins), F.when(is_base(s) | (s["end"] <= begins), F.struct(*fields(s)))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, begin, step)["out"]).otherwise(F.array().cast(kind))
+    there = lambda x: x.isNotNull()
+    right = F.filter(_scan(F.array_sort(F.concat(base, more)), F.lit(0), forward, _SPAN), there)
+    both = F.reverse(F.filter(_scan(F.reverse(right), F.lit(2**62), backward, _SPAN), there))
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), both).otherwise(F.concat(base, more))
 
 
 def _score(token: Column, ratios: Column, codes: Column) -> Column:
@@ -136,8 +177,7 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     out = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
     base = F.concat(*[_found(t, pattern, group, least, rank) for rank, (_, pattern, group, least) in enumerate(BASE)])
     out = out.select("doc_id", F.array_sort(base).alias("base"), _random(t, ratios).alias("more"))
-    new = F.filter("more", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return out.select("doc_id", "base", F.array_sort(F.concat("base", new)).alias("spans"))
+    return out.select("doc_id", "base", _apart(F.col("base"), F.col("more")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -60,3 +60,20 @@ def test_query_equals_sql(spark):
     want = con.execute(queries.ORACLE_SQL["op10_secrets"])
     columns = [d[0] for d in want.description]
     assert sorted(map(tuple, queries.op10_secrets(spark, sf).select(columns).collect())) == sorted(want.fetchall())
+
+
+def test_many_matches_in_one_text(docs_of, ratios):
+    """More than a block of matches: positions, and further spans beside, before and after base ones."""
+    rng = random.Random(2)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+    text = " ".join(rng.choice([f"token={key()}", key(), "0123456789abcdef01234567", f"{key()}_password: {key()}", "é"]) for _ in range(3000))
+    row = secrets.find_secrets(docs_of([text]), ratios=ratios).collect()[0]
+    base, spans = [tuple(s) for s in row.base], [tuple(s) for s in row.spans]
+    assert base == base_spans(text) and spans == sorted(spans)
+    runs = [tuple(s) for s in secrets.find_secrets(docs_of([re.sub(ASSIGN, lambda m: " " * len(m[0]), text)]), ratios=ratios).collect()[0].spans]
+    more = [s for s in spans if s[1] == 3]
+    assert set(spans) - set(more) == set(base) and len(more) > 300
+    assert not any(a < f and e < b for a, _, b in more for e, _, f in base)
+    whole = {m.span() for m in re.finditer(secrets.RUN, text)}
+    apart = {s for s in runs if s[1] == 3 and (s[0], s[2]) in whole and not any(a < s[2] and s[0] < b for a, _, b in base)}
+    assert apart == set(more)
