@@ -17,7 +17,7 @@ digests.  The text of a special token counts as one token and splits the text, a
 whose merges use symbols before they are made is refused.
 
 Scale.  One narrow pass, no shuffle.  A worker holds one group of texts (``GROUP_CHARS``, or one longer text, at about 40 bytes
-a character) and the transitions compiled so far, within about 200 MB (``countmachine.STATES``).  The compiled vocabulary
+a character) and the transitions compiled so far, in tables of at most about 200 MB, and their states (``countmachine.STATES``).  The compiled vocabulary
 is fixed by the file.
 
 Cases.  Null text: empty, 0 tokens.  Repeated rows: each gets its row.  Extra columns are ignored.  Empty table: no rows.
