@@ -1,19 +1,20 @@
 """Translation start sites: position-specific Markov profiles of true, downstream-false and upstream-false starts.
 
 A profile has, for each of 65 places around a start (50 upstream, 15 on), the conditional log-probability of a base after
-``order`` bases.  Training is a grouped count over exploded windows; scoring is a narrow pass over frames: a candidate's window is
+``order`` bases.  Training is a count over windows, added up by each task before it is shuffled; scoring is a narrow pass over frames: a candidate's window is
 summed up in the profiles (at most 65 x 65 numbers each, sent with the function), and the best candidate is an arg-max of the frame's list.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,10 +48,10 @@ def _bases(begin: Column, n: int) -> Column:
     return S.slice_bytes(F.col("ctx"), begin - F.col("ctx_off"), F.lit(n))
 
 
-def windows(orfs: DataFrame, starts: tuple[str, ...], keys: list[str]) -> DataFrame:
-    """keys, profile, start, window: the 65 bases around sampled starts of long frames; ``orfs`` has ctx and ctx_off (see ``with_context``), starts, t_start, len, host_len."""
+def with_windows(orfs: DataFrame, starts: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """keep, ``found``: a list of profile, start and window, the 65 bases around sampled starts, for long frames, else null; ``orfs`` has ctx and ctx_off (see ``with_context``), starts, t_start, len, host_len."""
     low, high = F.greatest(F.lit(UP), F.col("t_start") - FALSE_REACH), F.least(F.col("t_start") - 3, F.col("host_len") - DOWN)
-    rows = orfs.where(F.col("len") > SAMPLE_LENGTH).select(*keys, "host_len", "ctx", "ctx_off", "t_start", "starts", low.alias("low"), high.alias("high"))
+    rows = orfs.select("len", "host_len", "ctx", "ctx_off", "t_start", "starts", low.alias("low"), high.alias("high"), *[c for c in keep if c not in ("len", "host_len", "t_start", "starts")])
     # the windows are cut before they become rows, so that no row carries its whole context
     near = F.when(F.col("low") < F.col("high"), _bases(F.col("low") - UP, F.col("high") - F.col("low") - 1 + UP + DOWN))
     rows = rows.withColumn("near", near)
@@ -60,27 +61,79 @@ def windows(orfs: DataFrame, starts: tuple[str, ...], keys: list[str]) -> DataFr
     up = F.filter(F.sequence(F.lit(0), F.col("high") - F.col("low") - 1), lambda k: F.substring(F.col("near"), k + UP + 1, F.lit(3)).isin(false))
     up = F.transform(up, lambda k: F.struct(F.lit("U").alias("profile"), (F.col("low") + k).cast("int").alias("start"), F.substring(F.col("near"), k + 1, F.lit(UP + DOWN)).alias("window")))
     found = F.when(F.col("near").isNotNull(), F.concat(own, up)).otherwise(own)
-    return rows.select(*keys, F.explode(found).alias("w")).select(*keys, "w.profile", "w.start", "w.window")
+    return rows.select(*keep, F.when(F.col("len") > SAMPLE_LENGTH, found).alias("found"))
+
+
+def windows(orfs: DataFrame, starts: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """keys, profile, start, window: those of ``with_windows`` as rows."""
+    rows = with_windows(orfs.where(F.col("len") > SAMPLE_LENGTH), starts, keys)
+    return rows.select(*keys, F.explode("found").alias("w")).select(*keys, "w.profile", "w.start", "w.window")
+
+
+def _places(order: int) -> int:
+    return UP + DOWN - order
 
 
-def kmers(found: DataFrame, order: int) -> DataFrame:
-    """The windows' k-mers of unambiguous bases, with their row (place)."""
-    listed = F.transform(F.sequence(F.lit(0), F.lit(UP + DOWN - order - 1)), lambda r: F.struct(r.alias("row"), F.substring(F.col("window"), r + 1, F.lit(order + 1)).alias("kmer")))
-    mixed = F.col("window").rlike("[^ACGT]")
-    rows = found.withColumn("__mixed", mixed).withColumn("__k", F.explode(listed)).select("*", "__k.row", "__k.kmer")
-    return rows.where(~F.col("__mixed") | F.col("kmer").rlike("^[ACGT]+$")).drop("window", "__k", "__mixed")
+def _cells(order: int) -> int:
+    """Cells of the three profiles of an order: by profile, place and k-mer."""
+    return len(PROFILES) * _places(order) * 4 ** (order + 1)
+
+
+def _codes(windows: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Base-4 numbers of the k-mers at each place of each window, and which of them hold an ambiguous base."""
+    raw = np.frombuffer("".join(windows).encode("latin-1", "replace"), np.uint8).reshape(-1, UP + DOWN)
+    base = np.full(256, 4, np.int64)
+    base[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+    digit, places = base[raw], _places(order)
+    code, mixed = np.zeros((len(raw), places), np.int64), np.zeros((len(raw), places), bool)
+    for i in range(order + 1):
+        part = digit[:, i : i + places]
+        code, mixed = code * 4 + part, mixed | (part > 3)
+    return code, mixed
+
+
+def cell_counts(rows: DataFrame, orders: tuple[int, ...]) -> DataFrame:
+    """cell, n: k-mers of unambiguous bases in the lists ``found`` by profile, place and k-mer, for one order after the other; behind
+    these, in two cells, how many rows have ``flag`` and how many there are.
+
+    A task adds its rows up, so that the shuffle has as many rows a task as there are cells.
+    """
+    total = sum(map(_cells, orders))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(total + 2, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            for at in range(0, len(flat), PASS_WINDOWS):
+                part = flat.slice(at, PASS_WINDOWS)
+                profile = np.array([PROFILES.index(p) for p in part.field("profile").to_pylist()])[:, None]
+                cut_out = [w.ljust(UP + DOWN) for w in part.field("window").to_pylist()]
+                first = 0
+                for order in orders:
+                    code, mixed = _codes(cut_out, order)
+                    cell = first + (profile * _places(order) + np.arange(_places(order))) * 4 ** (order + 1) + code
+                    sums += np.bincount(cell[~mixed], minlength=total + 2)
+                    first += _cells(order)
+            sums[total] += sum(map(bool, batch.column(1).to_pylist()))
+            sums[total + 1] += batch.num_rows
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], names=["cell", "n"])
+
+    listed = F.transform("found", lambda w: F.struct(w["profile"].alias("profile"), w["window"].alias("window")))
+    partial = rows.select(listed.alias("found"), F.col("flag").cast("boolean").alias("flag")).mapInArrow(run, "cell bigint, n bigint")
+    return partial.groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def profile_counts(found: DataFrame, order: int) -> DataFrame:
-    """profile, row, kmer, cnt: counts plus one, for every cell."""
-    spark = found.sparkSession
-    counted = kmers(found, order).groupBy("profile", "row", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    bases = F.array(*map(F.lit, "ACGT"))
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, PROFILES))).alias("profile"), F.lit("").alias("kmer"))
-    for _ in range(order + 1):
-        grid = grid.select("profile", "kmer", F.explode(bases).alias("b")).select("profile", F.concat("kmer", "b").alias("kmer"))
-    grid = grid.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(UP + DOWN - order - 1))))
-    return grid.join(counted, ["profile", "row", "kmer"], "left").select("profile", "row", "kmer", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("cnt"))
+    """profile, row, kmer, cnt: counts plus one, for every cell; ``found`` has the rows of ``windows``."""
+    listed = found.select(F.array(F.struct("profile", "window")).alias("found"), F.lit(False).alias("flag"))
+    size, places = 4 ** (order + 1), _places(order)
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    part = lambda over, count: F.floor(F.col("cell") / over) % count
+    kmer = F.concat(*[pick("ACGT", part(4 ** (order - i), 4)) for i in range(order + 1)])
+    grid = found.sparkSession.range(_cells(order)).withColumnRenamed("id", "cell")
+    grid = grid.select("cell", pick(PROFILES, part(places * size, len(PROFILES))).alias("profile"), part(size, places).cast("int").alias("row"), kmer.alias("kmer"))
+    return grid.join(cell_counts(listed, (order,)), "cell", "left").select("profile", "row", "kmer", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("cnt"))
 
 
 def profile_logs(counts: DataFrame, order: int) -> DataFrame:
@@ -160,22 +213,33 @@ class Profiles:
             out[PROFILES.index(r["profile"]), r["row"], code] = r["logp"] + (r["prior"] if order and r["row"] == 0 else 0.0)
         return cls(order, out)
 
+    @classmethod
+    def fit(cls, counts: np.ndarray, order: int) -> Profiles:
+        """From counts plus one by profile, place and k-mer, as ``profile_logs`` and ``of`` make them of a table."""
+        out = np.zeros((*counts.shape[:2], counts.shape[2] + 1))
+        logs, prior = _logs(counts)
+        out[:, :, :-1] = logs
+        if order:
+            out[:, 0, :-1] += prior[:, 0]
+        return cls(order, out)
+
     def scores(self, windows: list[str], params: AlterParams) -> np.ndarray:
         """The probability that each window's start is the true one."""
-        raw = np.frombuffer("".join(windows).encode("latin-1", "replace"), np.uint8).reshape(-1, UP + DOWN)
-        base = np.full(256, 4, np.int64)
-        base[np.frombuffer(b"ACGT", np.uint8)] = range(4)
-        digit, places = base[raw], UP + DOWN - self.order
-        code, mixed = np.zeros((len(raw), places), np.int64), np.zeros((len(raw), places), bool)
-        for i in range(self.order + 1):
-            part = digit[:, i : i + places]
-            code, mixed = code * 4 + part, mixed | (part > 3)
+        code, mixed = _codes(windows, self.order)
         code[mixed] = self.table.shape[2] - 1
-        t, d, u = (part[np.arange(places), code].sum(axis=1) for part in self.table)
+        t, d, u = (part[np.arange(_places(self.order)), code].sum(axis=1) for part in self.table)
         with np.errstate(over="ignore"):
             return 1.0 / (1.0 + np.exp(d - t) * params.false_down + np.exp(u - t) * params.false_up)
 
 
+def _logs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """logp and prior by profile, place and k-mer."""
+    by_prefix = counts.reshape(*counts.shape[:2], -1, 4)
+    total = by_prefix.sum(axis=3, keepdims=True)
+    prior = np.log(total / counts.sum(axis=2)[:, :, None, None])
+    return np.log(by_prefix / total).reshape(counts.shape), np.broadcast_to(prior, by_prefix.shape).reshape(counts.shape)
+
+
 def scored(orfs: DataFrame, profiles: Profiles, params: AlterParams, min_length: int) -> DataFrame:
     """Adds ``cands``, start and score of the first ``max_alter`` starts whose window fits and whose gene stays long enough: a narrow pass, no row for a candidate."""
 
@@ -203,32 +267,51 @@ def best_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(best_start(F.collect_list(F.struct("start", "score"))).alias("start"))
 
 
+def _with_best(orfs: DataFrame, profiles: Profiles, params: AlterParams, min_length: int, name: str) -> DataFrame:
+    return scored(orfs, profiles, params, min_length).withColumn(name, best_start(F.col("cands"))).drop("cands")
+
+
+def _moved(orfs: DataFrame, name: str) -> DataFrame:
+    """t_start and len moved to the start ``name``, where that is not null."""
+    to = F.coalesce(F.col(name), F.col("t_start"))
+    return orfs.withColumns({"len": (F.col("len") - (to - F.col("t_start"))).cast("int"), "t_start": to.cast("int")})
+
+
 def revise(orfs: DataFrame, profiles: Profiles, params: AlterParams, min_length: int) -> DataFrame:
     """Moves t_start and len of frames that have candidates to the best of them."""
-    out = scored(orfs, profiles, params, min_length)
-    out = out.withColumn("__to", F.coalesce(best_start(F.col("cands")), F.col("t_start"))).drop("cands")
-    return out.withColumn("len", (F.col("len") - (F.col("__to") - F.col("t_start"))).cast("int")).withColumn("t_start", F.col("__to").cast("int")).drop("__to")
+    return _moved(_with_best(orfs, profiles, params, min_length, "__best"), "__best").drop("__best")
 
 
-def train(seeds: DataFrame, keys: list[str], starts: tuple[str, ...], table: int, min_length: int, max_iter: int) -> tuple[list, AlterParams]:
+def train(seeds: DataFrame, starts: tuple[str, ...], table: int, min_length: int, max_iter: int) -> tuple[list, AlterParams]:
     """Rows of ``profile_logs`` of order 2 and the parameters, by alternating training and revision for orders 0, 1, 2 until 99 % of the starts stay.
 
-    Revised starts follow from the seeds, a written table, and the profiles, so no round writes any.  The driver sees a profile of fixed size
-    and one ratio a round.
+    Revised starts follow from the seeds, a written table, and the profiles, so no round writes any.  A round is one job: it revises the starts, tells how many stay,
+    and counts the next round's windows, of this order and, should this be its last round, of the next one.  The driver sees counts of fixed size.
     """
-    current, logs, params = seeds, [], AlterParams(DEFAULT_ALTER, DEFAULT_FU, DEFAULT_FD)
+
+    def count(rows: DataFrame, orders: tuple[int, ...]) -> tuple[dict[int, np.ndarray], float | None]:
+        sums = np.zeros(sum(map(_cells, orders)) + 2, np.int64)
+        found = cell_counts(with_windows(rows, starts, ["flag"]), orders).toPandas()
+        sums[found["cell"]] = found["n"]
+        parts = np.split(sums, np.cumsum([_cells(o) for o in orders]))
+        counts = {o: part.reshape(len(PROFILES), _places(o), -1) + 1 for o, part in zip(orders, parts)}
+        return counts, int(sums[-2]) / int(sums[-1]) if sums[-1] else None
+
+    counts, _ = count(seeds.withColumn("flag", F.lit(False)), (0,))
+    before, fitted, params = None, None, AlterParams(DEFAULT_ALTER, DEFAULT_FU, DEFAULT_FD)
     for order in range(3):
         for _ in range(max_iter):
-            logs = profile_logs(profile_counts(windows(current, starts, keys), order), order).collect()
-            bases = Counter()
-            for r in logs:
-                if r["profile"] == "U":
-                    bases[r["kmer"][0]] += r["cnt"] - 1
-            params = alter_params(bases, table)
-            profiles = Profiles.of(logs, order)
-            moved = revise(current.withColumn("__first", F.col("t_start")), profiles, params, min_length)
-            stay = moved.agg(F.avg((F.col("__first") == F.col("t_start")).cast("double"))).first()[0]
-            current = revise(seeds, profiles, params, min_length)
+            fitted = counts[order]
+            bases = (fitted[PROFILES.index("U")] - 1).reshape(_places(order), 4, -1).sum(axis=(0, 2))
+            params = alter_params(dict(zip("ACGT", bases.tolist())), table)
+            profiles = Profiles.fit(fitted, order)
+            rows = _with_best(seeds, *before, min_length, "__was") if before else seeds.withColumn("__was", F.col("t_start"))
+            rows = _with_best(rows, profiles, params, min_length, "__best")
+            stays = F.col("__best").isNull() | (F.col("__best") == F.coalesce("__was", "t_start"))
+            counts, stay = count(_moved(rows.withColumn("flag", stays), "__best"), (order, order + 1) if order < 2 else (order,))
+            before = profiles, params
             if stay is None or stay > 0.99:
                 break
-    return logs, params
+    logs, prior = _logs(fitted)
+    cells = product(enumerate(PROFILES), range(_places(2)), enumerate(map("".join, product("ACGT", repeat=3))))
+    return [{"profile": p, "row": row, "kmer": kmer, "cnt": int(fitted[i, row, k]), "logp": float(logs[i, row, k]), "prior": float(prior[i, row, k])} for (i, p), row, (k, kmer) in cells], params

@@ -184,7 +184,7 @@ def revise_starts(found: DataFrame, scaffolds: DataFrame, table: int, options: O
         logs, params = tis.default_logs(), tis.AlterParams(tis.DEFAULT_ALTER, tis.DEFAULT_FU, tis.DEFAULT_FD)
     else:
         context = cut(orfs.with_context(seeds.select(*ID, "host_len", "t_start", "len", "starts"), scaffolds), "seeds")
-        logs, params = tis.train(context, ID, codes.starts(table), table, options.min_length, options.max_iter)
+        logs, params = tis.train(context, codes.starts(table), table, options.min_length, options.max_iter)
         if options.tis_model:
             save_starts(spark.createDataFrame(logs, tis.LOGS), params, options.tis_model)
     context = orfs.with_context(found, scaffolds)

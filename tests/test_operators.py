@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,6 +61,24 @@ def test_start_profiles(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in logs.groupBy("profile", "row", F.substring("kmer", 1, 1)).agg(F.sum(F.exp("logp")).alias("s")).collect())
 
 
+def test_profiles_fitted_from_counts(spark):
+    """Counts of whole and cut windows, with ambiguous bases, against plain counting; fitted profiles against those of the table."""
+    rng = random.Random(3)
+    rows = [(rng.choice(tis.PROFILES), "".join(rng.choice("ACGTACGTACGTN") for _ in range(65))) for _ in range(300)] + [("U", "ACGTACG")]
+    found = spark.createDataFrame(rows, "profile string, window string").repartition(3)
+    for order in range(3):
+        plain = Counter((p, i, w[i : i + order + 1]) for p, w in rows for i in range(len(w) - order) if "N" not in w[i : i + order + 1])
+        logs = tis.profile_logs(tis.profile_counts(found, order), order).collect()
+        assert {(r.profile, r.row, r.kmer): r.cnt - 1 for r in logs if r.cnt > 1} == plain
+        assert len(logs) == 3 * (65 - order) * 4 ** (order + 1)
+        counts = np.ones((3, 65 - order, 4 ** (order + 1)))
+        for (p, i, k), n in plain.items():
+            counts[tis.PROFILES.index(p), i, sum("ACGT".index(b) * 4**j for j, b in enumerate(reversed(k)))] += n
+        assert np.allclose(tis.Profiles.fit(counts, order).table, tis.Profiles.of(logs, order).table, atol=1e-12)
+    empty = tis.profile_counts(found.where("false"), 1).agg(F.count(F.lit(1)), F.max("cnt")).first()
+    assert tuple(empty) == (3 * 64 * 16, 1)
+
+
 def test_default_profile():
     logs = tis.default_logs()
     assert len(logs) == 3 * 63 * 64
