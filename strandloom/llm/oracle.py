@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontamination, embedding, licenses, mixing, secrets, sharding
+from strandloom.llm import clustering, decontamination, embedding, licenses, mixing, secrets, sharding
 
 
 def quoted(x: str) -> str:
@@ -105,6 +105,27 @@ lowest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN lowest USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)"""
 
 
+def clusters_sql() -> str:
+    """K-means by plain distances to all centroids, a pair of subqueries a round."""
+    k = clustering
+    steps = f"""WITH good AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda v: floor({k.SCALE} * v::DOUBLE)::BIGINT) AS x FROM embeddings
+ WHERE len(embedding) = {k.DIMS} AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v) OR abs(v) >= {k.LARGEST // k.SCALE})) = 0),
+entries AS MATERIALIZED (SELECT row_id, i, x[i] AS v FROM good, range(1, {k.DIMS + 1}) AS r(i)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS cluster, x AS c FROM (SELECT sha256('{k.SEED}:' || vec_id) AS h, x FROM good WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k.CLUSTERS}))"""
+    for r in range(k.ROUNDS + 1):
+        # squares in doubles are exact, as integers of the test tables are small
+        steps += f""",
+a{r} AS MATERIALIZED (SELECT row_id, arg_min(cluster, (far, cluster)) AS cluster, min(far) AS distance FROM (SELECT row_id, cluster, list_distance(x::DOUBLE[], c::DOUBLE[]) AS root, round(root * root)::BIGINT AS far FROM good, c{r}) GROUP BY row_id)"""
+        if r < k.ROUNDS:
+            steps += f""",
+m{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT cluster, i, sum(v)::BIGINT AS s, count(*) AS n FROM entries JOIN a{r} USING (row_id) GROUP BY cluster, i) GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, old.c) AS c FROM c{r} old LEFT JOIN m{r} m USING (cluster))"""
+    last = k.ROUNDS
+    return f"""{steps}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN good USING (row_id) JOIN c{last} USING (cluster)"""
+
+
 def warc_sql() -> str:
     bits = "array_to_string(list_transform(string_split(sha1(payload), ''), lambda h: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', h)]), '')"
     five = "list_sum(list_transform([1, 2, 3, 4, 5], lambda k: CASE WHEN substr(bits, 5 * i + k, 1) = '1' THEN 2 ** (5 - k) ELSE 0 END))::INT"

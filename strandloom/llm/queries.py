@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontamination, embedding, langid, licenses, mixing, neardup, oracle, secrets, sharding, tokencount, warc
+from strandloom.llm import clustering, decontamination, embedding, langid, licenses, mixing, neardup, oracle, quality, secrets, sharding, tokencount, warc, whitening
 from strandloom.llm.shared import cut, table
 
 
@@ -70,6 +70,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_rows(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings dealt to 40 clusters by five rounds of k-means."""
+    return clustering.with_totals(*clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened along the 32 leading eigenvectors of their covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labels that are not held out."""
+    stats = quality.statistics_of(table(spark, sf_dir, "documents"))
+    found = quality.score(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_embedding_near_duplicates": op2_embedding_near_duplicates,
@@ -81,6 +98,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_licenses": op9_licenses,
     "op10_secrets": op10_secrets,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_whiten": op12_whiten,
+    "op13_quality": op13_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc": oracle.warc_sql(),
     "op9_licenses": oracle.licenses_sql(),
     "op10_secrets": oracle.secrets_sql(),
+    "op11_centroid_clusters": oracle.clusters_sql(),
 }

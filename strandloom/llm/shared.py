@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandloom.session import cut, discard, new_path, shared_dir
 
-__all__ = ["Sets", "by_key", "cut", "discard", "map_texts", "new_path", "shared_dir", "table", "words_of"]
+__all__ = ["Sets", "by_key", "cut", "discard", "finite_rows", "map_texts", "new_path", "shared_dir", "summed", "table", "words_of"]
 
 #: Texts that are Python objects at a time; Spark bounds the batch around them by bytes.
 SLICE_ROWS = 1_000
+#: Tasks that add up what the tasks of ``summed`` have found; the driver gets a row of each.
+SUM_TASKS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +80,45 @@ def by_key(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def finite_rows(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the lists with ``size`` entries, all of them finite numbers, and these as a matrix of doubles."""
+    lists = lists.cast(pa.large_list(pa.float64()))
+    at = np.flatnonzero(pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == size)
+    values = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
+    good = np.isfinite(values).all(1)
+    return at[good], values[good]
+
+
+def summed(rows: DataFrame, find: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum over all tasks of the array (of 64-bit integers or doubles, of one shape) that ``find`` makes of a task's batches.
+
+    A task sends one row; ``SUM_TASKS`` tasks add these up, so what the driver gets doesn't grow with the table.
+    """
+    kinds, schema = {"i": np.int64, "f": np.float64}, pa.schema([("kind", pa.string()), ("shape", pa.list_(pa.int32())), ("part", pa.binary())])
+
+    def row(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"kind": x.dtype.kind, "shape": list(x.shape), "part": x.astype(kinds[x.dtype.kind]).tobytes()}], schema)
+
+    def read(r: dict) -> np.ndarray:
+        return np.frombuffer(r["part"], kinds[r["kind"]]).reshape(r["shape"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield row(find(batches))
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = read(batch.slice(i, 1).to_pylist()[0])
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield row(total)
+
+    described = "kind string, shape array<int>, part binary"
+    parts = rows.mapInArrow(first, described).repartition(SUM_TASKS).mapInArrow(second, described).collect()
+    return sum(read(r.asDict()) for r in parts) if parts else find(iter(()))
+
+
 class Sets:
     """Disjoint sets of 0 .. n-1; a set's root is its smallest member."""
 
