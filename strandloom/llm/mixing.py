@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import cut, words_of
+from strandloom.llm.shared import cut, orderable, positional, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -97,10 +97,13 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
 def repeated(docs: DataFrame, mixed: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = SEED) -> DataFrame:
     """The rows of ``docs`` as often as ``mixed``, made of them with the same seed, says; documents that are not taken go.
 
-    Of rows that are equal in id, source and text, as many get an extra repetition as the mix gives to all of them.
+    Of rows that are equal in id, source and text, as many get an extra repetition as the mix gives to all of them, the least
+    by all columns first; they are one window task.  All columns come out as they are, whatever their names.
     """
+    columns = docs.columns
+    docs, names = positional(docs)
     times = mixed.groupBy(F.col("digest").alias("__digest")).agg(F.max("whole").cast("int").alias("__whole"), F.sum("extra").cast("int").alias("__extra"))
-    out = docs.withColumn("__digest", _digest(doc_id, source, text, seed)).join(times.where("__whole + __extra > 0"), "__digest")
-    one = F.row_number().over(Window.partitionBy("__digest").orderBy("__digest")) <= F.col("__extra")  # dealt as the join has left them
+    out = docs.withColumn("__digest", _digest(names[doc_id], names[source], names[text], seed)).join(times.where("__whole + __extra > 0"), "__digest")
+    one = F.row_number().over(Window.partitionBy("__digest").orderBy(*orderable(docs))) <= F.col("__extra")
     out = out.withColumn("__times", F.col("__whole") + one.cast("int")).where("__times > 0").withColumn("__no", F.explode(F.sequence(F.lit(1), "__times")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*names.values()).toDF(*columns)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected
-from strandloom.llm.shared import Sets, by_key, cut, map_texts
+from strandloom.llm.shared import Sets, by_key, cut, map_texts, orderable, positional
 
 SHINGLE, MIN_SIMILARITY, MIN_SHARED = 5, 0.8, 0.3
 SKETCHES, PICKED = 24, 2
@@ -416,19 +416,24 @@ def _repeats(seen: DataFrame) -> bool:
 def drop_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one for each class stays, that with the smallest id; rows without an id stay.
 
-    A row is known by its id and its text: of equal rows one stays, and an id with several texts stays with each of them that
-    stands for a class.
+    A row is known by its id and its text: of rows that are equal in these but for case and signs, the least stays, and an id with several texts
+    stays with each of them that stands for a class.  All columns of a row that stays come out as they are, whatever their names.
     """
+    columns = docs.columns
+    docs, names = positional(docs)
+    doc_id, text = names[doc_id], names[text]
     found, repeats = _classes(docs, doc_id, text)
     found = cut(found, "near-classes")
     kept = found.where("stays and doc_id is not null").select(F.col("doc_id").alias("__kept"), F.col("digest").alias("__as"))
-    same = F.col(f"`{doc_id}`").cast("long") == F.col("__kept")
+    same = F.col(doc_id).cast("long") == F.col("__kept")
     if repeats:
         told = map_texts(docs, text, docs.columns, _digests, "__digest binary")
         out = told.join(kept, same & F.col("__digest").eqNullSafe(F.col("__as")), "left_semi")
-        out = out.dropDuplicates([doc_id, "__digest"]).drop("__digest")
+        # the least row of an id and digest, combined before the shuffle
+        least = F.min_by(F.struct(*docs.columns), F.struct(text, *orderable(docs))).alias("row")
+        out = out.groupBy(F.col(doc_id).cast("long").alias("__id"), "__digest").agg(least).select("row.*")
     else:
         out = docs.join(kept.select("__kept"), same, "left_semi")
     if found.where("doc_id is null").take(1):
-        out = out.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
-    return out
+        out = out.unionByName(docs.where(F.col(doc_id).isNull()))
+    return out.toDF(*columns)

@@ -14,7 +14,7 @@ split by the digest's bits, 6 of them or as many as leave ``CELL_ROWS`` rows a c
 
 Cases.  Null metadata: the lowest cell.  Null text: no bytes, CRC 0.  Very long texts: only their bytes are counted.  Ties: rows with equal key order by id, size and
 CRC; rows equal in all of these are interchangeable.  Empty table: no rows.  Fewer rows than shards: some shards are
-empty.  Extra columns are kept; one named like an output column, in any case, is replaced.
+empty.  Extra columns are kept, whatever their names; one named like an output column, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import cut
+from strandloom.llm.shared import cut, positional
 
 BITS = 5
 DIMENSIONS = ("lang", "source", "text")
@@ -119,7 +119,9 @@ def hilbert_shards(docs: DataFrame, *, dimensions: Sequence[str] = DIMENSIONS, b
     total = bits * len(dimensions)
     low = max(0, total - _TOP_BITS)
     columns = [c for c in docs.columns if c.lower() not in ("hilbert", "shard", "slot")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
+    named, names = positional(docs)
+    kept, docs = [names[c] for c in columns], named
+    doc_id, text, dimensions, ties = names[doc_id], text and names[text], [names[c] for c in dimensions], [names[c] for c in ties]
     hashed = max(_HASH_BITS, (docs.count() // CELL_ROWS).bit_length())
     keyed = quantised(docs, dimensions, bits, text).withColumn("hilbert", hilbert_index([f"__c{i}" for i in range(len(dimensions))], bits))
     keyed = keyed.withColumn("__h", id_digest(doc_id))
@@ -135,4 +137,4 @@ def hilbert_shards(docs: DataFrame, *, dimensions: Sequence[str] = DIMENSIONS, b
     ranked = keyed.join(offsets, ["__a", "__b"]).withColumn("__r", F.col("__off") + F.row_number().over(cell) - 1)
     ranked = ranked.withColumn("shard", F.expr(f"cast((__r * {n_shards}) div __all as int)"))
     ranked = ranked.withColumn("slot", F.expr(f"cast(__r - (cast(shard as bigint) * __all + {n_shards - 1}) div {n_shards} as bigint)"))
-    return ranked.select(*[F.col(f"`{c}`") for c in columns], "hilbert", "shard", "slot")
+    return ranked.select(*kept, "hilbert", "shard", "slot").toDF(*columns, "hilbert", "shard", "slot")

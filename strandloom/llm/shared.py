@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandloom.session import cut, discard, new_path, shared_dir
 
-__all__ = ["Sets", "by_key", "cut", "discard", "finite_rows", "map_texts", "new_path", "shared_dir", "summed", "table", "words_of"]
+__all__ = ["Sets", "by_key", "cut", "discard", "finite_rows", "map_texts", "new_path", "orderable", "positional", "shared_dir", "summed", "table", "words_of"]
 
 #: Texts that are Python objects at a time; Spark bounds the batch around them by bytes.
 SLICE_ROWS = 1_000
@@ -26,6 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns named by position, so that an operator can add columns of any other name, and the new names by the old ones."""
+    names = {c: f"__in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def orderable(df: DataFrame) -> list[str]:
+    """The columns that rows can be ordered by."""
+    plain = lambda kind: not re.search(r"\b(map|variant|interval|geometry|geography)\b", kind)
+    return [f"`{c}`" for c, kind in df.dtypes if plain(kind)]
+
+
 def words_of(text: Column | str) -> Column:
     """Number of runs of characters that are not ASCII white space; a null text has none."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
