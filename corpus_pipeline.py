@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontamination, langid, mixing, neardup, sharding
-from strandloom.llm.shared import cut, table
+from strandloom.llm.shared import cut, positional, table
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame, dict[str, str]], DataFrame], good: Column) -> DataFrame:
     """Rows that ``judge`` finds good; it works on columns of other names, given by their old ones, as it may add columns of any name."""
-    names = {c: f"__in{i}" for i, c in enumerate(docs.columns)}
-    return judge(docs.toDF(*names.values()), names).where(good).select(*[F.col(v).alias(k) for k, v in names.items()])
+    renamed, names = positional(docs)
+    return judge(renamed, names).where(good).select(*[F.col(v).alias(k) for k, v in names.items()])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
