@@ -1,5 +1,7 @@
 """Benchmark decontamination: a BM25 index of the test items, and every training passage as a query to it.
 
+Words are runs of word characters, lower case, and single letters in scripts without spaces between words (``shared.UNSPACED``).
+
 Index.  Each item is a document of the index; a term's impact on an item is its BM25 contribution divided by the item's
 score against itself, so that one threshold fits all items.  The terms of an item that are most common in the benchmark
 and together weigh at most ``SLACK`` are not posted; they count when an item is scored.  A term's postings, by item, lie in blocks of
@@ -20,8 +22,8 @@ one; or columns of their own).  It is a hit when at least ``MIN_OVERLAP`` of the
 answer's occur in the passage (shorter parts: the whole part).
 
 Scale.  One narrow pass over whole texts, no shuffle.  Only the benchmark is broadcast, and its size is checked: above
-``INDEX_BYTES`` it is dealt to parts of at most that size, and each is searched by a pass of its own over the texts, with
-term statistics of the whole benchmark; an item's passages depend on the item alone, so hits are the same.  Cursors of passages
+``INDEX_BYTES`` its rows are numbered, written and dealt to parts, as many as make each part's bytes fit (an item that is larger alone is a part of its own), and each
+is searched by a pass of its own over the texts, with term statistics of the whole benchmark; an item's passages depend on the item alone, so hits are the same.  Cursors of passages
 in step take ``CELLS`` cells.
 
 Cases.  Null text or one without words: no hits.  Items without words or null text: never hit.  Items without an id:
@@ -42,7 +44,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.shared import map_texts
+from strandloom.llm.shared import cut, map_texts
+from strandloom.llm.shared import split_words as words
 
 K1, B = 1.2, 0.75
 MIN_SCORE, SLACK, MIN_OVERLAP = 0.5, 0.2, 0.5
@@ -52,23 +55,18 @@ INDEX_BYTES = 16 << 20
 CELLS = 1 << 18
 BATCH_WORDS = 1 << 17
 MIN_SEGMENT = 32
-_WORD = re.compile(r"\w+")
-_SENTENCE = re.compile(r"[.!?\n]+\s*")
+_SENTENCE = re.compile(r"[.!?\n。！？]+\s*")
 HITS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
 def split_item(text: str | None) -> tuple[list[str], list[str]]:
     """Question and answer words of an item that has one text."""
     parts = [w for s in _SENTENCE.split(text or "") if (w := words(s))]
     if len(parts) > 1:
         return [w for p in parts[:-1] for w in p], parts[-1]
     only = parts[0] if parts else []
-    cut = len(only) - max(1, len(only) // 4)
-    return only[:cut], only[cut:]
+    end = len(only) - max(1, len(only) // 4)
+    return only[:end], only[end:]
 
 
 def class_of(n: int) -> int:
@@ -285,16 +283,29 @@ def _search(docs: DataFrame, rows, df: dict[str, int], n_items: int, mean_words:
 
 def _by_parts(docs: DataFrame, items: DataFrame, n_parts: int, keep: tuple[str, ...], text: str) -> DataFrame:
     """A benchmark above INDEX_BYTES: hits of one part after another, each a pass that carries the earlier parts' hits."""
+    items = cut(items.withColumn("number", F.monotonically_increasing_id()), "benchmark")  # equal items have numbers of their own
     both = items.withColumn("t", F.concat_ws("\n", "q", "a"))
-    terms = map_texts(both, "t", (), lambda ts: [[sorted(set(words(t))) for t in ts], [len(words(t)) for t in ts]], "terms array<string>, n int").where("n > 0")
+    terms = cut(map_texts(both, "t", (), lambda ts: [[sorted(set(words(t))) for t in ts], [len(words(t)) for t in ts]], "terms array<string>, n int").where("n > 0"), "benchmark-terms")
     n_items, mean_words = terms.agg(F.count(F.lit(1)), F.avg("n")).first()
-    counts = terms.select(F.explode("terms").alias("t")).groupBy("t").count()
+    counts = cut(terms.select(F.explode("terms").alias("t")).groupBy("t").count(), "benchmark-counts")
+    dealt = _dealt(items, n_parts)
     out, names = docs, []
-    for part in range(n_parts):
-        rows = [_split(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part).collect()]
+    for part in [r["part"] for r in dealt.select("part").distinct().orderBy("part").collect()]:
+        rows = [_split(r) for r in dealt.where(F.col("part") == part).collect()]  # at most INDEX_BYTES of text, or one item
         mine = docs.sparkSession.createDataFrame([(t,) for t in sorted({t for _, q, a in rows for t in q + a})] or [("",)], "t string")
         df = {r.t: r["count"] for r in counts.join(mine, "t").collect()}
         names.append(f"__hits{part}")
-        out = _search(out, rows, df, n_items, mean_words, (*keep, *names[:-1], text) if part + 1 < n_parts else (*keep, *names[:-1]), text).withColumnRenamed("hits", names[-1])
+        out = _search(out, rows, df, n_items, mean_words, (*keep, *names[:-1], text), text).withColumnRenamed("hits", names[-1])
     hits = reduce(lambda a, b: F.concat(a, b), map(F.col, names))
     return out.select(*[F.col(f"`{c}`") for c in dict.fromkeys(keep)], F.array_sort(hits).alias("hits"))
+
+
+def _dealt(items: DataFrame, n_parts: int) -> DataFrame:
+    """``items`` with ``part``: at first ``n_parts`` parts; one above INDEX_BYTES is dealt again, until it fits or is one item."""
+    size = F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0))
+    while True:
+        dealt = items.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(n_parts)))
+        parts = dealt.groupBy("part").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n"))
+        if not parts.where((F.col("bytes") > INDEX_BYTES) & (F.col("n") > 1)).take(1):
+            return dealt
+        n_parts *= 2

@@ -1,6 +1,6 @@
 """MinHash near-duplicates by Order MinHash, verified by banded alignment.
 
-Words are runs of word characters, lower case; a k-mer is a shingle of ``SHINGLE`` words, labelled with how often it has
+Words are runs of word characters, lower case, and single letters in scripts without spaces between words (``shared.UNSPACED``); a k-mer is a shingle of ``SHINGLE`` words, labelled with how often it has
 occurred in the text before.  (A text of fewer words is one shingle.)
 
 Sketches.  For each of ``SKETCHES`` hash functions, the ``PICKED`` labelled shingles of least hash are taken and put in
@@ -31,7 +31,6 @@ alignment, n times the band's bits.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +41,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.components import connected
 from strandloom.llm.shared import Sets, by_key, cut, map_texts, orderable, positional
+from strandloom.llm.shared import split_words as words
 
 SHINGLE, MIN_SIMILARITY, MIN_SHARED = 5, 0.8, 0.3
 SKETCHES, PICKED = 24, 2
@@ -55,7 +55,6 @@ BATCH_WORDS = 1 << 18
 SEGMENT, WHOLE = 1_024, 1 << 15
 #: Words whose digests a worker keeps at hand, about 30 MB.
 WORD_CODES = 200_000
-_WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _MAX = np.uint64(2**64 - 1)
@@ -73,10 +72,6 @@ class _WordCodes(dict):
 _codes = _WordCodes()
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _Q
     return x ^ (x >> np.uint64(29))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandloom.llm import clustering, decontamination, embedding, licenses, mixing, secrets, sharding
+from strandloom.llm.shared import UNSPACED
 
 
 def quoted(x: str) -> str:
@@ -32,12 +33,13 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target, (size * (whole + ext
 def decontamination_sql() -> str:
     """BM25 against every passage, without an index; then the triples that question and answer share with it."""
     d = decontamination
-    listed = lambda x: f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+')"
+    unspaced = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSPACED)
+    listed = lambda x: f"regexp_extract_all(regexp_replace(lower({x}), '([{unspaced}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}_]+')"
     grams = lambda words, n: f"list_distinct(list_transform(range(1, len({words}) - {n} + 2), lambda i: array_to_string({words}[i:i + {n} - 1], ' ')))"
     size = "CASE " + " ".join(f"WHEN n <= {d.MIN_SEGMENT << k} THEN {d.MIN_SEGMENT << k}" for k in range(20)) + " END"
     part = lambda p: f"n_{p}, CASE WHEN n_{p} > 0 THEN {grams(p, f'n_{p}')} ELSE [] END AS g_{p}"
     share = lambda p: f"CASE WHEN n_{p} = 0 THEN 1.0 ELSE len(list_intersect(g_{p}, {grams('words', f'n_{p}')})) / len(g_{p}) END AS {p}_overlap"
-    return f"""WITH sentences AS (SELECT item_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?\n]+\\s*'), lambda x: {listed('x')}), lambda w: len(w) > 0) AS s FROM benchmark),
+    return f"""WITH sentences AS (SELECT item_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?\n。！？]+\\s*'), lambda x: {listed('x')}), lambda w: len(w) > 0) AS s FROM benchmark),
 split AS (SELECT item_id, CASE WHEN len(s) > 1 THEN flatten(s[1:len(s) - 1]) ELSE s[1][1:len(s[1]) - greatest(1, len(s[1]) // 4)] END AS q, CASE WHEN len(s) > 1 THEN s[len(s)] ELSE s[1][len(s[1]) - greatest(1, len(s[1]) // 4) + 1:] END AS a FROM sentences WHERE len(s) > 0),
 items AS (SELECT *, {size} AS size, {part('q')}, {part('a')} FROM (SELECT row_number() OVER () AS k, item_id, q, a, list_concat(q, a) AS w, len(q) + len(a) AS n, least(len(q), {d.NGRAM}) AS n_q, least(len(a), {d.NGRAM}) AS n_a FROM split)),
 terms AS (SELECT k, n, t, count(*) AS f FROM (SELECT k, n, unnest(w) AS t FROM items) GROUP BY ALL),

@@ -15,12 +15,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandloom.session import cut, discard, new_path, shared_dir
 
-__all__ = ["Sets", "by_key", "cut", "discard", "finite_rows", "map_texts", "new_path", "orderable", "positional", "shared_dir", "summed", "table", "words_of"]
+__all__ = ["Sets", "by_key", "cut", "discard", "finite_rows", "map_texts", "new_path", "orderable", "positional", "shared_dir", "split_words", "summed", "table", "words_of"]
 
 #: Texts that are Python objects at a time; Spark bounds the batch around them by bytes.
 SLICE_ROWS = 1_000
 #: Tasks that add up what the tasks of ``summed`` have found; the driver gets a row of each.
 SUM_TASKS = 16
+# Blocks of scripts that put no spaces between words (Thai, Lao, Tibetan, Burmese, Khmer, Japanese, Chinese).
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_SPACED = re.compile(r"\w+")
+_HIGH = re.compile(f"[{chr(UNSPACED[0][0])}-\U0010ffff]")
+_blocks = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+_MIXED = re.compile(rf"[^\W{_blocks}]+|(?=\w)[{_blocks}]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +141,14 @@ def summed(rows: DataFrame, find: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     return sum(read(r.asDict()) for r in parts) if parts else find(iter(()))
 
 
+def split_words(text: str | None) -> list[str]:
+    """Runs of word characters in lower case; in scripts without spaces, each letter is a word of its own."""
+    if not text:
+        return []
+    text = text.lower()
+    return (_MIXED if _HIGH.search(text) else _SPACED).findall(text)
+
+
 class Sets:
     """Disjoint sets of 0 .. n-1; a set's root is its smallest member."""
 

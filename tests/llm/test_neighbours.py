@@ -303,6 +303,23 @@ def test_pipeline(spark):
     assert max(shards) - min(shards) <= 1 and {tuple(r)[:5] for r in out} <= {tuple(r) for r in kept.collect()}
 
 
+def test_words_of_scripts_without_spaces():
+    assert neardup.words("Das Haus、春が来た。 x_1 ไทย 龍") == ["das", "haus", "春", "が", "来", "た", "x_1", "ไ", "ท", "ย", "龍"]
+    assert neardup.words("Ünï 12") == ["ünï", "12"] and neardup.words(None) == []
+
+
+def test_near_copies_in_scripts_without_spaces(spark, docs_of):
+    rng = random.Random(13)
+    plain = lambda n: "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(n))
+    texts = []
+    for _ in range(6):
+        text = plain(600)
+        texts += [text, text[:300] + "字" + text[301:], text[:100] + "、" + text[100:] + "。"]  # one letter changed; signs added
+    texts += [plain(600) for _ in range(6)]
+    classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(texts)).collect()}
+    assert classes == {i: i // 3 * 3 if i < 18 else i for i in range(24)} == plain_classes(range(24), texts)
+
+
 #: Names that some stage gives to columns of its own.
 MADE = (
     "rejected score hits __digest digest size taken Hilbert lang_pred whole extra __text __kept __as __id __times __no __whole __extra __h __a __b __c0 __c1 __r __n __off __all __top __in "

@@ -10,6 +10,7 @@ import duckdb
 import pyarrow.parquet as pq
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from strandloom.llm import decontamination as D
 from strandloom.llm import langid, queries, tokencount
@@ -145,14 +146,23 @@ def test_token_query(spark, docs_of):
 
 
 def plain_words(text):
-    return re.findall(r"\w+", (text or "").lower())
+    """Letter by letter: a new word at each blank or sign, and around each letter of a script without spaces."""
+    out, held = [], ""
+    for c in (text or "").lower() + " ":
+        alone = c.isalnum() and any(a <= ord(c) <= b for a, b in ((0xE00, 0x109F), (0x1780, 0x17FF), (0x3005, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)))
+        if (c.isalnum() or c == "_") and not alone:
+            held += c
+            continue
+        out += [x for x in (held, c if alone else "") if x]
+        held = ""
+    return out
 
 
 def plain_hits(texts, items):
     """Every item against every passage, without an index: its own BM25, passages and overlaps."""
     split = []
     for k, text in items:
-        parts = [w for s in re.split(r"[.!?\n]+\s*", text or "") if (w := plain_words(s))]
+        parts = [w for s in re.split(r"[.!?\n。！？]+\s*", text or "") if (w := plain_words(s))]
         if len(parts) > 1:
             split.append((k, sum(parts[:-1], []), parts[-1]))
         elif parts:
@@ -251,6 +261,46 @@ def test_large_benchmarks_are_dealt_to_parts(spark, docs_of, monkeypatch):
     assert shape(parts) == shape(whole) and all(whole[i].hits for i in range(10))
 
 
+def test_equal_items_and_items_without_an_id_in_bounded_parts(spark, docs_of, monkeypatch):
+    rng = random.Random(9)
+    item = lambda: " ".join(f"t{rng.randint(0, 400)}" for _ in range(20)) + ". " + " ".join(f"t{rng.randint(0, 400)}" for _ in range(4))
+    same, long = item(), " ".join(f"l{i}" for i in range(900)) + ". l5 l9 l2"
+    items = [(None, item()) for _ in range(15)] + [(4, same)] * 15 + [(5, long)]
+    docs = docs_of([t for _, t in items[:15]] + [same, long, "nothing here"])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = D.decontaminate(docs, benchmark).collect()
+    monkeypatch.setattr(D, "INDEX_BYTES", 700)
+    dealt = D._dealt(D._items(benchmark, "item_id", "text", None, None).withColumn("number", F.monotonically_increasing_id()), 2).collect()
+    sizes = {}
+    for r in dealt:
+        sizes.setdefault(r.part, []).append(len(r.q))
+    assert len(dealt) == len(items) and all(sum(x) <= 700 or len(x) == 1 for x in sizes.values())
+    shape = lambda rows: {r.doc_id: sorted((h.item_id is None, h.item_id or 0, round(h.score, 9)) for h in r.hits) for r in rows}
+    assert shape(D.decontaminate(docs, benchmark).collect()) == shape(whole)
+    assert len(shape(whole)[15]) == 15 and len(shape(whole)[16]) == 1 and all(shape(whole)[i] for i in range(15)) and not shape(whole)[17]
+
+
+def unspaced(rng, n):
+    return "".join(chr(rng.choice((0x4E00, 0x3041, 0x0E01)) + rng.randint(0, 40)) for _ in range(n))
+
+
+def test_scripts_without_spaces_are_decontaminated(spark, docs_of, tmp_path):
+    rng = random.Random(12)
+    items = [(i, f"{unspaced(rng, 45)}。{unspaced(rng, 15)}") for i in range(5)] + [(9, f"mixed words {unspaced(rng, 20)} and more of them. tail words here")]
+    texts = [f"{unspaced(rng, 300)}{t}{unspaced(rng, 200)}" for _, t in items] + [unspaced(rng, 600), f"plain words and {unspaced(rng, 30)}"]
+    docs, benchmark = docs_of(texts), spark.createDataFrame(items, "item_id long, text string")
+    rows = {r.doc_id: {h.item_id: round(h.score, 9) for h in r.hits} for r in D.decontaminate(docs, benchmark).collect()}
+    assert rows == dict(enumerate(plain_hits(texts, items))) and [list(rows[i]) for i in range(8)] == [[0], [1], [2], [3], [4], [9], [], []]
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op1_decontaminate"]).fetchall()
+    got = queries.op1_decontaminate(spark, str(tmp_path)).select("doc_id", "item_id", "score", "question_overlap", "answer_overlap").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
 def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(docs_of(["a b"]), none).first().hits == []
