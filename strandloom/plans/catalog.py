@@ -19,7 +19,7 @@ from strandloom.plans import develop, predict
 from strandloom.plans.bank import default_bank, save_bank
 from strandloom.plans.oracle import query
 from strandloom.session import cut, new_path
-from strandloom.sources import readers, writers
+from strandloom.sources import datasource, readers, writers
 from strandloom.sources.documents import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -701,3 +701,38 @@ def q63_held_out(spark, sf_dir):
 @registered(query(f"SELECT s.*, frames FROM ({ORACLE_SQL['q03_genome_summary']}) s, (SELECT count(*) AS frames FROM orfs)", "orfs"))
 def q64_report(spark, sf_dir):
     return predict.report(load(spark, sf_dir), predict.Options())
+
+
+@registered(query("SELECT name, length(sequence) AS length, md5(sequence) AS digest FROM scaffolds WHERE sequence <> ''", "scaffolds"))
+def q65_block_gzip(spark, sf_dir):
+    """All scaffolds written as block-gzip FASTA by the sink, and read back in ranges of 256 KiB."""
+    path = new_path(spark, "blocks")
+    datasource.register(spark)
+    load(spark, sf_dir).where("sequence <> ''").select("name", "sequence").write.format("fasta").option("compression", "gzip").mode("append").save(path)
+    rows = spark.read.format("fasta").option("rangeBytes", 1 << 18).load(path)
+    return rows.select("name", "length", F.md5("sequence").alias("digest"))
+
+
+@registered(query("SELECT name AS seqid, start, stop AS \"end\", round(score, 3) AS score, strand, concat('ID=', scaffold_id, '_', phase, '_', \"end\") AS attributes FROM genes", "genes"))
+def q66_gff3_features(spark, sf_dir):
+    """Genes written by the GFF3 sink and read back."""
+    path = new_path(spark, "features")
+    datasource.register(spark)
+    found = gene_table(spark, sf_dir)
+    rows = found.select(
+        F.col("name").alias("seqid"), F.lit(genes.PROGRAM).alias("source"), F.lit("CDS").alias("type"), "start", F.col("stop").alias("end"), F.col("score"), "strand", F.lit("0").alias("phase"),
+        F.concat_ws("_", F.concat(F.lit("ID="), "scaffold_id"), "phase", F.col("end")).alias("attributes"),
+    )
+    rows.write.format("gff3").mode("append").save(path)
+    return spark.read.format("gff3").load(path).select("seqid", "start", "end", "score", "strand", "attributes")
+
+
+@registered(query("SELECT name, length(sequence) AS length, md5(sequence) AS digest FROM scaffolds WHERE sequence <> ''", "scaffolds"))
+def q67_sequence_stream(spark, sf_dir):
+    """All scaffolds written as files, read as a stream, and written by the streaming sink."""
+    path = new_path(spark, "stream")
+    datasource.register(spark)
+    load(spark, sf_dir).where("sequence <> ''").select("name", "sequence").write.format("fasta").mode("append").save(f"{path}/in")
+    rows = spark.readStream.format("fasta").load(f"{path}/in")
+    rows.writeStream.format("genbank").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.format("genbank").load(f"{path}/out").select("name", "length", F.md5("sequence").alias("digest"))

@@ -1,183 +1,95 @@
-"""Sequence files: FASTA, GenBank and EMBL, plain or gzip-compressed.
+"""Sequence files: FASTA, GenBank and EMBL, plain or gzip-compressed, through the data sources of ``datasource``.
 
-``read_fasta``, ``read_genbank`` and ``read_embl`` split plain text by record, so that one file feeds many tasks; files that end in .gz go through
-Hadoop's codec.  ``read_sequences`` finds out compression (by magic bytes) and format (by the first line) from each file's
-first bytes, gives the files to these readers, and streams those whose name hides their compression record by record.
+One file feeds many tasks, a block-gzip one too.  ``read_sequences`` finds out each file's format (by the first line) from its first bytes; compression
+shows in the bytes, whatever the file's name.
 
-All return scaffold_id, name, sequence, length.  Ids number the records as the files' splits hold them, without a shuffle in between, so every plan over
-one reader in one session has the same ids; ``read_sequences`` writes its records once, which fixes them for good.
+All return scaffold_id, name, sequence, length.  Ids come from the record's file and place, so every plan over one reader has the same ids, on any cluster;
+``read_sequences`` writes its records once, as they are read several times.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
-import re
 import shutil
 import sys
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.session import cut, new_path
+from strandloom.sources import datasource, formats, ranges
 
-FORMATS = ("fasta", "genbank", "embl")
-MAGIC = b"\x1f\x8b"
-BLOCK = 1 << 20
-_MARKS = {"fasta": b"\n>", "genbank": b"\n//", "embl": b"\n//"}
-_FLAT = {"genbank": (r"(?m)^LOCUS\s+(\S+)", r"(?s)\nORIGIN[^\n]*\n(.*)"), "embl": (r"(?m)^ID {3}(\S+)", r"(?s)\nSQ {3}[^\n]*\n(.*)")}
+FORMATS = formats.SEQUENCES
+#: Bits of an id below the format's number.
+_KIND_BITS = 60
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.select(F.monotonically_increasing_id().alias("scaffold_id"), "name", "sequence", F.length("sequence").alias("length"))
-
-
-def _fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^[\n\r]*>", ""))
-    head = F.substring_index("value", "\n", 1)
-    body = F.when(F.instr("value", "\n") > 0, F.substring(F.col("value"), F.instr("value", "\n") + 1, F.length("value"))).otherwise("")
-    rows = rows.select(F.regexp_extract(F.regexp_replace(head, "\r", ""), "^[^ \t]*", 0).alias("name"), F.regexp_replace(body, r"[^A-Za-z\n]?(\n|\z)", "").alias("sequence"))
-    return rows.where("name <> '' or sequence <> ''")
-
-
-def _flat(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
-    name, origin = _FLAT[kind]
-    rows = spark.read.option("lineSep", "\n//").text(path)
-    letters = F.upper(F.regexp_replace(F.regexp_extract("value", f"{origin}$", 1), "[^A-Za-z]", ""))
-    return rows.select(F.regexp_extract("value", name, 1).alias("name"), letters.alias("sequence")).where("name <> '' and sequence <> ''")
+def _loaded(spark: SparkSession, kind: str, path: str | list[str]) -> DataFrame:
+    datasource.register(spark)
+    return spark.read.format(kind).option("paths", path if isinstance(path, str) else "\n".join(path)).load()
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A name is what follows > up to the first blank; a line loses one trailing character that is no letter.  Records without a sequence stay, but for a nameless last one."""
-    return _numbered(_fasta(spark, path))
+    return _loaded(spark, "fasta", path)
 
 
 def read_genbank(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Name: second word of LOCUS; sequence: letters after ORIGIN, upper case.  Records without a sequence go."""
-    return _numbered(_flat(spark, path, "genbank"))
+    return _loaded(spark, "genbank", path)
 
 
 def read_embl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Name: second word of ID; sequence: letters after SQ, upper case.  Records without a sequence go."""
-    return _numbered(_flat(spark, path, "embl"))
-
-
-def sniff(text: str) -> str:
-    """The format that the first line that isn't empty shows."""
-    for line in text.splitlines():
-        if line.strip():
-            for mark, name in ((">", "fasta"), ("LOCUS", "genbank"), ("ID   ", "embl")):
-                if line.startswith(mark):
-                    return name
-            raise ValueError(f"unknown sequence format: {line[:40]!r}")
-    raise ValueError("no content")
-
-
-def _chunks(data: io.IOBase, mark: bytes) -> Iterator[str]:
-    """A stream's text between marks; what is held is one chunk and one block."""
-    held = bytearray()
-    while block := data.read(BLOCK):
-        at = max(0, len(held) - len(mark) + 1)
-        held += block
-        while (end := held.find(mark, at)) >= 0:
-            yield held[:end].decode("utf-8", "replace")
-            del held[: end + len(mark)]
-            at = 0
-    yield held.decode("utf-8", "replace")
-
-
-def records(data: io.IOBase, kind: str) -> Iterator[tuple[str, str]]:
-    """Names and sequences of a stream of a known format."""
-    for chunk in _chunks(data, _MARKS[kind]):
-        if kind == "fasta":
-            head, _, body = re.sub(r"\A[\n\r]*>", "", chunk).partition("\n")
-            found = re.match(r"[^ \t]*", head.replace("\r", ""))[0], re.sub(r"[^A-Za-z\n]?(\n|\Z)", "", body)
-            if found != ("", ""):
-                yield found
-        else:
-            name, origin = _FLAT[kind]
-            n, s = re.search(name, chunk), re.search(origin, chunk)
-            if n and s and (letters := re.sub("[^A-Za-z]", "", s[1]).upper()):
-                yield n[1], letters
-
-
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
-    if (local := re.sub("^file:/+", "/", path)).startswith("/"):
-        return pafs.LocalFileSystem(), local
-    return pafs.FileSystem.from_uri(path)
-
-
-def look(path: str) -> tuple[str, bool]:
-    """Format and whether the content is gzip, from the first block that has more than white space."""
-    fs, at = _opened(path)
-    with fs.open_input_stream(at, compression=None) as data:
-        block, text = data.read(BLOCK), b""
-        packed = block[: len(MAGIC)] == MAGIC
-        unpack = zlib.decompressobj(31)
-        while block:
-            text += unpack.decompress(block, BLOCK) if packed else block
-            if text.strip():
-                break
-            block = unpack.unconsumed_tail if packed and unpack.unconsumed_tail else data.read(BLOCK)
-    return sniff(text.decode("utf-8", "replace")), packed
+    return _loaded(spark, "embl", path)
 
 
-def _looked(files: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [look(p) for p in batch["path"]]
-            yield pd.DataFrame({"path": batch["path"], "kind": [k for k, _ in found], "packed": [z for _, z in found]})
-
-    return files.mapInPandas(run, "path string, kind string, packed boolean")
-
+def look(path: str) -> str:
+    """A file's format, from the first content that is more than white space."""
+    fs, at = ranges.opened(path)
+    text = b""
+    with fs.open_input_file(at) as data:
+        for block, _ in ranges.pieces(data, 0, 1 << 62):
+            text += block
+            if text.strip():
+                break
+    return formats.sniff(text.decode("utf-8", "replace"))
 
-def _streamed(spark: SparkSession, paths: list[str], kind: str, packed: bool) -> DataFrame:
-    """Files whose name says nothing, or something wrong, of their compression: a task a file, record by record."""
 
+def _looked(spark: SparkSession, paths: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path in batch["path"]:
-                fs, at = _opened(path)
-                with fs.open_input_stream(at, compression=None) as data:
-                    for name, sequence in records(gzip.GzipFile(fileobj=data) if packed else data, kind):
-                        yield pd.DataFrame({"name": [name], "sequence": [sequence]})
+            yield pd.DataFrame({"path": batch["path"], "kind": [look(p) for p in batch["path"]]})
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path").mapInPandas(run, "name string, sequence string")
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    return files.repartition(min(len(paths), 2 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "path string, kind string")
 
 
 def _from_stdin(spark: SparkSession) -> str:
     """Standard input, copied to the shared folder."""
     path = f"{new_path(spark, 'stdin')}.txt"
-    fs, at = _opened(path)
+    fs, at = ranges.opened(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(at, compression=None) as out:
-        shutil.copyfileobj(sys.stdin.buffer, out, BLOCK)
+        shutil.copyfileobj(sys.stdin.buffer, out, ranges.BLOCK)
     return path
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """Files of any of the formats, compressed or not; "-" reads plain text from standard input.  Records are written once, with their ids."""
-    files = spark.read.format("binaryFile").load(_from_stdin(spark) if path == "-" else path).where("length > 0").select("path")
-    groups: dict[tuple[str, bool, bool], list[str]] = {}
-    for r in _looked(files).collect():  # a row a file, like the listing of the files itself
-        groups.setdefault((r.kind, r.packed, r.path.endswith(".gz")), []).append(r.path)
-    if not groups:
+    """Files of any of the formats, compressed or not; "-" reads standard input.  Records are written once, with their ids."""
+    paths = [p for p, info in ranges.listed([_from_stdin(spark) if path == "-" else path]) if info.size]
+    if not paths:
         raise ValueError(f"no files: {path}")
-    parts = []
-    for (kind, packed, named), paths in sorted(groups.items()):
-        if packed != named:
-            parts.append(_streamed(spark, paths, kind, packed))
-        else:
-            parts.append(_fasta(spark, paths) if kind == "fasta" else _flat(spark, paths, kind))
-    return cut(_numbered(reduce(DataFrame.unionByName, parts)), "scaffolds")
+    groups: dict[str, list[str]] = {}
+    for r in _looked(spark, paths).collect():  # a row a file, like the listing of the files itself
+        groups.setdefault(r.kind, []).append(r.path)
+    parts = [_loaded(spark, kind, sorted(some)).withColumn("scaffold_id", F.col("scaffold_id") + (FORMATS.index(kind) << _KIND_BITS)) for kind, some in sorted(groups.items())]
+    return cut(reduce(DataFrame.unionByName, parts), "scaffolds")
 
 
 def read_labelled(spark: SparkSession, positive: str, negative: str) -> DataFrame:
     """Sequences of two files with ``label`` 1 and 0."""
-    rows = _fasta(spark, positive).withColumn("label", F.lit(1)).unionByName(_fasta(spark, negative).withColumn("label", F.lit(0)))
-    return rows.select(F.monotonically_increasing_id().alias("scaffold_id"), "name", "sequence", "label")
+    labelled = lambda path, label: read_fasta(spark, path).select((F.col("scaffold_id") + (label << _KIND_BITS)).alias("scaffold_id"), "name", "sequence", F.lit(label).alias("label"))
+    return labelled(positive, 1).unionByName(labelled(negative, 0))

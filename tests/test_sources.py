@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import genes, orfs
 from strandloom.plans import predict
-from strandloom.sources import readers, writers
+from strandloom.sources import formats, ranges, readers, writers
 from strandloom.streaming import incremental
 from tests.test_orfs import dna, scaffolds
 
@@ -19,7 +19,7 @@ WANT = {"fasta": [("one", "ACGTACGTAC*"), ("two", "acgtTT"), ("three", ""), ("fo
 
 @pytest.mark.parametrize("kind, text, reader", [("fasta", FASTA, readers.read_fasta), ("genbank", GENBANK, readers.read_genbank), ("embl", EMBL, readers.read_embl)])
 def test_formats(spark, tmp_path, kind, text, reader):
-    assert readers.sniff("\n\n" + text) == kind
+    assert formats.sniff("\n\n" + text) == kind
     plain, packed, bare = tmp_path / "x.txt", tmp_path / "x.txt.gz", tmp_path / "packed"
     plain.write_bytes(text.encode())
     packed.write_bytes(gzip.compress(text.encode()))
@@ -32,9 +32,9 @@ def test_formats(spark, tmp_path, kind, text, reader):
 
 def test_unknown_format():
     with pytest.raises(ValueError):
-        readers.sniff("hello")
+        formats.sniff("hello")
     with pytest.raises(ValueError):
-        readers.sniff(" \n")
+        formats.sniff(" \n")
 
 
 def gene_table(spark, n=3, seed=3):
@@ -143,9 +143,9 @@ def test_no_content(spark, tmp_path):
 
 def test_streams_are_cut_at_marks():
     for size in (1, 3, 7, 1 << 20):
-        readers_block, readers.BLOCK = readers.BLOCK, size
+        before, ranges.BLOCK = ranges.BLOCK, size
         try:
             for kind, text in (("fasta", FASTA), ("genbank", GENBANK), ("embl", EMBL)):
-                assert list(readers.records(io.BytesIO(text.encode()), kind)) == WANT[kind]
+                assert [found for _, found in formats.records(io.BytesIO(text.encode()), kind)] == WANT[kind]
         finally:
-            readers.BLOCK = readers_block
+            ranges.BLOCK = before
