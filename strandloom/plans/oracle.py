@@ -39,6 +39,10 @@ NEEDS = {
 }
 
 
+#: Expressions that are made once and kept: they stand on both sides of joins, or so many steps lie behind them that no planner should estimate through them.
+ONCE = {"scaffolds", "strands", "orfs", "orfseqs", "genes", "numbered", "amino", "binned", "pairs", "overprints", "proteins"}
+
+
 def query(body: str, *names: str, more: dict[str, str] | None = None, **options) -> str:
     """A SELECT with the expressions that it names, and ``more`` after them."""
     wanted: list[str] = []
@@ -53,4 +57,4 @@ def query(body: str, *names: str, more: dict[str, str] | None = None, **options)
         add(n)
     parts = ctes(**options)
     listed = [(n, parts[n]) for n in wanted] + list((more or {}).items())
-    return "WITH " + ",\n".join(f"{n} AS ({sql})" for n, sql in listed) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({sql})" for n, sql in listed) + "\n" + body
