@@ -1,12 +1,9 @@
 """Open reading frames on both strands and three phases, linear or circular.
 
-One regular expression a phase finds the start and stop codons, about one codon in ten, and nothing else becomes a row.
-Running sums give their positions and count the stops before, which groups each frame's starts up to their stop; all
-rules are then aggregates of a group.  The windows and the aggregate share one shuffle by (scaffold, strand, phase), and
-the windows one sort.
+Scaffolds are cut into tiles, at a multiple of three, with the two bases that a codon may need of the next tile, so that no task walks a whole chromosome.  ``frames``
+scans the tiles for runs of starts up to a stop and joins them across tiles; all rules are then column expressions on these groups.
 
-Long scaffolds are cut into tiles first, at a multiple of three, with the two bases that a codon may need of the next
-tile, so that no task walks a whole chromosome; groups are joined across tiles by position.
+``codon_events`` lists the start and stop codons themselves: one regular expression a phase finds them, about one codon in ten, and nothing else becomes a row.
 """
 
 from __future__ import annotations
@@ -16,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import codes
 from strandloom.functions import sequence as S
+from strandloom.operators import frames
 from strandloom.session import cut
 
 MIN_LENGTH = 90
@@ -41,8 +39,8 @@ def tiles(stranded: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.select("scaffold_id", "strand", "host_len", F.posexplode(padded).alias("tile", "piece"))
 
 
-def _events(stranded: DataFrame, table: int = 11, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, tile: int = TILE) -> DataFrame:
-    """``codon_events`` with tile and ``i``, which order a frame's events like pos.
+def codon_events(stranded: DataFrame, table: int = 11, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, tile: int = TILE) -> DataFrame:
+    """scaffold_id, strand, phase, pos, codon, is_start, is_stop, start_type, host_len of start and stop codons.
 
     A match is a run of other codons up to and with the next start or stop codon (possessive, so it never backtracks), so
     that rows are made of these alone; the running sum of the runs' lengths is the position.
@@ -56,47 +54,32 @@ def _events(stranded: DataFrame, table: int = 11, starts: tuple[str, ...] | None
     upto = Window.partitionBy(*KEYS, "tile").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = found.repartition(*KEYS).withColumn("pos", (F.col("tile") * tile + F.col("phase") + F.sum("n").over(upto) - 3).cast("int"))
     is_start = F.col("codon").isin(*starts)
-    return placed.select(*KEYS, "pos", "codon", is_start.alias("is_start"), (~is_start).alias("is_stop"), S.match_codon(F.col("codon"), starts).alias("start_type"), "host_len", "tile", "i")
+    return placed.select(*KEYS, "pos", "codon", is_start.alias("is_start"), (~is_start).alias("is_stop"), S.match_codon(F.col("codon"), starts).alias("start_type"), "host_len")
 
 
-def codon_events(stranded: DataFrame, table: int = 11, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, tile: int = TILE) -> DataFrame:
-    """scaffold_id, strand, phase, pos, codon, is_start, is_stop, start_type, host_len of start and stop codons."""
-    return _events(stranded, table, starts, stops, tile).drop("tile", "i")
-
-
-def frame_groups(events: DataFrame, with_starts: bool = False, patience: int = PATIENCE) -> DataFrame:
-    """One row for each run of events up to a stop: longest and first ATG start, stop, length, and the refined start."""
-    before = Window.partitionBy(*KEYS).orderBy(*(("tile", "i") if "i" in events.columns else ("pos",))).rowsBetween(Window.unboundedPreceding, -1)
-    run = events.withColumn("grp", F.coalesce(F.sum(F.col("is_stop").cast("int")).over(before), F.lit(0)))
-    pos = F.col("pos")
-    extra = []
-    if with_starts:
-        listed = F.array_sort(F.collect_list(F.when(F.col("is_start"), F.struct(pos.alias("p"), F.col("start_type").alias("k")))))
-        extra = [F.transform(listed, lambda x: x["p"]).alias("starts"), F.transform(listed, lambda x: x["k"]).alias("types")]
-    out = run.groupBy(*KEYS, "grp").agg(
-        F.min(F.when(F.col("is_start"), pos)).alias("longest"), F.min(F.when(F.col("is_start") & (F.col("start_type") == 0), pos)).alias("atg"),
-        F.max(F.when(F.col("is_stop"), pos)).alias("stop"), F.first("host_len").alias("host_len"), *extra,
-    )
+def frame_groups(pieces: DataFrame, wanted: frames.Codes, least: int, with_starts: bool = False, patience: int = PATIENCE, tile: int = TILE) -> DataFrame:
+    """One row for each run of events up to a stop that can be a frame of ``least`` bases or lies at an end of its phase: longest and first ATG start, stop, and the refined start, by code."""
+    out = frames.joined(frames.scanned(pieces, wanted, tile, least, with_starts), with_starts)
     refined = F.when(F.col("atg") - F.col("longest") <= patience, F.col("atg")).otherwise(F.col("longest"))
     return out.withColumn("refined", refined)
 
 
-def _columns(groups: DataFrame) -> list[str]:
-    return [*KEYS, "host_len", "t_start", "end", "len", "partial5", "partial3", *(c for c in ("starts", "types") if c in groups.columns)]
+def _columns(groups: DataFrame, carry: tuple[str, ...] = ()) -> list[str]:
+    return [*carry, *KEYS, "host_len", "t_start", "end", "len", "partial5", "partial3", *(c for c in ("starts", "types") if c in groups.columns)]
 
 
 def _whole_thirds(length: Column) -> Column:
     return length - length % 3
 
 
-def linear_orfs(groups: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
+def linear_orfs(groups: DataFrame, min_length: int = MIN_LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
     """Open reading frames of linear scaffolds."""
     out = groups.where("longest is not null or (grp = 0 and stop is not null)").withColumn("end", F.coalesce(F.col("stop") + 3, F.col("host_len")))
     fits = F.col("end") - F.col("refined") >= min_length
     out = out.withColumn("t_start", F.when(F.col("longest").isNull(), F.col("phase")).when(fits, F.col("refined")).otherwise(F.col("longest")))
     out = out.where(F.col("end") - F.col("t_start") >= min_length).withColumn("partial5", F.col("longest").isNull()).withColumn("partial3", F.col("stop").isNull())
     span = F.col("end") - F.col("t_start")
-    return out.withColumn("len", F.when(F.col("partial3"), _whole_thirds(span)).otherwise(span)).select(_columns(out))
+    return out.withColumn("len", F.when(F.col("partial3"), _whole_thirds(span)).otherwise(span)).select(_columns(out, carry))
 
 
 def circular_orfs(groups: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -122,16 +105,23 @@ def circular_orfs(groups: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     return rest.unionByName(wrapped.select(_columns(groups))).unionByName(open_end.select(_columns(groups)))
 
 
-def find_orfs(scaffolds: DataFrame, table: int = 11, min_length: int = MIN_LENGTH, circular: bool = False, with_starts: bool = False, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, patience: int = PATIENCE) -> DataFrame:
+def find_orfs(scaffolds: DataFrame, table: int = 11, min_length: int = MIN_LENGTH, circular: bool = False, with_starts: bool = False, starts: tuple[str, ...] | None = None, stops: tuple[str, ...] | None = None, patience: int = PATIENCE, tile: int = TILE) -> DataFrame:
     """scaffold_id, strand, phase, host_len, t_start, end, len, partial5, partial3 (and starts, types) of all open reading frames.
 
     ``patience``: an ATG up to so many bases behind the first start is preferred.  Positions are 0-based on the strand itself; ``end`` is exclusive, holds the stop codon, and is below ``t_start`` around a circular origin.
     """
-    groups = frame_groups(_events(strands(scaffolds), table, starts, stops), with_starts, patience)
+    wanted = {table: (starts or codes.starts(table), stops or codes.stops(table))}
+    groups = frame_groups(tiles(strands(scaffolds), tile), wanted, min_length, with_starts, patience, tile).drop("code")
     # The circular rules read the groups several times; they are written once, as the sequences behind them are far larger.
     return circular_orfs(cut(groups, "groups"), min_length) if circular else linear_orfs(groups, min_length)
 
 
+def find_orfs_by_code(scaffolds: DataFrame, wanted: frames.Codes, min_length: int = MIN_LENGTH, with_starts: bool = False, tile: int = TILE) -> DataFrame:
+    """``find_orfs`` of linear scaffolds for several codes, {code: (starts, stops)}, with ``code``, from one scan and one shuffle."""
+    groups = frame_groups(tiles(strands(scaffolds), tile), wanted, min_length, with_starts, tile=tile)
+    return linear_orfs(groups, min_length, carry=("code",))
+
+
 def attach(rows: DataFrame, scaffolds: DataFrame, spans: Column, name: str, tile: int = TILE) -> DataFrame:
     """``rows`` with ``name``: the strand's bases of the spans (array of struct(a, b), 0-based, b exclusive), joined.
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import codes
+from strandloom.operators import frames as scan
 from strandloom.operators import orfs
 from tests.simulate import frames, revcomp
 
@@ -41,6 +42,51 @@ def test_tiles_change_nothing(spark):
     assert sorted(c) == sorted(d)
 
 
+@pytest.mark.parametrize("circular", [False, True])
+@pytest.mark.parametrize("tile", [6, 30, 90])
+def test_frames_joined_across_tiles_equal_a_walk(spark, circular, tile):
+    rng = random.Random(tile)
+    rare = lambda n: "".join(rng.choice("ACGCGGCCATG") for _ in range(n))  # noqa: E731  few stops: runs over many tiles
+    seqs = [dna(rng, rng.randint(50, 700)) for _ in range(60)] + [rare(rng.randint(50, 900)) for _ in range(60)] + ["GCC" * 100 + "ATG" + "GCC" * 200, "ATG" + "GCC" * 150, "", "A", "ATGTAA", "N" * 200 + dna(rng, 300) + "é" * 50 + dna(rng, 300)]
+    got = orfs.find_orfs(scaffolds(spark, seqs), min_length=30, circular=circular, tile=tile).select("scaffold_id", "strand", "t_start", "end", "len", "partial5", "partial3").collect()
+    want = [(i, strand, *x) for i, s in enumerate(seqs) for strand, side in (("+", s), ("-", revcomp(s))) for x in frames(side, 30, circular)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_starts_joined_across_tiles(spark):
+    rng = random.Random(77)
+    table = scaffolds(spark, [dna(rng, 2000) for _ in range(5)] + ["ATGGCCGTG" * 200])
+    whole = orfs.find_orfs(table, min_length=60, with_starts=True)
+    assert whole.where("size(starts) > 100").count() > 0
+    for tile in (30, 300):
+        assert sorted(orfs.find_orfs(table, min_length=60, with_starts=True, tile=tile).collect()) == sorted(whole.collect())
+    for r in whole.collect():
+        assert r.starts == sorted(r.starts) and len(r.starts) == len(r.types) and (r.partial5 or r.starts[0] <= r.t_start)
+
+
+def test_no_task_scans_more_than_edges(spark):
+    """Along a chromosome, two segments for each tile, phase and strand at most; all others are grouped by tile."""
+    rng = random.Random(78)
+    table = scaffolds(spark, [dna(rng, 30_000)])
+    wanted = {11: (codes.starts(11), codes.stops(11))}
+    found = scan.scanned(orfs.tiles(orfs.strands(table), 300), wanted, 300, 60, False)
+    edges = found.where("edge").groupBy("strand", "phase").count().collect()
+    assert len(edges) == 6 and all(r["count"] <= 2 * 100 for r in edges)
+    assert max(r["count"] for r in found.where("not edge").groupBy("strand", "phase", "tile").count().collect()) <= 300 / 60
+    events = orfs.codon_events(orfs.strands(table)).count()
+    assert found.count() < events / 2
+
+
+def test_several_codes_in_one_scan(spark):
+    rng = random.Random(79)
+    table = scaffolds(spark, [dna(rng, rng.randint(100, 900)) for _ in range(40)])
+    wanted = {t: (("ATG",), codes.stops(t)) for t in (11, 4, 16)}
+    found = orfs.find_orfs_by_code(table, wanted, 75, tile=120)
+    for t, (starts, stops) in wanted.items():
+        alone = orfs.find_orfs(table, t, 75, starts=starts, stops=stops)
+        assert sorted(found.where(F.col("code") == t).drop("code").collect()) == sorted(alone.collect())
+
+
 def test_invariants(spark):
     rng = random.Random(8)
     table = scaffolds(spark, [dna(rng, 3000) for _ in range(10)])
