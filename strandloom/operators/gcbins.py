@@ -31,16 +31,17 @@ def wanted_bin(gc: Column) -> Column:
     return reduce(lambda a, b: a + b, [(value > t).cast("int") for t in thresholds()])
 
 
-def assign_bins(rows: DataFrame, gc: str = "gc", order: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with ``bin``; ``order``: columns that, after gc, order the rows wholly."""
+def assign_bins(rows: DataFrame, gc: str = "gc", order: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``bin``; ``order``: columns that, after gc, order the rows wholly.  ``within``: columns whose values are binned apart, few in number."""
     wanted = rows.withColumn("__b", F.least(wanted_bin(F.col(gc)), F.lit(N_BINS - 1)))
-    counts = wanted.groupBy("__b").agg(F.count(F.lit(1)).alias("n"))  # at most N_BINS rows
-    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = wanted.groupBy(*within, "__b").agg(F.count(F.lit(1)).alias("n"))  # at most N_BINS rows for each value of ``within``
+    by_bin = Window.partitionBy(*within).orderBy("__b")
+    upto = by_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = counts.withColumn("s", F.sum("n").over(upto))
     level = total.withColumn("j", F.col("s") + F.least(F.lit(0), F.min(F.col("__b") - F.col("s")).over(upto)))
-    level = level.withColumn("at", F.coalesce(F.lag("j").over(Window.orderBy("__b")), F.lit(0))).select("__b", "at")
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(gc, *order))
-    early = wanted.select("__b", gc, *order, rank.alias("__r")).where(F.col("__r") <= N_BINS).join(F.broadcast(level), "__b")
-    early = early.withColumn("__low", F.least(F.col("at") + F.col("__r"), F.col("__b"))).where("__low < __b").select("__b", gc, *order, "__low")
-    out = wanted.join(F.broadcast(early), ["__b", gc, *order], "left")  # at most N_BINS rows for each of N_BINS values
+    level = level.withColumn("at", F.coalesce(F.lag("j").over(by_bin), F.lit(0))).select(*within, "__b", "at")
+    rank = F.row_number().over(Window.partitionBy(*within, "__b").orderBy(gc, *order))
+    early = wanted.select(*within, "__b", gc, *order, rank.alias("__r")).where(F.col("__r") <= N_BINS).join(F.broadcast(level), [*within, "__b"])
+    early = early.withColumn("__low", F.least(F.col("at") + F.col("__r"), F.col("__b"))).where("__low < __b").select(*within, "__b", gc, *order, "__low")
+    out = wanted.join(F.broadcast(early), [*within, "__b", gc, *order], "left")  # at most N_BINS rows for each of N_BINS values
     return out.withColumn("bin", F.coalesce("__low", "__b").cast("int")).drop("__b", "__low")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import codes, zcurve
 from strandloom.functions import sequence as S
 from strandloom.operators import gcbins, genes, metrics, models, orfs, overlap, tis
-from strandloom.plans import develop, predict
+from strandloom.plans import bank, develop, predict
 from strandloom.plans.bank import default_bank, save_bank
 from strandloom.plans.oracle import query
 from strandloom.session import cut, new_path
@@ -423,7 +423,7 @@ AUTO_STOPS = predict.AUTO_STOPS
 
 @registered(" UNION ALL ".join(f"SELECT * FROM ({query(f'SELECT {t}::BIGINT AS code, round(sum(CASE WHEN len >= 150 THEN len ELSE 0 END) / sum(len), 6) AS score FROM orfs', 'orfs', min_length=75, starts=('ATG',), stops=s)})" for t, s in AUTO_STOPS.items()))
 def q36_code_table_score(spark, sf_dir):
-    scored = predict.code_scores(load(spark, sf_dir), lambda found, _: found.withColumn("s", (F.col("len") >= 150).cast("double")))
+    scored = predict.code_scores(load(spark, sf_dir), lambda found: found.withColumn("s", (F.col("len") >= 150).cast("double")))
     return scored.select("code", F.round("score", 6).alias("score"))
 
 
@@ -602,7 +602,7 @@ def q50_overprint_lines(spark, sf_dir):
 
 @registered(f"SELECT code FROM ({ORACLE_SQL['q36_code_table_score']}) ORDER BY score DESC, CASE code {' '.join(f'WHEN {t} THEN {i}' for i, t in enumerate(AUTO_STOPS))} END LIMIT 1")
 def q51_auto_table(spark, sf_dir):
-    code = predict.choose_table(load(spark, sf_dir), lambda found, _: found.withColumn("s", (F.col("len") >= 150).cast("double")))
+    code = predict.choose_table(load(spark, sf_dir), lambda found: found.withColumn("s", (F.col("len") >= 150).cast("double")))
     return spark.createDataFrame([(code,)], "code long")
 
 
@@ -693,9 +693,9 @@ def q62_kernel_gamma(spark, sf_dir):
     return metrics.kernel_gamma(_cells(spark, sf_dir)).select(F.round("gamma", 6).alias("gamma"))
 
 
-@registered(query(f"SELECT held, count(*) AS n FROM (SELECT ('0x' || substr(md5(concat(name, ' ', sequence)), 1, 2))::INT < {develop.HELD_OUT} AS held FROM scaffolds) GROUP BY held", "scaffolds"))
+@registered(query(f"SELECT held, count(*) AS n FROM (SELECT ('0x' || substr(md5(concat(name, ' ', sequence)), 1, 2))::INT < {bank.HELD_OUT} AS held FROM scaffolds) GROUP BY held", "scaffolds"))
 def q63_held_out(spark, sf_dir):
-    return load(spark, sf_dir).groupBy(develop.held_out().alias("held")).agg(F.count(F.lit(1)).alias("n"))
+    return load(spark, sf_dir).groupBy(bank.held_out().alias("held")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @registered(query(f"SELECT s.*, frames FROM ({ORACLE_SQL['q03_genome_summary']}) s, (SELECT count(*) AS frames FROM orfs)", "orfs"))
@@ -736,3 +736,40 @@ def q67_sequence_stream(spark, sf_dir):
     rows = spark.readStream.format("fasta").load(f"{path}/in")
     rows.writeStream.format("genbank").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.format("genbank").load(f"{path}/out").select("name", "length", F.md5("sequence").alias("digest"))
+
+
+def _framed(spark, sf_dir) -> DataFrame:
+    """Frames as positive and, read out of frame, as negative examples."""
+    found = sequenced(spark, sf_dir).withColumn("name", F.concat_ws("_", "scaffold_id", "strand", "phase", "t_start"))
+    both = F.array(F.struct(F.col("seq").alias("sequence"), F.lit(1).alias("label")), F.struct(F.substring(F.col("seq"), F.lit(2), F.length("seq") - 3).alias("sequence"), F.lit(0).alias("label")))
+    return found.select("name", F.explode(both).alias("x")).select("name", "x.*")
+
+
+BANK_ROWS, BANK_LEAST = 60, 30
+
+
+def _sample_sql() -> dict[str, str]:
+    below = " + ".join(f"(g::FLOAT::DOUBLE > {t!r})::INT" for t in gcbins.thresholds())
+    return {
+        "framed": "SELECT concat_ws('_', scaffold_id, strand, phase, t_start) AS name, seq AS sequence, 1 AS label FROM orfseqs UNION ALL SELECT concat_ws('_', scaffold_id, strand, phase, t_start), substr(seq, 2, length(seq) - 3), 0 FROM orfseqs",
+        "digested": f"SELECT * EXCLUDE (d), substr(d, 3) AS h, least({below}, {gcbins.N_BINS - 2}) AS bin, ('0x' || substr(d, 1, 2))::INT < {bank.HELD_OUT} AS held FROM (SELECT *, md5(concat(name, ' ', sequence)) AS d, (length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence) AS g FROM framed)",
+        "sampled": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bin, label ORDER BY h, sequence) AS r FROM digested) WHERE r <= {BANK_ROWS}",
+        "targets": f"SELECT t AS target, w, sum(n) FILTER (label = 1) AS pos, sum(n) FILTER (label = 0) AS neg FROM range(0, {gcbins.N_BINS - 1}) a(t), range(0, {gcbins.N_BINS}) b(w), (SELECT bin, label, count(*) AS n FROM sampled WHERE NOT held GROUP BY ALL) c WHERE abs(bin - t) <= w GROUP BY t, w",
+        "spans": f"SELECT t AS target, greatest(0, t - w) AS low, least({gcbins.N_BINS - 2}, t + w) AS high FROM (SELECT t, coalesce((SELECT min(w) FROM targets WHERE target = t AND pos >= {BANK_LEAST} AND neg >= {BANK_LEAST}), {gcbins.N_BINS - 1}) AS w FROM range(0, {gcbins.N_BINS - 1}) a(t))",
+        "near": f"SELECT * FROM (SELECT target, low, high, label, held, row_number() OVER (PARTITION BY target, label ORDER BY abs(bin - target), h, bin, sequence) AS place FROM sampled JOIN spans ON bin BETWEEN low AND high) WHERE place <= {BANK_ROWS}",
+    }
+
+
+@registered(query("SELECT bin, label::BIGINT AS label, held, count(*) AS n, md5(string_agg(h, ',' ORDER BY h)) AS members FROM sampled GROUP BY ALL", "orfseqs", more={k: v for k, v in _sample_sql().items() if k in ("framed", "digested", "sampled")}))
+def q68_bank_sample(spark, sf_dir):
+    """The frames of each GC bin that train its scorer."""
+    sample = bank.reservoirs(_framed(spark, sf_dir), BANK_ROWS)
+    return sample.groupBy("bin", "label", "held").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("h")), ",")).alias("members"))
+
+
+@registered(query("SELECT target AS bin, low, high, count(*) FILTER (label = 1 AND NOT held) AS n_pos, count(*) FILTER (label = 0 AND NOT held) AS n_neg, count(*) FILTER (held) AS held_out FROM near GROUP BY ALL", "orfseqs", more=_sample_sql()))
+def q69_bank_train(spark, sf_dir):
+    """A bank trained from frames by GC bin, saved and loaded: what each scorer has learned from."""
+    path = new_path(spark, "trained-bank")
+    bank.train_bank(_framed(spark, sf_dir), BANK_ROWS, BANK_LEAST, epochs=10).write.parquet(path)
+    return spark.read.parquet(path).select("bin", "low", "high", "n_pos", "n_neg", "held_out")

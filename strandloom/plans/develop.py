@@ -1,7 +1,7 @@
 """Model development: labelling reading frames without annotation, training scorers from labelled sequences, and saving banks.
 
 ``python -m strandloom.plans.develop label -i genome.fa -o folder`` writes positive and negative frames as GFF and FASTA;
-``... train -p positive.fa -n negative.fa -o model`` trains a scorer and prints its metrics on held-out sequences.
+``... train -p positive.fa -n negative.fa -o model`` trains a scorer for each GC bin and prints their metrics on held-out sequences.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.functions import zcurve
-from strandloom.operators import gcbins, genes, models, orfs
+from strandloom.operators import genes, models, orfs
 from strandloom.plans import predict
-from strandloom.plans.bank import save_bank
+from strandloom.plans.bank import train_bank
 from strandloom.session import cut, session
 from strandloom.sources import readers, writers
 
@@ -25,8 +24,6 @@ LONG = 300
 PATIENCE = 72
 #: At most so many frames, the first by digest, are held by the driver for self-training.
 SAMPLE_ROWS = 4_000
-#: The share of sequences held out, in 256ths of a digest's first byte.
-HELD_OUT = 26
 
 
 def whole_frames(scaffolds: DataFrame, table: int = 11, min_length: int = orfs.MIN_LENGTH) -> DataFrame:
@@ -66,20 +63,6 @@ def write_labelled(frames: DataFrame, scaffolds: DataFrame, folder: str) -> None
         writers.write_text(part.select("ordinal", F.regexp_replace(genes.nucleotide_record(), "\n$", "").alias("line")), f"{folder}/{kind}.fna")
 
 
-def held_out():
-    """Whether a labelled sequence is held out of training: a digest of name and sequence decides."""
-    return F.conv(F.substring(F.md5(F.concat_ws(" ", "name", "sequence")), 1, 2), 16, 10).cast("int") < HELD_OUT
-
-
-def train_scorer(labelled: DataFrame, rows: int = SAMPLE_ROWS, **options) -> tuple[models.Perceptron, dict[str, float]]:
-    """A perceptron from (name, sequence, label), and its metrics on the held-out tenth, which a digest picks."""
-    sample = labelled.select("sequence", "label", held_out().alias("held"), F.xxhash64("sequence").alias("h")).orderBy("h").limit(rows).toPandas()
-    x, y = zcurve.encode_many([s.upper() for s in sample["sequence"]]), sample["label"].to_numpy()
-    out = sample["held"].to_numpy()
-    net = models.train_perceptron(x[~out], y[~out], **options)
-    return net, models.scores_of(y[out] > 0, net.logits(x[out]) > 0)
-
-
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser("strandloom.plans.develop")
     sub = p.add_subparsers(dest="what", required=True)
@@ -91,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("-l", "--longorf", type=int, default=LONG)
     a.add_argument("-c", "--cluster", type=int, default=3)
     a.add_argument("--pca", action="store_true", help="also write the long frames' first two principal components")
-    b = sub.add_parser("train", help="train a scorer from two FASTA files")
+    b = sub.add_parser("train", help="train a scorer for each GC bin from two FASTA files")
     b.add_argument("-p", "--positive", required=True)
     b.add_argument("-n", "--negative", required=True)
     b.add_argument("-o", "--output", required=True)
@@ -107,9 +90,9 @@ def main(argv: list[str] | None = None) -> int:
             flat = predict.principal_components(labelled.where(F.col("cluster").isNotNull()))
             flat.select(*predict.ID, "cluster", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2")).write.mode("overwrite").parquet(f"{args.output}/pca")
     else:
-        net, found = train_scorer(readers.read_labelled(spark, args.positive, args.negative))
-        save_bank(spark, dict.fromkeys(range(len(gcbins.thresholds())), net), args.output)
-        print(found)
+        train_bank(readers.read_labelled(spark, args.positive, args.negative)).write.mode("overwrite").parquet(args.output)
+        for r in spark.read.parquet(args.output).orderBy("bin").collect():  # a row a bin
+            print(f"bin {r.bin} ({r.low} to {r.high}): {r.n_pos} positive, {r.n_neg} negative; held out {r.held_out}: precision {r.precision:.4f}, recall {r.recall:.4f}, F1 {r.f1:.4f}")
     return 0
 
 

@@ -91,32 +91,32 @@ def heuristic_scores(rows: DataFrame, scorers: dict[int, models.Perceptron]) ->
     return rows.withColumn("i_score", score(F.col("z"), F.col("bin")))
 
 
-def scored_orfs(scaffolds: DataFrame, table: int, min_length: int, circular: bool, scorers=None, **options) -> DataFrame:
-    """Frames with starts, gc, bin and i_score."""
-    found = cut(orfs.find_orfs(scaffolds, table, min_length, circular, with_starts=True, **options), "frames")  # read for short and for long scaffolds
-    found = orfs.with_sequence(found, scaffolds)
+def scored_frames(found: DataFrame, scaffolds: DataFrame, scorers: dict[int, models.Perceptron] | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Frames with gc, bin and i_score; those of each value of ``within`` are binned by themselves."""
+    found = orfs.with_sequence(cut(found, "frames"), scaffolds)  # read for short and for long scaffolds
     found = with_vectors(found).withColumn("gc", F.coalesce(S.gc_fraction(F.col("seq")), F.lit(0.0))).drop("seq")
-    binned = gcbins.assign_bins(cut(found, "orfs"), "gc", tuple(ID))
+    binned = gcbins.assign_bins(cut(found, "orfs"), "gc", tuple(ID), within)
     return heuristic_scores(binned, scorers or default_bank(scaffolds.sparkSession)).drop("z")
 
 
-def code_scores(scaffolds: DataFrame, score: Callable[[DataFrame, int], DataFrame] | None = None, scorers=None) -> DataFrame:
-    """code, score: the share of the bases of ATG frames that lie in frames scored above 0.6, for the codes that "auto" compares.
+def scored_orfs(scaffolds: DataFrame, table: int, min_length: int, circular: bool, scorers=None, **options) -> DataFrame:
+    """Frames with starts, gc, bin and i_score."""
+    return scored_frames(orfs.find_orfs(scaffolds, table, min_length, circular, with_starts=True, **options), scaffolds, scorers)
 
-    ``score`` adds ``s`` to frames; by default, the heuristic score.
+
+def code_scores(scaffolds: DataFrame, score: Callable[[DataFrame], DataFrame] | None = None, scorers=None) -> DataFrame:
+    """code, score: the share of the bases of ATG frames that lie in frames scored above 0.6, for the codes that "auto" compares; null without frames.
+
+    The frames of all codes come from one scan and have a column ``code``.  ``score`` adds ``s`` to them; by default, the heuristic score.
     """
-    out = None
-    for code, stops in AUTO_STOPS.items():
-        if score is None:
-            found = scored_orfs(scaffolds, code, AUTO_MIN_LENGTH, False, scorers, starts=("ATG",), stops=stops).withColumnRenamed("i_score", "s")
-        else:
-            found = score(orfs.find_orfs(scaffolds, code, AUTO_MIN_LENGTH, starts=("ATG",), stops=stops), code)
-        one = found.agg(F.lit(code).alias("code"), (F.sum(F.when(F.col("s") > UP_SCORE, F.col("len")).otherwise(0)) / F.sum("len")).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = orfs.find_orfs_by_code(scaffolds, {code: (("ATG",), stops) for code, stops in AUTO_STOPS.items()}, AUTO_MIN_LENGTH)
+    found = score(found) if score else scored_frames(found, scaffolds, scorers, ("code",)).withColumnRenamed("i_score", "s")
+    shares = found.groupBy("code").agg((F.sum(F.when(F.col("s") > UP_SCORE, F.col("len")).otherwise(0)) / F.sum("len")).alias("score"))
+    every = scaffolds.sparkSession.createDataFrame([(code,) for code in AUTO_STOPS], "code int")
+    return every.join(F.broadcast(shares), "code", "left")  # a row a code
 
 
-def choose_table(scaffolds: DataFrame, score: Callable[[DataFrame, int], DataFrame] | None = None, scorers=None) -> int:
+def choose_table(scaffolds: DataFrame, score: Callable[[DataFrame], DataFrame] | None = None, scorers=None) -> int:
     """The code of the best score (see ``code_scores``); the first of equals, and 11 if none has frames."""
     best = 11, 0.0
     for r in sorted(code_scores(scaffolds, score, scorers).collect(), key=lambda r: list(AUTO_STOPS).index(r.code)):

@@ -58,6 +58,17 @@ def exists(spark: SparkSession, path: str | None) -> bool:
     return fs.exists(at)
 
 
+def publish(df: DataFrame, path: str) -> None:
+    """Writes the table to a path that many drivers may write at once: the first whole one stays."""
+    spark = df.sparkSession
+    parent, _, name = path.rpartition("/")
+    own = f"{parent}/_{name}-{uuid.uuid4().hex}"  # not a table's folder, by its name
+    df.write.parquet(own)
+    fs, at = _at(spark, own)
+    if exists(spark, path) or not fs.rename(at, _at(spark, path)[1]):
+        fs.delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what ``cut`` has written for tables that nothing reads any more."""
     for t in tables:

@@ -1,6 +1,9 @@
+import hashlib
+
 import numpy as np
 
 from strandloom.functions import zcurve
+from strandloom.operators import gcbins, models
 from strandloom.plans import bank, develop
 from strandloom.sources import readers
 from tests.test_predict import planted
@@ -14,13 +17,77 @@ def test_label_train_and_banks(spark, tmp_path):
     develop.write_labelled(frames, table, f"file://{tmp_path}/labels")
     both = readers.read_labelled(spark, f"file://{tmp_path}/labels/positive.fna", f"file://{tmp_path}/labels/negative.fna")
     assert both.count() == frames.where("label is not null").count()
-    seqs, truth = bank.synthetic(np.random.default_rng(5), 0.45, 800)
-    for kind in (1, 0):
-        (tmp_path / f"{kind}.fa").write_text("".join(f">s{i}\n{s}\n" for i, (s, t) in enumerate(zip(seqs, truth)) if t == kind))
-    net, found = develop.train_scorer(readers.read_labelled(spark, f"file://{tmp_path}/1.fa", f"file://{tmp_path}/0.fa"), epochs=15)
-    assert found["accuracy"] > 0.85
+    assert both.select("scaffold_id").distinct().count() == both.count()
+    net = models.train_perceptron(np.random.default_rng(1).normal(size=(60, zcurve.DIM)), np.tile([0.0, 1.0], 30), epochs=1)
     bank.save_bank(spark, {3: net, 4: net}, f"file://{tmp_path}/bank")
     back = bank.load_bank(spark, f"file://{tmp_path}/bank")
     x = zcurve.encode_many(["ATGGCCTAA" * 20])
     assert set(back) == {3, 4} and np.allclose(back[3].score(x), net.score(x))
     assert set(bank.default_bank(spark)) == set(range(61))
+
+
+def labelled_frames(spark, bands=((0.36, 500), (0.60, 700)), copies=1):
+    rows = []
+    for gc, n in bands:
+        seqs, truth = bank.synthetic(np.random.default_rng(int(gc * 100)), gc, n)
+        rows += [(f"s{gc}_{i}", s, int(t)) for i, (s, t) in enumerate(zip(seqs, truth))]
+    return rows * copies, spark.createDataFrame(rows * copies, "name string, sequence string, label int").repartition(4)
+
+
+def test_a_scorer_for_each_bin(spark, tmp_path):
+    rows, table = labelled_frames(spark)
+    path = f"file://{tmp_path}/bank"
+    bank.train_bank(table, epochs=12).write.parquet(path)
+    found = {r.bin: r for r in spark.read.parquet(path).collect()}
+    assert set(found) == set(range(61)) == set(bank.load_bank(spark, path))
+    assert all(r.low <= r.bin <= r.high and min(r.n_pos, r.n_neg) >= bank.LEAST and r.held_out > 0 for r in found.values())
+    assert found[40].low > found[17].low and max(r.n_pos for r in found.values()) > bank.LEAST  # scorers of far bins learn from other frames
+    assert np.mean([r.held_out / (r.n_pos + r.n_neg + r.held_out) for r in found.values()]) < 0.2
+    assert np.average([r.accuracy for r in found.values()], weights=[r.held_out for r in found.values()]) > 0.85
+    again = {r.bin: r for r in bank.train_bank(table.repartition(3), epochs=12).collect()}
+    assert all(np.allclose(again[k].w2, r.w2) for k, r in found.items())  # whatever the partitions
+
+
+def test_reservoirs_and_borrowing_equal_a_plain_walk(spark):
+    rows, table = labelled_frames(spark, ((0.30, 60), (0.32, 90), (0.50, 40)))
+    rows += [("null", None, 1), ("none", "ATG", None), ("low", "atgcgcgcg", 0)]
+    table = table.unionByName(spark.createDataFrame(rows[-3:], table.schema))
+    limits = gcbins.thresholds()
+
+    def bin_of(s):
+        g = np.float64(np.float32(sum(c in "GC" for c in s) / len(s)))
+        return min(sum(g > t for t in limits), 60)
+
+    cut = lambda d: (d[2:], int(d[:2], 16) < bank.HELD_OUT)
+    plain = {}
+    for n, s, y in rows:
+        if s is not None and y is not None:
+            s = s.upper()
+            plain.setdefault((bin_of(s), y), []).append((*cut(hashlib.md5(f"{n} {s}".encode()).hexdigest()), s))
+    plain = {k: sorted(v)[:7] for k, v in plain.items()}
+    sample = bank.reservoirs(table, 7)
+    got = {}
+    for r in sample.collect():
+        got.setdefault((r.bin, r.label), []).append((r.h, r.held, r.sequence))
+    assert {k: sorted(v) for k, v in got.items()} == plain
+    counts = {k: sum(not held for _, held, _ in v) for k, v in plain.items()}
+    for b, low, high in bank.widths(counts, 12):
+        enough = lambda w: all(sum(n for (k, y), n in counts.items() if abs(k - b) <= w and y == label) >= 12 for label in (0, 1))
+        w = next((w for w in range(62) if enough(w)), 61)
+        assert (low, high) == (max(0, b - w), min(60, b + w))
+    for r in bank.dealt(sample, 9, 12).groupBy("target", "label").count().collect():
+        assert r["count"] <= 9
+
+
+def test_labels_of_one_kind_give_no_scorer(spark):
+    _, table = labelled_frames(spark, ((0.5, 40),))
+    assert bank.train_bank(table.where("label = 1"), epochs=1).count() == 0
+    assert bank.train_bank(table.limit(0), epochs=1).count() == 0
+
+
+def test_two_drivers_may_publish(spark, tmp_path):
+    from strandloom.session import publish
+
+    for n in (3, 5):
+        publish(spark.range(n), f"file://{tmp_path}/shared")
+    assert spark.read.parquet(f"file://{tmp_path}/shared").count() == 3 and len(list(tmp_path.iterdir())) == 1

@@ -73,7 +73,7 @@ def test_codes_are_told_apart(spark):
     gene = lambda: "ATG" + "".join(rng.choices(["GCA", "GAA", "AAA", "GGT", "TGA", "ATC"], k=200)) + "TAA"
     seq = "".join("".join(rng.choices("ACGT", k=90)) + gene() for _ in range(25))
     table = spark.createDataFrame([(0, "m", seq)], "scaffold_id long, name string, sequence string")
-    scores = {r.code: r.score for r in predict.code_scores(table, lambda found, _: found.selectExpr("*", "double(len >= 300) as s")).collect()}
+    scores = {r.code: r.score for r in predict.code_scores(table, lambda found: found.selectExpr("*", "double(len >= 300) as s")).collect()}
     assert scores[4] > scores[11]
 
 
