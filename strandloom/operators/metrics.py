@@ -1,4 +1,4 @@
-"""Aggregates over features in long form and over pairs of truth and prediction."""
+"""Aggregates over pairs of truth and prediction."""
 
 from __future__ import annotations
 
@@ -6,23 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _feature_join(cells: DataFrame, stats: DataFrame) -> DataFrame:
-    return cells.join(stats, "feature")
-
-
-def minmax_scaled(cells: DataFrame) -> DataFrame:
-    """vec_id, feature, x with ``scaled`` to [0, 1] by feature; a feature without range becomes 0."""
-    both = _feature_join(cells, cells.groupBy("feature").agg(F.min("x").alias("l"), F.max("x").alias("h")))
-    span = F.col("h") - F.col("l")
-    return both.withColumn("scaled", F.when(span < 1e-12, 0.0).otherwise((F.col("x") - F.col("l")) / span)).drop("l", "h")
-
-
-def std_scaled(cells: DataFrame) -> DataFrame:
-    """vec_id, feature, x with ``scaled`` to mean 0 and population deviation 1 by feature."""
-    both = _feature_join(cells, cells.groupBy("feature").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("d")))
-    return both.withColumn("scaled", (F.col("x") - F.col("m")) / F.when(F.col("d") < 1e-12, 1.0).otherwise(F.col("d"))).drop("m", "d")
-
-
 def _part(a: Column, b: Column) -> Column:
     return F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
 
@@ -33,9 +16,3 @@ def classifier_metrics(pairs: DataFrame, truth: str = "truth", said: str = "said
     c = pairs.agg(F.count_if(t & s).alias("tp"), F.count_if(~t & s).alias("fp"), F.count_if(t & ~s).alias("fn"), F.count_if(t == s).alias("good"), F.count(F.lit(1)).alias("n"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select("tp", "fp", "fn", _part(F.col("good"), F.col("n")).alias("accuracy"), _part(tp, tp + fp).alias("precision"), _part(tp, tp + fn).alias("recall"), _part(2 * tp, 2 * tp + fp + fn).alias("f1"))
-
-
-def kernel_gamma(cells: DataFrame) -> DataFrame:
-    """One row: half of one over features times the variance of all scaled values, the kernel's default width."""
-    found = minmax_scaled(cells).agg(F.var_pop("scaled").alias("v"), F.max("feature").alias("n"))
-    return found.select((0.5 / (F.col("n") * F.greatest(F.col("v"), F.lit(1e-9)))).alias("gamma"))

@@ -73,13 +73,14 @@ def auto_gamma(x: np.ndarray) -> float:
 
 @dataclass
 class SVM:
-    """A soft-margin classifier: support vectors, their weights (alpha times label), and the offset."""
+    """A soft-margin classifier: support vectors, their weights (alpha times label), the offset, and which of the training rows they are."""
 
     vectors: np.ndarray
     weights: np.ndarray
     offset: float
     gamma: float
     kind: str = "rbf"
+    used: np.ndarray | None = None
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         return kernel(x, self.vectors, self.kind, self.gamma) @ self.weights - self.offset
@@ -126,7 +127,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float | np.ndarray = 100.0, gamma
         low = value[np.where(y > 0, alpha > 0, alpha < bound)].min(initial=np.inf)
         offset = -(top + low) / 2 if math.isfinite(top) and math.isfinite(low) else 0.0
     used = alpha > 1e-12
-    return SVM(x[used], (alpha * y)[used], offset, gamma, kind)
+    return SVM(x[used], (alpha * y)[used], offset, gamma, kind, np.flatnonzero(used))
 
 
 @dataclass

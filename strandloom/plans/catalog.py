@@ -9,12 +9,13 @@ from collections.abc import Callable
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import codes, zcurve
 from strandloom.functions import sequence as S
-from strandloom.operators import gcbins, genes, metrics, models, orfs, overlap, tis
+from strandloom.operators import gcbins, genes, kmeans, metrics, models, orfs, overlap, svm, tis
 from strandloom.plans import bank, develop, predict
 from strandloom.plans.bank import default_bank, save_bank
 from strandloom.plans.oracle import query
@@ -403,19 +404,30 @@ def q33_train_labels(spark, sf_dir):
 VECTOR_SQL = {"cells": "SELECT vec_id, i::BIGINT AS feature, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"}
 
 
-def _cells(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    return rows.select("vec_id", (F.col("i") + 1).alias("feature"), F.col("x").cast("double").alias("x"))
+def _vectors(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("z"))
+
+
+def _scaled_cells(rows, scale):
+    """vec_id, feature, scaled: vectors by a scaler of the engine, in long form."""
+
+    @F.pandas_udf("array<double>")
+    def run(z: pd.Series) -> pd.Series:
+        return pd.Series(list(scale.apply(np.stack(z.to_numpy()))) if len(z) else [], dtype=object)
+
+    return rows.select("vec_id", F.posexplode(run("z")).alias("i", "x")).select("vec_id", (F.col("i") + 1).alias("feature"), F.round("x", 6).alias("scaled"))
 
 
 @registered(query("SELECT vec_id, feature, round(CASE WHEN h - l < 1e-12 THEN 0 ELSE (x - l) / (h - l) END, 6) AS scaled FROM cells JOIN (SELECT feature, min(x) AS l, max(x) AS h FROM cells GROUP BY feature) USING (feature)", more=VECTOR_SQL))
 def q34_minmax_scale(spark, sf_dir):
-    return metrics.minmax_scaled(_cells(spark, sf_dir)).select("vec_id", "feature", F.round("scaled", 6).alias("scaled"))
+    rows = _vectors(spark, sf_dir)
+    return _scaled_cells(rows, svm.value_range(rows, 64))
 
 
 @registered(query("SELECT vec_id, feature, round((x - m) / CASE WHEN d < 1e-12 THEN 1 ELSE d END, 6) AS scaled FROM cells JOIN (SELECT feature, avg(x) AS m, stddev_pop(x) AS d FROM cells GROUP BY feature) USING (feature)", more=VECTOR_SQL))
 def q35_std_scale(spark, sf_dir):
-    return metrics.std_scaled(_cells(spark, sf_dir)).select("vec_id", "feature", F.round("scaled", 6).alias("scaled"))
+    rows = _vectors(spark, sf_dir)
+    return _scaled_cells(rows, svm.standard(rows, 64))
 
 
 AUTO_STOPS = predict.AUTO_STOPS
@@ -460,7 +472,34 @@ def q39_score_blend(spark, sf_dir):
     return out.where(F.col("score") > predict.THRESHOLD).select(*KEY, F.round("score", 6).alias("score"))
 
 
-@registered()
+def _kmeans_sql(k: int = 3) -> dict[str, str]:
+    """Z-curve vectors of long frames in long form, scaled to integers, and k-means by plain distances, a pair of expressions a round."""
+    parts, at = {"chosen": "SELECT *, row_number() OVER () AS row_id FROM orfseqs WHERE len >= 300"}, 0
+    cells = []
+    for order in range(3):
+        names = ", ".join(f"('{c}', {i})" for i, c in enumerate(map("".join, product("AGCT", repeat=order))))
+        for a, axis in enumerate(codes.Z_AXES.values()):
+            # a feature for each place in the codon, context and axis, in this order
+            cells.append(f"SELECT row_id, (1 + {at} + ((i % 3) * {4**order} + no) * 3 + {a})::INT AS feature, sum(CASE WHEN substr(seq, i + {order + 1}, 1) IN ({', '.join(map(repr, axis))}) THEN 1 ELSE -1 END) * 3 / any_value(length(seq)) AS v FROM (SELECT row_id, seq, unnest(range(0, length(seq) - {order})) AS i FROM chosen) JOIN (VALUES {names}) c(context, no) ON context = substr(seq, i + 1, {order}) GROUP BY row_id, feature")
+        at += 9 * 4**order
+    parts["zcells"] = f"SELECT row_id, feature, coalesce(v, 0) AS v FROM (SELECT row_id FROM chosen) CROSS JOIN range(1, {at + 1}) f(feature) LEFT JOIN ({' UNION ALL '.join(cells)}) USING (row_id, feature)"
+    parts["fixed"] = f"SELECT row_id, feature, floor(CASE WHEN h - l < 1e-12 THEN 0 ELSE (v - l) / (h - l) END * {2**kmeans.BITS} + 0.5)::BIGINT AS v FROM zcells JOIN (SELECT feature, min(v) AS l, max(v) AS h FROM zcells GROUP BY feature) USING (feature)"
+    parts["points"] = "SELECT row_id, list(v ORDER BY feature) AS v, (('0x' || substr(md5(any_value(concat_ws('_', scaffold_id, strand, phase, \"end\"))), 1, 13))::BIGINT + 1) / 2.0 ** 52 AS u FROM fixed JOIN chosen USING (row_id) GROUP BY row_id"
+    apart = "list_distance(p.v::DOUBLE[], c.v::DOUBLE[])"
+    parts["c0_1"] = "SELECT 0 AS cluster, v FROM points ORDER BY u, v LIMIT 1"
+    for j in range(1, k):
+        parts[f"c0_{j + 1}"] = f"SELECT * FROM c0_{j} UNION ALL (SELECT {j}, v FROM (SELECT p.v, p.u, min(round({apart} ** 2)) AS d FROM points p, c0_{j} c GROUP BY p.row_id, p.v, p.u) WHERE d > 0 ORDER BY -ln(u) / d, u, v LIMIT 1)"
+    before = f"c0_{k}"
+    for r in range(kmeans.ROUNDS + 1):
+        parts[f"a{r}"] = f"SELECT row_id, arg_min(cluster, (d, cluster)) AS cluster FROM (SELECT p.row_id, c.cluster, round({apart} ** 2) AS d FROM points p, {before} c) GROUP BY row_id"
+        if r < kmeans.ROUNDS:
+            parts[f"c{r + 1}"] = f"SELECT c.cluster, coalesce(m.v, c.v) AS v FROM {before} c LEFT JOIN (SELECT cluster, list(s // n ORDER BY feature) AS v FROM (SELECT cluster, feature, sum(f.v)::BIGINT AS s, count(*) AS n FROM fixed f JOIN a{r} USING (row_id) GROUP BY cluster, feature) GROUP BY cluster) m USING (cluster)"
+            before = f"c{r + 1}"
+    parts["means"] = f"SELECT cluster, count(*) AS n, avg(len) AS m FROM a{kmeans.ROUNDS} JOIN chosen USING (row_id) GROUP BY cluster"
+    return parts
+
+
+@registered(query("SELECT cluster::BIGINT AS cluster, n, round(m, 3) AS mean_len, cluster = (SELECT arg_min(cluster, (-m, cluster)) FROM means) AS positive FROM means", "orfseqs", more=_kmeans_sql(), once=True))
 def q40_kmeans_label(spark, sf_dir):
     labelled = predict.kmeans_labels(predict.with_vectors(sequenced(spark, sf_dir).where("len >= 300")))
     return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("len"), 3).alias("mean_len"), F.max("positive").alias("positive"))
@@ -690,7 +729,8 @@ def q61_long_frames(spark, sf_dir):
 
 @registered(query("SELECT round(0.5 / (max(feature) * var_pop(scaled)), 6) AS gamma FROM (SELECT feature, CASE WHEN h - l < 1e-12 THEN 0 ELSE (x - l) / (h - l) END AS scaled FROM cells JOIN (SELECT feature, min(x) AS l, max(x) AS h FROM cells GROUP BY feature) USING (feature))", more=VECTOR_SQL))
 def q62_kernel_gamma(spark, sf_dir):
-    return metrics.kernel_gamma(_cells(spark, sf_dir)).select(F.round("gamma", 6).alias("gamma"))
+    rows = _vectors(spark, sf_dir)
+    return spark.createDataFrame([(round(svm.auto_gamma(rows, 64, svm.value_range(rows, 64)), 6),)], "gamma double")
 
 
 @registered(query(f"SELECT held, count(*) AS n FROM (SELECT ('0x' || substr(md5(concat(name, ' ', sequence)), 1, 2))::INT < {bank.HELD_OUT} AS held FROM scaffolds) GROUP BY held", "scaffolds"))

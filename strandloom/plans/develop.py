@@ -9,7 +9,6 @@ from __future__ import annotations
 import argparse
 import sys
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +21,6 @@ from strandloom.sources import readers, writers
 
 LONG = 300
 PATIENCE = 72
-#: At most so many frames, the first by digest, are held by the driver for self-training.
-SAMPLE_ROWS = 4_000
 
 
 def whole_frames(scaffolds: DataFrame, table: int = 11, min_length: int = orfs.MIN_LENGTH) -> DataFrame:
@@ -35,20 +32,15 @@ def label_frames(scaffolds: DataFrame, table: int = 11, min_length: int = orfs.M
     """Frames with ``label`` 1 or -1 (null: undecided) and ``cluster`` (null for short ones).
 
     Long frames are clustered by their vectors, the cluster of the longest mean is positive, and a classifier is trained
-    again and again on its own labels of a bounded sample; it then labels all frames.
+    again and again on its own labels of all long frames; it then labels all frames.
     """
     found = cut(predict.with_vectors(orfs.with_sequence(whole_frames(scaffolds, table, min_length), scaffolds)), "frames")
     labelled = cut(predict.kmeans_labels(found.where(F.col("len") >= long), clusters), "clusters")
-    sample = labelled.orderBy(F.xxhash64(*predict.ID)).limit(SAMPLE_ROWS).select("z", "positive").toPandas()
-    if not len(sample) or sample["positive"].nunique() < 2:
+    trained = predict.self_train(labelled)
+    if trained is None:
         raise ValueError(f"too few frames of at least {long} bases")
-    z = np.stack(sample["z"].to_numpy())
-    pos, neg = predict.self_train(z, sample["positive"].to_numpy())
-    rows, y = np.concatenate((pos, neg)), np.concatenate((np.ones(len(pos)), -np.ones(len(neg))))
-    scale = models.Standard.fit(z[rows])
-    weight = len(rows) / 2 / np.where(y > 0, max(1, len(pos)), max(1, len(neg)))
-    svm = models.train_svm(scale.apply(z[rows]), y, weight)
-    score = models.applied(lambda x: svm.probability(scale.apply(x)), F.col("z"))
+    scale, machine = trained
+    score = models.applied(lambda x: machine.probability(scale.apply(x)), F.col("z"))
     out = found.withColumn("score", score).withColumn("label", F.when(F.col("score") > 0.7, 1).when(F.col("score") <= 0.31, -1))
     return out.join(labelled.select(*predict.ID, "cluster"), predict.ID, "left")
 

@@ -43,8 +43,8 @@ NEEDS = {
 ONCE = {"scaffolds", "strands", "orfs", "orfseqs", "genes", "numbered", "amino", "binned", "pairs", "overprints", "proteins"}
 
 
-def query(body: str, *names: str, more: dict[str, str] | None = None, **options) -> str:
-    """A SELECT with the expressions that it names, and ``more`` after them."""
+def query(body: str, *names: str, more: dict[str, str] | None = None, once: bool = False, **options) -> str:
+    """A SELECT with the expressions that it names, and ``more`` after them; ``once``: all are made once and kept."""
     wanted: list[str] = []
 
     def add(name: str) -> None:
@@ -57,4 +57,4 @@ def query(body: str, *names: str, more: dict[str, str] | None = None, **options)
         add(n)
     parts = ctes(**options)
     listed = [(n, parts[n]) for n in wanted] + list((more or {}).items())
-    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({sql})" for n, sql in listed) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if once or n in ONCE else ''}({sql})" for n, sql in listed) + "\n" + body

@@ -17,15 +17,13 @@ from pyspark.sql import types as T
 
 from strandloom.functions import codes, zcurve
 from strandloom.functions import sequence as S
-from strandloom.operators import gcbins, genes, models, orfs, overlap, tis
+from strandloom.operators import gcbins, genes, kmeans, models, orfs, overlap, svm, tis
 from strandloom.plans.bank import default_bank, load_bank
-from strandloom.session import cut, exists
+from strandloom.session import cut, discard, exists
 
 THRESHOLD = 0.499
 UP_SCORE, LOW_SCORE, LEAST_SCORE = 0.6, 0.05, 1e-6
 MIN_SEEDS = 3
-#: At most so many labelled frames train the classifier, the first by digest.
-TRAIN_ROWS = 4_000
 # The codes that "auto" compares, in order of preference, and their stop codons.
 AUTO_STOPS = {11: ("TAA", "TAG", "TGA"), 4: ("TAA", "TAG"), 16: ("TAA", "TGA")}
 AUTO_MIN_LENGTH = 75
@@ -131,31 +129,27 @@ def train_labels(rows: DataFrame, score: str = "i_score") -> DataFrame:
     return rows.withColumn("label", F.when(s > UP_SCORE, 1).when((s < LOW_SCORE) & (s > LEAST_SCORE), -1))
 
 
-def train_classifier(rows: DataFrame) -> tuple[models.MinMax, models.SVM, float] | None:
-    """Scaler, classifier and score weight from ``z`` and ``i_score``; None if a class has too few frames.
-
-    Trains on at most TRAIN_ROWS labelled frames, the first of a digest's order, so that the driver's part is bounded.
-    """
-    labelled = train_labels(rows).where("label is not null").select("label", "z", F.xxhash64(*ID).alias("h"))
+def train_classifier(rows: DataFrame) -> tuple[models.MinMax, models.SVM | svm.Fourier, float] | None:
+    """Scaler, classifier and score weight from ``z`` and ``i_score`` of all labelled frames; None if a class has too few."""
+    labelled = train_labels(rows).where("label is not null").select("label", "z")
     counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     n_pos, n_neg = counts.get(1, 0), counts.get(-1, 0)
     if not models.trainable(n_pos, n_neg):
         return None
-    sample = labelled.orderBy("h").limit(TRAIN_ROWS).select("label", "z").toPandas()
-    x, y = np.stack(sample["z"].to_numpy()), sample["label"].to_numpy()
-    scale = models.MinMax.fit(x)
-    x = scale.apply(x)
-    return scale, models.train_svm(x, y, 100.0), models.class_weight(n_pos, n_neg)
+    return *svm.fit(labelled), models.class_weight(n_pos, n_neg)
 
 
-def save_classifier(spark, path: str, scale: models.MinMax, svm: models.SVM) -> None:
-    row = (scale.low.tolist(), scale.high.tolist(), float(svm.gamma), float(svm.offset), svm.vectors.tolist(), svm.weights.tolist())
+def save_classifier(spark, path: str, scale: models.MinMax, machine: models.SVM | svm.Fourier) -> None:
+    """A row; random features are saved without support vectors, as gamma and weights."""
+    exact = isinstance(machine, models.SVM)
+    row = (scale.low.tolist(), scale.high.tolist(), float(machine.gamma), float(machine.offset) if exact else 0.0, machine.vectors.tolist() if exact else [], machine.weights.tolist())
     spark.createDataFrame([row], "mins array<double>, maxs array<double>, gamma double, rho double, sv array<array<double>>, coef array<double>").write.mode("overwrite").parquet(path)
 
 
-def load_classifier(spark, path: str) -> tuple[models.MinMax, models.SVM]:
+def load_classifier(spark, path: str) -> tuple[models.MinMax, models.SVM | svm.Fourier]:
     r = spark.read.parquet(path).first()
-    return models.MinMax(np.array(r.mins), np.array(r.maxs)), models.SVM(np.array(r.sv), np.array(r.coef), r.rho, r.gamma)
+    machine = models.SVM(np.array(r.sv), np.array(r.coef), r.rho, r.gamma) if r.sv else svm.Fourier(r.gamma, np.array(r.coef))
+    return models.MinMax(np.array(r.mins), np.array(r.maxs)), machine
 
 
 def save_starts(logs: DataFrame, params: tis.AlterParams, path: str) -> None:
@@ -225,8 +219,8 @@ def predict(scaffolds: DataFrame, options: Options | None = None, scorers: dict[
             if options.cds_model:
                 save_classifier(spark, options.cds_model, *trained)
         if trained:
-            scale, svm = trained
-            found = vectors.withColumn("d_score", models.applied(lambda x: svm.probability(scale.apply(x)), F.col("z"))).drop("z")
+            scale, machine = trained
+            found = vectors.withColumn("d_score", models.applied(lambda x: machine.probability(scale.apply(x)), F.col("z"))).drop("z")
         else:
             found = vectors.drop("z").withColumn("d_score", F.lit(0.0))
     found = found.withColumn("score", S.blend(F.col("i_score"), F.lit(float(weight)), F.col("d_score"))).where(F.col("score") > options.threshold)
@@ -234,18 +228,15 @@ def predict(scaffolds: DataFrame, options: Options | None = None, scorers: dict[
     return genes.with_coordinates(named).select("scaffold_id", "name", "host_len", "strand", "phase", "t_start", "end", "len", "partial5", "partial3", "i_score", "d_score", "score", "start", "stop")
 
 
-def kmeans_labels(rows: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+def kmeans_labels(rows: DataFrame, k: int = 3) -> DataFrame:
     """Adds ``cluster`` of the min-max scaled vectors, and ``positive``: whether it is the cluster of the longest mean length."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import MinMaxScaler
-    from pyspark.ml.functions import array_to_vector
-
-    data = cut(rows, "kmeans").withColumn("v", array_to_vector("z"))
-    scaled = MinMaxScaler(inputCol="v", outputCol="s").fit(data).transform(data)
-    model = KMeans(k=k, seed=seed, featuresCol="s", predictionCol="cluster").fit(scaled)
-    out = model.transform(scaled).drop("v", "s")
+    data = cut(rows, "kmeans")
+    fitted = kmeans.fit(data, k, tuple(ID))
+    if fitted is None:
+        return data.withColumn("cluster", F.lit(0)).withColumn("positive", F.lit(False))
+    out = data.withColumn("cluster", kmeans.assigned(F.col("z"), *fitted))
     means = out.groupBy("cluster").agg(F.avg("len").alias("m")).collect()  # k rows
-    best = max(means, key=lambda r: (r.m, -r.cluster)).cluster if means else -1
+    best = max(means, key=lambda r: (r.m, -r.cluster)).cluster
     return out.withColumn("positive", F.col("cluster") == best)
 
 
@@ -259,28 +250,27 @@ def principal_components(rows: DataFrame, k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="c", outputCol="p").fit(centred).transform(centred).withColumn("pc", vector_to_array("p")).drop("v", "c", "p")
 
 
-def self_train(z: np.ndarray, positive: np.ndarray, max_iter: int = 20, high: float = 0.7, low: float = 0.31, ratio: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
-    """Rows labelled positive and negative by a classifier trained again and again on its own labels.
+def self_train(rows: DataFrame, max_iter: int = 20, high: float = 0.7, low: float = 0.31, ratio: float = 8.0) -> tuple[models.Standard, models.SVM | svm.Fourier]:
+    """Scaler and classifier trained again and again on its own labels of all rows.
 
-    ``z``: a bounded sample of vectors; ``positive``: the first labels.  Stops when negatives outnumber positives ``ratio``
-    to one, or a class is gone.
+    rows: ``z`` and ``positive``, the first labels.  A round trains on the labelled rows, scores all rows in a narrow pass and writes their new labels: 1 above ``high``,
+    -1 up to ``low``.  It ends when negatives outnumber positives ``ratio`` to one, or a class is gone.
     """
-    pos, neg = np.flatnonzero(positive), np.flatnonzero(~positive)
+    state = cut(rows.select(F.when(F.col("positive"), 1).otherwise(-1).alias("label"), "z"), "self-labels")
+    found = None
     for k in range(max_iter + 1):
-        rows = np.concatenate((pos, neg))
-        y = np.concatenate((np.ones(len(pos)), -np.ones(len(neg))))
-        scale = models.Standard.fit(z[rows])
-        x = scale.apply(z[rows])
-        balanced = len(rows) / 2 / np.where(y > 0, max(1, len(pos)), max(1, len(neg)))
-        svm = models.train_svm(x, y, 10.0 if k == 0 else balanced, 1.0 / (x.shape[1] * max(x.var(), 1e-9)))
-        score = svm.probability(scale.apply(z))
-        up, down = np.flatnonzero(score > high), np.flatnonzero(score <= low)
-        if not len(up) or not len(down):
+        fitted = svm.fit(state, scale="standard", cost=1.0 if k else 10.0, balanced=k > 0, gamma="scale")
+        if fitted is None:
             break
-        pos, neg = up, down
-        if k and len(neg) / len(pos) >= ratio:
+        found = scale, machine = fitted
+        score = models.applied(lambda x, s=scale, m=machine: m.probability(s.apply(x)), F.col("z"))
+        old, state = state, cut(state.select(score.alias("s"), "z").select(F.when(F.col("s") > high, 1).when(F.col("s") <= low, -1).alias("label"), "z"), "self-labels")
+        discard(old)
+        n = {r.label: r["count"] for r in state.groupBy("label").count().collect()}
+        if not n.get(1) or not n.get(-1) or (k and n[-1] / n[1] >= ratio):
             break
-    return pos, neg
+    discard(state)
+    return found
 
 
 def toy_centres(n: int, dim: int) -> np.ndarray:

@@ -84,15 +84,14 @@ def test_options_are_checked():
 
 
 def test_labelling(spark, genome):
-    rng = np.random.default_rng(2)
-    z = np.concatenate((rng.normal(0, 1, (80, 6)), rng.normal(3, 1, (80, 6))))
-    pos, neg = predict.self_train(z, np.arange(160) >= 70)
-    assert (pos >= 80).mean() > 0.95 and (neg < 80).mean() > 0.95
     assert models.class_weight(0, 5) == 1.0 and models.class_weight(1, 100) < 1
     table, _ = genome
     rows = predict.with_vectors(predict.orfs.with_sequence(predict.orfs.find_orfs(table, min_length=300), table))
     labelled = predict.kmeans_labels(rows)
     assert labelled.where("positive").count() > 0
+    again = predict.kmeans_labels(rows.repartition(7))  # the rows alone decide
+    assert sorted(labelled.select(*predict.ID, "cluster").collect()) == sorted(again.select(*predict.ID, "cluster").collect())
+    assert predict.kmeans_labels(rows.limit(0)).count() == 0 and predict.kmeans_labels(rows.limit(2)).select("cluster").distinct().count() == 2
     assert len(predict.principal_components(rows).first().pc) == 2
 
 
