@@ -76,7 +76,12 @@ def secrets_sql() -> str:
     base = " UNION ALL ".join(f"SELECT doc_id, rank, s.start AS a, s.start + s.n AS b FROM ({spans(p, g, least, r)}) WHERE s.keep" for r, (_, p, g, least) in enumerate(secrets.BASE))
     kinds = "[" + ", ".join(map(quoted, secrets.KINDS)) + "]"
     listed = f"coalesce(string_agg(concat({kinds}[rank + 1], ':', a::BIGINT, ':', b::BIGINT), ',' ORDER BY a, rank, b), '')"
-    return f"""WITH ordinary AS (SELECT token, false AS random FROM (VALUES {ordinary}) t(token)),
+    two = lambda times, base, first=0: f"lpad(({first} + i * {times} % {base})::VARCHAR, 2, '0')"
+    year, month, day, time = "(1990 + i % 40)", two(1, 12, 1), two(7, 28, 1), [two(5, 24), two(11, 60), two(13, 60)]
+    named = f"[concat({year}, '-', {month}, '-', {day}, 'T', concat_ws('-', {', '.join(time)}), 'Z'), concat_ws('/', w, {year}, {month}, {day}), concat_ws('-', w, {year}, lpad((i * 37)::VARCHAR, 6, '0')), concat(w, '_', {year}, {month}, {day}, '_', {', '.join(time)})]"
+    return f"""WITH words AS (SELECT token, row_number() OVER () - 1 AS no FROM (VALUES {ordinary}) t(token)),
+ordinary AS (SELECT unnest(list_distinct([token, upper(regexp_replace(token, '([a-z])([A-Z])', '\\1_\\2', 'g'))])) AS token, false AS random FROM words
+ UNION ALL SELECT unnest({named}), false FROM (SELECT i, lower(token) AS w FROM range(1, {secrets.N_DATED + 1}) r(i) JOIN words ON no = i % {len(secrets.ORDINARY)})),
 digests AS (SELECT sha256(id::VARCHAR) AS h FROM range(1, {secrets.N_RANDOM + 1}) r(id)),
 plain AS (SELECT h, replace(to_base64(unhex(h)), '=', '') AS b FROM digests),
 sample AS (SELECT * FROM ordinary UNION ALL SELECT unnest([h, b, upper(regexp_replace(b, '[+/]', '', 'g'))]), true FROM plain),

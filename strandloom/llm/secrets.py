@@ -40,6 +40,8 @@ MIN_RUN = 16
 MIN_SUM, MIN_MEAN = 10_000, 600
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 N_RANDOM = 2_000
+#: Names with dates and numbers among the ordinary samples, of four forms each.
+N_DATED = 150
 #: Weight, in pairs, of a character's share of all pairs against its share after the one before.
 BACK_OFF = 4.0
 _SPAN = "struct<start:bigint,rank:int,end:bigint>"
@@ -70,9 +72,20 @@ cuarenta mientras siempre entonces tambien nosotros vosotros trabajadores profes
 """.split()
 
 
-def samples(spark: SparkSession, n_random: int = N_RANDOM) -> DataFrame:
-    """token, is_random: ``ORDINARY``, and hexadecimal, base-64 and upper-case strings made of digests of 1, 2, ..., n_random."""
-    ordinary = spark.createDataFrame([(x,) for x in ORDINARY], "token string").select("token", F.lit(False).alias("is_random"))
+def samples(spark: SparkSession, n_random: int = N_RANDOM, n_dated: int = N_DATED) -> DataFrame:
+    """token, is_random: ``ORDINARY`` as written and in capitals (words apart by _), times, and names with dates or numbers; and hexadecimal, base-64 and upper-case strings made of digests of 1, 2, ..., n_random."""
+    words = spark.createDataFrame([(x,) for x in ORDINARY], "token string")
+    capitals = F.upper(F.regexp_replace("token", "([a-z])([A-Z])", "$1_$2"))
+    written = words.select(F.explode(F.array_distinct(F.array("token", capitals))).alias("token"))
+    i = F.col("id")
+    two = lambda times, base, first=0: F.lpad((first + i * times % base).cast("string"), 2, "0")
+    year, month, day, hour, minute, second = (1990 + i % 40).cast("string"), two(1, 12, 1), two(7, 28, 1), two(5, 24), two(11, 60), two(13, 60)
+    word = F.lower(F.lit(ORDINARY)[(i % len(ORDINARY)).cast("int")])
+    named = F.array(
+        F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit("T"), hour, F.lit("-"), minute, F.lit("-"), second, F.lit("Z")), F.concat_ws("/", word, year, month, day),
+        F.concat_ws("-", word, year, F.lpad((i * 37).cast("string"), 6, "0")), F.concat(word, F.lit("_"), year, month, day, F.lit("_"), hour, minute, second),
+    )
+    ordinary = written.unionByName(spark.range(1, n_dated + 1).select(F.explode(named).alias("token"))).select("token", F.lit(False).alias("is_random"))
     hexed = F.sha2(F.col("id").cast("string"), 256)
     plain = F.regexp_replace(F.base64(F.unhex(hexed)), "=", "")
     forms = F.array(hexed, plain, F.upper(F.regexp_replace(plain, "[+/]", "")))
