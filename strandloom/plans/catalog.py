@@ -576,15 +576,21 @@ def q45_perceptron(spark, sf_dir):
     return rows.select(*KEY, F.round(models.applied(_toy_net(0).score, F.col("z")), 6).alias("score"))
 
 
-def _bank_sql() -> str:
+def _scored_parts() -> dict[str, str]:
     below = " + ".join(f"(g::FLOAT::DOUBLE > {t!r})::INT" for t in gcbins.thresholds())
-    parts = _wave_sql() | {
+    return _wave_sql() | {
         "gcs": "SELECT *, (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) AS g FROM orfseqs",
         "wanted": f'SELECT *, row_number() OVER (ORDER BY g, scaffold_id, strand, phase, "end") - 1 AS i, {below} AS b FROM gcs',
         "binned": "SELECT *, i + least(1, min(b - i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)) AS bin FROM wanted",
         "scored": f"SELECT *, CASE WHEN bin > 60 THEN 0 ELSE 1 / (1 + exp(-((2.0 + 0.1 * (bin % 3)) * r0 - 1.6 * r1 + 0.1 * (bin % 5 - 2)) / 2)) END AS s FROM binned JOIN hidden USING ({KEY_SQL})",
     }
-    return query("SELECT concat('doc_', scaffold_id) AS name, CASE WHEN strand = '+' THEN t_start + 1 ELSE host_len - \"end\" + 1 END AS start, CASE WHEN strand = '+' THEN \"end\" ELSE host_len - t_start END AS stop, strand, round(least(1.5 * s, 1), 6) AS score FROM scored WHERE least(1.5 * s, 1) > 0.499", "orfseqs", more=parts)
+
+
+SCORED_SQL = _scored_parts()
+
+
+def _bank_sql() -> str:
+    return query("SELECT concat('doc_', scaffold_id) AS name, CASE WHEN strand = '+' THEN t_start + 1 ELSE host_len - \"end\" + 1 END AS start, CASE WHEN strand = '+' THEN \"end\" ELSE host_len - t_start END AS stop, strand, round(least(1.5 * s, 1), 6) AS score FROM scored WHERE least(1.5 * s, 1) > 0.499", "orfseqs", more=SCORED_SQL)
 
 
 @registered(_bank_sql())
@@ -813,3 +819,46 @@ def q69_bank_train(spark, sf_dir):
     path = new_path(spark, "trained-bank")
     bank.train_bank(_framed(spark, sf_dir), BANK_ROWS, BANK_LEAST, epochs=10).write.parquet(path)
     return spark.read.parquet(path).select("bin", "low", "high", "n_pos", "n_neg", "held_out")
+
+
+TOY_SCALE = models.MinMax(-np.ones(zcurve.DIM), np.ones(zcurve.DIM))
+TOY_MACHINE = models.SVM(np.round(0.5 + 4 * predict.toy_centres(3, zcurve.DIM), 6), np.array([50.0, -40.0, 30.0]), 33.92, 0.02)
+
+
+def _single_sql() -> str:
+    """Scores of the bank, revised starts, and the classifier on the vectors of the revised frames."""
+    parts = {}
+    for more in (SCORED_SQL, REVISED_SQL):
+        parts |= more
+    parts["moved"] = f'SELECT scaffold_id, strand, phase, host_len, coalesce(st, t_start) AS t2, "end", len - (coalesce(st, t_start) - t_start) AS len2, s FROM orfs LEFT JOIN best USING ({KEY_SQL}) JOIN (SELECT {KEY_SQL}, s FROM scored) USING ({KEY_SQL})'
+    parts["movedseqs"] = "SELECT row_number() OVER () AS row_id, m.*, substr(h.seq, t2 + 1, len2) AS seq FROM moved m JOIN strands h USING (scaffold_id, strand)"
+    weights, rows, at = TOY_MACHINE.vectors, [], 0
+    for order in range(3):
+        for phase in range(3):
+            for context in map("".join, product("AGCT", repeat=order)):
+                for a in range(3):
+                    rows.append(f"({order}, {phase}, '{context}', {a}, " + ", ".join(f"{float(w[at])!r}" for w in weights) + ")")
+                    at += 1
+    n = len(weights)
+    parts["centres"] = f"SELECT * FROM (VALUES {', '.join(rows)}) t(ord, phase_in, context, axis, {', '.join(f'w{j}' for j in range(n))})"
+    steps = ", ".join(f"sum(CASE WHEN b IN ({', '.join(map(repr, axis))}) THEN 1 ELSE -1 END) * 3.0 / any_value(size) AS v{a}" for a, axis in enumerate(codes.Z_AXES.values()))
+    parts["sites"] = "SELECT row_id, ord, (i % 3)::INT AS phase_in, substr(seq, i + 1, ord) AS context, substr(seq, i + ord + 1, 1) AS b, length(seq) AS size FROM (SELECT row_id, seq, ord, unnest(range(0, length(seq) - ord)) AS i FROM movedseqs, (VALUES (0::BIGINT), (1), (2)) o(ord))"
+    parts["sums"] = f"SELECT row_id, ord, phase_in, context, {steps} FROM sites GROUP BY row_id, ord, phase_in, context"
+    parts["cells"] = "SELECT row_id, ord, phase_in, context, unnest([0, 1, 2]) AS axis, unnest([v0, v1, v2]) AS v FROM sums"
+    # features that a frame does not have lie at 0, which scaling makes a half
+    parts["near"] = f"SELECT row_id, " + ", ".join(f"(SELECT sum((0.5 - w{j}) ** 2) FROM centres) + sum(((v + 1) / 2 - w{j}) ** 2 - (0.5 - w{j}) ** 2) AS d{j}" for j in range(n)) + " FROM cells JOIN centres USING (ord, phase_in, context, axis) GROUP BY row_id"
+    decision = " + ".join(f"{float(w)!r} * exp(-{TOY_MACHINE.gamma} * d{j})" for j, w in enumerate(TOY_MACHINE.weights))
+    parts["judged"] = f"SELECT *, least(greatest(s, 1 / (1 + exp(-({decision} - {TOY_MACHINE.offset})))), 1) AS score FROM movedseqs JOIN near USING (row_id)"
+    body = "SELECT concat('doc_', scaffold_id) AS name, CASE WHEN strand = '+' THEN t2 + 1 ELSE host_len - \"end\" + 1 END AS start, CASE WHEN strand = '+' THEN \"end\" ELSE host_len - t2 END AS stop, strand, round(score, 6) AS score FROM judged WHERE score > 0.499"
+    return query(body, "orfseqs", "strands", more=parts, once=True)
+
+
+@registered(_single_sql())
+def q70_single_predict_saved(spark, sf_dir):
+    """Single-genome mode from end to end by a bank, a start profile and a classifier that are saved and loaded."""
+    bank_path, starts_path, machine_path = new_path(spark, "bank"), new_path(spark, "starts"), new_path(spark, "classifier")
+    save_bank(spark, {k: _toy_net(k) for k in range(gcbins.N_BINS - 1)}, bank_path)
+    predict.save_starts(tis.profile_logs(tis.profile_counts(_windows(spark, sf_dir), 2), 2), TOY, starts_path)
+    predict.save_classifier(spark, machine_path, TOY_SCALE, TOY_MACHINE)
+    found = predict.predict(stored(spark, sf_dir), predict.Options(models=bank_path, tis_model=starts_path, cds_model=machine_path))
+    return found.select("name", "start", "stop", "strand", F.round("score", 6).alias("score"))
