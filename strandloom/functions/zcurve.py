@@ -111,22 +111,6 @@ def _axis_sign(base: Column, axis: str) -> Column:
     return F.when(base.isin(*codes.Z_AXES[axis]), 1).when(base.isin("A", "C", "G", "T"), -1).otherwise(0)
 
 
-def with_mono(rows: DataFrame, seq: str = "seq", compat: bool = False) -> DataFrame:
-    """Adds ``z``, an array of the nine mononucleotide values (phase, axis), by built-in expressions only."""
-    thirds = [F.regexp_replace(F.substring(F.col(seq), F.lit(p + 1), F.length(seq)), "(?s)(.).{0,2}", "$1").alias(f"__t{p}") for p in range(3)]
-    rows = rows.select("*", *thirds, (~F.col(seq).rlike("[^ACGTUacgtu]")).alias("__clean"))
-    values = []
-    for p in range(3):
-        own = F.col(f"__t{p}")
-        for a, axis in enumerate(codes.Z_AXES):
-            minus = "".join(b + b.lower() + ("Uu" if b == "T" else "") for b in "ACGT" if b not in codes.Z_AXES[axis])
-            fast = 2 * F.length(F.translate(own, minus, "")) - F.length(own)
-            steps = F.create_map(*[F.lit(x) for s in codes.MEANS for x in (s, float(codes.z_coordinates(s, compat)[a]))])
-            slow = F.aggregate(F.split(F.upper(own), ""), F.lit(0.0), lambda t, b: t + F.coalesce(steps[b], F.lit(0.0)))  # noqa: B023
-            values.append(F.when(F.col("__clean"), fast.cast("double")).otherwise(slow) * 3.0 / F.greatest(F.length(seq), F.lit(1)))
-    return rows.withColumn("z", F.array(*values)).drop("__t0", "__t1", "__t2", "__clean")
-
-
 def mono_sums(seqs: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """keys, len and the nine integer sums zx0, zy0, zz0, zx1, ... of A, C, G, T sequences, by built-in expressions only."""
     out = seqs.select(*keys, F.length(seq).alias("len"), F.posexplode(F.split(F.col(seq), "")).alias("i", "b"))

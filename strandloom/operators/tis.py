@@ -125,8 +125,9 @@ def cell_counts(rows: DataFrame, orders: tuple[int, ...]) -> DataFrame:
 
 
 def profile_counts(found: DataFrame, order: int) -> DataFrame:
-    """profile, row, kmer, cnt: counts plus one, for every cell; ``found`` has the rows of ``windows``."""
-    listed = found.select(F.array(F.struct("profile", "window")).alias("found"), F.lit(False).alias("flag"))
+    """profile, row, kmer, cnt: counts plus one, for every cell; ``found`` has the rows of ``windows`` or the lists of ``with_windows``."""
+    lists = F.col("found") if "found" in found.columns else F.array(F.struct("profile", "window"))
+    listed = found.select(lists.alias("found"), F.lit(False).alias("flag"))
     size, places = 4 ** (order + 1), _places(order)
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
     part = lambda over, count: F.floor(F.col("cell") / over) % count

@@ -92,9 +92,9 @@ def heuristic_scores(rows: DataFrame, scorers: dict[int, models.Perceptron]) ->
 def scored_frames(found: DataFrame, scaffolds: DataFrame, scorers: dict[int, models.Perceptron] | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """Frames with gc, bin and i_score; those of each value of ``within`` are binned by themselves."""
     found = orfs.with_sequence(cut(found, "frames"), scaffolds)  # read for short and for long scaffolds
-    found = with_vectors(found).withColumn("gc", F.coalesce(S.gc_fraction(F.col("seq")), F.lit(0.0))).drop("seq")
-    binned = gcbins.assign_bins(cut(found, "orfs"), "gc", tuple(ID), within)
-    return heuristic_scores(binned, scorers or default_bank(scaffolds.sparkSession)).drop("z")
+    found = found.withColumn("gc", F.coalesce(S.gc_fraction(F.col("seq")), F.lit(0.0)))
+    binned = gcbins.assign_bins(cut(found, "orfs"), "gc", tuple(ID), within)  # bases are written, not vectors, which are ten times as large
+    return heuristic_scores(with_vectors(binned), scorers or default_bank(scaffolds.sparkSession)).drop("z", "seq")
 
 
 def scored_orfs(scaffolds: DataFrame, table: int, min_length: int, circular: bool, scorers=None, **options) -> DataFrame:
