@@ -18,7 +18,8 @@ prunes, all pairs of blocks remain, and work grows with the square of the rows.
 and are counted whole.
 
 Cases.  Null, zero, null or non-finite components, null id: no links, its own component.  Vectors of different length
-never link.  Equal vectors link with each other.  Repeated rows count as other vectors.  Empty table: no rows.
+never link.  Equal vectors link with each other.  Repeated rows count as other vectors.  Empty table: no rows.  Extra columns are ignored, whatever their names.  Very long vectors:
+blocks have a fixed number of rows, so a task's memory grows with the length.
 """
 
 from __future__ import annotations
