@@ -22,13 +22,16 @@ def session(master: str | None = None, name: str = "strandloom", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, a new local folder if all tasks run in this process, else one in the warehouse, as machines share no local folders."""
+    """``spark.checkpoint.dir``; where that is unset, a new local folder if all tasks run in this process, else one in the warehouse, unless that is a local folder too, which machines don't share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             found = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
         else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/strandloom-shared"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if re.match("file:|/", warehouse):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; the warehouse is local ({warehouse})")
+            found = f"{warehouse}/strandloom-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
