@@ -67,7 +67,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
         for r in some.groupBy("lang").agg(F.slice(F.array_sort(F.flatten(F.collect_list("xs"))), 1, SAMPLE_DOCS).alias("xs")).collect():
             out[r["lang"]] = _joined(x["text"] for x in r["xs"])
     if long_only := [r["lang"] for r in counts if not r["n"]]:
-        for r in known.where(F.col("lang").isin(long_only)).groupBy("lang").agg(F.min_by("text", F.struct(F.length("text"), F.col("h"))).alias("text")).collect():
+        for r in known.where(F.col("lang").isin(long_only)).groupBy("lang").agg(F.min_by(F.left("text", F.lit(DICT_BYTES)), F.struct(F.length("text"), F.col("h"))).alias("text")).collect():
             out[r["lang"]] = _joined([r["text"]])
     return {k: v for k, v in sorted(out.items()) if v}
 
