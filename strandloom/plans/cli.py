@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-q", "--quiet", action="store_true", help="no log on standard error")
     p.add_argument("-T", "--threads", type=int, default=0, help="local threads; 0: all, or the cluster's own setting")
     p.add_argument("-i", "--input", default="-", help="FASTA, GenBank or EMBL, plain or gzip; - reads standard input")
-    p.add_argument("-o", "--output", default="-", help="gene table; - is standard output")
+    p.add_argument("-o", "--output", default="-", help="gene table; - is standard output, and a path that ends in / a folder of ordered parts, here and below")
     p.add_argument("-f", "--format", default="gff", choices=writers.FORMATS)
     p.add_argument("-a", "--faa", help="proteins of genes")
     p.add_argument("-d", "--fna", help="sequences of genes")
@@ -71,16 +71,16 @@ def main(argv: list[str] | None = None) -> int:
         total = predict.report(scaffolds, options).first()
         say(f"Scaffolds: {total.scaffolds}\nBases: {total['size']}\nG+C: {100 * (total.gc or 0):.2f} %\nReading frames: {total.frames}")
     found = predict.cut(predict.predict(scaffolds, options), "genes")
-    say(f"Genes: {writers.write_file(writers.gene_lines(found, args.format, table, args.circ), args.output, writers.heads(args.format, table), args.format)}")
+    say(f"Genes: {writers.write(writers.gene_lines(found, args.format, table, args.circ), args.output, writers.heads(args.format, table), args.format)}")
     for path, protein in ((args.faa, True), (args.fna, False)):
         if path:
-            writers.write_file(writers.fasta_lines(found, scaffolds, protein, table), path)
+            writers.write(writers.fasta_lines(found, scaffolds, protein, table), path)
     if args.overprint or args.amino or args.nucl:
         pairs = genes.overprint_pairs(found, options.min_overlap, options.min_ratio)
         if args.overprint:
-            writers.write_file(genes.overprint_lines(pairs), args.overprint, ["##gff-version 3"])
+            writers.write(genes.overprint_lines(pairs), args.overprint, ["##gff-version 3"])
         for path, protein in ((args.amino, True), (args.nucl, False)):
             if path:
-                writers.write_file(writers.fasta_lines(genes.genes_of_pairs(pairs, found), scaffolds, protein, table), path)
+                writers.write(writers.fasta_lines(genes.genes_of_pairs(pairs, found), scaffolds, protein, table), path)
     say(f"Seconds: {time.time() - began:.1f}")
     return 0

@@ -1,7 +1,7 @@
 """Sinks: GFF3, GenBank features, MED, protein and nucleotide FASTA, overlapping pairs.
 
 Lines are made by column expressions and ordered by a number; ``write_text`` writes them as ordered text parts, ``write_file`` as
-one local file or to standard output, row by row off an iterator.
+one local file or to standard output, row by row off an iterator.  ``write`` takes the one or the other by the path.
 """
 
 from __future__ import annotations
@@ -55,9 +55,15 @@ def fasta_lines(found: DataFrame, scaffolds: DataFrame, protein: bool, table: in
     return O.with_sequence(G.with_ordinals(found), scaffolds).select("ordinal", F.regexp_replace(record, "\n$", "").alias("line"))
 
 
-def write_text(lines: DataFrame, path: str) -> None:
-    """Ordered parts of a text folder: part n's lines come before part n + 1's."""
+def write_text(lines: DataFrame, path: str, first: list[str] | None = None, form: str | None = None) -> int:
+    """Ordered parts of a text folder: part n's lines come before part n + 1's; returns the number of rows.  Tasks write, the driver sees no row."""
+    lines = lines.select(F.col("ordinal").cast("long").alias("ordinal"), "line")
+    n = lines.count()
+    around = [(i - len(first or []), x) for i, x in enumerate(first or [])] + [((1 << 62) + i, x) for i, x in enumerate(tails(form, n > 0) if form else [])]
+    if around:
+        lines = lines.unionByName(lines.sparkSession.createDataFrame(around, "ordinal long, line string"))
     lines.orderBy("ordinal").select("line").write.text(path)
+    return n
 
 
 def write_file(lines: DataFrame, path: str, first: list[str] | None = None, form: str | None = None) -> int:
@@ -76,3 +82,8 @@ def write_file(lines: DataFrame, path: str, first: list[str] | None = None, form
         if path != "-":
             out.close()
     return n
+
+
+def write(lines: DataFrame, path: str, first: list[str] | None = None, form: str | None = None) -> int:
+    """A path that ends in / is a folder, which tasks write."""
+    return write_text(lines, path.rstrip("/"), first, form) if path.endswith("/") else write_file(lines, path, first, form)

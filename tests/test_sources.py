@@ -1,5 +1,6 @@
 import gzip
 import io
+import os
 import random
 
 import pytest
@@ -74,6 +75,17 @@ def test_other_formats(spark, tmp_path):
         writers.gene_lines(found, "bed")
 
 
+@pytest.mark.parametrize("form", writers.FORMATS)
+def test_folders_hold_what_files_do(spark, tmp_path, form):
+    _, found = gene_table(spark)
+    lines = writers.gene_lines(found, form, date="01-JAN-2024")
+    counts = {writers.write(lines, path, writers.heads(form), form) for path in (f"{tmp_path}/one", f"file://{tmp_path}/parts/")}
+    parts = sorted(p for p in os.listdir(tmp_path / "parts") if p.startswith("part-"))
+    assert counts == {lines.count()} and "".join(open(tmp_path / "parts" / p).read() for p in parts) == open(tmp_path / "one").read()
+    assert writers.write(lines.limit(0), f"file://{tmp_path}/none/", writers.heads(form), form) == 0
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/none").collect()] == writers.heads(form)
+
+
 def test_overprint_sink(spark, tmp_path):
     _, found = gene_table(spark, 4)
     pairs = genes.overprint_pairs(found, 30, 0.1)
