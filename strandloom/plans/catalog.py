@@ -22,6 +22,7 @@ from strandloom.plans.oracle import query
 from strandloom.session import cut, new_path
 from strandloom.sources import datasource, readers, writers
 from strandloom.sources.documents import load
+from strandloom.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -870,3 +871,40 @@ def q70_single_predict_saved(spark, sf_dir):
     predict.save_classifier(spark, machine_path, TOY_SCALE, TOY_MACHINE)
     found = predict.predict(stored(spark, sf_dir), predict.Options(models=bank_path, tis_model=starts_path, cds_model=machine_path))
     return found.select("name", "start", "stop", "strand", F.round("score", 6).alias("score"))
+
+
+def _components_sql(k: int = 2, squarings: int = 22) -> dict[str, str]:
+    """Axes by squaring the covariance until only its first component is left, and then that of what the component leaves."""
+    parts = VECTOR_SQL | {
+        "centred": "SELECT vec_id, feature, x - avg(x) OVER (PARTITION BY feature) AS x FROM cells",
+        "columns": "SELECT feature, list(x ORDER BY vec_id) AS v FROM centred GROUP BY feature",
+        "m1": "SELECT a.feature AS i, list(list_dot_product(a.v, b.v) ORDER BY b.feature) AS v FROM columns a, columns b GROUP BY a.feature",
+    }
+    for j in range(1, k + 1):
+        before = f"m{j}"
+        for s in range(squarings):
+            parts[f"m{j}_{s}"] = f"SELECT a.i, list(list_dot_product(a.v, b.v) / t ORDER BY b.i) AS v FROM {before} a, {before} b, (SELECT sum(v[i]) ** 2 AS t FROM {before}) GROUP BY a.i"
+            before = f"m{j}_{s}"
+        parts[f"axis{j}"] = f"SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)) * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))])) AS v FROM {before} ORDER BY v[i] DESC LIMIT 1"
+        value = f"SELECT sum(u.v[i] * list_dot_product(m.v, u.v)) AS e FROM m{j} m, axis{j} u"
+        parts[f"m{j + 1}"] = f"SELECT i, list_transform(range(1, len(m.v) + 1), lambda c: m.v[c] - e * u.v[i] * u.v[c]) AS v FROM m{j} m, axis{j} u, ({value})"
+    return parts
+
+
+@registered(query("SELECT vec_id, round(sum(x * a.v[feature]), 6) AS pc1, round(sum(x * b.v[feature]), 6) AS pc2 FROM centred, axis1 a, axis2 b GROUP BY vec_id", more=_components_sql(), once=True))
+def q71_principal_components(spark, sf_dir):
+    found = predict.principal_components(_vectors(spark, sf_dir))
+    return found.select("vec_id", *[F.round(F.col("pc")[j], 6).alias(f"pc{j + 1}") for j in range(2)])
+
+
+@registered(query("SELECT concat('doc_', scaffold_id) AS name, CASE WHEN strand = '+' THEN t_start + 1 ELSE host_len - \"end\" + 1 END AS start, CASE WHEN strand = '+' THEN \"end\" ELSE host_len - t_start END AS stop, strand, round(least(1.5 / (1 + exp(-(2.0 * r0 - 1.6 * r1 - 0.2) / 2)), 1), 6) AS score FROM hidden JOIN orfs USING (scaffold_id, strand, phase, t_start, \"end\") WHERE least(1.5 / (1 + exp(-(2.0 * r0 - 1.6 * r1 - 0.2) / 2)), 1) > 0.499", "orfseqs", more=_wave_sql()))
+def q72_annotated_files(spark, sf_dir):
+    """All scaffolds written as files, annotated by a stream of files in two batches, and once more with a new checkpoint, which adds nothing."""
+    path = new_path(spark, "incremental")
+    datasource.register(spark)
+    load(spark, sf_dir).where("sequence <> ''").select("name", "sequence").repartition(4, "name").write.format("fasta").mode("append").save(f"{path}/in")
+    save_bank(spark, {k: _toy_net(0) for k in range(gcbins.N_BINS)}, f"{path}/bank")
+    options = predict.Options(mode="meta", revise_tis=False, models=f"{path}/bank")
+    for again in range(2):
+        incremental.annotate_files(spark, f"{path}/in", f"{path}/genes", f"{path}/checkpoint-{again}", options, max_files=2, pathGlobFilter="*.fa").awaitTermination()
+    return incremental.annotated_genes(spark, f"{path}/genes").select("name", "start", "stop", "strand", F.round("score", 6).alias("score"))

@@ -241,13 +241,16 @@ def kmeans_labels(rows: DataFrame, k: int = 3) -> DataFrame:
 
 
 def principal_components(rows: DataFrame, k: int = 2) -> DataFrame:
-    """Adds ``pc``, the first principal components of the centred vectors ``z``."""
+    """Adds ``pc``, the first principal components of the centred vectors ``z``.  Of the two signs of a component, that which makes its largest entry positive."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     data = rows.withColumn("v", array_to_vector("z"))
     centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(data).transform(data)
-    return PCA(k=k, inputCol="c", outputCol="p").fit(centred).transform(centred).withColumn("pc", vector_to_array("p")).drop("v", "c", "p")
+    model = PCA(k=k, inputCol="c", outputCol="p").fit(centred)
+    axes = model.pc.toArray()  # as many rows as a vector has entries
+    signs = F.array(*[F.lit(1.0 if axis[np.abs(axis).argmax()] >= 0 else -1.0) for axis in axes.T])
+    return model.transform(centred).withColumn("pc", F.zip_with(vector_to_array("p"), signs, lambda x, sign: x * sign)).drop("v", "c", "p")
 
 
 def self_train(rows: DataFrame, max_iter: int = 20, high: float = 0.7, low: float = 0.31, ratio: float = 8.0) -> tuple[models.Standard, models.SVM | svm.Fourier]:

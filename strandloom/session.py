@@ -61,12 +61,20 @@ def exists(spark: SparkSession, path: str | None) -> bool:
     return fs.exists(at)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Writes the table to a path that many drivers may write at once: the first whole one stays."""
-    spark = df.sparkSession
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches."""
+    fs, at = _at(spark, pattern)
+    return bool(fs.globStatus(at))
+
+
+def publish(table: DataFrame | dict[str, DataFrame], path: str) -> None:
+    """Writes a table to a path that many drivers may write at once: the first whole one stays.  Of several tables, named by folders below the path, all appear at once."""
+    tables = {"": table} if isinstance(table, DataFrame) else table
+    spark = next(iter(tables.values())).sparkSession
     parent, _, name = path.rpartition("/")
     own = f"{parent}/_{name}-{uuid.uuid4().hex}"  # not a table's folder, by its name
-    df.write.parquet(own)
+    for part, df in tables.items():
+        df.write.parquet(f"{own}/{part}".rstrip("/"))
     fs, at = _at(spark, own)
     if exists(spark, path) or not fs.rename(at, _at(spark, path)[1]):
         fs.delete(at, True)

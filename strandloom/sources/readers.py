@@ -77,9 +77,10 @@ def _from_stdin(spark: SparkSession) -> str:
     return path
 
 
-def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files of any of the formats, compressed or not; "-" reads standard input.  Records are written once, with their ids."""
-    paths = [p for p, info in ranges.listed([_from_stdin(spark) if path == "-" else path]) if info.size]
+    given = [_from_stdin(spark) if path == "-" else path] if isinstance(path, str) else path
+    paths = [p for p, info in ranges.listed(given) if info.size]
     if not paths:
         raise ValueError(f"no files: {path}")
     groups: dict[str, list[str]] = {}
