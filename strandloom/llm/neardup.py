@@ -16,8 +16,9 @@ n and m the similarity is L / (n + m - L); from ``MIN_SIMILARITY`` on the two ar
 skipped, which changes no class.
 
 Scale.  Copies (equal word sequences) are merged first, by a digest.  Candidate groups come from a hub for each sketch
-value (a combined minimum) and ``components``; no pairs are listed.  A group above ``BLOCK_DOCS`` texts or ``BLOCK_WORDS``
-words is dealt to blocks.  First each block is searched by itself and against the group's block 0, so a text is sent
+value (a combined minimum) and ``components``; no pairs are listed.  Chance agreements chain unlike texts, so that the largest of these groups grows faster than the corpus; one above
+``BLOCK_DOCS`` texts or ``BLOCK_WORDS`` words is taken apart into its hubs' groups, a hub and all texts that have one of its values: any two texts that agree in a sketch are together in one.
+A hub's group above these bounds is dealt to blocks.  First each block is searched by itself and against the group's block 0, so a text is sent
 twice; this joins a group of near copies to one class.  Only what it leaves apart is compared on: texts outside the largest
 class of a group, by pairs of blocks, with each other and with that class.  A task returns a spanning forest of
 its links, not the links, and counts pairs by tiles of ``TILE`` texts, so its memory is bounded by two blocks.
@@ -324,9 +325,19 @@ def _small(sizes: DataFrame) -> DataFrame:
     return F.broadcast(sizes) if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sizes
 
 
-def _linked(grouped: DataFrame, with_text: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, component of the texts that have links.  ``grouped``: id, component, n_words of candidates; ``with_text`` adds ``text`` to nodes."""
-    members = grouped.select(F.col("id").alias("node"), F.col("component").alias("grp"), "n_words")
+def _members(grouped: DataFrame, met: DataFrame) -> DataFrame:
+    """grp, node, n_words: the texts of each candidate group, by the component where that fits a block, else by hub.  ``grouped``: id, component, n_words; ``met``: node, hub."""
+    large = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w")).where(_blocks("n", "w") > 1).select("component")
+    large = _small(large)
+    nodes = grouped.withColumnRenamed("id", "node")
+    whole = nodes.join(large, "component", "left_anti").select(F.col("component").alias("grp"), "node", "n_words")
+    parted = nodes.join(large, "component", "left_semi").join(met, "node").select(F.col("hub").alias("grp"), "node", "n_words")
+    return cut(whole.unionByName(parted), "near-members")
+
+
+def _linked(members: DataFrame, with_text: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of the texts that have links.  ``members``: grp, node, n_words of candidates; ``with_text`` adds ``text`` to nodes."""
+    texts = cut(with_text(members.select("node").distinct()).select("node", "text"), "near-texts")  # read twice, and a share of the corpus
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w")).select("grp", _blocks("n", "w").alias("blocks")).where("blocks > 1")
     sizes = _small(sizes)
     members = members.join(sizes, "grp", "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
@@ -334,7 +345,7 @@ def _linked(grouped: DataFrame, with_text: Callable[[DataFrame], DataFrame]) ->
     own = F.array(_task(block, block, 0))
     others = F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda o: _task(zero, o, 0))
     tasks = F.when(F.col("blocks").isNull(), own).when(block > 0, F.concat(own, F.array(_task(zero, block, 1)))).otherwise(F.concat(own, others))
-    dealt = with_text(members).withColumn("t", F.explode(tasks)).select("grp", "t.*", "node", F.col("node").alias("known"), "text")
+    dealt = members.join(texts.hint("merge"), "node").withColumn("t", F.explode(tasks)).select("grp", "t.*", "node", F.col("node").alias("known"), "text")
     links = cut(_verified(dealt), "near-links")
     classes = connected(links)
 
@@ -354,7 +365,7 @@ def _linked(grouped: DataFrame, with_text: Callable[[DataFrame], DataFrame]) ->
     members = members.withColumn("block", block)
     block = F.col("block")
     against = F.transform(F.sequence(zero, F.when(is_rest, F.col("all")).otherwise(F.col("rest")) - 1), lambda o: _task(F.least(block, o), F.greatest(block, o), F.when(block > o, 1).otherwise(0)))
-    dealt = with_text(members).withColumn("t", F.explode(against)).select("grp", "t.*", "node", F.col("class").alias("known"), "text")
+    dealt = members.join(texts.hint("merge"), "node").withColumn("t", F.explode(against)).select("grp", "t.*", "node", F.col("class").alias("known"), "text")
     links = links.unionByName(cut(_verified(dealt), "near-links"))
     return connected(links).withColumnRenamed("id", "node")
 
@@ -375,15 +386,17 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
 
     values = copies.where("n_words > 0").select("node", F.explode(F.array(*names)).alias("s"))
     hubs = values.groupBy("s").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "hub")
-    grouped = connected(values.join(hubs, "s").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    met = cut(values.join(hubs, "s").select("node", "hub").distinct(), "near-hubs")
+    grouped = connected(met.where("node <> hub"), "node", "hub")
     grouped = cut(grouped.join(copies.select(F.col("node").alias("id"), "n_words"), "id"), "near-groups")
+    members = _members(grouped, met)
     # By shuffle at every size: how many texts are candidates grows with the corpus, and so would a broadcast.
     if repeats:
         texts = map_texts(slim.where("doc_id is not null"), "text", ("doc_id", "text"), _digests, "digest binary").dropDuplicates(["doc_id", "digest"])
         named = copies.select("node", F.col("rep").alias("doc_id"), "digest")
-        classes = _linked(grouped, lambda nodes: nodes.join(named, "node").join(texts.hint("merge"), ["doc_id", "digest"]))
+        classes = _linked(members, lambda nodes: nodes.join(named, "node").join(texts.hint("merge"), ["doc_id", "digest"]))
     else:
-        classes = _linked(grouped, lambda nodes: nodes.join(slim.withColumnRenamed("doc_id", "node").hint("merge"), "node"))
+        classes = _linked(members, lambda nodes: nodes.join(slim.withColumnRenamed("doc_id", "node").hint("merge"), "node"))
 
     reps = copies.select("digest", "rep", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if repeats:

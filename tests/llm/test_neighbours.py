@@ -158,6 +158,20 @@ def test_short_texts_in_many_blocks(docs_of, monkeypatch):
     assert {r.doc_id: r.class_id for r in out} == plain_classes(list(range(60)), texts)
 
 
+def test_chained_texts_are_not_compared_with_the_whole_chain(docs_of, monkeypatch):
+    """Texts that share half with the next one: a chain of candidates without links, whose tasks grow with its length and not with the square."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 4)
+    dealt, verified = [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda tasks: dealt.append(tasks.count()) or verified(tasks))
+    rng = random.Random(8)
+    halves = [text_of(rng, 40, 10**9) for _ in range(97)]
+    texts = [f"{a} {b}" for a, b in zip(halves, halves[1:])]
+    texts += [edited(rng, t, 2) for t in texts[::12]]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(list(enumerate(texts)))).collect()}
+    assert got == plain_classes(range(len(texts)), texts)
+    assert sum(dealt) < 8 * len(texts)
+
+
 def test_near_duplicate_cases(docs_of):
     texts = [None, "", "  ", "!!!", "!!!", "???", "one two", "One, two.", "a b c d e f", "a b c d e f", None]
     rows = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(texts)).collect()}
