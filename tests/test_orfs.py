@@ -128,3 +128,15 @@ def test_equal_rows_and_empty_spans_keep_their_number(spark):
     for tile in (30, 300, 30_000):
         got = [(r.t_start, r.len, len(r.seq)) for r in orfs.with_sequence(rows, table, tile).collect()]
         assert sorted(got) == sorted([(10, 290, 290)] * 2 + [(40, 0, 0)] * 2 + [(0, 60, 60)] * 2)
+
+
+def test_only_segments_at_tile_edges_are_joined(spark, monkeypatch):
+    from strandloom.operators import frames, orfs
+
+    seen, joined = [], frames.joined
+    monkeypatch.setattr(frames, "joined", lambda found, *more: seen.append(found.count()) or joined(found, *more))
+    scaffolds = spark.createDataFrame([(i, "ATG" + "GCC" * 60 + "TAA" + "C" * i) for i in range(5)], "scaffold_id long, sequence string")
+    whole = orfs.find_orfs(scaffolds).collect()
+    cut_up = orfs.find_orfs(scaffolds, tile=30).collect()
+    assert len(whole) >= 5 and set(whole) == set(cut_up)
+    assert seen[0] == 0 < seen[1]
