@@ -97,3 +97,17 @@ def test_vectors_of_many_sequences(spark):
 
 def test_compat_z_of_y():
     assert codes.z_coordinates("Y") == (-1.0, 0.0, 0.0) and codes.z_coordinates("Y", compat=True) == (1.0, 0.0, 0.0)
+
+
+def test_context_totals_are_added_up_in_the_tasks(spark):
+    from strandloom.functions import zcurve
+
+    seqs = ["ACGTTGCAAGT" * 7, "GATTACA", "AC", "", "ACGTACGTAACCGGTT" * 90]
+    rows = spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(2)
+    for order in (2, 3):
+        first = sum(zcurve.SIZES[:order])
+        plain = sum((zcurve.encode(s, order + 1)[first:] * len(s) / 3).round() for s in seqs).reshape(-1, 3)
+        names = ["".join(c) for c in __import__("itertools").product("AGCT", repeat=order)]
+        got = {(r.frame, r.context): (r.zx, r.zy, r.zz) for r in zcurve.context_totals(rows, order).collect()}
+        assert got == {(f, c): tuple(plain[f * len(names) + k]) for f in range(3) for k, c in enumerate(names)}
+        assert zcurve.context_parts(rows, order).count() <= 2 * 3 * 4**order
