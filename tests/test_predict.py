@@ -108,3 +108,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert open(names["out"]).read().startswith("##gff-version 3") and open(names["faa"]).read().count(">") == open(names["fna"]).read().count(">") > 0
     assert cli.main(["-l", "5", "-i", "x"]) == 1
     assert cli.main([]) == 0 and "Ab initio" in capsys.readouterr().out
+
+
+def test_a_loaded_classifier_needs_no_written_vectors(spark, monkeypatch):
+    from strandloom.plans import catalog, predict
+
+    names, cut = [], predict.cut
+    monkeypatch.setattr(predict, "cut", lambda df, name="table": names.append(name) or cut(df, name))
+    catalog.QUERIES["q70_single_predict_saved"](spark, "/root/testdata/sf0.001").collect()
+    assert "scored" in names and "vectors" not in names
