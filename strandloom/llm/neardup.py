@@ -9,7 +9,7 @@ moved as well as with changed text.  Two texts that share a part s of their labe
 of about s**2; at s = 0.4, which is what a tenth of the words changed leaves, they miss all of them with odds of 1.5 %, at 0.5 of 0.1 %.
 
 Verification.  Texts that sketches connect are a candidate group.  Within it, a pair that shares at least ``MIN_SHARED``
-of its labelled shingles, counted by matrix products, is aligned word by word: the longest chain of equal words in the order
+of its labelled shingles, counted by matrix products, and enough of its words in any order, is aligned word by word: the longest chain of equal words in the order
 of both texts.  At similarity s no word of it lies further off the diagonal than the longer text has words beyond the
 chain, the band, and only the band is computed, a row of it at a time as the bits of an integer.  With L chained words of
 n and m the similarity is L / (n + m - L); from ``MIN_SIMILARITY`` on the two are linked.  Pairs already in one class are
@@ -18,9 +18,9 @@ skipped, which changes no class.
 Scale.  Copies (equal word sequences) are merged first, by a digest.  Candidate groups come from a hub for each sketch
 value (a combined minimum) and ``components``; no pairs are listed.  Chance agreements chain unlike texts, so that the largest of these groups grows faster than the corpus; one above
 ``BLOCK_DOCS`` texts or ``BLOCK_WORDS`` words is taken apart into its hubs' groups, a hub and all texts that have one of its values: any two texts that agree in a sketch are together in one.
-A hub's group above these bounds is dealt to blocks.  First each block is searched by itself and against the group's block 0, so a text is sent
-twice; this joins a group of near copies to one class.  Only what it leaves apart is compared on: texts outside the largest
-class of a group, by pairs of blocks, with each other and with that class.  A task returns a spanning forest of
+Each text goes to its first hub's group, and groups above these bounds are dealt to blocks: each block is searched by itself and against the group's block 0, so a text is sent
+twice; this joins a group of near copies to one class.  Only what it leaves apart is compared on: of the hubs' groups that hold several classes, texts outside the largest
+one, by pairs of blocks, with each other and with that class; groups of more than two blocks by bands of length, as texts two bands apart differ too much to link.  A task returns a spanning forest of
 its links, not the links, and counts pairs by tiles of ``TILE`` texts, so its memory is bounded by two blocks.
 
 Cases.  Null text or white space: no words, its own class.  Text of signs only: copies are classes, nothing else links.
@@ -51,6 +51,8 @@ BLOCK_DOCS, BLOCK_WORDS = 512, 200_000
 BROADCAST_ROWS = 100_000
 #: Texts a side and shingles of a matrix product in ``forest``; pairs between two looks at which classes have met.
 TILE, TILE_COLUMNS, PAIRS = 1_024, 4_096, 4_096
+#: Pairs of a tile that are aligned without a look at what words they share.
+LISTED = 256
 BATCH_WORDS = 1 << 18
 #: Places of a text whose bits are one integer, for texts of more words than ``WHOLE``.
 SEGMENT, WHOLE = 1_024, 1 << 15
@@ -78,18 +80,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def labelled(documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled shingles of documents that have words, one after the other in text order, and how many each has."""
+def labelled(documents: list[list[str]], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled shingles of ``size`` words of documents that have words, one after the other in text order, and how many each has."""
     sizes = np.fromiter(map(len, documents), np.int64, len(documents))
     codes = np.fromiter((c for d in documents for c in map(_codes.__getitem__, d)), np.uint64, int(sizes.sum()))
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    n = np.maximum(1, sizes - SHINGLE + 1)
-    padded = np.concatenate((codes, np.zeros(SHINGLE, np.uint64)))
+    n = np.maximum(1, sizes - size + 1)
+    padded = np.concatenate((codes, np.zeros(size, np.uint64)))
     raw = np.zeros(len(codes), np.uint64)
-    for i in range(SHINGLE):
+    for i in range(size):
         raw = raw * _P + padded[i : i + len(codes)]
-    for d in np.flatnonzero(sizes < SHINGLE).tolist():  # a short text is one shingle, told apart by its length
+    for d in np.flatnonzero(sizes < size).tolist():  # a short text is one shingle, told apart by its length
         h = int(sizes[d])
         for c in codes[starts[d] : ends[d]].tolist():
             h = (h * int(_P) + c) & (2**64 - 1)
@@ -242,23 +244,31 @@ def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARIT
     Pairs are counted by tiles of ``tile`` x ``tile`` texts, so that memory grows with the texts and not with their square.
     """
     tile = tile or TILE
-    shingles, n = labelled(texts)
     length = np.array([len(t) for t in texts])
-    owner = np.repeat(np.arange(len(n)), n)
-    _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], column[shared]
-    firsts = np.searchsorted(owner, np.arange(len(n) + 1))
 
-    def tiles(members: np.ndarray) -> list[tuple]:
-        made = []
-        for part in (members[i : i + tile] for i in range(0, len(members), tile)):
+    def index(size: int) -> tuple[np.ndarray, Callable[[np.ndarray], tuple]]:
+        """How many labelled shingles of ``size`` words the texts have, and what ``_shared`` takes of some of them."""
+        shingles, n = labelled(texts, size)
+        owner = np.repeat(np.arange(len(n)), n)
+        _, column, times = np.unique(shingles, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], column[shared]
+        firsts = np.searchsorted(owner, np.arange(len(n) + 1))
+
+        def held_by(part: np.ndarray) -> tuple:
             sizes = firsts[part + 1] - firsts[part]
             at = np.arange(sizes.sum()) + np.repeat(firsts[part] - np.cumsum(sizes) + sizes, sizes)
             order = np.argsort(column[at], kind="stable")
             held = column[at][order]
-            made.append((part, (np.repeat(np.arange(len(part)), sizes)[order], held, np.unique(held))))
-        return made
+            return np.repeat(np.arange(len(part)), sizes)[order], held, np.unique(held)
+
+        return n, held_by
+
+    n, shingles_of = index(SHINGLE)
+    words_of = None
+
+    def tiles(members: np.ndarray) -> list[tuple]:
+        return [(part, shingles_of(part)) for part in (members[i : i + tile] for i in range(0, len(members), tile))]
 
     sides = np.array(side)
     groups = [tiles(np.flatnonzero(sides == s)) for s in sorted(set(side))]
@@ -286,9 +296,17 @@ def forest(texts: list[list[str]], side: list[int], least: float = MIN_SIMILARIT
         x, y = np.nonzero(np.triu(wanted, 1) if p is q else wanted)
         best = np.argsort(-bound[x, y], kind="stable")
         x, y = x[best], y[best]
+        first = True
         while len(x):
             apart = roots(p)[x] != roots(q)[y]
             x, y = x[apart], y[apart]
+            if first and len(x) > LISTED:  # a chain has no more words than both texts have, in whatever order
+                words_of = words_of or index(1)[1]
+                one = words_of(p)
+                both = _shared(one, one if p is q else words_of(q), (len(p), len(q)))[x, y]
+                may = both >= least * (length[p][x] + length[q][y] - both) - 1e-3
+                x, y = x[may], y[may]
+            first = False
             for a, b in zip(p[x[:PAIRS]].tolist(), q[y[:PAIRS]].tolist()):
                 if sets.find(a) != sets.find(b) and alignment(texts[a], texts[b], least) >= least:
                     sets.join(a, b)
@@ -325,47 +343,60 @@ def _small(sizes: DataFrame) -> DataFrame:
     return F.broadcast(sizes) if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sizes
 
 
-def _members(grouped: DataFrame, met: DataFrame) -> DataFrame:
-    """grp, node, n_words: the texts of each candidate group, by the component where that fits a block, else by hub.  ``grouped``: id, component, n_words; ``met``: node, hub."""
+def _members(grouped: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """grp, node, n_words: the texts of each candidate group, by the component where that fits a block, else by the first hub of each text; and hub, node, n_words: all hubs' groups of the latter.
+
+    ``grouped``: id, component, n_words; ``met``: node, hub.
+    """
     large = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w")).where(_blocks("n", "w") > 1).select("component")
     large = _small(large)
     nodes = grouped.withColumnRenamed("id", "node")
     whole = nodes.join(large, "component", "left_anti").select(F.col("component").alias("grp"), "node", "n_words")
-    parted = nodes.join(large, "component", "left_semi").join(met, "node").select(F.col("hub").alias("grp"), "node", "n_words")
-    return cut(whole.unionByName(parted), "near-members")
+    parted = cut(nodes.join(large, "component", "left_semi").join(met, "node").select("hub", "node", "n_words"), "near-parted")
+    homes = parted.groupBy("node").agg(F.min("hub").alias("grp"), F.first("n_words").alias("n_words")).select("grp", "node", "n_words")
+    heads = parted.where("hub = node").join(homes.select(F.col("grp").alias("hub")).distinct(), "hub", "left_semi").select(F.col("hub").alias("grp"), "node", "n_words")
+    return cut(whole.unionByName(homes.unionByName(heads).distinct()), "near-members"), parted
 
 
-def _linked(members: DataFrame, with_text: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, component of the texts that have links.  ``members``: grp, node, n_words of candidates; ``with_text`` adds ``text`` to nodes."""
+def _linked(members: DataFrame, parted: DataFrame, with_text: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of the texts that have links.  ``members``, ``parted``: see ``_members``; ``with_text`` adds ``text`` to nodes."""
     texts = cut(with_text(members.select("node").distinct()).select("node", "text"), "near-texts")  # read twice, and a share of the corpus
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w")).select("grp", _blocks("n", "w").alias("blocks")).where("blocks > 1")
-    sizes = _small(sizes)
-    members = members.join(sizes, "grp", "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
+    counted = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w")).select("grp", "n", _blocks("n", "w").alias("blocks"))
+    sizes = _small(counted.where("blocks > 1").select("grp", "blocks"))
+    dealt = members.join(sizes, "grp", "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
     zero, block = F.lit(0), F.col("block")
     own = F.array(_task(block, block, 0))
     others = F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda o: _task(zero, o, 0))
     tasks = F.when(F.col("blocks").isNull(), own).when(block > 0, F.concat(own, F.array(_task(zero, block, 1)))).otherwise(F.concat(own, others))
-    dealt = members.join(texts.hint("merge"), "node").withColumn("t", F.explode(tasks)).select("grp", "t.*", "node", F.col("node").alias("known"), "text")
+    dealt = dealt.join(texts.hint("merge"), "node").withColumn("t", F.explode(tasks)).select("grp", "t.*", "node", F.col("node").alias("known"), "text")
     links = cut(_verified(dealt), "near-links")
     classes = connected(links)
 
-    members = members.where("blocks > 1").drop("blocks", "block").join(classes.withColumnRenamed("component", "class"), F.col("node") == F.col("id"), "left").drop("id")
-    members = members.withColumn("class", F.coalesce("class", "node"))
-    parts = members.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
+    # Hubs' groups with texts of several classes, but for those that were searched whole just now.
+    rows = parted.join(classes.select(F.col("id").alias("node"), F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rows = cut(rows, "near-apart")
+    found = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("w"), (F.min("class") < F.max("class")).alias("apart")).where("apart")
+    found = found.join(counted.where("blocks = 1").select(F.col("grp").alias("hub"), "n"), "hub", "left").where("n is null or n < m")
+    found = _small(found.select("hub", _blocks("m", "w").alias("blocks")))
+    if not found.take(1):
+        return classes.withColumnRenamed("id", "node")
+    band = F.floor(F.log("n_words") / math.log(1.01 / MIN_SIMILARITY)).cast("int")  # texts of bands that are not next to each other differ too much in length
+    rows = rows.join(found, "hub").withColumn("band", F.explode(F.when(F.col("blocks") > 2, F.array(band - 1, band)).otherwise(F.array(zero))))
+    rows = rows.withColumn("grp", F.concat_ws(":", "hub", "band")).select("grp", "node", "n_words", "class")
+    parts = rows.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
     most = F.max(F.struct("n", "class", "w")).alias("most")
     plan = parts.groupBy("grp").agg(most, F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > most.n")
-    plan = plan.select("grp", F.col("most.class").alias("main"), F.col("most.n").alias("mn"), F.col("most.w").alias("mw"), (F.col("n") - F.col("most.n")).alias("rn"), (F.col("w") - F.col("most.w")).alias("rw"))
-    plan = _small(plan.select("grp", "main", _blocks("rn", "rw").alias("rest"), (_blocks("rn", "rw") + _blocks("mn", "mw")).alias("all")))
-    if not plan.take(1):
-        return classes.withColumnRenamed("id", "node")
-    members = members.join(plan, "grp")
+    plan = plan.select("grp", F.col("most.class").alias("main"), F.col("most.n").alias("mn"), F.col("most.w").alias("mw"), (F.col("n") - F.col("most.n")).alias("rn"), (F.col("w") - F.col("most.w")).alias("rw"), _blocks("n", "w").alias("every"))
+    plan = _small(plan.select("grp", "main", "every", _blocks("rn", "rw").alias("rest"), (_blocks("rn", "rw") + _blocks("mn", "mw")).alias("all")))
+    rows = rows.join(plan, "grp")
     is_rest = F.col("class") != F.col("main")
     hashed = F.xxhash64("node")
     block = F.when(is_rest, F.pmod(hashed, F.col("rest"))).otherwise(F.col("rest") + F.pmod(hashed, F.col("all") - F.col("rest"))).cast("int")
-    members = members.withColumn("block", block)
+    rows = rows.withColumn("block", F.when(F.col("every") > 1, block).otherwise(0))
     block = F.col("block")
     against = F.transform(F.sequence(zero, F.when(is_rest, F.col("all")).otherwise(F.col("rest")) - 1), lambda o: _task(F.least(block, o), F.greatest(block, o), F.when(block > o, 1).otherwise(0)))
-    dealt = members.join(texts.hint("merge"), "node").withColumn("t", F.explode(against)).select("grp", "t.*", "node", F.col("class").alias("known"), "text")
+    against = F.when(F.col("every") > 1, against).otherwise(F.array(_task(zero, zero, 0)))
+    dealt = rows.join(texts.hint("merge"), "node").withColumn("t", F.explode(against)).select("grp", "t.*", "node", F.col("class").alias("known"), "text")
     links = links.unionByName(cut(_verified(dealt), "near-links"))
     return connected(links).withColumnRenamed("id", "node")
 
@@ -389,14 +420,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
     met = cut(values.join(hubs, "s").select("node", "hub").distinct(), "near-hubs")
     grouped = connected(met.where("node <> hub"), "node", "hub")
     grouped = cut(grouped.join(copies.select(F.col("node").alias("id"), "n_words"), "id"), "near-groups")
-    members = _members(grouped, met)
+    members, parted = _members(grouped, met)
     # By shuffle at every size: how many texts are candidates grows with the corpus, and so would a broadcast.
     if repeats:
         texts = map_texts(slim.where("doc_id is not null"), "text", ("doc_id", "text"), _digests, "digest binary").dropDuplicates(["doc_id", "digest"])
         named = copies.select("node", F.col("rep").alias("doc_id"), "digest")
-        classes = _linked(members, lambda nodes: nodes.join(named, "node").join(texts.hint("merge"), ["doc_id", "digest"]))
+        classes = _linked(members, parted, lambda nodes: nodes.join(named, "node").join(texts.hint("merge"), ["doc_id", "digest"]))
     else:
-        classes = _linked(members, lambda nodes: nodes.join(slim.withColumnRenamed("doc_id", "node").hint("merge"), "node"))
+        classes = _linked(members, parted, lambda nodes: nodes.join(slim.withColumnRenamed("doc_id", "node").hint("merge"), "node"))
 
     reps = copies.select("digest", "rep", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if repeats:

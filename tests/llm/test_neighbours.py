@@ -172,6 +172,50 @@ def test_chained_texts_are_not_compared_with_the_whole_chain(docs_of, monkeypatc
     assert sum(dealt) < 8 * len(texts)
 
 
+def test_copies_of_many_sketches_are_verified_once(docs_of, monkeypatch):
+    """One class whose texts have many hubs: what the first pass joins is not dealt again for each of them."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 16)
+    dealt, verified = [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda tasks: dealt.append(tasks.count()) or verified(tasks))
+    rng = random.Random(21)
+    first = text_of(rng, 120)
+    texts = [edited(rng, first, 4) for _ in range(120)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(list(texts))).collect()}
+    assert got == plain_classes(range(len(texts)), texts)
+    assert sum(dealt) < 6 * len(texts)
+
+
+def test_texts_of_one_common_passage_in_many_lengths(docs_of, monkeypatch):
+    """Hubs' groups above two blocks are dealt by length too; copies of any length are found."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 6)
+    rng = random.Random(22)
+    passage = text_of(rng, 60)
+    texts = [f"{passage} {text_of(rng, rng.randint(1, 120), 10**9)}" for _ in range(80)]
+    texts += [edited(rng, rng.choice(texts), 3) for _ in range(30)]
+    texts += [" ".join(t.split()[:-4]) for t in texts[:10]]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(texts)).collect()}
+    assert got == plain_classes(range(len(texts)), texts)
+
+
+def test_texts_of_other_words_are_not_aligned(monkeypatch):
+    rng = random.Random(23)
+    passage = text_of(rng, 60)
+    texts = [f"{passage} {text_of(rng, 60, 10**9)}".split() for _ in range(60)]
+    looks, aligned = [], neardup.alignment
+    monkeypatch.setattr(neardup, "alignment", lambda *a: looks.append(1) or aligned(*a))
+    assert neardup.forest(texts, [0] * len(texts)) == [] and len(looks) < 60
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    written, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda *a: written.append(1) or cut(*a))
+    links = [(i, i + 1) for i in range(0, 400)] + [(900, 800), (-5, -9)]
+    got = {r.id: r.component for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(401)} | {900: 800, 800: 800, -5: -9, -9: -9} and len(written) == 2
+    monkeypatch.setattr(components, "FEW", 0)
+    assert got == {r.id: r.component for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+
+
 def test_near_duplicate_cases(docs_of):
     texts = [None, "", "  ", "!!!", "!!!", "???", "one two", "One, two.", "a b c d e f", "a b c d e f", None]
     rows = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(texts)).collect()}
