@@ -210,3 +210,26 @@ def test_streams_read_files_once_and_sinks_replace_batches(spark, tmp_path):
             (tmp_path / "ck" / "commits" / n).unlink()
     run()
     read()
+
+
+def test_memory_of_a_written_batch(tmp_path, monkeypatch):
+    """A worker of a sink holds some rows of a batch as Python objects, not all."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"name": [f"n{i}" for i in range(10_000)], "sequence": ["ACGT" * 500] * 10_000})
+    sink = datasource._Sink("genbank", {"path": str(tmp_path)})
+    sink._create()
+    tracemalloc.start()
+    try:
+        written = sink._write(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5e6  # the sequences have 20 MB
+    with open(written.file) as f:
+        assert sum(line.startswith("LOCUS") for line in f) == 10_000
