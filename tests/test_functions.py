@@ -111,3 +111,17 @@ def test_context_totals_are_added_up_in_the_tasks(spark):
         got = {(r.frame, r.context): (r.zx, r.zy, r.zz) for r in zcurve.context_totals(rows, order).collect()}
         assert got == {(f, c): tuple(plain[f * len(names) + k]) for f in range(3) for k, c in enumerate(names)}
         assert zcurve.context_parts(rows, order).count() <= 2 * 3 * 4**order
+
+
+def test_contexts_are_counted_without_a_row_for_each_base(spark, monkeypatch):
+    monkeypatch.setattr(zcurve, "CONTEXT_BASES", 20)
+    texts = ["ACGTNACGGT", "AC", "A", "", "GGGGGGGGG", "TTACGGANCCATT"] * 3
+    found = zcurve.context_sums(spark.createDataFrame(list(enumerate(texts)), "k long, seq string"), ["k"], 1)
+    want = {}
+    for k, s in enumerate(texts):
+        for i in range(len(s) - 1):
+            one = [0 if s[i + 1] not in "ACGT" else 1 if s[i + 1] in axis else -1 for axis in ("AG", "AC", "AT")]
+            cell = k, len(s), i % 3, s[i]
+            want[cell] = tuple(a + b for a, b in zip(want.get(cell, (0, 0, 0)), one))
+    assert {tuple(r[:4]): tuple(r[4:]) for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
