@@ -140,3 +140,13 @@ def test_only_segments_at_tile_edges_are_joined(spark, monkeypatch):
     cut_up = orfs.find_orfs(scaffolds, tile=30).collect()
     assert len(whole) >= 5 and set(whole) == set(cut_up)
     assert seen[0] == 0 < seen[1]
+
+
+def test_codon_events_are_not_shuffled(spark):
+    table = scaffolds(spark, ["ATGTAA" * 30, "NNATGNTAA", "AT", "", None])
+    found = orfs.codon_events(orfs.strands(table), tile=30)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.scaffold_id, r.strand, r.pos, r.codon, r.phase) for r in found.collect()}
+    plain = lambda s: {(p, s[p : p + 3]) for p in range(len(s) - 2) if s[p : p + 3] in (*codes.starts(11), *codes.stops(11))}
+    sides = {(0, "+"): "ATGTAA" * 30, (0, "-"): revcomp("ATGTAA" * 30), (1, "+"): "NNATGNTAA", (1, "-"): revcomp("NNATGNTAA")}
+    assert got == {(*side, p, c, p % 3) for side, s in sides.items() for p, c in plain(s)}
