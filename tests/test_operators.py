@@ -147,3 +147,29 @@ def test_locations(spark):
     rows = [("+", False, False, 1, 30), ("-", True, False, 4, 30), ("+", False, True, 5, 60), ("+", False, False, 90, 20)]
     table = spark.createDataFrame(rows, "strand string, partial5 boolean, partial3 boolean, start int, stop int").withColumn("host_len", F.lit(100))
     assert [r[0] for r in table.select(genes.genbank_location()).collect()] == ["1..30", "complement(4..>30)", "5..>60", "join(90..100,1..20)"]
+
+
+def test_vectors_stay_in_the_worker(spark):
+    """Scores come from bases; no vector becomes a column."""
+    from strandloom.functions import zcurve
+    from strandloom.operators import models
+    from strandloom.plans import predict
+
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACGT"), int(n))) for n in rng.integers(1, 400, 60)] + ["ACGNACG"]
+    net = models.Perceptron(models.Standard(np.zeros(zcurve.DIM), np.ones(zcurve.DIM)), rng.normal(size=(4, zcurve.DIM)), np.zeros(4), rng.normal(size=4), 0.1)
+    rows = spark.createDataFrame([(i, s, i % 3) for i, s in enumerate(seqs)], "i int, seq string, bin int")
+    got = {r.i: r.i_score for r in predict.heuristic_scores(rows, {0: net, 1: net}).collect()}
+    want = [net.score(zcurve.encode(s)[None])[0] if i % 3 < 2 else 0.0 for i, s in enumerate(seqs)]
+    assert np.allclose([got[i] for i in range(len(seqs))], want, atol=1e-12)
+
+
+def test_bins_by_arithmetic_equal_all_comparisons(spark):
+    from strandloom.operators import gcbins
+
+    limits = np.array(gcbins.thresholds(), np.float32)
+    values = np.unique(np.concatenate([limits, np.nextafter(limits, np.float32(2)), np.nextafter(limits, np.float32(-1)), np.linspace(0, 1, 4001, dtype=np.float32)])).astype(float)
+    wanted = gcbins.wanted_bin(F.col("g"))
+    assert len(wanted._jc.toString()) < 6_000  # a comparison for each threshold is too long to be compiled
+    got = {r.g: r.b for r in spark.createDataFrame([(float(v),) for v in values], "g double").select("g", wanted.alias("b")).collect()}
+    assert [got[v] for v in values.tolist()] == [int((v > np.array(gcbins.thresholds())).sum()) for v in values]
