@@ -61,6 +61,22 @@ def test_random_features_where_classes_overlap(spark, monkeypatch, asked):
     assert np.abs(gradient).max() < 1.0 and np.abs(2 * f.T @ y).max() > 100
 
 
+def test_many_support_vectors_are_foretold(spark, monkeypatch):
+    """No cascade is begun that would end without a machine, and few passes over all rows are made."""
+    x, y = two_clouds(4_000, gap=0.35)
+    table = table_of(spark, x, y)
+    for name, value in (("CHUNK", 200), ("MERGE", 700), ("FEATURES", 128), ("SAMPLE", 1_500)):
+        monkeypatch.setattr(svm, name, value)
+    passes, summed = [], svm.summed
+    monkeypatch.setattr(svm, "summed", lambda rows, find, *more: passes.append(1) or summed(rows, find, *more))
+    monkeypatch.setattr(svm, "_reduced", lambda *a: pytest.fail("a chunk was trained"))
+    scale, found = svm.fit(table, cost=1.0)
+    assert isinstance(found, svm.Fourier) and len(passes) <= 8
+    f = found.features(scale.apply(x))
+    gradient = np.append(found.weights[:-1], 1e-6 * found.weights[-1]) - 2 * f.T @ (y * np.maximum(0, 1 - y * (f @ found.weights)))
+    assert np.abs(gradient).max() < 1.0
+
+
 def test_classifiers_are_saved(spark, tmp_path):
     x, y = two_clouds(200)
     for approximate in (False, True):
