@@ -42,8 +42,8 @@ def _next(rows: DataFrame, scale: models.MinMax, centres: np.ndarray) -> np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for batch in batches:
-            v, u = whole(np.array(batch.column(0).to_pylist(), float), scale), batch.column(1).to_numpy()
+        for batch in svm.slices(batches):
+            v, u = whole(svm.matrix(batch.column(0)), scale), batch.column(1).to_numpy()
             if not len(v):
                 continue
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -77,9 +77,9 @@ def fit(rows: DataFrame, k: int, keys: tuple[str, ...], rounds: int = ROUNDS) ->
 
         def find(batches: Iterator[pa.RecordBatch], now: np.ndarray = centres) -> np.ndarray:
             out = np.zeros((len(now), dims + 1), np.int64)
-            for batch in batches:
+            for batch in svm.slices(batches):
                 if batch.num_rows:
-                    v = whole(np.array(batch.column(0).to_pylist(), float), scale)
+                    v = whole(svm.matrix(batch.column(0)), scale)
                     mine = far(v, now).argmin(1)
                     for j in np.unique(mine).tolist():
                         out[j] += np.append(v[mine == j].sum(0), (mine == j).sum())

@@ -91,3 +91,13 @@ def test_two_drivers_may_publish(spark, tmp_path):
     for n in (3, 5):
         publish(spark.range(n), f"file://{tmp_path}/shared")
     assert spark.read.parquet(f"file://{tmp_path}/shared").count() == 3 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_vectors_of_clusters_are_no_python_lists():
+    import numpy as np
+    import pyarrow as pa
+
+    from strandloom.operators import svm
+
+    x = np.arange(12.0).reshape(4, 3)
+    assert np.array_equal(svm.matrix(pa.array(x.tolist()).slice(1, 2)), x[1:3])
