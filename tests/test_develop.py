@@ -1,11 +1,13 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandloom.functions import zcurve
-from strandloom.operators import gcbins, models
+from strandloom.operators import gcbins, genes, models, orfs
 from strandloom.plans import bank, develop
-from strandloom.sources import readers
+from strandloom.session import cut
+from strandloom.sources import readers, writers
 from tests.test_predict import planted
 
 
@@ -101,3 +103,37 @@ def test_vectors_of_clusters_are_no_python_lists():
 
     x = np.arange(12.0).reshape(4, 3)
     assert np.array_equal(svm.matrix(pa.array(x.tolist()).slice(1, 2)), x[1:3])
+
+
+def test_labelled_frames_without_bases_are_numbered_by_label(spark, tmp_path):
+    seqs = {f"s{i % 7}{i}": planted(i, 3)[0] for i in range(12)}
+    table = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(seqs.items())], "scaffold_id long, name string, sequence string")
+    frames = cut(orfs.find_orfs(table).withColumn("score", F.lit(0.5)).withColumn("label", F.when(F.col("len") % 9 == 0, 1).when(F.col("len") % 9 == 3, -1)))
+    develop.write_labelled(frames, table, f"file://{tmp_path}/plain")
+    develop.write_labelled(orfs.with_sequence(frames, table), table, f"file://{tmp_path}/spelled")
+    parts = lambda path: "".join(p.read_text() for p in sorted(path.glob("part-*")))
+    for label, kind in ((1, "positive"), (-1, "negative")):
+        rows = genes.with_coordinates(orfs.with_sequence(frames.where(F.col("label") == label), table)).collect()
+        names = list(seqs)
+        order = sorted(rows, key=lambda r: (names[r.scaffold_id], r.stop, r.start, r.strand))
+        gff = [line.split("\t") for line in parts(tmp_path / "plain" / f"{kind}.gff").splitlines()]
+        assert [(x[0], int(x[3]), int(x[4]), x[6]) for x in gff] == [(names[r.scaffold_id], r.start, r.stop, r.strand) for r in order]
+        assert [x[8].split(";")[0] for x in gff] == [f"ID=orf{i:06d}" for i in range(1, len(order) + 1)]
+        wrapped = lambda s: "".join(s[i : i + 80] + "\n" for i in range(0, len(s), 80))
+        text = "".join(f">{names[r.scaffold_id]}:{r.start}..{r.stop}({r.strand}) score=0.500\n{wrapped(r.seq)}" for r in order)
+        assert parts(tmp_path / "plain" / f"{kind}.fna") == parts(tmp_path / "spelled" / f"{kind}.fna") == text
+
+
+def test_lines_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def line(i):
+        made.add(1)
+        return f"{i:05d}"
+
+    rows = cut(spark.range(25_000).repartition(3).select((F.col("id") + 1).alias("ordinal")))
+    assert writers.write_text(rows.select("ordinal", line("ordinal").alias("line")), f"file://{tmp_path}/lines", ["head"]) == 25_000
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "lines").glob("part-*"))]
+    assert sum(parts, []) == ["head", *(f"{i:05d}" for i in range(1, 25_001))] and sum(map(bool, parts)) > 1
+    assert made.value == 25_000

@@ -150,3 +150,20 @@ def test_codon_events_are_not_shuffled(spark):
     plain = lambda s: {(p, s[p : p + 3]) for p in range(len(s) - 2) if s[p : p + 3] in (*codes.starts(11), *codes.stops(11))}
     sides = {(0, "+"): "ATGTAA" * 30, (0, "-"): revcomp("ATGTAA" * 30), (1, "+"): "NNATGNTAA", (1, "-"): revcomp("NNATGNTAA")}
     assert got == {(*side, p, c, p % 3) for side, s in sides.items() for p, c in plain(s)}
+
+
+def test_whole_strands_are_scanned_like_their_tiles(spark):
+    rng = random.Random(91)
+    table = scaffolds(spark, [dna(rng, rng.randint(0, 2000)) for _ in range(20)] + ["", "a" * 10, dna(rng, 250).lower(), None, "N" * 40 + "é" + dna(rng, 700)])
+    wanted = {t: (codes.starts(t), codes.stops(t)) for t in (11, 4)}
+    for tile in (30, 300, 30_000):
+        by_tile = scan.scanned(orfs.tiles(orfs.strands(table), tile), wanted, tile, 60, True).collect()
+        assert by_tile and sorted(scan.scanned(orfs.forward(table), wanted, tile, 60, True).collect()) == sorted(by_tile)
+
+
+def test_bases_behind_a_letter_of_two_bytes(spark):
+    side = "ACG" * 5 + "é" + "ATGGCCTTT" * 4
+    rows = spark.createDataFrame([(0, "+", 16, 52, 36, 52), (0, "-", 0, 36, 36, 52), (0, "-", 30, 52, 22, 52)], "scaffold_id long, strand string, t_start int, end int, len int, host_len int")
+    got = {(r.strand, r.t_start): r.seq for r in orfs.with_sequence(rows, scaffolds(spark, [side])).collect()}
+    back = revcomp(side.replace("é", "N"))
+    assert got == {("+", 16): side[16:], ("-", 0): back[:36], ("-", 30): back[30:]}
