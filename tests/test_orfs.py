@@ -167,3 +167,18 @@ def test_bases_behind_a_letter_of_two_bytes(spark):
     got = {(r.strand, r.t_start): r.seq for r in orfs.with_sequence(rows, scaffolds(spark, [side])).collect()}
     back = revcomp(side.replace("é", "N"))
     assert got == {("+", 16): side[16:], ("-", 0): back[:36], ("-", 30): back[30:]}
+
+
+def test_contexts_of_the_scan_equal_joined_ones(spark):
+    rng = random.Random(17)
+    sides = [dna(rng, rng.randint(0, 1500)) for _ in range(25)] + [dna(rng, 400).lower(), "", None, dna(rng, 200) + "RYKMSWBDHVNUX" + dna(rng, 500), "ATG" + "GCC" * 200 + "TAA"]
+    shown = ["scaffold_id", "strand", "phase", "host_len", "t_start", "end", "len", "partial5", "partial3", "starts", "types", "ctx_off", "ctx", "gc"]
+    for tile, extra in ((90, []), (300, []), (30_000, [dna(rng, 90) + "é" + dna(rng, 600)])):
+        table = scaffolds(spark, sides + extra)
+        for reach, above in (((200, 15), 0), ((0, 0), 0), ((20, 9), 150)):
+            plain = orfs.with_context(orfs.find_orfs(table, min_length=60, with_starts=True, tile=tile).where(f"len > {above}"), table, *reach, tile)
+            plain = plain.withColumn("gc", F.expr("length(regexp_replace(substring(ctx, t_start - ctx_off + 1, len), '[^GC]', '')) / len"))
+            parts = []
+            got = orfs.find_orfs_with_context(table, 11, 60, *reach, above, tile=tile, parts=parts)
+            assert len(parts) == 2 and plain.count() > 20
+            assert sorted(got.select(shown).collect()) == sorted(plain.select(shown).collect())

@@ -117,3 +117,30 @@ def test_a_loaded_classifier_needs_no_written_vectors(spark, monkeypatch):
     monkeypatch.setattr(predict, "cut", lambda df, name="table": names.append(name) or cut(df, name))
     catalog.QUERIES["q70_single_predict_saved"](spark, "/root/testdata/sf0.001").collect()
     assert "scored" in names and "vectors" not in names
+
+
+def test_loaded_models_need_no_shuffled_scaffolds_and_few_tables(spark, monkeypatch):
+    from pathlib import Path
+
+    from strandloom.operators import orfs
+    from strandloom.plans import catalog
+
+    short, attach = [], orfs.attach
+    monkeypatch.setattr(orfs, "attach", lambda rows, scaffolds, *more: short.append(scaffolds.where(f"length <= {orfs.TILE}").count()) or attach(rows, scaffolds, *more))
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "strandloom"
+    before = set(folder.glob("*"))
+    assert catalog.QUERIES["q70_single_predict_saved"](spark, "/root/testdata/sf0.001").count() > 0
+    left = sorted(p.name.rpartition("-")[0] for p in set(folder.glob("*")) - before)
+    assert short and not any(short)
+    assert left.count("scaffolds") == left.count("segments") == left.count("scored") == 1 and not {"frames", "orfs", "revised"} & set(left)
+
+
+def test_circular_genomes_are_predicted(spark):
+    seq, truth = planted(8, 12)
+    turned = seq[2000:] + seq[:2000]
+    table = spark.createDataFrame([(0, "c", turned)], "scaffold_id long, name string, sequence string")
+    options = predict.Options(max_iter=1, circular=True)
+    found = predict.predict(table, options).collect()
+    inner = [(a - 2000, b - 2000, s) for a, b, s in truth if a > 2000]
+    got = {(r.strand, r.stop if r.strand == "+" else r.start) for r in found}
+    assert len(got & {(s, b if s == "+" else a) for a, b, s in inner}) >= 0.5 * len(inner)
